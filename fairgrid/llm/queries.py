@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, simhash_dedup, toxicity
+from . import balltree, ctw, decontaminate, licenses, quality, secrets, sentencepiece_codec, simhash_dedup, token_shards, toxicity
 from .common import fold, labelled, table
 
 
@@ -21,11 +24,39 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", quality.predicted(F.col("score")))
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards to the shared folder and returns what a reader finds there, joined with what should be there."""
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    path = f"{shared}/token-shards-{uuid.uuid4().hex}"
+    seqs = token_shards.sequences(table(spark, sf_dir, "documents"), token_shards.load_ranks())
+    token_shards.write_shards(seqs, path)
+    stored = token_shards.read_shards(spark, path).select("slot", "shard", "offset", token_shards.used(F.col("tokens")).alias("record_sha256"))
+    return seqs.drop("tokens").join(stored, "slot")
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash_dedup.near_duplicate_groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    digest = sentencepiece_codec.digest_udf(docs, sentencepiece_codec.load())
+    return docs.select("doc_id", digest(F.col("text")).alias("d")).select("doc_id", "d.*")
+
+
+def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(labelled(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2))
@@ -34,6 +65,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", toxicity.predicted(F.col("score")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op4_simhash_dedup, op9_toxicity)}
+def op10_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_token_shards, op4_simhash_dedup, op5_secrets, op6_sentencepiece, op7_context_tree, op8_licenses, op9_toxicity, op10_balltree)}
 
 ORACLE: dict[str, str] = {}
