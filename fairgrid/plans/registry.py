@@ -1,6 +1,719 @@
-"""Registered queries over the driver's tables, with the SQL that gives the same rows."""
+"""Registered queries over the driver's tables, with the SQL that gives the same rows in DuckDB.
+
+Each name starts with the inventory number of what it runs. Results are scalars:
+arrays are joined, instants written as UTC text, doubles rounded.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import taxonomy, text, times
+from ..operators import calendar, dedupe, export, geocode, merge, tagging
+from ..sources import feeds, json_docs
+from . import listings
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+#: What calendars and runs are about: days, and the time of the run, are arguments everywhere.
+FIRST, LAST, DAY, RUN_1, RUN_2 = "2024-01-02", "2024-01-20", "2024-01-10", "2024-02-01 00:00:00", "2024-02-02 00:00:00"
+PRIORITY = ["Source B", "Source A"]
+TZ = times.HOME
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return f(spark, sf_dir)
+
+        QUERIES[key] = run
+        if sql:
+            ORACLE[key] = sql
+        return f
+
+    return add
+
+
+def utc(c: Column | str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def day(c: Column | str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd")
+
+
+U = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
+LOCAL = "timezone('America/Chicago', timezone('UTC', {0}))"
+TO_UTC = "timezone('UTC', timezone('America/Chicago', {0}))"
+
+
+def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calendar.with_groups(calendar.event_days(listings.events(spark, sf_dir)))
+
+
+# -- text and keys ------------------------------------------------------------
+
+ENTITIES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&amp;": "&"}
+
+
+def known_entities(c: Column) -> Column:
+    for entity, to in ENTITIES.items():
+        c = F.replace(c, F.lit(entity), F.lit(to))
+    return c
+
+
+@query(
+    r"""SELECT page_id, sha256(body) AS body_sha256, CAST(length(body) AS BIGINT) AS n FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+ replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'),
+ '<br\s*/?>', chr(10), 'gi'), '</(p|div|h[1-6]|li|section|article)>', chr(10) || chr(10), 'gi'), '<[^>]+>', '', 'g'), '[ \t\r\f\v\x{A0}]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM pages)"""
+)
+def p1_clean_html(spark, sf):
+    body = text.clean_html(F.col("html"))
+    return listings.table(spark, sf, "pages").select("page_id", F.sha2(body, 256).alias("body_sha256"), F.length(body).cast("long").alias("n"))
+
+
+@query(listings.SQL + "SELECT seq, sha256(lower(trim(title)) || '|' || CAST(start_local_date AS VARCHAR) || '|' || lower(trim(coalesce(venue_name, '')))) AS h, lower(trim(title)) AS key FROM raw")
+def p2_p3_canonical_hash(spark, sf):
+    r = dedupe.with_hash(listings.raw_events(spark, sf))
+    return r.select("seq", F.col("canonical_hash").alias("h"), text.key_text(F.col("title")).alias("key"))
+
+
+@query(f"SELECT o_orderkey AS k, {U.format(TO_UTC.format('CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)'))} AS midnight, strftime({TO_UTC.format('CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)')}, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS bound FROM orders")
+def p4_p6_window_bound(spark, sf):
+    d = F.to_date("o_orderdate")
+    return listings.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), utc(times.aware(d)).alias("midnight"), times.window_bound(d).alias("bound"))
+
+
+@query(listings.SQL + f"SELECT seq, CAST(start_local_date AS VARCHAR) AS d, hour({LOCAL.format('start_at')}) AS h, CASE WHEN hour({LOCAL.format('start_at')}) BETWEEN 5 AND 11 THEN 'morning' WHEN hour({LOCAL.format('start_at')}) BETWEEN 12 AND 16 THEN 'afternoon' WHEN hour({LOCAL.format('start_at')}) BETWEEN 17 AND 20 THEN 'evening' ELSE 'night' END AS bucket, ltrim(strftime({LOCAL.format('start_at')}, '%I:%M %p'), '0') AS clock FROM raw")
+def p5_p24_p25_p27_local_time(spark, sf):
+    r, s = listings.raw_events(spark, sf), F.col("start_at")
+    h = times.local_hour(s)
+    return r.select("seq", day(times.local_date(s)).alias("d"), h.alias("h"), times.bucket_of(h).alias("bucket"), times.clock_text(s).alias("clock"))
+
+
+@query(
+    r"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'ok' END AS iso_state, CASE WHEN doc_id % 24 < 24 AND doc_id % 70 < 60 THEN (doc_id % 24) * 3600 + (doc_id % 70) * 60 + 5 END AS hms,
+ (CASE WHEN doc_id % 12 = 0 THEN 0 ELSE doc_id % 12 END + 12) * 3600 + (doc_id % 60) * 60 AS clock FROM documents"""
+)
+def p7_p8_p10_parsers(spark, sf):
+    i = F.col("doc_id")
+    iso = F.when(i % 4 == 0, F.lit("12:00")).otherwise(F.concat(F.lit("2026-05-"), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.lit("T01:02:03Z")))
+    hms = F.concat_ws(":", (i % 24).cast("string"), (i % 70).cast("string"), F.lit("5"))
+    clock = F.concat(F.when(i % 12 == 0, 12).otherwise(i % 12).cast("string"), F.lit(":"), F.lpad((i % 60).cast("string"), 2, "0"), F.lit("pm"))
+    d = listings.table(spark, sf, "documents")
+    return d.select("doc_id", F.when(times.parse_iso(iso).isNotNull(), "ok").alias("iso_state"), times.parse_hms(hms).cast("long").alias("hms"), times.parse_clock(clock).cast("long").alias("clock"))
+
+
+@query(
+    rf"""SELECT e AS event_id, {U.format(TO_UTC.format("d + h1 * INTERVAL 1 HOUR"))} AS start_at, {U.format(TO_UTC.format("d + h2 * INTERVAL 1 HOUR + CASE WHEN h2 < h1 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END"))} AS end_at
+ FROM (SELECT event_id AS e, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS d, 1 + event_id % 11 + 12 AS h1, 1 + (event_id // 7) % 11 AS h2 FROM events)"""
+)
+def p9_p12_from_to(spark, sf):
+    i = F.col("event_id")
+    said = F.concat(F.lit("From: 0"), F.lit("").cast("string"), F.lpad((i % 11 + 1).cast("string"), 2, "0"), F.lit(":00 PM to "), F.lpad((F.floor(i / 7) % 11 + 1).cast("string"), 2, "0"), F.lit(":00 am"))
+    a, b = times.from_to(F.regexp_replace(said, "From: 0", "From: "))
+    start, end = times.span(F.to_date("ts"), a, b)
+    return listings.table(spark, sf, "events").select("event_id", utc(start).alias("start_at"), utc(end).alias("end_at"))
+
+
+@query(
+    rf"""SELECT k, CAST(d AS VARCHAR) AS d, {U.format(TO_UTC.format("d + INTERVAL 18 HOUR + INTERVAL 30 MINUTE"))} AS start_at, {U.format(TO_UTC.format("d + INTERVAL 25 HOUR"))} AS end_at
+ FROM (SELECT o_orderkey AS k, CAST(unnest(generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 20, INTERVAL 1 DAY)) AS DATE) AS d FROM orders) WHERE isodow(d) IN (5, 7)"""
+)
+def p11_p12_weekday_occurrences(spark, sf):
+    first = F.to_date("o_orderdate")
+    o = listings.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.inline(times.weekday_occurrences(F.lit("Friday 6:30pm-1am, Sun 6:30pm – 1am; Mondays 6pm-7pm"), first, F.date_add(first, 20))))
+    start, end = times.span(F.col("d"), F.col("start"), F.col("end"))
+    return o.select("k", day("d").alias("d"), utc(start).alias("start_at"), utc(end).alias("end_at"))
+
+
+@query(listings.SQL + "SELECT seq, CASE WHEN regexp_matches(lower(description), '\\bfree\\b') THEN 'free' WHEN contains(description, '$') THEN 'paid' END AS cost FROM raw")
+def p23_cost_indicator(spark, sf):
+    return listings.raw_events(spark, sf).select("seq", text.cost_indicator(F.col("description")).alias("cost"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\bfree\\b') THEN 'free' WHEN contains(text, '$') THEN 'paid' END AS cost FROM documents")
+def p23_cost_of_documents(spark, sf):
+    return listings.table(spark, sf, "documents").select("doc_id", text.cost_indicator(F.col("text")).alias("cost"))
+
+
+@query("SELECT s_suppkey AS k, concat_ws(', ', nullif(s_name, ''), nullif(concat_ws(' ', n_name, CASE WHEN s_suppkey % 3 <> 0 THEN CAST(10000 + s_suppkey AS VARCHAR) END), '')) AS address FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def p15_p33_address(spark, sf):
+    k = F.col("s_suppkey")
+    s = listings.table(spark, sf, "supplier").join(listings.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select(k.alias("k"), text.address_line(F.col("s_name"), F.lit(""), F.col("n_name"), F.when(k % 3 != 0, (k + 10000).cast("string"))).alias("address"))
+
+
+@query(
+    "SELECT seq, CASE WHEN seq % 3 = 0 THEN 'Music,Food & Drink' WHEN seq % 3 = 1 THEN 'Outdoors & Nature' ELSE '' END AS tags, CASE WHEN seq % 2 = 0 THEN 'see teaser' ELSE 'long' END AS picked FROM (SELECT event_id AS seq FROM events)"
+)
+def p16_p17_map_categories(spark, sf):
+    i = F.col("event_id")
+    names = F.when(i % 3 == 0, F.array(*map(F.lit, ("Music & Concerts", "Nope", "Local Libations", "Food & Drink")))).when(i % 3 == 1, F.array(F.lit("Tours & Walks"), F.lit("Nature & Outdoors"))).otherwise(F.lit(None))
+    picked = text.first_filled(F.when(i % 2 == 0, F.lit("")).otherwise("long"), F.lit("see teaser"))
+    return listings.table(spark, sf, "events").select(i.alias("seq"), F.array_join(taxonomy.map_categories(names), ",").alias("tags"), picked.alias("picked"))
+
+
+@query(listings.SQL + "SELECT seq, CASE WHEN seq % 2 = 0 THEN '7pm-9pm' || coalesce(' — ' || description, '') ELSE description END AS d FROM raw")
+def p18_all_day_description(spark, sf):
+    said = F.when(F.col("seq") % 2 == 0, "7pm-9pm").otherwise("See Event Description for times")
+    return listings.raw_events(spark, sf).select("seq", text.all_day_description(said, F.col("description")).alias("d"))
+
+
+RSS = "SELECT event_id AS seq, event_type || ' Night ' || CAST(user_id % 10 AS VARCHAR) AS name, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'Venue ' || CAST(user_id % 25 AS VARCHAR) END AS venue, CASE WHEN event_id % 9 = 0 THEN '' ELSE 'https://example.com/e?id=' || CAST(event_id AS VARCHAR) || '&occ_dtstart=' || strftime(timezone('America/Chicago', timezone('UTC', ts)), '%Y-%m-%d') || 'T19:00' END AS link FROM events"
+
+
+def rss_items(spark: SparkSession, sf: str) -> DataFrame:
+    i, u = F.col("event_id"), F.col("user_id")
+    name = F.concat("event_type", F.lit(" Night "), (u % 10).cast("string"))
+    tail = F.when(i % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" @ Venue "), (u % 25).cast("string")))
+    link = F.when(i % 9 == 0, F.lit("")).otherwise(F.concat(F.lit("https://example.com/e?id="), i.cast("string"), F.lit("&occ_dtstart="), day(times.local_date(F.col("ts").cast("timestamp"))), F.lit("T19:00")))
+    return listings.table(spark, sf, "events").select(i.alias("seq"), F.concat(name, F.lit(" - June 1 7 pm"), tail).alias("title"), link.alias("link"))
+
+
+@query(f"SELECT seq, lower(name) AS name, lower(venue) AS venue, nullif(regexp_extract(link, 'occ_dtstart=([0-9-]+)', 1), '') AS d FROM ({RSS})")
+def p19_p20_rss_title(spark, sf):
+    name, venue = feeds.split_title(F.col("title"))
+    return rss_items(spark, sf).select("seq", name.alias("name"), venue.alias("venue"), day(feeds.occurrence_date(F.col("link"))).alias("d"))
+
+
+@query(
+    listings.SQL
+    + f""", rss AS (SELECT seq, lower(name) AS t, lower(venue) AS v, link, TRY_CAST(nullif(regexp_extract(link, 'occ_dtstart=([0-9-]+)', 1), '') AS DATE) AS d FROM ({RSS})),
+ok AS (SELECT * FROM rss WHERE d BETWEEN DATE '{FIRST}' AND DATE '{LAST}'),
+ex AS (SELECT t, d, v, arg_max(link, seq) AS url1 FROM ok WHERE v <> '' GROUP BY ALL), lo AS (SELECT t, d, arg_min(link, seq) AS url2 FROM ok GROUP BY ALL)
+SELECT raw.seq, coalesce(nullif(url1, ''), nullif(url2, '')) AS url FROM raw LEFT JOIN ex ON lower(trim(title)) = ex.t AND start_local_date = ex.d AND lower(trim(coalesce(venue_name, ''))) = ex.v LEFT JOIN lo ON lower(trim(title)) = lo.t AND start_local_date = lo.d WHERE coalesce(nullif(url1, ''), nullif(url2, '')) IS NOT NULL"""
+)
+def j8_a16_f2_resolve_urls(spark, sf):
+    r = listings.raw_events(spark, sf).drop("source_url")
+    return feeds.resolve_urls(r, *feeds.url_maps(rss_items(spark, sf), FIRST, LAST)).select("seq", F.col("source_url").alias("url"))
+
+
+GEO_KEY = "CASE WHEN trim(coalesce(venue_address, '')) <> '' THEN regexp_replace(lower(trim(venue_address)), '\\s+', ' ', 'g') || ', springfield, il' WHEN trim(coalesce(venue_name, '')) <> '' THEN regexp_replace(lower(trim(venue_name)), '\\s+', ' ', 'g') || ' | springfield, il' END"
+
+
+@query(listings.SQL + f"SELECT seq, k, CASE WHEN contains(k, ' | ') THEN split_part(k, ' | ', 1) || ', springfield, il' ELSE k END AS q FROM (SELECT seq, {GEO_KEY} AS k FROM raw)")
+def p21_p22_lookup_key(spark, sf):
+    r = listings.raw_events(spark, sf).select("seq", geocode.lookup_key(F.col("venue_name"), F.col("venue_address"), listings.CITY, listings.SUFFIX).alias("k"))
+    return r.withColumn("q", geocode.lookup_text(F.col("k"), listings.SUFFIX))
+
+
+@query("SELECT page_id, lower(split_part(url, ':', 1)) IN ('http', 'https') AS safe FROM pages")
+def p32_safe_url(spark, sf):
+    return listings.table(spark, sf, "pages").select("page_id", text.is_http_url(F.col("url")).alias("safe"))
+
+
+@query("SELECT doc_id, CASE WHEN length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 80 THEN sha256(trim(text, ' ' || chr(9) || chr(10) || chr(13))) END AS body FROM documents")
+def p34_payload(spark, sf):
+    p = tagging.payload(F.lit("t"), F.col("text"), F.lit(""))
+    return listings.table(spark, sf, "documents").select("doc_id", F.sha2(F.get_json_object(p, "$.description"), 256).alias("body"))
+
+
+@query(listings.SQL + "SELECT DISTINCT venue_name AS v FROM raw WHERE contains(lower(venue_name), 'venue 1')")
+def p38_venue_search(spark, sf):
+    r = listings.raw_events(spark, sf)
+    return r.where(text.venue_matches(F.col("venue_name"), "VENUE 1")).select(F.col("venue_name").alias("v")).distinct()
+
+
+# -- exports ------------------------------------------------------------------
+
+
+def with_links(spark: SparkSession, sf: str) -> DataFrame:
+    return calendar.with_sources(listings.events(spark, sf), listings.event_sources(spark, sf), PRIORITY)
+
+
+CRLF = "chr(13) || chr(10)"
+ESC = r"replace(replace(replace({0}, '\', '\\'), ';', '\;'), ',', '\,')"
+
+
+@query(
+    listings.SQL
+    + f"""SELECT event_id, sha256('BEGIN:VCALENDAR' || {CRLF} || 'VERSION:2.0' || {CRLF} || 'PRODID:{export.PRODUCT}' || {CRLF} || 'BEGIN:VEVENT' || {CRLF} || 'UID:' || event_id || '@{export.DOMAIN}' || {CRLF} || 'DTSTAMP:20240201T000000Z' || {CRLF}
+ || CASE WHEN all_day THEN 'DTSTART;VALUE=DATE:' || strftime(start_at, '%Y%m%d') || {CRLF} || 'DTEND;VALUE=DATE:' || strftime(coalesce(end_at, start_at + INTERVAL 1 DAY), '%Y%m%d')
+    ELSE 'DTSTART:' || strftime(start_at, '%Y%m%dT%H%M%SZ') || {CRLF} || 'DTEND:' || strftime(coalesce(end_at, start_at), '%Y%m%dT%H%M%SZ') END || {CRLF}
+ || 'SUMMARY:' || {ESC.format("title")} || {CRLF} || coalesce('DESCRIPTION:' || {ESC.format("description")} || {CRLF}, '')
+ || coalesce('LOCATION:' || {ESC.format("nullif(concat_ws(', ', venue_name, venue_address), '')")} || {CRLF}, '') || 'URL:https://example.com/' || CAST(CAST(event_id AS BIGINT) AS VARCHAR) || {CRLF} || 'END:VEVENT' || {CRLF} || 'END:VCALENDAR') AS ical,
+ 'x' AS filename_state FROM ev"""
+)
+def s8_p30_p31_ical(spark, sf):
+    content = export.ical_content(F.lit(RUN_1).cast("timestamp"))
+    ok = F.when(text.ical_filename(F.col("title")).rlike(r"^[a-z0-9-]+\.ics$"), "x")
+    return with_links(spark, sf).select("event_id", F.sha2(content, 256).alias("ical"), ok.alias("filename_state"))
+
+
+@query(
+    listings.SQL
+    + """SELECT event_id, title || chr(10) || strftime(ls, '%A, %B ') || CAST(day(ls) AS VARCHAR) || strftime(ls, ', %Y') || ' · ' || CASE WHEN all_day THEN 'All day' ELSE ltrim(strftime(ls, '%I:%M %p'), '0') || coalesce(' – ' || ltrim(strftime(le, '%I:%M %p'), '0'), '') END
+ || coalesce(chr(10) || nullif(concat_ws(', ', venue_name, venue_address), ''), '') || coalesce(chr(10) || chr(10) || description, '') || chr(10) || chr(10) || 'https://example.com/' || CAST(CAST(event_id AS BIGINT) AS VARCHAR) AS shared FROM ev"""
+)
+def p28_share_text(spark, sf):
+    return with_links(spark, sf).select("event_id", export.share_text().alias("shared"))
+
+
+@query(
+    listings.SQL
+    + """SELECT event_id, 'https://calendar.google.com/calendar/render?action=TEMPLATE&text=' || replace(title, ' ', '+') || '&dates=' || CASE WHEN all_day THEN strftime(start_at, '%Y%m%d') || '%2F' || strftime(coalesce(end_at, start_at + INTERVAL 1 DAY), '%Y%m%d') ELSE strftime(start_at, '%Y%m%dT%H%M%SZ') || '%2F' || strftime(coalesce(end_at, start_at), '%Y%m%dT%H%M%SZ') END
+ || '&details=' || replace(replace(replace(coalesce(description, ''), ' ', '+'), ',', '%2C'), '$', '%24') || '&location=' || replace(replace(concat_ws(', ', venue_name, venue_address), ' ', '+'), ',', '%2C') AS link FROM ev"""
+)
+def p29_calendar_link(spark, sf):
+    return listings.events(spark, sf).select("event_id", export.calendar_link().alias("link"))
+
+
+# -- collapse, matching, merging ----------------------------------------------
+
+
+@query(
+    listings.SQL
+    + """, h AS (SELECT *, sha256(lower(trim(title)) || '|' || CAST(start_local_date AS VARCHAR) || '|' || lower(trim(coalesce(venue_name, '')))) AS hash FROM raw),
+cats AS (SELECT hash, c, min(seq * 10 + pos) AS nth FROM (SELECT hash, seq, unnest(categories) AS c, generate_subscripts(categories, 1) AS pos FROM h) GROUP BY ALL),
+lists AS (SELECT hash, string_agg(c, ',' ORDER BY nth) AS categories FROM cats GROUP BY hash)
+SELECT hash, min(seq) AS seq, arg_min(title, seq) AS title, arg_min(source_url, seq) AS url, coalesce(any_value(lists.categories), '') AS categories FROM h LEFT JOIN lists USING (hash) GROUP BY hash"""
+)
+def a1_w1_collapse(spark, sf):
+    c = dedupe.collapse(listings.raw_events(spark, sf))
+    return c.select(F.col("canonical_hash").alias("hash"), "seq", "title", F.col("source_url").alias("url"), F.array_join("categories", ",").alias("categories"))
+
+
+def runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Two deliveries that overlap: the first 60 % of listings by seq and the last 60 %."""
+    r = listings.raw_events(spark, sf)
+    n = listings.table(spark, sf, "events").select((F.max("event_id") + 1).alias("whole"))
+    r = r.crossJoin(F.broadcast(n))  # one row
+    return r.where(F.col("seq") < F.floor(F.col("whole") * 0.6)).drop("whole"), r.where(F.col("seq") >= F.floor(F.col("whole") * 0.4)).drop("whole")
+
+
+HASHED = listings.SQL + """, n AS (SELECT max(event_id) + 1 AS whole FROM events),
+h AS (SELECT raw.*, sha256(lower(trim(title)) || '|' || CAST(start_local_date AS VARCHAR) || '|' || lower(trim(coalesce(venue_name, '')))) AS hash, whole FROM raw, n),
+one AS (SELECT * FROM h WHERE seq < floor(whole * 0.6)), two AS (SELECT * FROM h WHERE seq >= floor(whole * 0.4))
+"""
+
+
+@query(HASHED + "SELECT hash, first2 AS seq, hash IN (SELECT hash FROM one) AS hit FROM (SELECT hash, min(seq) AS first2 FROM two GROUP BY hash)")
+def j1_exact_match(spark, sf):
+    a, b = runs(spark, sf)
+    known = dedupe.collapse(a).select("canonical_hash", F.col("canonical_hash").alias("event_id"))
+    return dedupe.exact_matches(dedupe.collapse(b), known).select(F.col("canonical_hash").alias("hash"), "seq", F.col("event_id").isNotNull().alias("hit"))
+
+
+def misses(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    a, b = runs(spark, sf)
+    known = merge.new_events(dedupe.collapse(a).withColumns({"event_id": F.col("canonical_hash"), "founds": F.lit(True)}), F.lit(RUN_1).cast("timestamp"))
+    found = dedupe.exact_matches(dedupe.collapse(b), known)
+    return found.where("event_id is null").drop("event_id"), known
+
+
+@query(
+    HASHED
+    + """, e AS (SELECT hash AS event_id, lower(trim(arg_min(title, seq))) AS et, arg_min(start_at, seq) AS es, lower(trim(arg_min(coalesce(venue_name, ''), seq))) AS v FROM one GROUP BY hash),
+r AS (SELECT hash, lower(trim(arg_min(title, seq))) AS rt, arg_min(start_at, seq) AS s, lower(trim(arg_min(coalesce(venue_name, ''), seq))) AS v, arg_min(all_day, seq) AS all_day, arg_min(start_local_date, seq) AS ld FROM two WHERE hash NOT IN (SELECT hash FROM one) GROUP BY hash)
+SELECT hash, event_id FROM r JOIN e ON ((r.v <> '' AND r.v = e.v AND ((r.all_day AND CAST(es AS DATE) = ld) OR (NOT r.all_day AND s = es))) OR (r.v = '' AND NOT r.all_day AND s = es))
+WHERE least(length(rt), length(et)) * 2.0 >= (length(rt) + length(et)) * 0.65"""
+)
+def j2_fuzzy_candidates(spark, sf):
+    m, known = misses(spark, sf)
+    return dedupe.fuzzy_candidates(m, known).select(F.col("canonical_hash").alias("hash"), "event_id")
+
+
+@query()
+def j3_w2_best_match(spark, sf):
+    m, known = misses(spark, sf)
+    return dedupe.best_matches(dedupe.fuzzy_candidates(m, known)).select("canonical_hash", "event_id", F.round("ratio", 9).alias("ratio"))
+
+
+@query()
+def j4_greedy_linking(spark, sf):
+    return dedupe.link_misses(*misses(spark, sf))
+
+
+def two_runs(spark: SparkSession, sf: str, threshold: float | None) -> merge.Merged:
+    """Source A's listings, then a second delivery of the same source."""
+    from ..sources import store
+
+    a, b = runs(spark, sf)
+    first = merge.ingest(a, store.empty(spark, "events"), store.empty(spark, "event_sources"), "Source A", RUN_1, threshold)
+    return merge.ingest(b, first.events, first.sources, "Source A", RUN_2, threshold)
+
+
+MERGED = HASHED + """, cat AS (SELECT hash, string_agg(c, ',' ORDER BY nth) AS categories FROM (SELECT hash, c, min(CASE WHEN run = 1 THEN 0 ELSE 1000000000 END + seq * 10 + pos) AS nth FROM (
+    SELECT hash, 1 AS run, seq, unnest(categories) AS c, generate_subscripts(categories, 1) AS pos FROM one UNION ALL SELECT hash, 2, seq, unnest(categories), generate_subscripts(categories, 1) FROM two) GROUP BY ALL) GROUP BY hash),
+f1 AS (SELECT hash, min(seq) AS seq FROM one GROUP BY hash), f2 AS (SELECT hash, min(seq) AS seq FROM two GROUP BY hash),
+a1 AS (SELECT one.* FROM one JOIN f1 USING (hash, seq)), a2 AS (SELECT two.* FROM two JOIN f2 USING (hash, seq)),
+m AS (SELECT coalesce(a1.hash, a2.hash) AS hash, a1.hash IS NOT NULL AS in1, a2.hash IS NOT NULL AS in2, CASE WHEN a1.hash IS NULL THEN a2.title ELSE a1.title END AS title,
+  coalesce(a1.description, a2.description) AS description, coalesce(a1.venue_name, a2.venue_name) AS venue_name, coalesce(a1.venue_address, a2.venue_address) AS venue_address,
+  coalesce(a1.all_day AND NOT a2.all_day, FALSE) AS up,
+  CASE WHEN a1.hash IS NULL THEN a2.start_at WHEN coalesce(a1.all_day AND NOT a2.all_day, FALSE) THEN a2.start_at ELSE a1.start_at END AS start_at,
+  CASE WHEN a1.hash IS NULL THEN a2.end_at WHEN coalesce(a1.all_day AND NOT a2.all_day, FALSE) THEN a2.end_at ELSE coalesce(a1.end_at, a2.end_at) END AS end_at,
+  CASE WHEN a1.hash IS NULL THEN a2.all_day ELSE a1.all_day AND NOT coalesce(a1.all_day AND NOT a2.all_day, FALSE) END AS all_day,
+  coalesce(cat.categories, '') AS categories, a1.description AS d1, a2.description AS d2, a1.end_at AS e1, a2.end_at AS e2, a1.venue_address AS v1, a2.venue_address AS v2,
+  coalesce(a2.source_url, a1.source_url) AS url
+  FROM a1 FULL JOIN a2 ON a1.hash = a2.hash LEFT JOIN cat ON cat.hash = coalesce(a1.hash, a2.hash))
+"""
+
+
+@query(MERGED + f"SELECT hash, title, description, venue_name, venue_address, {U.format('start_at')} AS start_at, {U.format('end_at')} AS end_at, all_day, categories, CASE WHEN in2 THEN 'active' ELSE 'removed' END AS status FROM m")
+def m1_m5_j7_merge_exact(spark, sf):
+    e = two_runs(spark, sf, None).events
+    return e.select(F.col("event_id").alias("hash"), "title", "description", "venue_name", "venue_address", utc("start_at").alias("start_at"), utc("end_at").alias("end_at"), "all_day", F.array_join("categories", ",").alias("categories"), "status")
+
+
+@query(MERGED + f"SELECT hash, 'Source A' AS source_name, url, CASE WHEN in2 THEN '{RUN_2}' ELSE '{RUN_1}' END AS seen, in2 AS is_active FROM m")
+def j5_j6_m7_source_upsert(spark, sf):
+    s = two_runs(spark, sf, None).sources
+    return s.select(F.col("event_id").alias("hash"), "source_name", F.col("source_url").alias("url"), utc("last_seen_at").alias("seen"), "is_active")
+
+
+@query(
+    MERGED
+    + """, c1 AS (SELECT hash, string_agg(c, ',' ORDER BY nth) AS c1 FROM (SELECT hash, c, min(seq * 10 + pos) AS nth FROM (SELECT hash, seq, unnest(categories) AS c, generate_subscripts(categories, 1) AS pos FROM one) GROUP BY ALL) GROUP BY hash)
+SELECT count(*) FILTER (WHERE NOT in1) AS inserted, count(*) FILTER (WHERE in1 AND in2 AND (up OR (d1 IS NULL AND d2 IS NOT NULL) OR (e1 IS NULL AND e2 IS NOT NULL) OR (v1 IS NULL AND v2 IS NOT NULL) OR categories <> coalesce(c1.c1, ''))) AS updated,
+ count(*) FILTER (WHERE NOT in2) AS deactivated FROM m LEFT JOIN c1 USING (hash)"""
+)
+def a2_m6_run_stats(spark, sf):
+    return merge.run_stats(two_runs(spark, sf, None))
+
+
+@query()
+def m_ingest_fuzzy(spark, sf):
+    e = two_runs(spark, sf, dedupe.THRESHOLD).events
+    return e.select("event_id", "title", utc("start_at").alias("start_at"), "status", F.array_join("categories", ",").alias("categories"))
+
+
+# -- calendars ----------------------------------------------------------------
+
+
+@query(listings.SQL + f"SELECT event_id FROM ev WHERE status = 'active' AND CAST(ls AS DATE) <= DATE '{DAY}' AND CAST(coalesce(le, ls) AS DATE) >= DATE '{DAY}'")
+def f1_on_day(spark, sf):
+    return calendar.on_day(listings.events(spark, sf), DAY).select("event_id")
+
+
+@query(listings.SQL + f"SELECT event_id, CAST(day AS VARCHAR) AS day FROM days WHERE day BETWEEN DATE '{FIRST}' AND DATE '{LAST}'")
+def j9_event_days(spark, sf):
+    return calendar.event_days(listings.events(spark, sf), FIRST, LAST).select("event_id", day("day").alias("day"))
+
+
+SPANS = "SELECT o_orderkey AS k, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(l_shipdate) AS DATE) AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"
+
+
+@query(f"SELECT CAST(d AS VARCHAR) AS day, count(*) AS n FROM (SELECT k, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM ({SPANS}) WHERE b >= a) GROUP BY d")
+def j9_long_intervals(spark, sf):
+    """Orders as exhibitions from their date to their last shipment: how many are on, day by day."""
+    last = listings.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").cast("timestamp").alias("end_at"))
+    o = listings.table(spark, sf, "orders").join(last, "o_orderkey").select(F.col("o_orderkey"), F.lit("active").alias("status"), F.to_date("o_orderdate").cast("timestamp").alias("start_at"), "end_at")
+    return calendar.event_days(o, tz="UTC").groupBy("day").agg(F.count("*").alias("n")).select(day("day").alias("day"), "n")
+
+
+@query(listings.SQL + "SELECT event_id, CAST(day AS VARCHAR) AS day, bucket, hour FROM grouped")
+def u4_f10_p26_partition(spark, sf):
+    return grouped(spark, sf).select("event_id", day("day").alias("day"), "bucket", "hour")
+
+
+@query(listings.SQL + "SELECT CAST(d.day AS VARCHAR) AS day, CAST(h.hour AS INTEGER) AS hour, count(g.event_id) AS n FROM (SELECT DISTINCT day FROM grouped) d CROSS JOIN (SELECT unnest(range(24)) AS hour) h LEFT JOIN grouped g ON g.day = d.day AND g.hour = h.hour GROUP BY ALL")
+def a4_hour_histogram(spark, sf):
+    return calendar.hour_histogram(grouped(spark, sf)).select(day("day").alias("day"), "hour", "n")
+
+
+@query(listings.SQL + "SELECT CAST(day AS VARCHAR) AS day, count(*) FILTER (WHERE bucket = 'allday') AS allday, count(*) FILTER (WHERE bucket = 'morning') AS morning, count(*) FILTER (WHERE bucket = 'afternoon') AS afternoon, count(*) FILTER (WHERE bucket = 'evening') AS evening, count(*) FILTER (WHERE bucket = 'night') AS night FROM grouped GROUP BY day")
+def a5_bucket_counts(spark, sf):
+    b = calendar.bucket_counts(grouped(spark, sf))
+    return b.withColumn("day", day("day"))
+
+
+@query(
+    listings.SQL
+    + """, hist AS (SELECT d.day, h.hour, count(g.event_id) AS n FROM (SELECT DISTINCT day FROM grouped) d CROSS JOIN (SELECT unnest(range(24)) AS hour) h LEFT JOIN grouped g ON g.day = d.day AND g.hour = h.hour GROUP BY ALL)
+SELECT CAST(day AS VARCHAR) AS day, CAST(hour AS INTEGER) AS hour, CASE WHEN n > 0 THEN round(greatest(6.0, n * 100.0 / greatest(1, top)), 6) ELSE 0.0 END AS height, CAST((hour + 19) % 24 AS INTEGER) AS place FROM (SELECT *, max(n) OVER (PARTITION BY day) AS top, sum(n) OVER (PARTITION BY day) AS whole FROM hist) WHERE whole > 0"""
+)
+def a6_bar_heights(spark, sf):
+    b = calendar.bar_heights(calendar.hour_histogram(grouped(spark, sf)))
+    return b.select(day("day").alias("day"), "hour", F.round("height", 6).alias("height"), F.col("place").cast("int").alias("place"))
+
+
+@query(listings.SQL + "SELECT CAST(day AS VARCHAR) AS day, bucket, hour, CASE WHEN hour % 12 = 0 THEN '12' ELSE CAST(hour % 12 AS VARCHAR) END || CASE WHEN hour < 12 THEN ' AM' ELSE ' PM' END AS label, string_agg(event_id, ',' ORDER BY start_at, event_id) AS ids FROM grouped WHERE hour IS NOT NULL GROUP BY ALL")
+def w5_p39_hour_groups(spark, sf):
+    return calendar.hour_groups(grouped(spark, sf)).select(day("day").alias("day"), "bucket", "hour", "label", F.array_join("event_ids", ",").alias("ids"))
+
+
+@query(listings.SQL + "SELECT CAST(day AS VARCHAR) AS day, printf('%.5f,%.5f', latitude, longitude) AS pin, count(*) AS n, arg_min(event_id, event_key) AS first_id FROM (SELECT *, strftime(start_at, '%Y-%m-%d %H:%M:%S') || event_id AS event_key FROM days WHERE latitude IS NOT NULL AND longitude IS NOT NULL) GROUP BY ALL")
+def a7_f8_pins(spark, sf):
+    d = calendar.event_days(listings.events(spark, sf))
+    return calendar.pins(d).select(day("day").alias("day"), "pin", "n", F.col("event_id").alias("first_id"))
+
+
+@query(listings.SQL + "SELECT CAST(day AS VARCHAR) AS day, pin, place, event_id FROM (SELECT *, printf('%.5f,%.5f', latitude, longitude) AS pin, row_number() OVER (PARTITION BY day, printf('%.5f,%.5f', latitude, longitude) ORDER BY start_at, event_id) AS place FROM days WHERE latitude IS NOT NULL AND longitude IS NOT NULL) WHERE place <= 100")
+def a7_pin_events(spark, sf):
+    d = calendar.event_days(listings.events(spark, sf))
+    return calendar.pin_events(d).withColumn("day", day("day"))
+
+
+@query(listings.SQL + "SELECT event_id FROM ev WHERE latitude IS NULL OR longitude IS NULL")
+def f8_without_location(spark, sf):
+    return listings.events(spark, sf).where(~calendar.has_location()).select("event_id")
+
+
+@query(listings.SQL + "SELECT DISTINCT CAST(day AS VARCHAR) AS day, venue_name AS venue FROM days WHERE coalesce(venue_name, '') <> ''")
+def a8_venues(spark, sf):
+    v = calendar.venues(calendar.event_days(listings.events(spark, sf)))
+    return v.select(day("day").alias("day"), F.col("venue_name").alias("venue"))
+
+
+SELECTED = "[" + ", ".join("'" + c + "'" for c in taxonomy.DEFAULT_SELECTED) + "]"
+VISIBLE = f"CASE WHEN len(categories) = 0 THEN FALSE ELSE list_has_any(categories, {SELECTED}) END"
+
+
+@query(listings.SQL + f"SELECT event_id FROM ev WHERE {VISIBLE}")
+def f4_u2_category_filter(spark, sf):
+    return listings.events(spark, sf).where(calendar.category_filter(F.col("categories"), include_untagged=False)).select("event_id")
+
+
+@query(listings.SQL + "SELECT event_id FROM ev WHERE coalesce(venue_name, '') <> '' AND venue_name NOT IN (' Venue 1', ' Venue 2')")
+def f5_venue_filter(spark, sf):
+    return listings.events(spark, sf).where(calendar.venue_filter(F.col("venue_name"), [" Venue 1", " Venue 2"])).select("event_id")
+
+
+@query("WITH hid AS (SELECT ' Venue ' || CAST(n_nationkey AS VARCHAR) AS venue_name FROM nation WHERE n_nationkey % 2 = 0), " + listings.SQL.removeprefix("WITH ") + "SELECT event_id FROM ev WHERE coalesce(venue_name, '') <> '' AND venue_name NOT IN (SELECT venue_name FROM hid)")
+def f5_u2_hidden_venue_table(spark, sf):
+    hidden = listings.table(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit(" Venue "), F.col("n_nationkey").cast("string")).alias("venue_name"))
+    return calendar.without_venues(listings.events(spark, sf), hidden).select("event_id")
+
+
+@query(listings.SQL + f"SELECT CAST(day AS VARCHAR) AS day, count(*) AS total, count(*) FILTER (WHERE {VISIBLE}) AS visible, count(*) FILTER (WHERE NOT ({VISIBLE})) AS hidden FROM days GROUP BY day")
+def a9_visible_counts(spark, sf):
+    d = calendar.event_days(listings.events(spark, sf))
+    return calendar.visible_counts(d, calendar.category_filter(F.col("categories"), include_untagged=False)).withColumn("day", day("day"))
+
+
+@query(listings.SQL + "SELECT event_id, string_agg(source_name, ',' ORDER BY CASE source_name WHEN 'Source B' THEN 1 WHEN 'Source A' THEN 2 ELSE 3 END, source_name) AS names, count(*) AS n FROM src GROUP BY event_id")
+def j10_a3_w3_sources(spark, sf):
+    return with_links(spark, sf).select("event_id", F.array_join("sources.source_name", ",").alias("names"), F.size("sources").cast("long").alias("n"))
+
+
+@query(listings.SQL + f"SELECT CAST(day AS VARCHAR) AS day, event_id, row_number() OVER (PARTITION BY day ORDER BY start_at, event_id) AS place FROM days WHERE day BETWEEN DATE '{FIRST}' AND DATE '{LAST}'")
+def w6_w8_order(spark, sf):
+    d = calendar.event_days(listings.events(spark, sf), FIRST, LAST)
+    place = F.row_number().over(Window.partitionBy("day").orderBy("start_at", "event_id"))
+    return calendar.by_start(d).withColumn("place", place).select(day("day").alias("day"), "event_id", "place")
+
+
+# -- geocoding ----------------------------------------------------------------
+
+
+def geo_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A cache of the even venues' names, of which a third failed; a gazetteer of the suppliers' numbers as venues and streets, some with bad coordinates."""
+    n = listings.table(spark, sf, "nation").where("n_nationkey % 2 = 0")
+    k = F.col("n_nationkey")
+    ok = k % 3 != 0
+    cache = n.select(F.concat(F.lit("venue "), k.cast("string"), F.lit(" | springfield, il")).alias("lookup_key"), F.when(ok, k / 10 + 40.0).alias("latitude"), F.when(ok, -80.0 - k / 10).alias("longitude"), F.lit(None).cast("string").alias("display_name"), F.when(ok, "success").otherwise("not_found").alias("status"), F.lit("gazetteer").alias("geocoder"), F.lit(RUN_1).cast("timestamp").alias("geocoded_at"), F.lit(0).alias("attempts"))
+    s = listings.table(spark, sf, "nation").where("n_nationkey % 5 != 0")
+    lat = F.when(k % 7 == 0, F.lit("bad")).otherwise((k + 10).cast("string"))
+    named = s.select(F.concat(F.lit("venue "), k.cast("string"), F.lit(", springfield, il")).alias("query"), lat.alias("lat"), (k - 100).cast("string").alias("lon"), F.col("n_name").alias("display_name"))
+    street = s.select(F.concat(k.cast("string"), F.lit(" main st, springfield, il")).alias("query"), lat.alias("lat"), (k - 90).cast("string").alias("lon"), F.col("n_name").alias("display_name"))
+    return cache, named.union(street)
+
+
+GEO = listings.SQL + f""", cache AS (SELECT 'venue ' || CAST(n_nationkey AS VARCHAR) || ' | springfield, il' AS k, CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey / 10.0 + 40.0 END AS lat, CASE WHEN n_nationkey % 3 <> 0 THEN -80.0 - n_nationkey / 10.0 END AS lon, CASE WHEN n_nationkey % 3 <> 0 THEN 'success' ELSE 'not_found' END AS status FROM nation WHERE n_nationkey % 2 = 0),
+kept AS (SELECT * FROM cache WHERE status = 'success'),
+gaz AS (SELECT 'venue ' || CAST(n_nationkey AS VARCHAR) || ', springfield, il' AS q, CASE WHEN n_nationkey % 7 <> 0 THEN n_nationkey + 10.0 END AS lat, n_nationkey - 100.0 AS lon FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL
+ SELECT CAST(n_nationkey AS VARCHAR) || ' main st, springfield, il', CASE WHEN n_nationkey % 7 <> 0 THEN n_nationkey + 10.0 END, n_nationkey - 90.0 FROM nation WHERE n_nationkey % 5 <> 0),
+want AS (SELECT event_id, {GEO_KEY} AS k FROM ev WHERE status = 'active' AND latitude IS NULL AND (venue_address IS NOT NULL OR venue_name IS NOT NULL)),
+fresh AS (SELECT DISTINCT k FROM want WHERE k IS NOT NULL AND k NOT IN (SELECT k FROM kept)),
+asked AS (SELECT k, CASE WHEN contains(k, ' | ') THEN split_part(k, ' | ', 1) || ', springfield, il' ELSE k END AS q FROM fresh),
+answers AS (SELECT k, lat, CASE WHEN lat IS NOT NULL THEN lon END AS lon, CASE WHEN gaz.q IS NULL THEN 'not_found' WHEN lat IS NOT NULL THEN 'success' ELSE 'error' END AS status FROM asked LEFT JOIN gaz ON gaz.q = asked.q),
+after AS (SELECT * FROM kept UNION ALL SELECT * FROM answers)
+"""
+
+
+def backfilled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    cache, gazetteer = geo_tables(spark, sf)
+    return geocode.backfill(listings.events(spark, sf), cache, gazetteer, RUN_1, listings.CITY, listings.SUFFIX, force=True)
+
+
+@query(GEO + "SELECT k, round(lat, 6) AS lat, round(lon, 6) AS lon, status FROM after")
+def j13_m8_cache(spark, sf):
+    c = backfilled(spark, sf)[1]
+    return c.select(F.col("lookup_key").alias("k"), F.round("latitude", 6).alias("lat"), F.round("longitude", 6).alias("lon"), "status")
+
+
+@query(GEO + "SELECT event_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM want LEFT JOIN (SELECT * FROM after WHERE status = 'success') a ON a.k = want.k")
+def j12_f7_f12_attach(spark, sf):
+    e = backfilled(spark, sf)[0]
+    return e.select("event_id", F.round("latitude", 6).alias("lat"), F.round("longitude", 6).alias("lon"))
+
+
+@query(GEO + "SELECT count(*) FILTER (WHERE lat IS NOT NULL) AS hits, count(*) FILTER (WHERE lat IS NULL) AS misses, CAST(0 AS BIGINT) AS skipped, (SELECT count(*) FROM after WHERE status = 'error') AS errors, (SELECT count(*) FROM cache WHERE status <> 'success') AS cleared FROM want LEFT JOIN (SELECT * FROM after WHERE status = 'success') a ON a.k = want.k")
+def a10_geocode_stats(spark, sf):
+    return backfilled(spark, sf)[2]
+
+
+@query(listings.SQL + "SELECT event_id FROM ev WHERE status = 'active' AND latitude IS NULL AND (venue_address IS NOT NULL OR venue_name IS NOT NULL) AND event_id IN (SELECT event_id FROM src WHERE source_name = 'Source B' AND is_active)")
+def j14_of_source(spark, sf):
+    return geocode.of_source(geocode.missing(listings.events(spark, sf)), listings.event_sources(spark, sf), "Source B").select("event_id")
+
+
+@query("SELECT vec_id, (-89.6 + CAST(vec_id % 100 AS DECIMAL(10, 4)) * 0.01) BETWEEN -89.6 AND -89.2 AND (42.9 + CAST(vec_id % 40 AS DECIMAL(10, 4)) * 0.01) BETWEEN 42.95 AND 43.18 AS inside FROM embeddings")
+def f11_bounding_box(spark, sf):
+    v = F.col("vec_id")
+    dec = lambda base, n: F.lit(base).cast("decimal(10,4)") + ((v % n).cast("decimal(10,4)") / 100)
+    box = (-89.6, 43.18, -89.2, 42.95)
+    return listings.table(spark, sf, "embeddings").select("vec_id", geocode.in_box(dec(42.9, 40), dec(-89.6, 100), tuple(F.lit(x).cast("decimal(10,4)") for x in box)).alias("inside"))
+
+
+# -- tagging ------------------------------------------------------------------
+
+
+def to_tag(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as untagged events, their texts as descriptions."""
+    d = listings.table(spark, sf, "documents").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("event_id"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("description"), F.col("source").alias("venue_name"), F.lit("active").alias("status"), F.array().cast("array<string>").alias("categories"))
+    return tagging.untagged(d).withColumn("payload", tagging.payload(F.col("title"), F.col("description"), F.col("venue_name")))
+
+
+@query(listings.SQL + "SELECT event_id FROM ev WHERE status = 'active' AND len(categories) = 0")
+def f6_untagged(spark, sf):
+    return tagging.untagged(listings.events(spark, sf)).select("event_id")
+
+
+@query()
+def w4_batches(spark, sf):
+    """Sizes of the classifier's batches: 25 each but for the last of a shard."""
+    b = tagging.numbered(to_tag(spark, sf).where("payload is not null"))
+    return b.groupBy("batch_id").agg(F.count("*").alias("n"), F.max("idx").alias("last"))
+
+
+LONG = "length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 80"
+
+
+@query(f"SELECT CAST(count(*) FILTER (WHERE {LONG} AND n_chars % 3 <> 0) AS BIGINT) AS tagged, count(*) FILTER (WHERE NOT {LONG}) AS skipped_no_description, count(*) AS candidates FROM documents")
+def a11_j15_tagging_stats(spark, sf):
+    """A rule instead of a classifier: texts whose length is a multiple of three get no tag."""
+    all_ = to_tag(spark, sf)
+    placed = tagging.numbered(all_.where("payload is not null"))
+    line = F.concat(F.col("idx").cast("string"), F.when(F.length("description") % 3 != 0, ":Music,Nope").otherwise(":"))
+    answers = placed.groupBy("batch_id").agg(F.array_join(F.collect_list(line), "\n").alias("response"))
+    got = tagging.parse_compact(answers, ["batch_id"])
+    return tagging.tagging_stats(all_, placed, got).drop("batches")
+
+
+RESPONSES = "SELECT doc_id, '0:Music,Nope' || chr(10) || '1:Food & Drink , Dance' || chr(10) || 'junk' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '0:Dance' ELSE '2:' END AS response FROM documents"
+
+
+@query(f"SELECT doc_id, '0' AS idx, CASE WHEN doc_id % 2 = 0 THEN 'Dance' ELSE 'Music' END AS tags FROM ({RESPONSES}) UNION ALL SELECT doc_id, '1', 'Food & Drink,Dance' FROM ({RESPONSES}) UNION ALL SELECT doc_id, '2', '' FROM ({RESPONSES}) WHERE doc_id % 2 = 1")
+def p35_p37_parse_compact(spark, sf):
+    tail = F.when(F.col("doc_id") % 2 == 0, "0:Dance").otherwise("2:")
+    r = listings.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("0:Music,Nope\n1:Food & Drink , Dance\njunk\n"), tail).alias("response"))
+    return tagging.parse_compact(r, ["doc_id"]).select("doc_id", "idx", F.array_join("tags", ",").alias("tags"))
+
+
+@query("SELECT doc_id, '0' AS idx, 'Music' AS tags FROM documents WHERE doc_id % 3 <> 0")
+def p36_parse_json(spark, sf):
+    bad = F.when(F.col("doc_id") % 3 == 0, "not json").otherwise('{"0":["Music","Nope"],"1":"x","2":{"a":1}}')
+    r = listings.table(spark, sf, "documents").select("doc_id", bad.alias("response"))
+    return tagging.parse_json(r, ["doc_id"]).select("doc_id", "idx", F.array_join("tags", ",").alias("tags"))
+
+
+def label_tags(spark: SparkSession, sf: str) -> DataFrame:
+    y = listings.table(spark, sf, "labels")
+    tags = F.array_compact(F.array(F.when(F.col("quality") == 1, "Music"), F.when(F.col("toxic") == 1, "Dance")))
+    return y.select(F.col("doc_id").alias("item"), tags.alias("tags"))
+
+
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Three runs by rules on the id; a third of the items is missing in the last one."""
+    i = F.col("doc_id")
+    d = listings.table(spark, sf, "documents").select(i)
+    a = d.select(F.lit("m1").alias("model"), F.lit("compact").alias("fmt"), i.alias("item"), F.array(F.lit("Music")).alias("tags"))
+    b = d.select(F.lit("m1"), F.lit("json"), i, F.when(i % 2 == 0, F.array(F.lit("Music"), F.lit("Dance"))).otherwise(F.array().cast("array<string>")))
+    c = d.where(i % 3 != 0).select(F.lit("m2"), F.lit("compact"), i, F.array(F.lit("Dance")))
+    return a.union(b).union(c)
+
+
+@query(
+    """WITH truth AS (SELECT doc_id, [x FOR x IN [CASE WHEN quality = 1 THEN 'Music' END, CASE WHEN toxic = 1 THEN 'Dance' END] IF x IS NOT NULL] AS t FROM labels),
+grid AS (SELECT 'm1' AS model, 'compact' AS fmt, doc_id, t, ['Music'] AS p FROM truth UNION ALL SELECT 'm1', 'json', doc_id, t, CASE WHEN doc_id % 2 = 0 THEN ['Music', 'Dance'] ELSE CAST([] AS VARCHAR[]) END FROM truth UNION ALL SELECT 'm2', 'compact', doc_id, t, CASE WHEN doc_id % 3 <> 0 THEN ['Dance'] ELSE CAST([] AS VARCHAR[]) END FROM truth),
+s AS (SELECT *, len(p) AS np, len(t) AS nt, len(list_intersect(p, t)) AS tp FROM grid),
+m AS (SELECT *, CASE WHEN np = 0 AND nt = 0 THEN 1.0 WHEN nt = 0 THEN 0.0 WHEN np = 0 THEN 1.0 ELSE tp * 1.0 / np END AS pr, CASE WHEN nt = 0 THEN 1.0 WHEN np = 0 THEN 0.0 ELSE tp * 1.0 / nt END AS re FROM s)
+SELECT model, fmt, count(*) AS n_items, round(avg(np), 6) AS avg_cats, round(avg(pr), 6) AS precision, round(avg(re), 6) AS recall, round(avg(CASE WHEN np = 0 AND nt = 0 THEN 1.0 WHEN np = 0 OR nt = 0 OR tp = 0 THEN 0.0 ELSE 2 * pr * re / (pr + re) END), 6) AS f1 FROM m GROUP BY ALL"""
+)
+def a12_a13_j16_evaluate(spark, sf):
+    e = tagging.evaluate(label_tags(spark, sf), predictions(spark, sf), ["model", "fmt"])
+    return e.select("model", "fmt", "n_items", *[F.round(c, 6).alias(c) for c in ("avg_cats", "precision", "recall", "f1")])
+
+
+@query(
+    """WITH u AS (SELECT CASE WHEN conv_id % 3 = 0 THEN 'm1' WHEN conv_id % 3 = 1 THEN 'm2' ELSE 'm3' END AS model, length(text) AS i, turn * 10 AS w, turn * 20 AS r, length(role) AS o FROM conversations)
+SELECT model, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(w) AS BIGINT) AS cache_creation_input_tokens, CAST(sum(r) AS BIGINT) AS cache_read_input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens,
+ round(sum(i) / 1e6 * ip + sum(w) / 1e6 * ip * 1.25 + sum(r) / 1e6 * ip * 0.1 + sum(o) / 1e6 * op, 9) AS cost FROM (SELECT *, CASE model WHEN 'm1' THEN 1.0 WHEN 'm2' THEN 3.0 ELSE 0.0 END AS ip, CASE model WHEN 'm1' THEN 5.0 WHEN 'm2' THEN 15.0 ELSE 0.0 END AS op FROM u) GROUP BY model, ip, op"""
+)
+def a14_usage_cost(spark, sf):
+    c = F.col("conv_id") % 3
+    u = listings.table(spark, sf, "conversations").select(F.when(c == 0, "m1").when(c == 1, "m2").otherwise("m3").alias("model"), F.length("text").cast("long").alias("input_tokens"), (F.col("turn") * 10).alias("cache_creation_input_tokens"), (F.col("turn") * 20).alias("cache_read_input_tokens"), F.length("role").cast("long").alias("output_tokens"))
+    prices = spark.createDataFrame([("m1", 1.0, 5.0), ("m2", 3.0, 15.0)], "model string, input_price double, output_price double")
+    return tagging.usage_cost(u, prices, ["model"]).withColumn("cost", F.round("cost", 9))
+
+
+@query("SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND " + LONG.replace("text", "d.text") + " AND d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 ORDER BY doc_id LIMIT 200) ORDER BY d.doc_id LIMIT 50")
+def f9_w7_evaluation_sample(spark, sf):
+    d = listings.table(spark, sf, "documents").join(label_tags(spark, sf).where("array_contains(tags, 'Music')").withColumnRenamed("item", "doc_id"), "doc_id")
+    e = d.select(F.col("doc_id").alias("event_id"), F.lit("t").alias("title"), F.col("text").alias("description"), F.lit("").alias("venue_name"), F.lit("active").alias("status"), F.col("tags").alias("categories"))
+    return tagging.evaluation_sample(e, 50).select(F.col("event_id").alias("doc_id"))
+
+
+# -- sources ------------------------------------------------------------------
+
+
+@query(
+    listings.SQL
+    + """, picked AS (SELECT seq, title, source_url FROM raw WHERE length(coalesce(description, '')) < 80)
+SELECT count(*) AS short, count(*) FILTER (WHERE page_id IS NOT NULL) AS enriched, count(*) FILTER (WHERE page_id IS NULL) AS failed FROM picked LEFT JOIN (SELECT page_id FROM pages WHERE contains(html, '<article')) p ON p.page_id = picked.seq"""
+)
+def j11_s5_a15_enrichment(spark, sf):
+    """Listing n is described by page n."""
+    r = listings.raw_events(spark, sf).withColumn("source_url", F.col("seq").cast("string"))
+    pages = listings.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("url"), "html")
+    return feeds.enrichment_stats(feeds.enrich(r, pages, "article", None))
+
+
+def json_listings(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested documents of the listings' columns: clock fields, From/To, weekdays or nothing by seq, as a reader would give them."""
+    i = F.col("seq")
+    date = F.concat(day(F.date_add(F.col("start_local_date"), 1)), F.lit("T05:59:59Z"))
+    some = lambda ok, c: F.when(ok, c)
+    return listings.raw_events(spark, sf).select(
+        "seq", F.concat(F.lit(" "), "title", F.lit(" ")).alias("title"), F.concat(F.lit("<p>"), "description", F.lit("</p>")).alias("description"), F.lit("teaser").alias("teaser"), F.col("venue_name").alias("location"),
+        F.lit("1 Main").alias("address1"), F.lit("Town").alias("city"), F.lit("IL").alias("state"), F.lit("").alias("zip"), date.alias("startDate"), date.alias("endDate"), F.lit(None).cast("string").alias("nextDate"),
+        F.struct(F.when(i % 10 == 0, F.lit("junk")).otherwise(date).alias("eventDate")).alias("dates"), some(i % 4 == 0, F.lit("18:30:00")).alias("startTime"), some(i % 8 == 0, F.lit("01:00:00")).alias("endTime"),
+        F.when(i % 4 == 1, "From: 6:00 PM to 8:30 PM").when(i % 4 == 2, "Friday 6pm-7pm, Sat 11am–12pm").when(i % 4 == 3, "Doors early").alias("times"),
+        F.array(F.struct(F.lit("Trivia").alias("catName"))).alias("categories"), F.array().cast("array<struct<mediaurl:string>>").alias("media_raw"), F.lit("").alias("absoluteUrl"), F.col("source_url").alias("url"),
+    )
+
+
+@query(
+    listings.SQL
+    + f""", d AS (SELECT seq, trim(title) AS title, start_local_date AS d, CAST(start_local_date AS TIMESTAMP) AS t, description, trim(venue_name) AS v, source_url AS url, seq % 4 AS w, isodow(start_local_date) AS dow FROM raw)
+SELECT seq, title, v, url, CASE WHEN w = 3 OR (w = 2 AND dow NOT IN (5, 6)) THEN CASE WHEN w = 3 THEN 'Doors early — ' ELSE 'Friday 6pm-7pm, Sat 11am–12pm — ' END ELSE '' END || coalesce(description, 'teaser') AS description,
+ {U.format(TO_UTC.format("t + CASE WHEN w = 0 THEN INTERVAL 1110 MINUTE WHEN w = 1 THEN INTERVAL 1080 MINUTE WHEN w = 2 AND dow = 5 THEN INTERVAL 1080 MINUTE WHEN w = 2 AND dow = 6 THEN INTERVAL 660 MINUTE ELSE INTERVAL 0 MINUTE END"))} AS start_at,
+ {U.format(TO_UTC.format("t + CASE WHEN w = 0 THEN CASE WHEN seq % 8 = 0 THEN INTERVAL 1500 MINUTE END WHEN w = 1 THEN INTERVAL 1230 MINUTE WHEN w = 2 AND dow = 5 THEN INTERVAL 1140 MINUTE WHEN w = 2 AND dow = 6 THEN INTERVAL 720 MINUTE END"))} AS end_at,
+ w = 3 OR (w = 2 AND dow NOT IN (5, 6)) AS all_day, 'Trivia & Games' AS tags, '1 Main, Town, IL' AS address FROM d"""
+)
+def s1_p13_p14_f3_json_docs(spark, sf):
+    e = json_docs.raw_events(json_listings(spark, sf), "Listings", "https://example.com/")
+    return e.select("seq", "title", F.col("venue_name").alias("v"), F.col("source_url").alias("url"), "description", utc("start_at").alias("start_at"), utc("end_at").alias("end_at"), "all_day", F.array_join("categories", ",").alias("tags"), F.col("venue_address").alias("address"))
+
+
+@query(
+    rf"""SELECT k, {U.format(TO_UTC.format("CAST(d AS TIMESTAMP) + INTERVAL 19 HOUR"))} AS start_at FROM (SELECT o_orderkey AS k, o_orderkey % 3 AS w, CAST(o_orderdate AS DATE) AS d0, CAST(unnest(generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 60, INTERVAL 1 DAY)) AS DATE) AS d FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-03-01')
+ WHERE d < DATE '1995-03-15' AND d >= DATE '1995-02-01' AND ((w = 0 AND (d - d0) % 3 = 0) OR (w = 1 AND isodow(d) IN (2, 4) AND ((d - CAST(isodow(d) AS INTEGER)) - (d0 - CAST(isodow(d0) AS INTEGER))) % 14 = 0) OR (w = 2 AND isodow(d) = 1 AND ceil(day(d) / 7.0) = 2))"""
+)
+def s4_recurrence(spark, sf):
+    """Orders of two months as series of 60 days: every third day, Tuesdays and Thursdays of every second week, or second Mondays."""
+    o = listings.table(spark, sf, "orders").withColumn("d0", F.to_date("o_orderdate")).where(F.col("d0").between(F.lit("1995-01-01").cast("date"), F.lit("1995-02-28").cast("date")))
+    k = F.col("o_orderkey")
+    until = F.concat(F.lit(";UNTIL="), F.date_format(F.date_add("d0", 60), "yyyyMMdd"))
+    rule = F.concat(F.when(k % 3 == 0, "FREQ=DAILY;INTERVAL=3").when(k % 3 == 1, "FREQ=WEEKLY;INTERVAL=2;BYDAY=TU,TH").otherwise("FREQ=MONTHLY;BYDAY=2MO"), until)
+    rows = o.select(k.alias("seq"), F.lit("x").alias("summary"), times.at_clock(F.col("d0"), F.lit(19 * 3600)).alias("dtstart"), F.lit(None).cast("timestamp").alias("dtend"), F.lit(None).cast("string").alias("location"), F.lit(None).cast("string").alias("description"), rule.alias("rrule"), F.array().cast("array<string>").alias("exdate"))
+    return feeds.expand_recurring(rows, "1995-02-01", "1995-03-15").select(F.col("seq").alias("k"), utc("start_at").alias("start_at"))
