@@ -6,6 +6,7 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,8 +57,7 @@ def tokens_udf(df: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN):
     shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
 
     @F.pandas_udf(T.BinaryType())
-    def tokens(text: Iterator) -> Iterator:
-        import pandas as pd
+    def tokens(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
         mine, pat = shared.value
@@ -66,7 +66,6 @@ def tokens_udf(df: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN):
         for some in text:
             yield pd.Series([np.array(coder.encode_ordinary(t) + end, "<u2").tobytes() for t in some])
 
-    tokens.func.__annotations__ = {}
     return tokens
 
 
