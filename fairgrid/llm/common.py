@@ -54,12 +54,16 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, n: int, held: int) -> DataFrame:
-    """(doc_id, text, y) of the labelled rows outside the held-out fold; repeated labels of an id count as their maximum."""
-    y = (
+    """(doc_id, text, y) of the labelled rows outside the held-out fold; repeated labels of an id count as their maximum.
+
+    Ids and labels go to the texts where BROADCAST_ROWS of them suffice; more
+    of them meet the texts by a shuffle.
+    """
+    y = cut(
         labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where("doc_id is not null and y in (0, 1)")
         .where(fold(F.col("doc_id"), n) != held)
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(y, "doc_id")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small(y), "doc_id")
