@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy, text, times
+from ..functions.lineage import shared_folder
+from ..functions.schemas import RAW
 from ..operators import calendar, dedupe, export, geocode, merge, tagging
-from ..sources import feeds, json_docs
+from ..sources import feeds, json_docs, store
+from ..streaming import incremental
 from . import listings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -334,8 +337,6 @@ def j4_greedy_linking(spark, sf):
 
 def two_runs(spark: SparkSession, sf: str, threshold: float | None) -> merge.Merged:
     """Source A's listings, then a second delivery of the same source."""
-    from ..sources import store
-
     a, b = runs(spark, sf)
     first = merge.ingest(a, store.empty(spark, "events"), store.empty(spark, "event_sources"), "Source A", RUN_1, threshold)
     return merge.ingest(b, first.events, first.sources, "Source A", RUN_2, threshold)
@@ -717,3 +718,47 @@ def s4_recurrence(spark, sf):
     rule = F.concat(F.when(k % 3 == 0, "FREQ=DAILY;INTERVAL=3").when(k % 3 == 1, "FREQ=WEEKLY;INTERVAL=2;BYDAY=TU,TH").otherwise("FREQ=MONTHLY;BYDAY=2MO"), until)
     rows = o.select(k.alias("seq"), F.lit("x").alias("summary"), times.at_clock(F.col("d0"), F.lit(19 * 3600)).alias("dtstart"), F.lit(None).cast("timestamp").alias("dtend"), F.lit(None).cast("string").alias("location"), F.lit(None).cast("string").alias("description"), rule.alias("rrule"), F.array().cast("array<string>").alias("exdate"))
     return feeds.expand_recurring(rows, "1995-02-01", "1995-03-15").select(F.col("seq").alias("k"), utc("start_at").alias("start_at"))
+
+
+@query(f"SELECT name || ' - June 1 7 pm' || CASE WHEN venue <> '' THEN ' @ ' || venue ELSE '' END AS title, link FROM ({RSS})")
+def s2_read_rss(spark, sf):
+    """Items written as XML to the shared folder and read again."""
+    path = shared_folder(spark, "rss")
+    rss_items(spark, sf).select("title", "link").write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
+    return feeds.read_rss(spark, path).drop("seq")
+
+
+@query(listings.SQL + f"SELECT title AS summary, {U.format('start_at')} AS dtstart, {U.format('end_at')} AS dtend, trim(venue_name) AS location, description, coalesce(description, '') <> '' AS described FROM raw")
+def s3_read_ical(spark, sf):
+    """Listings written as calendar text to the shared folder and read again."""
+    line = lambda name, c: F.concat(F.lit(f"{name}:"), c, F.lit("\n"))
+    optional = lambda name, c: F.coalesce(line(name, c), F.lit(""))
+    parts = [F.lit("BEGIN:VEVENT\n"), line("SUMMARY", F.col("title")), line("DTSTART", times.utc_time_text(F.col("start_at"))), optional("DTEND", times.utc_time_text(F.col("end_at"))), optional("LOCATION", text.escape_ical(F.col("venue_name"))), optional("DESCRIPTION", text.escape_ical(F.col("description"))), F.lit("END:VEVENT")]
+    path = shared_folder(spark, "ical")
+    listings.raw_events(spark, sf).select(F.concat(*parts).alias("value")).write.text(path)
+    rows = feeds.ical_rows(feeds.read_ical(spark, path))
+    return rows.select("summary", utc("dtstart").alias("dtstart"), utc("dtend").alias("dtend"), "location", "description", F.col("description").isNotNull().alias("described"))
+
+
+@query(listings.SQL + f"SELECT event_id, CAST(day AS VARCHAR) AS day, title, {U.format('start_at')} AS start_at, array_to_string(categories, ',') AS tags, CASE WHEN CAST(event_id AS BIGINT) % 3 = 0 THEN 'Source B,Zeta' ELSE 'Source A' END AS names FROM days WHERE day BETWEEN DATE '{FIRST}' AND DATE '{LAST}'")
+def s7_serve_days(spark, sf):
+    """Nested records written per day to the shared folder and read again."""
+    path = shared_folder(spark, "days")
+    d = calendar.with_sources(calendar.event_days(listings.events(spark, sf), FIRST, LAST), listings.event_sources(spark, sf), PRIORITY)
+    store.write_days(d, path)
+    schema = "day string, event_id string, title string, start_at timestamp, categories array<string>, sources array<struct<source_name:string,source_url:string>>"
+    back = store.read_days(spark, path, schema)
+    return back.select("event_id", day("day").alias("day"), "title", utc("start_at").alias("start_at"), F.array_join("categories", ",").alias("tags"), F.array_join("sources.source_name", ",").alias("names"))
+
+
+@query(HASHED + "SELECT hash, 'active' AS status, count(DISTINCT source_name) AS n_sources FROM h GROUP BY hash")
+def r1_s6_incremental_ingest(spark, sf):
+    """The listings of both sources as one delivery each, ingested by a stream into versions of the store."""
+    landing, root, remembered = (shared_folder(spark, n) for n in ("landing", "store", "stream"))
+    r = listings.raw_events(spark, sf).withColumn("delivery", F.col("source_name"))
+    r.select("delivery", *[c.split()[0] for c in RAW.split(", ")]).write.json(landing)
+    q = incremental.stream_deliveries(spark, landing, root, remembered, lambda batch: RUN_1, threshold=None, files=None)
+    q.awaitTermination()
+    newest = "".join(c if c.isalnum() else "-" for c in f"{RUN_1}-Source B")
+    sources = store.read(spark, root, newest, "event_sources").groupBy("event_id").agg(F.count("*").alias("n_sources"))
+    return store.read(spark, root, newest, "events").join(sources, "event_id").select(F.col("event_id").alias("hash"), "status", "n_sources")

@@ -22,10 +22,11 @@ def ingest_once(spark: SparkSession, root: str, version: str | None, raws: DataF
     return name
 
 
-def stream_deliveries(spark: SparkSession, landing: str, root: str, checkpoint: str, run_start_of, version: str | None = None, threshold: float | None = dedupe.THRESHOLD) -> StreamingQuery:
-    """Ingests every file of ``landing`` once (availableNow), file by file, source by source in order of name.
+def stream_deliveries(spark: SparkSession, landing: str, root: str, checkpoint: str, run_start_of, version: str | None = None, threshold: float | None = dedupe.THRESHOLD, files: int | None = 1) -> StreamingQuery:
+    """Ingests every file of ``landing`` once (availableNow), ``files`` at a time (None: all), source by source in order of name.
 
-    A file holds raw events with a ``delivery`` column; ``run_start_of`` maps a
+    What comes at once holds whole deliveries: raw events with a ``delivery``
+    column. ``run_start_of`` maps a
     batch number to the run's time. Versions are the state; the stream's own
     checkpoint only remembers files. A batch that is run again after a failure
     finds its version there and goes on from it.
@@ -45,5 +46,6 @@ def stream_deliveries(spark: SparkSession, landing: str, root: str, checkpoint:
                 state["version"] = name
         held.unpersist()
 
-    stream = spark.readStream.schema(DELIVERY).option("maxFilesPerTrigger", 1).json(landing)
+    reader = spark.readStream.schema(DELIVERY)
+    stream = (reader.option("maxFilesPerTrigger", files) if files else reader).json(landing)
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
