@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,19 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def share(df: DataFrame, value: Any) -> Callable[[], Any]:
+    """A broadcast of a value of bounded size, its class included: tasks call what this returns, and load it once each."""
+    sent = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
+    held: list = []
+
+    def get() -> Any:
+        if not held:
+            held.append(pickle.loads(sent.value))
+        return held[0]
+
+    return get
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

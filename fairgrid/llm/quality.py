@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER
+from .common import LOWER, share
 
 #: Buckets of the hashed n-grams: what a model is made of, whatever the corpus.
 BITS = 18
@@ -177,13 +177,13 @@ def _indicators(text):
 
 def score_udf(docs: DataFrame, model: Model):
     """A column function text -> score from 0 to 1; a null text scores as an empty one."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs, model)
 
     @F.pandas_udf(T.DoubleType())
     def score(text):
         import pandas as pd
 
-        m = shared.value
+        m = shared()
         return pd.Series([m.score(indicators(t)) for t in text], dtype="float64")
 
     return lambda text: score(F.coalesce(text, F.lit("")).cast("binary"))

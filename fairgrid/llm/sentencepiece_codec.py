@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import share
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -213,39 +215,40 @@ class Encoder:
         return out
 
 
-_encoders: dict[int, Encoder] = {}
+def _encoder(df: DataFrame, v: Vocabulary):
+    """What gives a task its encoder, made once."""
+    shared, held = share(df, v), []
 
+    def get() -> Encoder:
+        if not held:
+            held.append(Encoder(shared()))
+        return held[0]
 
-def _encoder(shared) -> Encoder:
-    """One encoder a task's Python worker and vocabulary."""
-    if (key := id(shared.value)) not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(shared.value)
-    return _encoders[key]
+    return get
 
 
 def encode_udf(df: DataFrame, v: Vocabulary):
     """text -> array of ids; null and empty texts have none."""
-    shared = df.sparkSession.sparkContext.broadcast(v)
+    encoder = _encoder(df, v)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(text):
         import pandas as pd
 
-        return pd.Series([np.array(i, np.int32) for i in _encoder(shared)(text)])
+        return pd.Series([np.array(i, np.int32) for i in encoder()(text)])
 
     return encode
 
 
 def decode_udf(df: DataFrame, v: Vocabulary):
     """array of ids -> text; a null array is an empty text."""
-    shared = df.sparkSession.sparkContext.broadcast(v.pieces)
+    shared = share(df, v.pieces)
 
     @F.pandas_udf(T.StringType())
     def decoded(ids):
         import pandas as pd
 
-        return pd.Series(["" if i is None else decode(i, shared.value) for i in ids])
+        return pd.Series(["" if i is None else decode(i, shared()) for i in ids])
 
     return decoded
 
@@ -255,16 +258,17 @@ _DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("
 
 def digest_udf(df: DataFrame, v: Vocabulary):
     """text -> how many ids, how many of them spell bytes, SHA-256 of the ids as 32-bit little-endian, whether they decode to the text."""
-    shared = df.sparkSession.sparkContext.broadcast(v)
+    encoder = _encoder(df, v)
 
     @F.pandas_udf(_DIGEST)
     def digest(text):
         import pandas as pd
 
-        spelt = {*shared.value.byte_ids}
+        mine = encoder().v
+        spelt = {*mine.byte_ids}
         rows = []
-        for t, ids in zip(text, _encoder(shared)(text), strict=True):
-            rows.append((len(ids), sum(i in spelt for i in ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), decode(ids, shared.value.pieces) == (t or "")))
+        for t, ids in zip(text, encoder()(text), strict=True):
+            rows.append((len(ids), sum(i in spelt for i in ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), decode(ids, mine.pieces) == (t or "")))
         return pd.DataFrame(rows, columns=_DIGEST.names)
 
     return digest
