@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -13,14 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER
+from .common import LOWER, cut, share
+from .quality import _platt
 
-#: Labelled documents of each class that a model is made of.
-SAMPLE_PER_CLASS = 4000
+#: Labelled documents that a model is made of, ordinary and toxic.
+SAMPLE = (16_000, 4000)
 #: Tokens over which log-likelihoods are compared and divided by their number.
 WINDOW = 3
-#: Counts below RARE go whole to the shared backoff; larger ones lose DISCOUNT.
-RARE, DISCOUNT, BETA = 4, 1.4, 0.5
+#: What every count gives to the shared backoff: this share of the smaller class's documents, and at least so much.
+#: Smaller counts go there whole, as chance brings them about.
+RARE_SHARE, RARE_LEAST, BETA = 0.01, 4.0, 0.5
 THRESHOLD = 0.3
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -52,9 +55,9 @@ def _bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([k[0] for k in some], [k[1] for k in some], [n[0][k] for k in some], [n[1][k] for k in some])], ["v", "w", "n0", "n1"])
 
 
-def _cut(n: np.ndarray) -> np.ndarray:
+def _cut(n: np.ndarray, discount: float) -> np.ndarray:
     """A count less its discount; a rare one goes whole, so that it acts by the backoff alone."""
-    return np.where(n >= RARE, n - DISCOUNT, 0.0)
+    return np.maximum(0.0, n - discount)
 
 
 @dataclass
@@ -106,44 +109,51 @@ def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, keys[i] == x
 
 
-def kneser_ney(v: np.ndarray, w: np.ndarray, n: np.ndarray, window: int = WINDOW) -> Model:
-    """A model of bigram counts: distinct (v, w) with n[0] and n[1] of the two classes."""
-    vocabulary, w_at = np.unique(w, return_inverse=True)
-    contexts, v_at = np.unique(v, return_inverse=True)
-    met = np.stack([np.bincount(w_at[n[c] > 0], minlength=len(vocabulary)) for c in (0, 1)])
+def kneser_ney(words: dict[str, np.ndarray], contexts: dict[str, np.ndarray], pairs: dict[str, np.ndarray], met: np.ndarray, distinct: int, window: int = WINDOW, discount: float = RARE_LEAST) -> Model:
+    """A model of tables that may leave out what no discounted count is left of: its ratio is that of an unseen word.
+
+    words: w with met0 and met1, the distinct words before it by class;
+    contexts: v with n0 and n1 (its count) and k0 and k1 (what discounts leave
+    of its pairs); pairs: v, w, n0, n1. met: by class, the distinct pairs of
+    all; distinct: the number of words of all.
+    """
+    one = lambda t: t if len(next(iter(t.values()))) else {k: np.zeros(1, np.int64) for k in t}
+    words, contexts, pairs = one(words), one(contexts), one(pairs)
+    n = np.stack((words["met0"], words["met1"])).astype(float)
+    met = np.maximum(1, met)[:, None]
     # what both classes say: an expression of one class alone has no more than BETA here
-    shared = (met / np.maximum(1, met.sum(1, keepdims=True))).min(0) * met.sum() + BETA
-    whole = shared.sum() + BETA
-    base = BETA / whole
-    shared = shared / whole
-    unigram, unseen = np.empty((2, len(vocabulary))), np.empty(2)
-    total, gamma = np.zeros((2, len(contexts))), np.ones((2, len(contexts)))
-    often = np.zeros(len(vocabulary), bool)
-    for c in (0, 1):
-        often |= met[c] >= RARE
-        left = _cut(met[c])
-        unseen[c] = 1 - left.sum() / max(1, met[c].sum())
-        unigram[c] = left / max(1, met[c].sum()) + unseen[c] * shared
-        total[c] = np.bincount(v_at, weights=n[c], minlength=len(contexts))
-        kept = np.bincount(v_at, weights=_cut(n[c]), minlength=len(contexts))
-        gamma[c] = np.where(total[c] > 0, 1 - kept / np.maximum(total[c], 1), 1.0)
-    # what has no discounted count left in either class acts as unseen: its ratio is the same
-    pair = _pair(v, w)
-    strong = np.flatnonzero((n >= RARE).any(0))
-    strong = strong[np.argsort(pair[strong])]
-    held = np.flatnonzero((total > 0).any(0) & ((gamma < 1).any(0)))
-    one = lambda x: x if len(x) else np.zeros(1, np.int64)
-    often, strong, held = one(np.flatnonzero(often)), one(strong), one(held)
-    return Model(vocabulary[often], unigram[:, often], unseen, base, contexts[held], total[:, held], gamma[:, held], pair[strong], _cut(n)[:, strong], window)
-
-
-def fit(rows: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, window: int = WINDOW) -> Model | None:
+    shared = (n / met).min(0) * met.sum() + BETA
+    whole = met.sum() + BETA * (distinct + 1)
+    left = _cut(n, discount)
+    unseen = 1 - (left / met).sum(1)
+    unigram = left / met + unseen[:, None] * (shared / whole)
+    total = np.stack((contexts["n0"], contexts["n1"])).astype(float)
+    kept = np.stack((contexts["k0"], contexts["k1"])).astype(float)
+    gamma = np.where(total > 0, 1 - kept / np.maximum(total, 1), 1.0)
+    key = _pair(pairs["v"], pairs["w"])
+    by = [np.argsort(x) for x in (words["w"], contexts["v"], key)]
+    seen = _cut(np.stack((pairs["n0"], pairs["n1"])).astype(float), discount)
+    return Model(words["w"][by[0]], unigram[:, by[0]], unseen, BETA / whole, contexts["v"][by[1]], total[:, by[1]], gamma[:, by[1]], key[by[2]], seen[:, by[2]], window)
+
+
+def cut_at(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Where to part the classes: the middle of the widest gap with the least weight on the wrong side."""
+    order = np.argsort(m)
+    m, y, weight = m[order], y[order], weight[order]
+    wrong = np.concatenate(([0.0], np.cumsum(np.where(y > 0, weight, -weight)))) + weight[y == 0].sum()
+    gap = np.diff(np.concatenate(([m[0] - 1], m, [m[-1] + 1])))
+    i = max(np.flatnonzero((wrong <= wrong.min() + 1e-9) & (gap > 0)), key=lambda k: gap[k], default=len(m))
+    return float((m[i - 1] if i else m[0] - 1) / 2 + (m[i] if i < len(m) else m[-1] + 1) / 2)
+
+
+def fit(rows: DataFrame, sample: tuple[int, int] = SAMPLE, window: int = WINDOW, discount: float | None = None) -> Model | None:
     """A model of (doc_id, text, y) rows, y 0 or 1; None if a class is missing.
 
-    Made of ``sample_per_class`` documents of each class, those of the smallest
-    xxhash64(doc_id), equal texts once; a tenth of them sets the sigmoid
-    instead. Counts are added up in Spark, and the bounded sample's table of
-    bigrams reaches the driver.
+    Made of ``sample[y]`` documents of each class, those of the smallest
+    xxhash64(doc_id), equal texts once; a fifth of them sets the sigmoid
+    instead, with its THRESHOLD where they part best. ``discount`` None: by RARE_SHARE. All counts are added up in Spark; words, contexts and pairs that a
+    discount leaves something of reach the driver, at most the sample's tokens
+    divided by the discount.
     """
     rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "y")
     total = dict(rows.groupBy("y").count().collect())
@@ -151,34 +161,42 @@ def fit(rows: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, window: int =
         return None
     some = None
     for y in (0, 1):
-        ids = rows.where(F.col("y") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class)
+        ids = rows.where(F.col("y") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y])
         some = ids if some is None else some.union(ids)
-    taken = rows.join(F.broadcast(some), "doc_id").select("text", "y", (F.crc32("text") % 10 == 0).alias("kept"))
-    taken = taken.groupBy(F.xxhash64("text"), "y", "kept").agg(F.first("text").alias("text"))
+    taken = rows.join(F.broadcast(some), "doc_id").select("text", "y", (F.crc32("text") % 5 == 0).alias("kept"))
+    taken = cut(taken.groupBy(F.xxhash64("text"), "y", "kept").agg(F.first("text").alias("text")))
+    if discount is None:
+        docs = dict(taken.where("not kept").groupBy("y").count().collect())
+        discount = max(RARE_LEAST, RARE_SHARE * min(docs.get(0, 0), docs.get(1, 0)))
     counts = taken.where("not kept").select("text", "y").mapInArrow(_bigram_counts, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    got = counts.toArrow()
-    if not got.num_rows:
+    counts = cut(counts)
+    left = lambda c: F.sum(F.greatest(F.lit(0.0), F.col(c) - discount))
+    words = counts.groupBy("w").agg(F.count_if(F.col("n0") > 0).alias("met0"), F.count_if(F.col("n1") > 0).alias("met1"))
+    met0, met1, distinct = words.agg(F.sum("met0"), F.sum("met1"), F.count("*")).first()
+    if not distinct:
         return None
-    v, w, n0, n1 = (got[c].to_numpy() for c in ("v", "w", "n0", "n1"))
-    model = kneser_ney(v, w, np.stack((n0, n1)), window)
+    words = words.where(F.greatest("met0", "met1") > discount)
+    contexts = counts.groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), left("n0").alias("k0"), left("n1").alias("k1")).where("k0 + k1 > 0")
+    pairs = counts.where(F.greatest("n0", "n1") > discount)
+    tables = [{c: t[c].to_numpy() for c in t.column_names} for t in (x.toArrow() for x in (words, contexts, pairs))]
+    model = kneser_ney(*tables, np.array([met0, met1], float), distinct, window, discount)
     held = taken.where("kept").select(F.col("y"), _compare_udf(rows, model)("text").alias("m")).toPandas().sort_values(["m", "y"])
     y, m = held.y.to_numpy(), held.m.to_numpy()
     if len({*y}) == 2:
-        from .quality import _platt
-
         weight = np.where(y > 0, total[1] / max(1, (y > 0).sum()), total[0] / max(1, (y == 0).sum()))
-        model.a, model.b = _platt(m, y * 2 - 1, weight * len(y) / weight.sum())
+        model.a = max(1.0, _platt(m, y * 2 - 1, weight * len(y) / weight.sum())[0])
+        model.b = math.log(THRESHOLD / (1 - THRESHOLD)) - model.a * cut_at(m, y, weight)
     return model
 
 
 def _compare_udf(df: DataFrame, model: Model):
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = share(df, model)
 
     @F.pandas_udf(T.DoubleType())
     def compare(text):
         import pandas as pd
 
-        return pd.Series([shared.value.compare(t) for t in text], dtype="float64")
+        return pd.Series([shared().compare(t) for t in text], dtype="float64")
 
     return compare
 
@@ -187,13 +205,13 @@ def score_udf(docs: DataFrame, model: Model | None):
     """A column function text -> score from 0 to 1; a null text scores as an empty one; without a model every score is 0."""
     if model is None:
         return lambda text: F.lit(0.0)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs, model)
 
     @F.pandas_udf(T.DoubleType())
     def score(text):
         import pandas as pd
 
-        m = shared.value
+        m = shared()
         return pd.Series([m.score(t) for t in text], dtype="float64")
 
     return lambda text: score(F.coalesce(text, F.lit("")).cast("binary"))

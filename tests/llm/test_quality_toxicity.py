@@ -85,11 +85,12 @@ def test_missing_class_and_empty_tables(spark):
 
 
 def test_kneser_ney_backs_off_for_rare_words():
-    v = np.array([1, 2, 3, 4, 5, 6, 1, 2, 3, 4, 5, 6, 7, 8], np.int64)
-    w = np.array([9, 9, 9, 9, 9, 9, 10, 10, 10, 10, 10, 10, 11, 12], np.int64)
-    n = np.zeros((2, 14), np.int64)
-    n[1, :6], n[:, 6:12], n[1, 12], n[0, 13] = 1, 1, 1, 1
-    m = toxicity.kneser_ney(v, w, n)
-    one = lambda x: m.ratios(np.array([x], np.int64))[0]
-    assert one(9) > 2 > one(11) > -1 and abs(one(10)) < 1
-    assert one(11) == pytest.approx(one(12)) == pytest.approx(one(777))  # rare in either class, and unseen: the backoff alone
+    i = lambda *x: np.array(x, np.int64)
+    words = {"w": i(9, 10), "met0": i(0, 40), "met1": i(40, 38)}
+    contexts = {"v": i(5), "n0": i(20), "n1": i(20), "k0": i(0), "k1": i(12)}
+    pairs = {"v": i(5), "w": i(10), "n0": i(4), "n1": i(16)}
+    m = toxicity.kneser_ney(words, contexts, pairs, np.array([100.0, 90.0]), 60, 2, 4.0)
+    one = lambda *x: m.ratios(i(*x))[-1]
+    assert one(9) > 2 and abs(one(10)) < 0.5
+    assert one(11) == pytest.approx(one(12)) and one(11) < 0.5  # what isn't there acts through the backoff alone
+    assert one(5, 10) > one(10) + 0.5
