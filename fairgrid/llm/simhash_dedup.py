@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,34 +127,37 @@ def trie_links(fp: np.ndarray, a0, a1, b0, b1, wrong, level: int, radius: int, f
             todo.append((level + 1, *joined))
 
 
-def _task(depth: int, radius: int):
-    """For one Spark partition: whole groups of (kind, key, fp); gives edges of a spanning forest."""
+def _task(radius: int):
+    """For one Spark partition: whole groups of (kind, depth, tag, key, fp); gives edges of a spanning forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
         if not parts:
             return
-        kind, key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+        kind, depth, tag, key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
         fp = fp.view(np.uint64)
-        order = np.lexsort((fp, key, kind))
-        kind, key, fp = kind[order], key[order], fp[order]
-        first = np.flatnonzero(np.concatenate(([True], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1]))))
+        order = np.lexsort((fp, key, tag, depth, kind))
+        kind, depth, tag, key, fp = (x[order] for x in (kind, depth, tag, key, fp))
+        new = np.zeros(len(fp), bool)
+        new[0] = True
+        for x in (kind, depth, tag, key):
+            new[1:] |= x[1:] != x[:-1]
+        first = np.flatnonzero(new)
         last = np.concatenate((first[1:], [len(fp)]))
         forest = _Forest(len(fp))
-        zero = np.zeros(len(first), np.int64)
-        for k in (0, 2):  # 0: a top node with itself; 2: fingerprints that share all below the top
-            mine = (kind[first] == k) & (last - first > 1)
-            if mine.any():
-                trie_links(fp, first[mine], last[mine], first[mine], last[mine], zero[mine], depth if k == 0 else 0, radius, forest)
-        mine = kind[first] == 1  # two top nodes that differ in a bit
-        if mine.any():
-            top = fp >> np.uint64(64 - depth)
-            step = np.concatenate(([0], np.cumsum(top[1:] != top[:-1])))
+        for k, d in {*zip(kind[first].tolist(), depth[first].tolist(), strict=True)}:
+            mine = (kind[first] == k) & (depth[first] == d) & (last - first > 1)
             lo, hi = first[mine], last[mine]
-            mid = np.searchsorted(step, step[lo], side="right")
-            two = mid < hi
-            trie_links(fp, lo[two], mid[two], mid[two], hi[two], zero[mine][two] + 1, depth, radius, forest)
-        forest.link(np.arange(0), np.arange(0))
+            zero = np.zeros(len(lo), np.int64)
+            if k == SELF:
+                trie_links(fp, lo, hi, lo, hi, zero, d, radius, forest)
+            elif k == BELOW:
+                trie_links(fp, lo, hi, lo, hi, zero, 0, radius, forest)
+            else:
+                step = np.concatenate(([0], np.cumsum((fp[1:] ^ fp[:-1]) >> np.uint64(64 - d) != 0)))
+                mid = np.searchsorted(step, step[lo], side="right")
+                two = mid < hi
+                trie_links(fp, lo[two], mid[two], mid[two], hi[two], zero[two] + 1, d, radius, forest)
         p = forest.parent
         while not np.array_equal(q := p[p], p):
             p = q
@@ -167,30 +170,69 @@ def _task(depth: int, radius: int):
     return run
 
 
+#: What a group of fingerprints is: a node with itself; two nodes that differ in one bit (tag); all that are equal below a depth.
+SELF, PAIR, BELOW = 0, 1, 2
+#: Bits by which a group that is too large is taken apart at a time.
+DEEPER = 6
+
+
+def _group(kind: int, depth: int, tag, key: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.lit(depth).alias("depth"), F.lit(tag).cast("int").alias("tag"), key.cast("long").alias("key"))
+
+
+def _dealt(rows: DataFrame, depth: int, since: int, radius: int) -> DataFrame:
+    """The groups of fingerprints of a node, told apart by the bits from ``since`` to ``depth``."""
+    top = F.shiftrightunsigned("fp", 64 - depth)
+    cleared = lambda b: top.bitwiseAND(F.lit(((1 << depth) - 1) & ~(1 << b)))
+    groups = [_group(SELF, depth, -1, top)]
+    if radius >= 1:
+        groups += [_group(PAIR, depth, depth - 1 - b, cleared(b)) for b in range(depth - since)]
+    if radius >= 2:
+        groups.append(_group(BELOW, depth, -1, F.col("fp").bitwiseAND(F.lit((1 << (64 - depth)) - 1))))
+    return rows.select(F.explode(F.array(*groups)).alias("g"), "fp").select("g.*", "fp")
+
+
+def _dealt_pairs(rows: DataFrame, depth: int, radius: int) -> DataFrame:
+    """The same for two nodes that differ in the bit ``tag``: one error is left, or with none the rest below is equal."""
+    bit = F.expr(f"shiftleft(1L, {depth - 1} - tag)")
+    groups = [F.struct(F.lit(PAIR).alias("kind"), F.lit(depth).alias("depth"), F.col("tag").alias("tag"), F.shiftrightunsigned("fp", 64 - depth).bitwiseAND(F.bitwise_not(bit)).alias("key"))]
+    if radius >= 2:
+        groups.append(_group(BELOW, depth, -1, F.col("fp").bitwiseAND(F.lit((1 << (64 - depth)) - 1))))
+    return rows.select(F.explode(F.array(*groups)).alias("g"), "fp").select("g.*", "fp")
+
+
 def hamming_links(fps: DataFrame, radius: int = RADIUS, node_rows: int = NODE_ROWS) -> DataFrame:
     """Distinct fingerprints (fp) to edges (u, v) that connect whatever lies within ``radius`` (0 to 2) bits.
 
     The trie's top is laid over the cluster: nodes at a depth that follows
     their count, so that a node holds ``node_rows`` fingerprints on average
-    whatever the input. Pairs of top nodes with the error budget left go to a
-    task by themselves: a node with itself, and each two nodes that differ in
-    one bit. Two nodes that differ in ``radius`` bits have no budget left below,
-    so their fingerprints can only meet in groups that are equal below the top.
-    A fingerprint is dealt depth + 2 times, not once per pair of nodes. A task
-    gives a spanning forest of its links, never all pairs of a dense group.
+    whatever the input. Pairs of top nodes with error budget left go to a task
+    by themselves: a node with itself, and each two nodes that differ in one
+    bit. Two nodes that differ in ``radius`` bits have no budget left below, so
+    their fingerprints can only meet in groups that are equal below the top. A
+    fingerprint is dealt depth + 2 times, not once per pair of nodes. Groups
+    that many near copies make larger than four nodes are taken apart in the
+    same way by their next bits, again and again. A task gives a spanning
+    forest of its links, never all pairs of a dense group.
     """
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2")
     n = fps.count()
     depth = max(1, min(24, math.ceil(math.log2(max(2, n / node_rows)))))
-    top = F.shiftrightunsigned("fp", 64 - depth)
-    dealt = [F.struct(F.lit(0).alias("kind"), top.alias("key"))]
-    if radius >= 1:
-        dealt += [F.struct(F.lit(1).alias("kind"), (top.bitwiseAND(F.lit(((1 << depth) - 1) & ~(1 << b))) + F.lit((b + 1) << depth)).alias("key")) for b in range(depth)]
-    if radius >= 2:
-        dealt.append(F.struct(F.lit(2).alias("kind"), F.col("fp").bitwiseAND(F.lit((1 << (64 - depth)) - 1)).alias("key")))
-    rows = fps.select("fp", F.explode(F.array(*dealt)).alias("g")).select("g.kind", "g.key", "fp")
-    return rows.repartition("kind", "key").mapInArrow(_task(depth, radius), "u long, v long")
+    rows = _dealt(fps, depth, 0, radius)
+    group = ["kind", "depth", "tag", "key"]
+    while depth + DEEPER < 60:
+        large = rows.where((F.col("depth") == depth) & (F.col("kind") != BELOW)).groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > 4 * node_rows)
+        large = cut(large.select(*group))
+        if not large.take(1):
+            break
+        large = small(large)
+        apart = cut(rows.join(large, group, "left_semi"))
+        rows = rows.join(large, group, "left_anti")
+        was, depth = depth, depth + DEEPER
+        both = apart.where(F.col("kind") == PAIR)
+        rows = rows.union(_dealt(apart.where(F.col("kind") == SELF), depth, was, radius)).union(_dealt_pairs(both, depth, radius))
+    return rows.repartition(*group).mapInArrow(_task(radius), "u long, v long")
 
 
 def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
