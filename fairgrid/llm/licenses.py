@@ -52,31 +52,48 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def _places(hits: Column, phrase: str) -> Column:
-    """Starts of a phrase's consecutive words, from an array of the document's licence words with places."""
-    parts = phrase.split()
-    at = lambda k: F.transform(F.filter(hits, lambda h: h["w"] == parts[k]), lambda h: h["p"] - k)
-    out = at(0)
-    for k in range(1, len(parts)):
-        out = F.array_intersect(out, at(k))
-    return out
+#: A hit is a word's place times this, plus the word's number in the vocabulary.
+WORDS = 256
 
 
 def _vocabulary(templates) -> list[str]:
-    return sorted({w for _, notice, phrase in templates for w in (notice + " " + phrase).split()} | {w for p in BASE for w in p.split()})
+    known = sorted({w for _, notice, phrase in templates for w in (notice + " " + phrase).split()} | {w for p in BASE for w in p.split()})
+    if len(known) > WORDS:
+        raise ValueError(f"more than {WORDS} licence words")
+    return known
+
+
+def _word(hit: Column) -> Column:
+    return hit.bitwiseAND(F.lit(WORDS - 1)).cast("int")
+
+
+def _place(hit: Column) -> Column:
+    return F.shiftright(hit, WORDS.bit_length() - 1)
+
+
+def _places(hits: Column, phrase: str, known: list[str]) -> Column:
+    """Starts of a phrase's consecutive words, from an array of the document's hits."""
+    at = lambda k, i: F.transform(F.filter(hits, lambda h: _word(h) == i), lambda h: _place(h) - k)
+    out = None
+    for k, w in enumerate(phrase.split()):
+        found = at(k, known.index(w))
+        out = found if out is None else F.array_intersect(out, found)
+    return out
 
 
 def found_words(docs: DataFrame, templates=None) -> DataFrame:
-    """(doc_id, n_words, hits): of each document the number of words and array<struct<p, w>> of its licence words."""
+    """(doc_id, n_words, hits): of each document the number of words, and its licence words with their places as one number each."""
     known = _vocabulary(TEMPLATES if templates is None else templates)
-    at = F.transform(F.col("words"), lambda w, p: F.when(w.isin(known), F.struct(p.alias("p"), w.alias("w"))))
+    listed = F.array(*map(F.lit, known))
+    at = F.transform(F.col("words"), lambda w, p: F.when(w.isin(known), p.cast("long") * WORDS + F.array_position(listed, w) - 1))
     split = docs.select("doc_id", words(F.col("text")).alias("words"))
     return split.select("doc_id", F.size("words").cast("long").alias("n_words"), F.array_compact(at).alias("hits"))
 
 
 def _table(spark: SparkSession, templates) -> DataFrame:
-    rows = [(t, label, q, w) for t, (label, notice, _) in enumerate(templates) for q, w in enumerate(notice.split())]
-    return spark.createDataFrame(rows, "template int, label string, q int, w string")
+    known = _vocabulary(templates)
+    rows = [(t, label, q, known.index(w)) for t, (label, notice, _) in enumerate(templates) for q, w in enumerate(notice.split())]
+    return spark.createDataFrame(rows, "template int, label string, q int, w int")
 
 
 def aligned(each: DataFrame, hits: DataFrame, templates, agree: float, cover: float, rare_words: int) -> DataFrame:
@@ -102,10 +119,10 @@ def aligned(each: DataFrame, hits: DataFrame, templates, agree: float, cover: fl
     there = there.withColumn("cover", F.least(F.lit(1.0), F.col("met") / F.col("whole"))).where(F.col("cover") >= cover)
     # the mandatory phrase, within the template's stretch
     checked = there.join(hits, "row")
-    ok = F.lit(False)
+    ok, known = F.lit(False), _vocabulary(templates)
     for t, (_, notice, phrase) in enumerate(templates):
-        stretch = F.sequence(F.col("start"), F.col("start") + len(notice.split()) - 1)
-        inside = F.size(F.array_intersect(_places(F.col("hits"), phrase), stretch)) > 0
+        stretch = F.sequence(F.col("start"), F.col("start") + F.lit(len(notice.split()) - 1).cast("long"))
+        inside = F.size(F.array_intersect(_places(F.col("hits"), phrase, known), stretch)) > 0
         ok = F.when(F.col("template") == t, inside).otherwise(ok)
     return checked.where(ok).select("row", "label", "start", "cover")
 
@@ -121,10 +138,11 @@ def scan_documents(docs: DataFrame, templates=None, agree: float = AGREE, cover:
     templates = TEMPLATES if templates is None else templates
     rows = cut(found_words(docs, templates)).withColumn("row", F.monotonically_increasing_id())  # stable: of a checkpoint's partitions
     hits = rows.where(F.size("hits") > 1).select("row", "hits")
-    each = hits.select("row", F.inline("hits"))
+    each = hits.select("row", F.explode("hits").alias("h")).select("row", _place(F.col("h")).alias("p"), _word(F.col("h")).alias("w"))
     method = aligned(each, hits, templates, agree, cover, rare_words)
     method = method.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("cover").alias("cover"))
-    base = {label: _places(F.col("hits"), phrase) for phrase, label in BASE.items()}
+    known = _vocabulary(templates)
+    base = {label: _places(F.col("hits"), phrase, known) for phrase, label in BASE.items()}
     places = rows
     for i, p in enumerate(base.values()):
         places = places.withColumn(f"base{i}", p)
