@@ -31,7 +31,8 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     seqs = token_shards.sequences(table(spark, sf_dir, "documents"), token_shards.load_ranks())
     token_shards.write_shards(seqs, path)
     stored = token_shards.read_shards(spark, path).select("slot", "shard", "offset", token_shards.used(F.col("tokens")).alias("record_sha256"))
-    return seqs.drop("tokens").join(stored, "slot")
+    told = seqs.select("slot", F.size("doc_ids").alias("n_docs"), F.col("doc_ids")[0].alias("first_doc_id"), "n_tokens")
+    return told.join(stored, "slot")
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

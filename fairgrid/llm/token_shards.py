@@ -50,64 +50,84 @@ def load_ranks(path: str = RANKS) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+_PACKED = T.StructType([T.StructField("size", T.LongType()), T.StructField("packed", T.BinaryType())])
+
+
 def tokens_udf(df: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN):
-    """text -> ids as 16-bit little-endian, an end id after the last one; the end id is the next free one."""
+    """text -> ids as 16-bit little-endian, an end id after the last one (the next free id), compressed; with their bytes as they are."""
     if len(ranks) + 1 > 1 << 16:
         raise ValueError("ids must fit in 16 bits")
     shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
 
-    @F.pandas_udf(T.BinaryType())
-    def tokens(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(_PACKED)
+    def tokens(text: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
         mine, pat = shared.value
         coder = tiktoken.Encoding("own", pat_str=pat, mergeable_ranks=mine, special_tokens={})
         end = [len(mine)]
         for some in text:
-            yield pd.Series([np.array(coder.encode_ordinary(t) + end, "<u2").tobytes() for t in some])
+            ids = [np.array(coder.encode_ordinary(t) + end, "<u2").tobytes() for t in some]
+            yield pd.DataFrame({"size": [len(i) for i in ids], "packed": [pa.compress(i, "zstd", asbytes=True) for i in ids]})
 
     return tokens
 
 
 def _slots(length: int, n: int, key: int, first: dict[int, int]):
-    """Rows (doc_id, tokens) of one partition to sequences with their slots; first: the number of each partition's first sequence."""
+    """Rows (doc_id, size, packed) of one partition, end to end, to sequences with their slots; first: the number of each partition's first sequence."""
+    stride = 2 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         at = first.get(TaskContext.get().partitionId(), 0)
+        rest, ids, starts = b"", [], np.zeros(0, np.int64)  # what no sequence has yet, and the documents it is of
+
+        def made(data: bytes, ids: list, starts: np.ndarray, k: int) -> pa.RecordBatch:
+            edges = np.arange(k) * stride
+            lo, hi = np.searchsorted(starts, edges, "right") - 1, np.searchsorted(starts, edges + stride, "left")
+            pieces = [data[e : e + stride] for e in edges.tolist()]
+            docs = [ids[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            slots = feistel(np.arange(at, at + k), n, key) if k else np.zeros(0, np.int64)
+            cols = [pa.array(slots), pa.array(docs, pa.list_(pa.int64())), pa.array([len(p) // 2 for p in pieces], pa.int32()), pa.array(pieces, pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["slot", "doc_ids", "n_tokens", "tokens"])
+
         for b in batches:
-            rows = []
-            for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                stride = 2 * length
-                for part in range(0, max(1, -(-len(data) // stride))):
-                    piece = data[part * stride : (part + 1) * stride]
-                    rows.append((doc, part, len(piece) // 2, piece))
-            slots = feistel(np.arange(at, at + len(rows)), n, key) if rows else np.zeros(0, np.int64)
-            at += len(rows)
-            doc, part, count, piece = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.array(count, pa.int32()), pa.array(piece, pa.binary())], ["slot", "doc_id", "part", "n_tokens", "tokens"])
+            sizes = b.column(1).to_numpy()
+            texts = [pa.decompress(t, m, "zstd", asbytes=True) for t, m in zip(b.column(2).to_pylist(), sizes.tolist(), strict=True)]
+            ids = ids + b.column(0).to_pylist()
+            starts = np.concatenate((starts, len(rest) + np.cumsum(sizes) - sizes))
+            data = b"".join([rest, *texts])
+            k = len(data) // stride
+            yield made(data, ids, starts, k)
+            at += k
+            rest = data[k * stride :]
+            open_ = max(0, np.searchsorted(starts, k * stride, "right") - 1) if rest else len(ids)
+            ids, starts = ids[open_:], np.maximum(0, starts[open_:] - k * stride)
+        if rest:
+            yield made(rest, ids, starts, 1)
 
     return run
 
 
 def sequences(docs: DataFrame, ranks: dict[bytes, int], length: int = SEQUENCE, key: int = KEY) -> DataFrame:
-    """(slot, doc_id, part, n_tokens, tokens): every document's ids in stretches of ``length``, at their places in the training order.
-
-    Slots run from 0 without a gap. Sequences are numbered in the order of the
-    table's files and permuted by ``key``; the same files, settings and key give
-    the same order. A null text counts as empty: a single end id. Repeated rows
-    each have sequences. Two numbers a partition come to the driver.
+    """(slot, doc_ids, n_tokens, tokens): the documents' ids, each with an end id, in stretches of ``length`` at their places in the training order.
+
+    Slots run from 0 without a gap. Documents follow one another in the order
+    of the table's files, and only a partition's last sequence may be short;
+    sequences are numbered in that order and permuted by ``key``. The same
+    files, settings and key give the same order. A null text counts as empty: a
+    single end id. Repeated rows each have their ids. Two numbers a partition
+    come to the driver.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens_udf(docs, ranks)(F.coalesce("text", F.lit(""))).alias("tokens"))
-    rows = cut(rows)  # keeps rows in their partitions, so that they can be numbered
-    many = F.ceil(F.octet_length("tokens") / (2 * length))
-    counts = dict(rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(many)).collect())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens_udf(docs, ranks)(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = cut(rows.select("doc_id", "t.size", "t.packed"))  # keeps rows in their partitions, so that they can be numbered
+    size = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("size"))
     first, n = {}, 0
-    for p in sorted(counts):
+    for p, bytes_ in sorted(size.collect()):
         first[p] = n
-        n += counts[p]
-    return rows.mapInArrow(_slots(length, n, key, first), "slot long, doc_id long, part int, n_tokens int, tokens binary")
+        n += -(-bytes_ // (2 * length))
+    return rows.mapInArrow(_slots(length, n, key, first), "slot long, doc_ids array<long>, n_tokens int, tokens binary")
 
 
 def write_shards(seqs: DataFrame, path: str, length: int = SEQUENCE, shard_sequences: int = SHARD_SEQUENCES) -> None:
@@ -119,10 +139,21 @@ def write_shards(seqs: DataFrame, path: str, length: int = SEQUENCE, shard_seque
     system that Spark can write to. A reader finds slot s in shard s //
     shard_sequences at byte (s % shard_sequences) * stride, and resumes there.
     """
+    stride = 2 * length
+
+    @F.pandas_udf(T.BinaryType())
+    def packed(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda t: pa.compress(t.ljust(stride, b"\0"), "zstd", asbytes=True))
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            records = [pa.decompress(t, stride, "zstd", asbytes=True) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(records, pa.binary())], ["shard", "record"])
+
+    out = seqs.select(F.expr(f"cast(slot div {shard_sequences} as int)").alias("shard"), "slot", packed("tokens").alias("packed"))
+    out = out.repartitionByRange("shard").sortWithinPartitions("shard", "slot").select("shard", "packed").mapInArrow(unpacked, "shard int, record binary")
     # ids are bytes in a string column: the text writer puts them out as they are
-    record = F.concat(F.col("tokens"), F.repeat(F.lit("\0"), 2 * length - F.octet_length("tokens")).cast("binary")).cast("string")
-    out = seqs.select(F.expr(f"cast(slot div {shard_sequences} as int)").alias("shard"), "slot", record.alias("value"))
-    out = out.repartitionByRange("shard").sortWithinPartitions("shard", "slot").select("shard", "value")
+    out = out.select("shard", F.col("record").cast("string").alias("value"))
     out.write.partitionBy("shard").option("lineSep", CLOSE.decode()).text(path)
 
 
