@@ -18,7 +18,18 @@ BROADCAST_ROWS = 1_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Rows, and bytes, of a batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps what is in a Python worker and its JVM at a time small; texts may be long, and executors have many workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

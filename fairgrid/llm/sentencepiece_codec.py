@@ -21,9 +21,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +39,11 @@ UNKNOWN_PENALTY = 10.0
 #: Characters whose distinct words are sorted and encoded together.
 BLOCK_CHARS = 4 << 20
 #: Words that a task remembers from one block to the next, and their largest length.
-CACHED_WORDS, CACHED_LENGTH = 300_000, 40
+CACHED_WORDS, CACHED_LENGTH = 120_000, 40
+#: Pairs of pieces of which a task remembers whether they may stand together.
+CACHED_PAIRS = 300_000
+#: Texts that are encoded at a time where their ids are returned.
+ROWS = 256
 
 #: Spaces and what follows them up to the next space; no piece goes past its end.
 _MARKED = re.compile(r" *[^ ]+| +$")
@@ -51,7 +58,7 @@ class Vocabulary:
     byte_ids: list[int]
     unknown: float
     merges: bool = True
-    pairs: dict[tuple[int, int], bool] = field(default_factory=dict)
+    pairs: dict[int, bool] = field(default_factory=dict)
     child: list[dict[str, int]] = field(default_factory=list)
     piece: list[int] = field(default_factory=list)
     score: list[float] = field(default_factory=list)
@@ -86,12 +93,12 @@ class Vocabulary:
         return parts
 
     def open(self, a: int, b: int) -> bool:
-        """Whether piece b may follow piece a. Remembered for up to a million pairs."""
-        if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 1_000_000:
+        """Whether piece b may follow piece a."""
+        if (known := self.pairs.get(a << 32 | b)) is None:
+            if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
             x, y = self.text[a], self.text[b]
-            known = self.pairs[a, b] = self.merged(x + y) == [x, y]
+            known = self.pairs[a << 32 | b] = self.merged(x + y) == [x, y]
         return known
 
 
@@ -240,6 +247,28 @@ def encode_udf(df: DataFrame, v: Vocabulary):
     return encode
 
 
+def encode_documents(docs: DataFrame, v: Vocabulary, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of each document, n_tokens and ids, of its column ``text``; null and empty texts have no ids.
+
+    Some hundred texts at a time are ids in a task's memory.
+    """
+    encoder = _encoder(docs, v)
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                ids = encoder()(part.column(len(keep)).to_pylist())
+                sizes = np.array([len(i) for i in ids], np.int32)
+                ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+                columns = [*part.columns[: len(keep)], pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids"])
+
+    return docs.select(*[docs[c] for c in keep], docs["text"].alias("encoded text")).mapInArrow(run, schema)
+
+
 def decode_udf(df: DataFrame, v: Vocabulary):
     """array of ids -> text; a null array is an empty text."""
     shared = share(df, v.pieces)

@@ -61,6 +61,8 @@ def test_round_trip_and_blocks(spark, vocabulary, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
     out = docs.withColumn("ids", S.encode_udf(docs, vocabulary)("text")).withColumn("back", S.decode_udf(docs, vocabulary)("ids"))
     assert out.where(F.coalesce("text", F.lit("")) != F.col("back")).count() == 0
+    whole_rows = S.encode_documents(docs, vocabulary, ["doc_id"])
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids) for r in whole_rows.collect()) == sorted((str(r.doc_id), len(r.ids), r.ids) for r in out.collect())
     d = docs.select("doc_id", S.digest_udf(docs, vocabulary)("text").alias("d")).select("doc_id", "d.*").collect()
     assert len(d) == len(rows) and all(r.round_trip for r in d)
     assert {r.n_tokens for r in d if r.doc_id is None} == {0}
