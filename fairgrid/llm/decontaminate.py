@@ -7,9 +7,10 @@ digits, without case; texts under five words are one shingle of them all.
 
 1. Windows. Overlap of the threshold means sharing one of an item's rarest
    shingles, as many as make up more than (1 - threshold) of its weight; so
-   documents are joined on these alone, and windows are laid where a shared
-   shingle stands at the place it has in the item. A window that shares
-   nothing has similarity zero; none is left out by chance.
+   documents are joined on these alone. Of the pairs that meet, windows are
+   laid where a shared shingle stands at the place it has in the item, and at
+   every shared shingle from which on as many are shared as the threshold asks
+   for, so that parts in another order are found too.
 2. Fingerprints. Windows and items get a 64-bit SimHash of their shingles.
 3. Blocks. The 64 bits are cut into radius + 1 blocks; two fingerprints within
    the radius agree in one block at least, so an equi-join on (item, block,
@@ -117,10 +118,22 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     hit = docs.join(some, on(docs, some), "left_semi").groupBy(*ids).agg(F.first("text").alias("text"))
     held = cut(places(hit))  # of the documents that share a rare shingle
 
+    found = held.join(small(shingles), ["n", "h"]).select(*ids, "item", "n", "length", "p", "q")
+    found = cut(found.join(pairs.withColumnsRenamed({"doc_id": "d", "text_hash": "t", "item": "i"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("item") == F.col("i")), "left_semi"))
+    group = [*ids, "item", "n", "length"]
     # windows: a shared shingle at its place in the item, for the item's whole length
-    at = held.join(small(shingles), ["n", "h"]).select(*ids, "item", "n", "length", F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start"))
-    at = at.join(pairs.withColumnsRenamed({"doc_id": "d", "text_hash": "t", "item": "i"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("item") == F.col("i")), "left_semi")
-    at = cut(at.groupBy(*ids, "item", "n", "length", "start").agg(F.count("*").alias("shared")))
+    placed = found.select(*group, F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start"))
+    # and whatever the order of parts: a window loses nothing if it moves on to its first shared shingle, or the text's last window
+    ends = held.groupBy(*ids, "n").agg((F.max("p") + 1).alias("held")).withColumnsRenamed({"doc_id": "d", "text_hash": "t", "n": "m"})
+    listed = found.groupBy(*group).agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    listed = listed.join(ends, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("n") == F.col("m")))
+    listed = listed.withColumn("all", F.col("length") - F.col("n") + 1).withColumn("last", F.greatest(F.col("held") - F.col("all"), F.lit(0)))
+    weight = F.least("held", "all") + F.col("all")
+    listed = listed.withColumn("need", F.greatest(F.ceil(weight * (threshold / (1 + threshold)) - 1e-9).cast("int"), F.lit(1)))
+    enough = F.filter("ps", lambda p, i: (p <= F.col("last")) & (F.get(F.col("ps"), i + F.col("need") - 1) < p + F.col("all")))
+    at_end = F.when(F.get(F.col("ps"), F.size("ps") - F.col("need")) >= F.col("last"), F.array("last")).otherwise(F.array().cast("array<int>"))
+    moved = listed.select(*group, F.explode(F.concat(enough, at_end)).alias("start"))
+    at = cut(placed.union(moved).distinct())
     whole = shingles.groupBy("item").agg(F.sum("c").alias("whole"), F.count("*").alias("kinds"))
 
     # the windows' own shingles: places in [start, start + length - n]

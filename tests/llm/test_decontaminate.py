@@ -74,3 +74,20 @@ def test_edge_cases(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
     assert D.report(docs.where("false"), items).count() == 0
     assert D.decontaminate(docs, items.where("false")).count() == 7
+
+
+def test_parts_in_another_order(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 6)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([60, 75, 90, 120])]
+    docs = []
+    for d in range(40):
+        w, x = [word() for _ in range(rng.randint(0, 150))], items[d % 4][1].split()
+        cuts = sorted(rng.sample(range(1, len(x)), 1 + d % 3))
+        parts = [x[a:b] for a, b in zip([0, *cuts], [*cuts, len(x)], strict=True)]
+        parts = parts[1:] + parts[:1]
+        at = 0 if d % 5 == 0 else len(w) if d % 5 == 1 else rng.randint(0, len(w))
+        docs.append((d, " ".join(w[:at] + sum(parts, []) + w[at:])))
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    assert {(r.doc_id, r.item) for r in D.contaminated(a, b).collect()} == want and len(want) > 15
