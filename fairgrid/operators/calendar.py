@@ -104,11 +104,12 @@ def pins(days: DataFrame) -> DataFrame:
     return got.select("day", "pin", "n", "first.*")
 
 
-def pin_events(days: DataFrame, most: int = 100) -> DataFrame:
-    """(day, pin, place, event_id): the events of each pin in start order, the first ``most`` of each; pins() has the full count."""
+def pin_events(days: DataFrame, most: int | None = None) -> DataFrame:
+    """(day, pin, place, event_id): all events of each pin in start order, or the first ``most`` of each."""
     key = F.format_string("%.5f,%.5f", "latitude", "longitude")
     place = F.row_number().over(Window.partitionBy("day", "pin").orderBy("start_at", "event_id"))
-    return days.where(has_location()).withColumn("pin", key).withColumn("place", place).where(F.col("place") <= most).select("day", "pin", "place", "event_id")
+    out = days.where(has_location()).withColumn("pin", key).withColumn("place", place).select("day", "pin", "place", "event_id")
+    return out if most is None else out.where(F.col("place") <= most)
 
 
 def venues(days: DataFrame) -> DataFrame:

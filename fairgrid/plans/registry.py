@@ -449,6 +449,12 @@ def a7_f8_pins(spark, sf):
 
 @query(listings.SQL + "SELECT CAST(day AS VARCHAR) AS day, pin, place, event_id FROM (SELECT *, printf('%.5f,%.5f', latitude, longitude) AS pin, row_number() OVER (PARTITION BY day, printf('%.5f,%.5f', latitude, longitude) ORDER BY start_at, event_id) AS place FROM days WHERE latitude IS NOT NULL AND longitude IS NOT NULL) WHERE place <= 100")
 def a7_pin_events(spark, sf):
+    d = calendar.event_days(listings.events(spark, sf))
+    return calendar.pin_events(d, 100).withColumn("day", day("day"))
+
+
+@query(listings.SQL + "SELECT CAST(day AS VARCHAR) AS day, pin, place, event_id FROM (SELECT *, printf('%.5f,%.5f', latitude, longitude) AS pin, row_number() OVER (PARTITION BY day, printf('%.5f,%.5f', latitude, longitude) ORDER BY start_at, event_id) AS place FROM days WHERE latitude IS NOT NULL AND longitude IS NOT NULL)")
+def a7_all_pin_events(spark, sf):
     d = calendar.event_days(listings.events(spark, sf))
     return calendar.pin_events(d).withColumn("day", day("day"))
 

@@ -73,6 +73,11 @@ def test_filters_and_sources(spark):
     assert out["e0"] == ["Weekly", "Tourism", "Y", "Z"] and out["e1"] == []
 
 
+def test_a_pin_has_all_its_events(spark):
+    d = calendar.event_days(table(spark, [event(i, at(0, "20:00"), latitude=43.0, longitude=-89.0) for i in range(120)]))
+    assert sorted(r.place for r in calendar.pin_events(d).collect()) == list(range(1, 121))
+
+
 def test_pins_and_serving(spark, tmp_path):
     e = table(spark, [event(i, at(0, f"{20 - i}:00"), latitude=43.0000001 * (i < 3) or None, longitude=-89.0 if i < 4 else None) for i in range(5)])
     d = calendar.event_days(e)
