@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pickle
 import tempfile
-from collections.abc import Callable
 from typing import Any
 
 from pyspark import cloudpickle
@@ -33,16 +32,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session may be without it; it gets a temporary one."""
+    if (named := spark.conf.get("spark.checkpoint.dir", None)) is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    return named.rstrip("/")
 
-    The folder is the one that spark.checkpoint.dir names; only a session
-    without it (tests) gets a temporary one. A lost executor loses nothing.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and keep it in the shared folder; a lost executor loses nothing."""
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -51,17 +54,23 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def share(df: DataFrame, value: Any) -> Callable[[], Any]:
-    """A broadcast of a value of bounded size, its class included: tasks call what this returns, and load it once each."""
-    sent = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
-    held: list = []
+class Shared:
+    """A broadcast of a value of bounded size, its class included: tasks call it for the value, and load it once each."""
+
+    def __init__(self, df: DataFrame, value: Any):
+        self.sent, self.held = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def __call__(self) -> Any:
+        if not self.held:
+            self.held.append(pickle.loads(self.sent.value))
+        return self.held[0]
+
+    def destroy(self) -> None:
+        """To be called once everything that uses it is written or cut."""
+        self.sent.destroy()
 
-    def get() -> Any:
-        if not held:
-            held.append(pickle.loads(sent.value))
-        return held[0]
 
-    return get
+share = Shared
 
 
 def fold(doc_id: Column, n: int) -> Column:

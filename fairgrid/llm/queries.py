@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import balltree, ctw, decontaminate, licenses, quality, secrets, sentencepiece_codec, simhash_dedup, token_shards, toxicity
-from .common import fold, labelled, table
+from .common import fold, labelled, shared_folder, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +25,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the shards to the shared folder and returns what a reader finds there, joined with what should be there."""
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
-    path = f"{shared}/token-shards-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/token-shards-{uuid.uuid4().hex}"
     seqs = token_shards.sequences(table(spark, sf_dir, "documents"), token_shards.load_ranks())
     token_shards.write_shards(seqs, path)
     stored = token_shards.read_shards(spark, path).select("slot", "shard", "offset", token_shards.used(F.col("tokens")).alias("record_sha256"))

@@ -53,31 +53,44 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class _Forest:
-    """Union-find over positions, by whole arrays."""
+    """Union-find over nodes, by whole arrays."""
 
     def __init__(self, n: int):
         self.parent = np.arange(n)
 
+    def roots(self) -> np.ndarray:
+        while not np.array_equal(q := self.parent[self.parent], self.parent):
+            self.parent = q
+        return self.parent
+
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
-            p = self.parent
-            while not np.array_equal(q := p[p], p):
-                p = q
-            self.parent = p
+            p = self.roots()
             a, b = p[a], p[b]
             open_ = a != b
             a, b = a[open_], b[open_]
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def _leaves(fp: np.ndarray, radius: int, forest: _Forest, a0, a1, b0, b1) -> None:
+class _Near(_Forest):
+    """Links places whose fingerprints are within the radius."""
+
+    def __init__(self, fp: np.ndarray, radius: int):
+        super().__init__(len(fp))
+        self.fp, self.radius = fp, radius
+
+    def meet(self, i: np.ndarray, j: np.ndarray) -> None:
+        near = np.bitwise_count(self.fp[i] ^ self.fp[j]) <= self.radius
+        self.link(i[near], j[near])
+
+
+def _leaves(forest: _Forest, a0, a1, b0, b1) -> None:
     width = b1 - b0
     size = (a1 - a0) * width
     which = np.repeat(np.arange(len(size)), size)
     k = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
     i, j = a0[which] + k // width[which], b0[which] + k % width[which]
-    near = np.bitwise_count(fp[i] ^ fp[j]) <= radius
-    forest.link(i[near], j[near])
+    forest.meet(i, j)
 
 
 def trie_links(fp: np.ndarray, a0, a1, b0, b1, wrong, level: int, radius: int, forest: _Forest) -> None:
@@ -85,8 +98,9 @@ def trie_links(fp: np.ndarray, a0, a1, b0, b1, wrong, level: int, radius: int, f
 
     A node is a range [x0, x1) of fp that shares its first ``level`` bits, in
     ascending order; a pair of a node with itself has equal ranges. ``wrong`` is
-    the differing bits so far: a child pair over the radius is pruned. Open
-    pairs are kept depth first, in pieces of FRONTIER at most.
+    the differing bits so far: a child pair over the radius is pruned. Places
+    that may be within it go to forest.meet(). Open pairs are kept depth first,
+    in pieces of FRONTIER at most.
     """
     todo = [(level, a0, a1, b0, b1, wrong)]
     while todo:
@@ -101,7 +115,7 @@ def trie_links(fp: np.ndarray, a0, a1, b0, b1, wrong, level: int, radius: int, f
         if level == 64:  # equal paths: what is left is within the radius
             few[:] = True
         if few.any():
-            _leaves(fp, radius, forest, a0[few], a1[few], b0[few], b1[few])
+            _leaves(forest, a0[few], a1[few], b0[few], b1[few])
         go = ~few
         a0, a1, b0, b1, wrong, same = (x[go] for x in (a0, a1, b0, b1, wrong, same))
         if not len(a0):
@@ -144,7 +158,7 @@ def _task(radius: int):
             new[1:] |= x[1:] != x[:-1]
         first = np.flatnonzero(new)
         last = np.concatenate((first[1:], [len(fp)]))
-        forest = _Forest(len(fp))
+        forest = _Near(fp, radius)
         for k, d in {*zip(kind[first].tolist(), depth[first].tolist(), strict=True)}:
             mine = (kind[first] == k) & (depth[first] == d) & (last - first > 1)
             lo, hi = first[mine], last[mine]
@@ -158,9 +172,7 @@ def _task(radius: int):
                 mid = np.searchsorted(step, step[lo], side="right")
                 two = mid < hi
                 trie_links(fp, lo[two], mid[two], mid[two], hi[two], zero[two] + 1, d, radius, forest)
-        p = forest.parent
-        while not np.array_equal(q := p[p], p):
-            p = q
+        p = forest.roots()
         linked = np.flatnonzero(p != np.arange(len(p)))
         signed = fp.view(np.int64)
         for at in range(0, len(linked), 1 << 16):
