@@ -70,9 +70,6 @@ class Shared:
         self.sent.destroy()
 
 
-share = Shared
-
-
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

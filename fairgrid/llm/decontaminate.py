@@ -13,9 +13,11 @@ digits, without case; texts under five words are one shingle of them all.
    for, so that parts in another order are found too.
 2. Fingerprints. Windows and items get a 64-bit SimHash of their shingles.
 3. Blocks. The 64 bits are cut into radius + 1 blocks; two fingerprints within
-   the radius agree in one block at least, so an equi-join on (item, block,
-   bits) finds every pair within it.
+   the radius agree in one block at least, and only windows that share one with
+   their item are looked at.
 4. Verification. The exact similarity of what the blocks let through.
+
+From the windows on all work is on arrays of one document and item, without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, small
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: At similarity 0.8 about 10 bits differ, with a deviation of 3: over 20 in fewer than one of a thousand windows.
-RADIUS = 20
+#: At similarity 0.8 some 10 bits differ, with a deviation of 3 (12 of 64 for items of five shingles): more than this
+#: in fewer than one of 100,000 windows. So wide a radius makes blocks of two or three bits, which part little.
+RADIUS = 26
 
 
 def words(text: Column) -> Column:
@@ -40,30 +43,55 @@ def _shingles(hashes: Column, n: int) -> Column:
     return F.when(F.size(hashes) >= n, F.transform(F.sequence(F.lit(0), F.size(hashes) - n), one)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _of_size(hashes: Column, n: Column) -> Column:
+    """The same for a column ``n``."""
+    out = _shingles(hashes, SHINGLE)
+    for k in range(1, SHINGLE):
+        out = F.when(n == k, _shingles(hashes, k)).otherwise(out)
+    return out
+
+
 def _hashed(df: DataFrame) -> DataFrame:
     return df.withColumn("hashes", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
 
 
-def item_shingles(items: DataFrame) -> DataFrame:
-    """(item, n, length, q, h): item texts that are equal in words share the smallest id; n words a shingle, q its first place, c its count."""
+def simhash(shingles: Column) -> Column:
+    """64-bit SimHash of an array of hashes, repeats included: a bit is set if over half of them have it."""
+    bit = lambda h, b: F.call_function("shiftrightunsigned", h, b).bitwiseAND(F.lit(1)) == 1
+    ones = lambda b: F.size(F.filter(shingles, lambda h: bit(h, b)))
+    one = F.lit(1).cast("long")
+    add = lambda fp, b: F.when(ones(b) * 2 > F.size(shingles), fp.bitwiseOR(F.call_function("shiftleft", one, b))).otherwise(fp)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), add)
+
+
+def blocks(fp: Column, radius: int) -> Column:
+    """The bits of each of radius + 1 blocks, with the block's number above them."""
+    edges = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
+    return F.array(*[F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) + F.lit(i).cast("long") * 2**32 for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+
+
+def counted(shingles: Column) -> Column:
+    """Hashes of an array's values and of how often each stood before, so that sets of these compare as multisets."""
+    in_order = F.array_sort(shingles)
+    again = F.transform(in_order, lambda h, i: F.xxhash64(h, i + 1 - F.array_position(in_order, h)))
+    once = F.transform(shingles, lambda h: F.xxhash64(h, F.lit(0).cast("long")))
+    return F.when(F.size(F.array_distinct(shingles)) == F.size(shingles), once).otherwise(again)
+
+
+def item_table(items: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(item, n, length, shingles, item_fp, item_blocks, wanted): n words a shingle; items equal in words share the smallest id."""
     heads = _hashed(items.select(F.col("item_id").alias("item"), "text")).where(F.size("hashes") > 0)
-    heads = heads.groupBy("hashes").agg(F.min("item").alias("item"))
-    heads = heads.select("item", F.size("hashes").alias("length"), "hashes").where("item is not null")
-    parts = []
-    for n in range(1, SHINGLE + 1):
-        some = heads.where(F.col("length") >= n if n == SHINGLE else F.col("length") == n)
-        parts.append(some.select("item", F.lit(n).alias("n"), "length", F.posexplode(_shingles(F.col("hashes"), n)).alias("q", "h")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.union(p)
-    return rows.groupBy("item", "n", "length", "h").agg(F.min("q").alias("q"), F.count("*").alias("c"))
-
-
-def _rare(shingles: DataFrame, threshold: float) -> DataFrame:
-    """Of each item its rarest shingles (by items), up to a weight of more than (1 - threshold) of all."""
-    spread = shingles.groupBy("h").agg(F.count("*").alias("df"))
+    heads = heads.groupBy("hashes").agg(F.min("item").alias("item")).where("item is not null")
+    heads = heads.withColumn("length", F.size("hashes")).withColumn("n", F.least("length", F.lit(SHINGLE)))
+    heads = heads.select("item", "n", "length", _of_size(F.col("hashes"), F.col("n")).alias("shingles"))
+    heads = heads.withColumn("item_fp", simhash(F.col("shingles")))
+    return heads.select("*", blocks(F.col("item_fp"), radius).alias("item_blocks"), counted(F.col("shingles")).alias("wanted"))
 
 
+def _rare(table: DataFrame, threshold: float) -> DataFrame:
+    """(item, n, h): of each item its rarest shingles (by items), up to a weight of more than (1 - threshold) of all."""
+    shingles = table.select("item", "n", F.explode("shingles").alias("h")).groupBy("item", "n", "h").agg(F.count("*").alias("c"))
+    spread = shingles.groupBy("h").agg(F.count("*").alias("df"))
     by = Window.partitionBy("item").orderBy("df", "h")
     before = F.coalesce(F.sum("c").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = F.sum("c").over(Window.partitionBy("item"))
@@ -71,21 +99,18 @@ def _rare(shingles: DataFrame, threshold: float) -> DataFrame:
     return ranked.where(F.col("before") <= F.col("whole") - F.ceil(F.col("whole") * threshold)).select("item", "n", "h")
 
 
-def simhash(h: Column, c: Column) -> list[Column]:
-    """Aggregates for a SimHash: by bit, the weight of the hashes that have it."""
-    return [F.sum(F.when(F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1)) == 1, c).otherwise(0)).alias(f"b{b}") for b in range(64)] + [F.sum(c).alias("weight")]
-
-
-def _fingerprint() -> Column:
-    out = F.lit(0).cast("long")
-    for b in range(64):
-        out = out.bitwiseXOR(F.when(F.col(f"b{b}") * 2 > F.col("weight"), F.lit((1 << b) - (1 << 64 if b == 63 else 0))).otherwise(F.lit(0)).cast("long"))
-    return out
-
-
-def _blocks(fp: Column, radius: int) -> Column:
-    edges = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+def _starts(threshold: float) -> Column:
+    """Where windows begin, of a row's document shingles ``hs`` and its item's ``shingles``, n and length."""
+    wanted, hs, all_ = F.col("shingles"), F.col("hs"), F.size("shingles")
+    place = F.col("shared")
+    # a shared shingle at its place in the item, for the item's whole length
+    placed = F.transform(place, lambda p: F.greatest(p + 1 - F.array_position(wanted, F.get(hs, p)).cast("int"), F.lit(0)))
+    # and whatever the order of parts: a window loses nothing if it moves on to its first shared shingle, or the text's last window
+    last = F.greatest(F.size(hs) - all_, F.lit(0))
+    need = F.greatest(F.ceil((F.least(F.size(hs), all_) + all_) * (threshold / (1 + threshold)) - 1e-9).cast("int"), F.lit(1))
+    enough = F.filter(place, lambda p, i: (p <= last) & (F.get(place, i + need - 1) < p + all_))
+    at_end = F.when(F.get(place, F.size(place) - need) >= last, F.array(last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.concat(placed, enough, at_end))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
@@ -98,65 +123,30 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """
     ids = ["doc_id", "text_hash"]
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    shingles = cut(item_shingles(items))
-    sizes = sorted(r.n for r in shingles.select("n").distinct().collect())
+    table = cut(item_table(items, radius))
+    sizes = sorted(r.n for r in table.select("n").distinct().collect())
     if not sizes:
         schema = "doc_id long, text_hash long, item long, start int, length int, similarity double"
         return docs.sparkSession.createDataFrame([], schema)
 
-    def places(df: DataFrame) -> DataFrame:
-        """(ids, n, p, h) of all shingles of whole texts."""
-        df = _hashed(df).select(*ids, "hashes")
-        placed = lambda n: lambda h, p: F.struct(F.lit(n).alias("n"), p.alias("p"), h.alias("h"))
-        parts = F.flatten(F.array(*[F.transform(_shingles(F.col("hashes"), n), placed(n)) for n in sizes]))
-        return df.select(*ids, F.explode(parts).alias("s")).select(*ids, "s.n", "s.p", "s.h")
-
-    rare = small(cut(_rare(shingles, threshold)))
-    pairs = cut(places(docs).join(rare, ["n", "h"]).select(*ids, "item").distinct())
+    tagged = lambda n: lambda h: F.struct(F.lit(n).alias("n"), h.alias("h"))
+    parts = F.flatten(F.array(*[F.transform(_shingles(F.col("hashes"), n), tagged(n)) for n in sizes]))
+    posts = _hashed(docs).select(*ids, "hashes").select(*ids, F.inline(parts))
+    pairs = cut(posts.join(small(cut(_rare(table, threshold))), ["n", "h"]).select(*ids, "item").distinct())
     some = small(cut(pairs.select(*ids).distinct()))
     on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
-    hit = docs.join(some, on(docs, some), "left_semi").groupBy(*ids).agg(F.first("text").alias("text"))
-    held = cut(places(hit))  # of the documents that share a rare shingle
-
-    found = held.join(small(shingles), ["n", "h"]).select(*ids, "item", "n", "length", "p", "q")
-    found = cut(found.join(pairs.withColumnsRenamed({"doc_id": "d", "text_hash": "t", "item": "i"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("item") == F.col("i")), "left_semi"))
-    group = [*ids, "item", "n", "length"]
-    # windows: a shared shingle at its place in the item, for the item's whole length
-    placed = found.select(*group, F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start"))
-    # and whatever the order of parts: a window loses nothing if it moves on to its first shared shingle, or the text's last window
-    ends = held.groupBy(*ids, "n").agg((F.max("p") + 1).alias("held")).withColumnsRenamed({"doc_id": "d", "text_hash": "t", "n": "m"})
-    listed = found.groupBy(*group).agg(F.array_sort(F.collect_set("p")).alias("ps"))
-    listed = listed.join(ends, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("n") == F.col("m")))
-    listed = listed.withColumn("all", F.col("length") - F.col("n") + 1).withColumn("last", F.greatest(F.col("held") - F.col("all"), F.lit(0)))
-    weight = F.least("held", "all") + F.col("all")
-    listed = listed.withColumn("need", F.greatest(F.ceil(weight * (threshold / (1 + threshold)) - 1e-9).cast("int"), F.lit(1)))
-    enough = F.filter("ps", lambda p, i: (p <= F.col("last")) & (F.get(F.col("ps"), i + F.col("need") - 1) < p + F.col("all")))
-    at_end = F.when(F.get(F.col("ps"), F.size("ps") - F.col("need")) >= F.col("last"), F.array("last")).otherwise(F.array().cast("array<int>"))
-    moved = listed.select(*group, F.explode(F.concat(enough, at_end)).alias("start"))
-    at = cut(placed.union(moved).distinct())
-    whole = shingles.groupBy("item").agg(F.sum("c").alias("whole"), F.count("*").alias("kinds"))
-
-    # the windows' own shingles: places in [start, start + length - n]
-    inside = F.explode(F.sequence("start", F.col("start") + F.col("length") - F.col("n"))).alias("p")
-    asked = at.select(*ids, "item", "n", "length", "start", inside)
-    here = held.withColumnsRenamed({"doc_id": "d", "text_hash": "t", "n": "m", "p": "r"})
-    grams = asked.join(here, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("n") == F.col("m")) & (F.col("p") == F.col("r")))
-    key = [*ids, "item", "length", "start"]
-    grams = cut(grams.groupBy(*key, "h").agg(F.count("*").alias("c")))
-
-    marks = grams.groupBy(*key).agg(*simhash(F.col("h"), F.col("c"))).select(*key, "weight", _fingerprint().alias("fp"))
-    wanted = shingles.groupBy("item").agg(*simhash(F.col("h"), F.col("c"))).select("item", _fingerprint().alias("item_fp"))
-    left = marks.select(*key, "weight", "fp", F.inline(_blocks(F.col("fp"), radius)))
-    right = wanted.select("item", "item_fp", F.inline(_blocks(F.col("item_fp"), radius)))
-    near = left.join(right, ["item", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.select(*key, "weight").distinct()
-
-    both = grams.join(shingles.select("item", "h", F.col("c").alias("want")), ["item", "h"]).groupBy(*key).agg(F.sum(F.least("c", "want")).alias("common"))
-    near = near.withColumnsRenamed({c: f"{c}_" for c in key})
-    same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_hash") == F.col("text_hash_")) & (F.col("item") == F.col("item_")) & (F.col("start") == F.col("start_"))
-    scored = both.join(near, same).join(whole, "item")
-    scored = scored.withColumn("similarity", F.col("common") / (F.col("weight") + F.col("whole") - F.col("common"))).where(F.col("similarity") >= threshold)
-    best = scored.groupBy(*ids, "item").agg(F.max(F.struct("similarity", -F.col("start"), "length")).alias("b"))
+    hit = _hashed(docs.join(some, on(docs, some), "left_semi")).select(*ids, "hashes")
+    asked = pairs.withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
+    rows = hit.join(small(asked), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).join(small(table), "item")
+    rows = rows.withColumn("hs", _of_size(F.col("hashes"), F.col("n")))
+    rows = rows.withColumn("shared", F.array_compact(F.transform("hs", lambda h, p: F.when(F.array_contains("shingles", h), p))))
+    rows = rows.select(*ids, "item", "length", "shingles", "item_fp", "item_blocks", "wanted", "hs", F.explode(_starts(threshold)).alias("start"))
+    rows = rows.withColumn("window", F.slice("hs", F.col("start") + 1, F.size("shingles"))).drop("hs")
+    fits = lambda fp: F.arrays_overlap(blocks(fp, radius), "item_blocks") & (F.bit_count(fp.bitwiseXOR(F.col("item_fp"))) <= radius)
+    near = rows.where(F.exists(F.array(simhash(F.col("window"))), fits))  # of an array of one, so that the fingerprint is computed once
+    both = F.size(F.array_intersect(counted(F.col("window")), "wanted"))
+    near = near.withColumn("common", both).withColumn("similarity", F.col("common") / (F.size("window") + F.size("shingles") - F.col("common")))
+    best = near.where(F.col("similarity") >= threshold).groupBy(*ids, "item").agg(F.max(F.struct("similarity", -F.col("start"), "length")).alias("b"))
     return best.select(*ids, "item", (-F.col("b.col2")).alias("start"), "b.length", "b.similarity")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, share
+from .common import LOWER, Shared
 
 #: Buckets of the hashed n-grams: what a model is made of, whatever the corpus.
 BITS = 18
@@ -121,15 +121,47 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[0, some]), pa.array(n[1, some])], ["bucket", "n0", "n1"])
 
 
+def _solve(ratio: Callable[[], np.ndarray], total: dict[int, int]):
+    """(doc_id, y, found) of the whole sample to the model's weights by bucket; in bucket -1 its bias, a and b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        if not batches:
+            return
+        taken = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), ("y", "ascending")])
+        y = taken["y"].to_numpy() * 2 - 1
+        found = [np.asarray(x.values) for x in taken["found"].combine_chunks()]
+        values = [ratio()[f] / np.sqrt(len(f)) for f in found]
+        kept = np.array([crc32(str(i).encode()) % 5 == 0 for i in taken["doc_id"].to_pylist()])
+        if len({*y[kept]}) < 2 or len({*y[~kept]}) < 2:
+            kept[:] = False
+        fit_on = np.flatnonzero(~kept)
+        share = np.array([(y[fit_on] < 0).mean(), (y[fit_on] > 0).mean()])
+        c = C * 0.5 / share[(y[fit_on] > 0).astype(int)]
+        w = dual_coordinate_descent([found[i] for i in fit_on], [values[i] for i in fit_on], y[fit_on], 1 << BITS, c)
+        even = np.abs(w[:-1]).sum() / max(1, np.count_nonzero(w[:-1]))
+        w[:-1] = (1 - BLEND) * even + BLEND * w[:-1]  # between the plain ratios and the fitted weights
+        model = Model((w[:-1] * ratio()).astype(np.float32), float(w[-1]), 1.0, 0.0)
+        on = np.flatnonzero(kept) if kept.any() else np.arange(len(y))
+        margins = np.array([model.margin(found[i]) for i in on])
+        weight = np.where(y[on] > 0, total[1] / max(1, (y[on] > 0).sum()), total[0] / max(1, (y[on] < 0).sum()))
+        a, b = _platt(margins, y[on], weight * len(on) / weight.sum())
+        some = np.flatnonzero(model.weight)
+        buckets = np.concatenate((some, [-1, -1, -1]))
+        yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.concatenate((model.weight[some].astype(float), [model.bias, a, b])))], ["bucket", "value"])
+
+    return run
+
+
 def fit(rows: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> Model:
     """A model of (doc_id, text, y) rows, y 0 or 1.
 
     The class counts come from every row, added up in Spark; 2^BITS of them at
-    most reach the driver. The linear model is fitted on ``sample_per_class``
-    rows of each class, those of the smallest xxhash64(doc_id), and its sigmoid
-    on a fifth of these kept out of the fit, weighted back to the classes'
-    shares. With a class missing, every score is the share of ones (0.5 for no
-    rows).
+    most reach the driver, and 2^BITS weights. The linear model is fitted in
+    one task on ``sample_per_class`` rows of each class, those of the smallest
+    xxhash64(doc_id), and its sigmoid on a fifth of these kept out of the fit,
+    weighted back to the classes' shares. With a class missing, every score is
+    the share of ones (0.5 for no rows).
     """
     rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "y")
     counts = rows.select("text", "y").mapInArrow(_class_counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
@@ -141,50 +173,35 @@ def fit(rows: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> Model:
     at = counts["bucket"].to_numpy()
     p[0, at] += counts["n0"].to_numpy()
     p[1, at] += counts["n1"].to_numpy()
-    ratio = np.log(p[1] / p[1].sum()) - np.log(p[0] / p[0].sum())
+    ratio = Shared(rows, np.log(p[1] / p[1].sum()) - np.log(p[0] / p[0].sum()))
+    del counts, p
 
     some = None
     for y in (0, 1):  # ids first, so that no text is sorted
         ids = rows.where(F.col("y") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class)
         some = ids if some is None else some.union(ids)
-    taken = rows.join(F.broadcast(some), "doc_id").select("doc_id", "y", _indicators("text").alias("found")).toArrow().sort_by([("doc_id", "ascending")])
-    y = taken["y"].to_numpy() * 2 - 1
-    found = [np.asarray(x.values) for x in taken["found"].combine_chunks()] if len(taken) else []
-    values = [ratio[f] / np.sqrt(len(f)) for f in found]
-    kept = np.array([crc32(str(i).encode()) % 5 == 0 for i in taken["doc_id"].to_pylist()])
-    if len({*y[kept]}) < 2 or len({*y[~kept]}) < 2:
-        kept[:] = False
-    fit_on = np.flatnonzero(~kept)
-    share = np.array([(y[fit_on] < 0).mean(), (y[fit_on] > 0).mean()])
-    c = C * 0.5 / share[(y[fit_on] > 0).astype(int)]
-    w = dual_coordinate_descent([found[i] for i in fit_on], [values[i] for i in fit_on], y[fit_on], 1 << BITS, c)
-    even = np.abs(w[:-1]).sum() / max(1, np.count_nonzero(w[:-1]))
-    w[:-1] = (1 - BLEND) * even + BLEND * w[:-1]  # between the plain ratios and the fitted weights
-    model = Model((w[:-1] * ratio).astype(np.float32), float(w[-1]), 1.0, 0.0)
-    on = np.flatnonzero(kept) if kept.any() else np.arange(len(y))
-    margins = np.array([model.margin(found[i]) for i in on])
-    weight = np.where(y[on] > 0, total[1] / max(1, (y[on] > 0).sum()), total[0] / max(1, (y[on] < 0).sum()))
-    model.a, model.b = _platt(margins, y[on], weight * len(on) / weight.sum())
-    return model
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _indicators(text):
-    import pandas as pd
-
-    return pd.Series([indicators(t) for t in text])
+    taken = rows.join(F.broadcast(some), "doc_id").select("doc_id", "y", _indicators("text").alias("found"))
+    got = taken.repartition(1).mapInArrow(_solve(ratio, total), "bucket long, value double").toArrow()
+    ratio.destroy()
+    bucket, value = got["bucket"].to_numpy(), got["value"].to_numpy()
+    weight = np.zeros(1 << BITS, np.float32)
+    weight[bucket[:-3]] = value[:-3]
+    return Model(weight, *map(float, value[-3:]))
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _indicators(text: pa.Array) -> pa.Array:
+    return pa.array([indicators(t) for t in text.to_pylist()], pa.list_(pa.int64()))
 
 
 def score_udf(docs: DataFrame, model: Model):
     """A column function text -> score from 0 to 1; a null text scores as an empty one."""
-    shared = share(docs, model)
-
-    @F.pandas_udf(T.DoubleType())
-    def score(text):
-        import pandas as pd
+    shared = Shared(docs, model)
 
+    @F.arrow_udf(T.DoubleType())
+    def score(text: pa.Array) -> pa.Array:
         m = shared()
-        return pd.Series([m.score(indicators(t)) for t in text], dtype="float64")
+        return pa.array([m.score(indicators(t)) for t in text.to_pylist()], pa.float64())
 
     return lambda text: score(F.coalesce(text, F.lit("")).cast("binary"))
 

@@ -7,9 +7,11 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import cut, fresh, small
 
@@ -81,18 +83,17 @@ _ROW = T.StructType(
 )
 
 
-@F.pandas_udf(_ROW)
-def _scan(text):
-    import pandas as pd
-
+@F.arrow_udf(_ROW)
+def _scan(text: pa.Array) -> pa.Array:
     rows = []
-    for t in text:
+    for t in text.to_pylist():
         found = scan(t)
         base = [x for x in found if x[0] < 3]
         kinds = [x[0] for x in base]
         line = joined(base)
-        rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(line.encode()).hexdigest(), line, found))
-    return pd.DataFrame(rows, columns=_ROW.names)
+        each = [dict(zip(("kind", "start", "stop", "digest", "lively"), x, strict=True)) for x in found]
+        rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(line.encode()).hexdigest(), line, each))
+    return pa.array([dict(zip(_ROW.names, r, strict=True)) for r in rows], to_arrow_type(_ROW))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -141,12 +142,10 @@ def scan_documents(docs: DataFrame, owner: str = "source", repository: str = "do
     return with_.union(without)
 
 
-@F.pandas_udf(T.StringType())
-def _redacted(text, spans):
-    import pandas as pd
-
+@F.arrow_udf(T.StringType())
+def _redacted(text: pa.Array, spans: pa.Array) -> pa.Array:
     out = []
-    for t, some in zip(text, spans, strict=True):
+    for t, some in zip(text.to_pylist(), spans.to_pylist(), strict=True):
         if some is not None and len(some):
             parts, at = [], 0
             for s, e in sorted((x["start"], x["stop"]) for x in some):
@@ -155,7 +154,7 @@ def _redacted(text, spans):
                 at = max(at, e)
             t = "".join([*parts, t[at:]])
         out.append(t)
-    return pd.Series(out)
+    return pa.array(out, pa.string())
 
 
 def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:

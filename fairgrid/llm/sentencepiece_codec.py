@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import share
+from .common import Shared
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -158,10 +158,8 @@ def encode_words(words: list[str], v: Vocabulary) -> dict[str, list[int]]:
                                 top, how = best[start] - 1, (p, start)
                         elif (s := best[start] + score[nxt]) > top:
                             top, how = s, (p, start)
-            if not single and (not merges or top == -1e300) and best[j] + unknown > top:
+            if (top == -1e300 if merges else not single) and best[j] + unknown > top:  # in a merge model also what no open path reaches
                 top, how = best[j] + unknown, (-1, j)
-            if top == -1e300:
-                raise ValueError(f"no open path to {word[: j + 1]!r}")
             best.append(top)
             back.append(how)
             opened.append(now)
@@ -224,7 +222,7 @@ class Encoder:
 
 def _encoder(df: DataFrame, v: Vocabulary):
     """What gives a task its encoder, made once."""
-    shared, held = share(df, v), []
+    shared, held = Shared(df, v), []
 
     def get() -> Encoder:
         if not held:
@@ -238,11 +236,9 @@ def encode_udf(df: DataFrame, v: Vocabulary):
     """text -> array of ids; null and empty texts have none."""
     encoder = _encoder(df, v)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(text):
-        import pandas as pd
-
-        return pd.Series([np.array(i, np.int32) for i in encoder()(text)])
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(text: pa.Array) -> pa.Array:
+        return pa.array(encoder()(text.to_pylist()), pa.list_(pa.int32()))
 
     return encode
 
@@ -271,13 +267,11 @@ def encode_documents(docs: DataFrame, v: Vocabulary, keep: list[str]) -> DataFra
 
 def decode_udf(df: DataFrame, v: Vocabulary):
     """array of ids -> text; a null array is an empty text."""
-    shared = share(df, v.pieces)
-
-    @F.pandas_udf(T.StringType())
-    def decoded(ids):
-        import pandas as pd
+    shared = Shared(df, v.pieces)
 
-        return pd.Series(["" if i is None else decode(i, shared()) for i in ids])
+    @F.arrow_udf(T.StringType())
+    def decoded(ids: pa.Array) -> pa.Array:
+        return pa.array(["" if i is None else decode(i, shared()) for i in ids.to_pylist()], pa.string())
 
     return decoded
 
@@ -289,15 +283,15 @@ def digest_udf(df: DataFrame, v: Vocabulary):
     """text -> how many ids, how many of them spell bytes, SHA-256 of the ids as 32-bit little-endian, whether they decode to the text."""
     encoder = _encoder(df, v)
 
-    @F.pandas_udf(_DIGEST)
-    def digest(text):
-        import pandas as pd
-
+    @F.arrow_udf(_DIGEST)
+    def digest(text: pa.Array) -> pa.Array:
+        text = text.to_pylist()
         mine = encoder().v
         spelt = {*mine.byte_ids}
         rows = []
         for t, ids in zip(text, encoder()(text), strict=True):
             rows.append((len(ids), sum(i in spelt for i in ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), decode(ids, mine.pieces) == (t or "")))
-        return pd.DataFrame(rows, columns=_DIGEST.names)
+        types = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _DIGEST.names)
 
     return digest

@@ -40,11 +40,9 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(text):
-    import pandas as pd
-
-    return pd.Series(np.array([fingerprint(t or b"") for t in text], np.uint64).view(np.int64))
+@F.arrow_udf(T.LongType())
+def _fingerprints(text: pa.Array) -> pa.Array:
+    return pa.array(np.array([fingerprint(t or b"") for t in text.to_pylist()], np.uint64).view(np.int64))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, cut, share
+from .common import LOWER, Shared, cut
 from .quality import _platt
 
 #: Labelled documents that a model is made of, ordinary and toxic.
@@ -190,7 +190,7 @@ def fit(rows: DataFrame, sample: tuple[int, int] = SAMPLE, window: int = WINDOW,
 
 
 def _compare_udf(df: DataFrame, model: Model):
-    shared = share(df, model)
+    shared = Shared(df, model)
 
     @F.pandas_udf(T.DoubleType())
     def compare(text):
@@ -205,7 +205,7 @@ def score_udf(docs: DataFrame, model: Model | None):
     """A column function text -> score from 0 to 1; a null text scores as an empty one; without a model every score is 0."""
     if model is None:
         return lambda text: F.lit(0.0)
-    shared = share(docs, model)
+    shared = Shared(docs, model)
 
     @F.pandas_udf(T.DoubleType())
     def score(text):
