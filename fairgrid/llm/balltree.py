@@ -23,14 +23,14 @@ EXACT = 2.0**52
 def vectors(df: DataFrame) -> DataFrame:
     """(vec_id, v, dim): components as floor(256 * x); no rows with a null id, a null vector, or a null or non-finite component.
 
-    Equal rows count once. An empty vector stays: its inner products are zero.
+    Repeated rows stay. An empty vector stays: its inner products are zero.
     """
     x = F.col("embedding")
     inf = float("inf")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == inf))
     some = df.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad)
     v = F.transform(x, lambda c: F.floor(c.cast("double") * SCALE))
-    return some.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size(x).alias("dim")).distinct()
+    return some.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size(x).alias("dim"))
 
 
 @dataclass
@@ -38,17 +38,17 @@ class Tree:
     """Levels of nodes from the root down; a node is a range of the sorted rows. parent: of each node in the level above."""
 
     x: np.ndarray
-    ids: list[np.ndarray]  # of each row its smallest ids, ascending
+    ids: list[np.ndarray]  # of each row its smallest ids, ascending, repeats included
     levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # start, stop, centre, radius, parent
 
 
 def build(x: np.ndarray, ids: np.ndarray, k: int) -> Tree:
-    """Equal vectors become one row with the k + 1 smallest of their ids: no others can be among k, the query's own left out."""
+    """Equal vectors become one row with the 2k smallest of their ids, k at most of each: no others can be among k, whichever id is the query's own."""
     order = np.lexsort((ids, *x.T[::-1])) if x.shape[1] else np.argsort(ids)
     x, ids = x[order], ids[order]
     new = np.concatenate(([True], (x[1:] != x[:-1]).any(1)))
     at = np.flatnonzero(new)
-    owned = [part[: k + 1] for part in np.split(ids, at[1:])]
+    owned = [part[np.arange(len(part)) - np.searchsorted(part, part) < k][: 2 * k] for part in np.split(ids, at[1:])]
     x = x[at].astype(float)
     rows = np.arange(len(x))
     spans, levels, parents = [(0, len(x))], [], [0]

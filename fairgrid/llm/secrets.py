@@ -8,7 +8,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -17,8 +17,8 @@ from .common import cut, fresh, small
 
 #: Kinds in the order that spans are listed; the last one is added by the method.
 KINDS = ("assign", "access", "hex", "live")
-#: A value that so many owners have is a widely copied example.
-EXAMPLE_OWNERS = 3
+#: A value that so many owners have, or so many repositories of whatever owners, is a widely copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 50
 #: Entropy of a live-looking value, in bits a character.
 LIVE_BITS = 3.0
 #: What stands for a redacted span.
@@ -107,28 +107,36 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by.groupBy("digest").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def judged(rows: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def judged(rows: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """(row, owner, repository, candidates) to (row, kind, start, stop, verdict): example, live or plain.
 
-    example: ``example_owners`` or more have the value. live: fewer have it and
-    it looks drawn by chance. plain: neither.
+    example: ``example_owners`` or more have the value, or it stands in
+    ``example_repositories`` or more. live: neither, and it looks drawn by
+    chance. plain: the rest. Only examples are joined back, by a left join
+    whose hot values can be split.
     """
     each = rows.select("row", "owner", "repository", F.inline("candidates"))
-    each = each.join(ownership(each.select("digest", "owner", "repository")), "digest")
-    verdict = F.when(F.col("n_owners") >= example_owners, "example").when(F.col("lively"), "live").otherwise("plain")
-    return each.select("row", "kind", "start", "stop", verdict.alias("verdict"))
+    known = ownership(each.select("digest", "owner", "repository"))
+    wide = known.where((F.col("n_owners") >= example_owners) | (F.col("n_repositories") >= example_repositories)).select("digest", F.lit(True).alias("wide"))
+    verdict = F.when(F.col("wide"), "example").when(F.col("lively"), "live").otherwise("plain")
+    return each.join(small(cut(wide)), "digest", "left").select("row", "kind", "start", "stop", verdict.alias("verdict"))
 
 
-def scan_documents(docs: DataFrame, owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def _repository(repository: str | None) -> Column:
+    """None: the text, so that copies of one count once."""
+    return F.xxhash64("text").cast("string") if repository is None else F.col(repository).cast("string")
+
+
+def scan_documents(docs: DataFrame, owner: str = "source", repository: str | None = None, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
     Base spans always stay; a live token of another form is added, one that is
     an example isn't. A null text counts as empty: no span, the hash of the
-    empty string. Null owners are one owner; repeated rows each have a row and
-    their value counts once a repository. Only candidates are shuffled, and of
+    empty string. Null owners are one owner; repeated rows each have a row, and
+    copies of a text are one repository unless a column names it. Only candidates are shuffled, and of
     the documents their counts, never texts.
     """
-    rows = docs.select("doc_id", F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), _scan(F.coalesce("text", F.lit(""))).alias("s"))
+    rows = docs.select("doc_id", F.col(owner).cast("string").alias("owner"), _repository(repository).alias("repository"), _scan(F.coalesce("text", F.lit(""))).alias("s"))
     rows = cut(rows.select("doc_id", "owner", "repository", "s.*"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())  # stable: of a checkpoint's partitions
     some = rows.where(F.size("candidates") > 0)
@@ -157,20 +165,20 @@ def _redacted(text: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", repository: str | None = None, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """``docs`` with every span that isn't a widely copied example replaced by MASK; n_chars, if there, follows the text.
 
     All rows and columns stay; a text without such a span is left alone, null included.
     """
     key = [F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_hash")]
-    rows = docs.where("text is not null").select(*key, F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), _scan("text").alias("s"))
+    rows = docs.where("text is not null").select(*key, F.col(owner).cast("string").alias("owner"), _repository(repository).alias("repository"), _scan("text").alias("s"))
     rows = cut(rows.select(F.struct("row_id", "row_hash").alias("row"), "owner", "repository", F.col("s.candidates").alias("candidates")).where(F.size("candidates") > 0))
     spans = judged(rows, example_owners).where("verdict != 'example' and (kind < 3 or verdict = 'live')")
     spans = cut(spans.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).select("row.*", "spans"))
     h, text, found = fresh(docs, "row_hash"), fresh(docs, "new_text"), fresh(docs, "spans")
     spans = spans.select(F.col("row_id").alias("id_"), F.col("row_hash").alias("hash_"), F.col("spans").alias(found))
     named = docs.withColumn(h, F.xxhash64("text"))
-    out = named.join(small(spans, 200_000), named["doc_id"].eqNullSafe(spans["id_"]) & (named[h] == spans["hash_"]), "left")
+    out = named.join(small(spans), named["doc_id"].eqNullSafe(spans["id_"]) & (named[h] == spans["hash_"]), "left")
     out = out.withColumn(text, F.when(F.col(found).isNotNull(), _redacted("text", found)).otherwise(F.col("text")))
     values = {"text": F.col(text)} | ({"n_chars": F.when(F.col(found).isNotNull(), F.length(text)).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[values[c].alias(c) if c in values else docs[c] for c in docs.columns])

@@ -8,12 +8,12 @@ from fairgrid.llm import balltree as B
 
 
 def brute(rows, k):
-    ok = sorted({(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)})
-    out = []
+    ok = sorted((i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v))
+    found = {}
     for q, a in ok:
         if q % 50 == 0:
-            s = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q and len(b) == len(a))
-            out += [(q, r, i, -v) for r, (v, i) in enumerate(s[:k], 1)]
+            found.setdefault(q, []).extend((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q and len(b) == len(a))
+    out = [(q, r, i, -v) for q, s in found.items() for r, (v, i) in enumerate(sorted(s)[:k], 1)]
     return sorted(out)
 
 
@@ -24,10 +24,11 @@ def test_against_brute_force(spark, monkeypatch, shard_rows, block_rows, leaf):
     centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
     rows = [(i, [c + rng.gauss(0, 0.05) for c in rng.choice(centres)]) for i in range(600)]
     rows += [(i, [0.25] * 6) for i in range(600, 900)]  # one very common vector
-    rows += [(900, None), (950, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1000, [float("nan")] * 6), (1050, [float("inf")] * 6), (None, [1.0] * 6), (1100, [1.0, 2.0]), (1101, [3.0, 4.0]), (1150, []), (100, rows[100][1])]
+    rows += [(900, None), (950, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1000, [float("nan")] * 6), (1050, [float("inf")] * 6), (None, [1.0] * 6), (1100, [1.0, 2.0]), (1101, [3.0, 4.0]), (1150, []), (100, rows[100][1]), (600, [0.25] * 6)] + [(901, [9.0] * 6)] * 9 + [(650, [0.25] * 6)] * 7
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
     got = B.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_rows, block_rows).collect()
-    assert sorted(map(tuple, got)) == brute(rows, 5)
+    want = brute(rows, 5)
+    assert sorted(map(tuple, got)) == want and sum(i == 901 for *_, i, _ in want) > 5
 
 
 def test_large_components_and_empty(spark):

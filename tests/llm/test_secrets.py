@@ -60,3 +60,12 @@ def test_ownership_tells_examples_from_live_ones(spark):
     got = {r.doc_id: r for r in red.collect()}
     assert got[10].text == "mine [secret] ok" and got[10].n_chars == len("mine [secret] ok")
     assert got[0].text == rows[0][1] and got[13].text is None and len(got) == 9
+
+
+def test_many_repositories_of_one_owner_are_an_example_and_copies_count_once(spark):
+    shared, own = "Ab1Cd2Ef3Gh4Ij5Kl6Mn7", "Zk3vQ9x1Lm8Rt5Wy2Bn7"
+    rows = [(i, f"use {shared} in page {i}", "o1") for i in range(6)] + [(10 + i, f"mine {own} ok", "o2") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", S.F.struct("doc_id").alias("row"))
+    found = docs.select("row", "doc_id", S.F.col("source").alias("owner"), S._repository(None).alias("repository"), S._scan("text").alias("s")).select("row", "doc_id", "owner", "repository", "s.candidates")
+    verdicts = {(r.row.doc_id, r.verdict) for r in S.judged(found, example_repositories=6).collect()}
+    assert verdicts == {(i, "example") for i in range(6)} | {(10 + i, "live") for i in range(9)}
