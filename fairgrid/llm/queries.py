@@ -24,13 +24,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the shards to the shared folder and returns what a reader finds there, joined with what should be there."""
+    """Writes the shards to the shared folder and returns what a reader finds there: every slot, and the ids' hash."""
     path = f"{shared_folder(spark)}/token-shards-{uuid.uuid4().hex}"
-    seqs = token_shards.sequences(table(spark, sf_dir, "documents"), token_shards.load_ranks())
-    token_shards.write_shards(seqs, path)
-    stored = token_shards.read_shards(spark, path).select("slot", "shard", "offset", token_shards.used(F.col("tokens")).alias("record_sha256"))
-    told = seqs.select("slot", F.size("doc_ids").alias("n_docs"), F.col("doc_ids")[0].alias("first_doc_id"), "n_tokens")
-    return told.join(stored, "slot")
+    token_shards.write_shards(table(spark, sf_dir, "documents"), token_shards.load_ranks(), path)
+    stored = token_shards.read_shards(spark, path)
+    return stored.select("slot", "shard", "offset", "n_docs", "first_doc_id", "n_tokens", token_shards.used(F.col("tokens")).alias("record_sha256"))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
