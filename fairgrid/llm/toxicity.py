@@ -1,4 +1,15 @@
-"""Toxicity by class-conditional Kneser-Ney bigram models with shared backoff counts."""
+"""Toxicity by class-conditional Kneser-Ney models with shared backoff counts.
+
+Ordinary and toxic text each have a bigram model over token counts. Bigrams
+back off to continuation counts (how many words a word follows), these to what
+both classes say: an expression of one class alone has next to nothing there.
+Discounts are below one, from counts of counts; a count of one goes to the
+backoff whole. A text is read in two ways, both of them differences of
+log-likelihoods divided by the number of tokens: over all of it, by the bigram
+models, and over the WINDOW tokens where it is largest, by their lower order,
+as one expression makes a long text toxic. A logistic fit on documents kept
+back weighs the two.
+"""
 
 from __future__ import annotations
 
@@ -15,15 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LOWER, Shared, cut
-from .quality import _platt
 
 #: Labelled documents that a model is made of, ordinary and toxic.
 SAMPLE = (16_000, 4000)
 #: Tokens over which log-likelihoods are compared and divided by their number.
 WINDOW = 3
-#: What every count gives to the shared backoff: this share of the smaller class's documents, and at least so much.
-#: Smaller counts go there whole, as chance brings them about.
-RARE_SHARE, RARE_LEAST, BETA = 0.01, 4.0, 0.5
+#: What the shared backoff gives to each word beside what both classes say.
+BETA = 0.5
 THRESHOLD = 0.3
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -48,21 +57,21 @@ def _bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for b in batches:
         for data, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             h = token_hashes(data)
-            n[y].update({*zip(np.concatenate(([0], h[:-1])).tolist(), h.tolist(), strict=True)})  # once a document
+            n[y].update(zip(np.concatenate(([0], h[:-1])).tolist(), h.tolist(), strict=True))
     keys = list({*n[0], *n[1]})
     for at in range(0, len(keys), 1 << 16):
         some = keys[at : at + (1 << 16)]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([k[0] for k in some], [k[1] for k in some], [n[0][k] for k in some], [n[1][k] for k in some])], ["v", "w", "n0", "n1"])
 
 
-def _cut(n: np.ndarray, discount: float) -> np.ndarray:
-    """A count less its discount; a rare one goes whole, so that it acts by the backoff alone."""
-    return np.maximum(0.0, n - discount)
+def discount(ones: int, twos: int) -> float:
+    """The Kneser-Ney discount of counts of two or more, by how many counts are one and two; between 0 and 1."""
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
 
 
 @dataclass
 class Model:
-    """Sorted keys with values for ordinary (0) and toxic (1) text; see fit()."""
+    """Sorted keys with values for ordinary (0) and toxic (1) text; see fit(). share: what every text scores if a class is missing."""
 
     words: np.ndarray
     unigram: np.ndarray  # (2, words): continuation probability, backoff included
@@ -74,34 +83,35 @@ class Model:
     pairs: np.ndarray
     seen: np.ndarray  # (2, pairs): discounted count
     window: int
-    a: float = 1.0
-    b: float = 0.0
+    weights: tuple[float, float, float] = (1.0, 1.0, 0.0)
 
-    def ratios(self, h: np.ndarray) -> np.ndarray:
-        """log P(word | previous word, toxic) - log P(word | previous word, ordinary), token by token."""
+    def ratios(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(word | toxic) - log P(word | ordinary), token by token: given the word before, and by the lower order."""
         v = np.concatenate((np.zeros(1, np.int64), h[:-1]))
-        p = np.empty((2, len(h)))
+        p, q = np.empty((2, len(h))), np.empty((2, len(h)))
         i, ok = _find(self.words, h)
         j, met = _find(self.contexts, v)
         k, both = _find(self.pairs, _pair(v, h))
         for c in (0, 1):
-            uni = np.where(ok, self.unigram[c, i], self.unseen[c] * self.base)
+            q[c] = np.where(ok, self.unigram[c, i], self.unseen[c] * self.base)
             t = np.where(met, self.total[c, j], 0.0)
             g = np.where(t > 0, self.gamma[c, j], 1.0)
-            p[c] = np.where(both & (t > 0), self.seen[c, k] / np.maximum(t, 1), 0.0) + g * uni
-        return np.log(p[1]) - np.log(p[0])
+            p[c] = np.where(both & (t > 0), self.seen[c, k] / np.maximum(t, 1), 0.0) + g * q[c]
+        return np.log(p[1]) - np.log(p[0]), np.log(q[1]) - np.log(q[0])
 
-    def compare(self, data: bytes) -> float:
-        """The largest difference of the two log-likelihoods over ``window`` tokens (or the whole text, if shorter), divided by their number; 0 for no words."""
+    def compare(self, data: bytes) -> tuple[float, float]:
+        """The difference of the two log-likelihoods by token, of the whole text and of its largest window (all of it, if shorter); 0 for no words."""
         h = token_hashes(data)
         if not len(h):
-            return 0.0
-        s = np.concatenate(([0.0], np.cumsum(self.ratios(h))))
+            return 0.0, 0.0
+        pairs, single = self.ratios(h)
+        s = np.concatenate(([0.0], np.cumsum(single)))
         n = min(self.window, len(h))
-        return float((s[n:] - s[:-n]).max() / n)
+        return float(pairs.mean()), float((s[n:] - s[:-n]).max() / n)
 
     def score(self, data: bytes) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.a * self.compare(data) + self.b, -30, 30))))
+        whole, part = self.compare(data)
+        return float(1 / (1 + np.exp(-np.clip(self.weights[0] * whole + self.weights[1] * part + self.weights[2], -30, 30))))
 
 
 def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,22 +119,22 @@ def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, keys[i] == x
 
 
-def kneser_ney(words: dict[str, np.ndarray], contexts: dict[str, np.ndarray], pairs: dict[str, np.ndarray], met: np.ndarray, distinct: int, window: int = WINDOW, discount: float = RARE_LEAST) -> Model:
-    """A model of tables that may leave out what no discounted count is left of: its ratio is that of an unseen word.
+def kneser_ney(words: dict[str, np.ndarray], contexts: dict[str, np.ndarray], pairs: dict[str, np.ndarray], met: np.ndarray, distinct: int, lower: tuple[float, float], upper: tuple[float, float], window: int = WINDOW) -> Model:
+    """A model of tables that may leave out counts of one, which act by the backoff alone.
 
     words: w with met0 and met1, the distinct words before it by class;
     contexts: v with n0 and n1 (its count) and k0 and k1 (what discounts leave
     of its pairs); pairs: v, w, n0, n1. met: by class, the distinct pairs of
-    all; distinct: the number of words of all.
+    all; distinct: the number of words of all; lower, upper: discounts by class.
     """
     one = lambda t: t if len(next(iter(t.values()))) else {k: np.zeros(1, np.int64) for k in t}
     words, contexts, pairs = one(words), one(contexts), one(pairs)
+    left_of = lambda n, d: np.where(n > 1, n - np.array(d)[:, None], 0.0)
     n = np.stack((words["met0"], words["met1"])).astype(float)
     met = np.maximum(1, met)[:, None]
-    # what both classes say: an expression of one class alone has no more than BETA here
     shared = (n / met).min(0) * met.sum() + BETA
-    whole = met.sum() + BETA * (distinct + 1)
-    left = _cut(n, discount)
+    whole = shared.sum() + BETA * (distinct - len(shared) + 1)
+    left = left_of(n, lower)
     unseen = 1 - (left / met).sum(1)
     unigram = left / met + unseen[:, None] * (shared / whole)
     total = np.stack((contexts["n0"], contexts["n1"])).astype(float)
@@ -132,10 +142,26 @@ def kneser_ney(words: dict[str, np.ndarray], contexts: dict[str, np.ndarray], pa
     gamma = np.where(total > 0, 1 - kept / np.maximum(total, 1), 1.0)
     key = _pair(pairs["v"], pairs["w"])
     by = [np.argsort(x) for x in (words["w"], contexts["v"], key)]
-    seen = _cut(np.stack((pairs["n0"], pairs["n1"])).astype(float), discount)
+    seen = left_of(np.stack((pairs["n0"], pairs["n1"])).astype(float), upper)
     return Model(words["w"][by[0]], unigram[:, by[0]], unseen, BETA / whole, contexts["v"][by[1]], total[:, by[1]], gamma[:, by[1]], key[by[2]], seen[:, by[2]], window)
 
 
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coefficients of the columns of x, none of them below zero, and an offset, by Newton's method with a small penalty."""
+    on = list(range(x.shape[1]))
+    while True:
+        a, t = np.concatenate((x[:, on], np.ones((len(x), 1))), 1), np.zeros(len(on) + 1)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(a @ t, -30, 30)))
+            h = (a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(len(t))
+            t = t + np.clip(np.linalg.solve(h, a.T @ (y - p) - 1e-3 * t), -5, 5)
+        if not (t[:-1] < 0).any():
+            out = np.zeros(x.shape[1] + 1)
+            out[on], out[-1] = t[:-1], t[-1]
+            return out
+        on.pop(int(np.argmin(t[:-1])))
+
+
 def cut_at(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     """Where to part the classes: the middle of the widest gap with the least weight on the wrong side."""
     order = np.argsort(m)
@@ -146,73 +172,74 @@ def cut_at(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float((m[i - 1] if i else m[0] - 1) / 2 + (m[i] if i < len(m) else m[-1] + 1) / 2)
 
 
-def fit(rows: DataFrame, sample: tuple[int, int] = SAMPLE, window: int = WINDOW, discount: float | None = None) -> Model | None:
-    """A model of (doc_id, text, y) rows, y 0 or 1; None if a class is missing.
+def fit(rows: DataFrame, sample: tuple[int, int] = SAMPLE, window: int = WINDOW) -> Model | float:
+    """A model of (doc_id, text, y) rows, y 0 or 1; with a class missing the share of ones, which every text then scores (0 for no rows).
 
     Made of ``sample[y]`` documents of each class, those of the smallest
-    xxhash64(doc_id), equal texts once; a fifth of them sets the sigmoid
-    instead, with its THRESHOLD where they part best. ``discount`` None: by RARE_SHARE. All counts are added up in Spark; words, contexts and pairs that a
-    discount leaves something of reach the driver, at most the sample's tokens
-    divided by the discount.
+    xxhash64(doc_id), equal texts once; a fifth of them weighs the two readings
+    instead, with THRESHOLD where they part best. All counts are added up in
+    Spark; words, contexts and pairs counted twice or more reach the driver, at
+    most half the sample's tokens.
     """
     rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "y")
     total = dict(rows.groupBy("y").count().collect())
     if len(total) < 2:
-        return None
+        return float(max(total, default=0))
     some = None
     for y in (0, 1):
         ids = rows.where(F.col("y") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y])
         some = ids if some is None else some.union(ids)
     taken = rows.join(F.broadcast(some), "doc_id").select("text", "y", (F.crc32("text") % 5 == 0).alias("kept"))
     taken = cut(taken.groupBy(F.xxhash64("text"), "y", "kept").agg(F.first("text").alias("text")))
-    if discount is None:
-        docs = dict(taken.where("not kept").groupBy("y").count().collect())
-        discount = max(RARE_LEAST, RARE_SHARE * min(docs.get(0, 0), docs.get(1, 0)))
     counts = taken.where("not kept").select("text", "y").mapInArrow(_bigram_counts, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counts = cut(counts)
-    left = lambda c: F.sum(F.greatest(F.lit(0.0), F.col(c) - discount))
-    words = counts.groupBy("w").agg(F.count_if(F.col("n0") > 0).alias("met0"), F.count_if(F.col("n1") > 0).alias("met1"))
+    words = cut(counts.groupBy("w").agg(F.count_if(F.col("n0") > 0).alias("met0"), F.count_if(F.col("n1") > 0).alias("met1")))
+    of = lambda df, c: [x for k in (0, 1) for x in df.agg(F.count_if(F.col(f"{c}{k}") == 1), F.count_if(F.col(f"{c}{k}") == 2)).first()]
     met0, met1, distinct = words.agg(F.sum("met0"), F.sum("met1"), F.count("*")).first()
     if not distinct:
-        return None
-    words = words.where(F.greatest("met0", "met1") > discount)
-    contexts = counts.groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), left("n0").alias("k0"), left("n1").alias("k1")).where("k0 + k1 > 0")
-    pairs = counts.where(F.greatest("n0", "n1") > discount)
-    tables = [{c: t[c].to_numpy() for c in t.column_names} for t in (x.toArrow() for x in (words, contexts, pairs))]
-    model = kneser_ney(*tables, np.array([met0, met1], float), distinct, window, discount)
-    held = taken.where("kept").select(F.col("y"), _compare_udf(rows, model)("text").alias("m")).toPandas().sort_values(["m", "y"])
-    y, m = held.y.to_numpy(), held.m.to_numpy()
+        return total[1] / (total[0] + total[1])
+    lower, upper = ((discount(*x[:2]), discount(*x[2:])) for x in (of(words, "met"), of(counts, "n")))
+    left = lambda k: F.sum(F.when(F.col(f"n{k}") > 1, F.col(f"n{k}") - upper[k]).otherwise(0.0)).alias(f"k{k}")
+    contexts = counts.groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), left(0), left(1)).where("k0 + k1 > 0")
+    several = words.where(F.greatest("met0", "met1") > 1), contexts, counts.where(F.greatest("n0", "n1") > 1)
+    tables = [{c: t[c].to_numpy() for c in t.column_names} for t in (x.toArrow() for x in several)]
+    model = kneser_ney(*tables, np.array([met0, met1], float), distinct, lower, upper, window)
+    del tables
+    shared = Shared(rows, model)
+    held = taken.where("kept").select("y", _compare_udf(shared)("text").alias("m")).select("y", "m.*").toArrow().sort_by([("whole", "ascending"), ("part", "ascending"), ("y", "ascending")])
+    shared.destroy()
+    y, x = held["y"].to_numpy(), np.stack((held["whole"].to_numpy(), held["part"].to_numpy()), 1)
     if len({*y}) == 2:
+        *t, _ = logistic(x, y)
+        t = t if any(t) else [0.0, 1.0]
+        # each class with the weight that it has among all rows
         weight = np.where(y > 0, total[1] / max(1, (y > 0).sum()), total[0] / max(1, (y == 0).sum()))
-        model.a = max(1.0, _platt(m, y * 2 - 1, weight * len(y) / weight.sum())[0])
-        model.b = math.log(THRESHOLD / (1 - THRESHOLD)) - model.a * cut_at(m, y, weight)
+        model.weights = (*map(float, t), math.log(THRESHOLD / (1 - THRESHOLD)) - cut_at(x @ np.array(t), y, weight))
     return model
 
 
-def _compare_udf(df: DataFrame, model: Model):
-    shared = Shared(df, model)
+_READINGS = T.StructType([T.StructField("whole", T.DoubleType()), T.StructField("part", T.DoubleType())])
 
-    @F.pandas_udf(T.DoubleType())
-    def compare(text):
-        import pandas as pd
 
-        return pd.Series([shared().compare(t) for t in text], dtype="float64")
+def _compare_udf(shared: Shared):
+    @F.arrow_udf(_READINGS)
+    def compare(text: pa.Array) -> pa.Array:
+        rows = [shared().compare(t) for t in text.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.float64()) for k in (0, 1)], ["whole", "part"])
 
     return compare
 
 
-def score_udf(docs: DataFrame, model: Model | None):
-    """A column function text -> score from 0 to 1; a null text scores as an empty one; without a model every score is 0."""
-    if model is None:
-        return lambda text: F.lit(0.0)
+def score_udf(docs: DataFrame, model: Model | float):
+    """A column function text -> score from 0 to 1; a null text scores as an empty one."""
+    if not isinstance(model, Model):
+        return lambda text: F.lit(model)
     shared = Shared(docs, model)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(text):
-        import pandas as pd
-
+    @F.arrow_udf(T.DoubleType())
+    def score(text: pa.Array) -> pa.Array:
         m = shared()
-        return pd.Series([m.score(t) for t in text], dtype="float64")
+        return pa.array([m.score(t) for t in text.to_pylist()], pa.float64())
 
     return lambda text: score(F.coalesce(text, F.lit("")).cast("binary"))
 

@@ -78,19 +78,60 @@ def test_missing_class_and_empty_tables(spark):
     assert {r[0] > 0.9 for r in docs.select(quality.score_udf(docs, m)(F.col("text"))).collect()} == {True}
     m = quality.fit(labelled(docs, y.where("false"), "quality", 3, 7))
     assert {r[0] for r in docs.select(quality.score_udf(docs, m)(F.col("text"))).collect()} == {0.5}
-    assert toxicity.fit(labelled(docs, y, "toxic", 4, 7)) is None
-    assert docs.select(toxicity.score_udf(docs, None)(F.col("text")).alias("s")).where("s != 0").count() == 0
+    for toxic, want in ((y, 0.0), (y.where("false"), 0.0), (y.withColumn("toxic", F.lit(1)), 1.0)):
+        m = toxicity.fit(labelled(docs, toxic, "toxic", 4, 7))
+        assert {r[0] for r in docs.select(toxicity.score_udf(docs, m)(F.col("text"))).collect()} == {want}
+    m = quality.fit(labelled(docs, y.where("false"), "quality", 3, 7))
     assert docs.where("false").select(quality.score_udf(docs, m)(F.col("text"))).count() == 0
     assert fold is not None
 
 
-def test_kneser_ney_backs_off_for_rare_words():
-    i = lambda *x: np.array(x, np.int64)
-    words = {"w": i(9, 10), "met0": i(0, 40), "met1": i(40, 38)}
-    contexts = {"v": i(5), "n0": i(20), "n1": i(20), "k0": i(0), "k1": i(12)}
-    pairs = {"v": i(5), "w": i(10), "n0": i(4), "n1": i(16)}
-    m = toxicity.kneser_ney(words, contexts, pairs, np.array([100.0, 90.0]), 60, 2, 4.0)
-    one = lambda *x: m.ratios(i(*x))[-1]
-    assert one(9) > 2 and abs(one(10)) < 0.5
-    assert one(11) == pytest.approx(one(12)) and one(11) < 0.5  # what isn't there acts through the backoff alone
-    assert one(5, 10) > one(10) + 0.5
+def test_kneser_ney_against_a_plain_model(spark):
+    """Both readings of a text against a model written out with dictionaries, and probabilities that add up to one."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(30)]
+    text = lambda y: " ".join(rng.choices(vocabulary + ["vile", "foul"] * y, k=rng.randint(3, 30)))
+    rows = [(i, text(i % 2), i % 2) for i in range(240)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, y int"), window=3)
+    learnt = {(t, y) for _, t, y in rows if zlib.crc32(t.encode()) % 5}
+    n, met = [{}, {}], [{}, {}]
+    for t, y in learnt:
+        ws = ["<s>", *t.split()]
+        for v, w in zip(ws, ws[1:]):
+            n[y][v, w] = n[y].get((v, w), 0) + 1
+    for y in (0, 1):
+        for _, w in n[y]:
+            met[y][w] = met[y].get(w, 0) + 1
+    known = {*met[0], *met[1]}
+    d = [toxicity.discount(*(list(x.values()).count(k) for k in (1, 2))) for x in n]
+    e = [toxicity.discount(*(list(x.values()).count(k) for k in (1, 2))) for x in met]
+    m = [sum(x.values()) for x in met]
+    assert all(0 < x < 1 for x in d + e)
+    some = [w for w in known if max(met[y].get(w, 0) for y in (0, 1)) > 1]
+    shared = {w: min(met[y].get(w, 0) / m[y] for y in (0, 1)) * sum(m) + 0.5 for w in some}
+    whole = sum(shared.values()) + 0.5 * (len(known) - len(some) + 1)
+
+    def uni(y, w):
+        left = lambda c: c - e[y] if c > 1 else 0
+        rest = 1 - sum(map(left, met[y].values())) / m[y]
+        return left(met[y].get(w, 0)) / m[y] + rest * shared.get(w, 0.5) / whole
+
+    def bi(y, v, w):
+        left = lambda c: c - d[y] if c > 1 else 0
+        after = {b: c for (a, b), c in n[y].items() if a == v}
+        total = sum(after.values())
+        if not sum(map(left, after.values())):
+            return uni(y, w)
+        return left(after.get(w, 0)) / total + (1 - sum(map(left, after.values())) / total) * uni(y, w)
+
+    for y in (0, 1):
+        assert sum(uni(y, w) for w in known) + uni(y, "?") * 1 == pytest.approx(1, abs=1e-9)
+    for t in ["w1 w2 vile w3", "foul", "w5 never seen w7 w8 w9 foul vile", *[t for _, t, _ in rows[:30]]]:
+        ws = ["<s>", *t.split()]
+        both = [np.log(bi(1, v, w) / bi(0, v, w)) for v, w in zip(ws, ws[1:])]
+        single = [np.log(uni(1, w) / uni(0, w)) for w in ws[1:]]
+        k = min(3, len(single))
+        want = np.mean(both), max(np.mean(single[i : i + k]) for i in range(len(single) - k + 1))
+        assert model.compare(t.encode()) == pytest.approx(want, abs=1e-9)
+    assert model.score(b"w1 w2 vile foul w3") > 0.3 > model.score(b"w1 w2 w3 w4")
+    assert model.compare(b"") == (0.0, 0.0)
