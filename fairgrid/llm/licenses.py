@@ -1,17 +1,19 @@
 """Licence scan on built-in functions only: a positional index of the licences' rare words, checked by key phrases.
 
-Templates are short word sequences of well-known licence notices. In each
-document the places of licence words are kept; of these, the words of highest
-IDF (over all documents) look up the templates' postings. A posting votes for
-the place where its template would start; a start that enough of a template's
-rare words agree on is a candidate, and its label stands if the template's
-mandatory phrase is there word for word and most of the template's words are in
-place.
+Templates are word sequences of licence notices or whole texts. In each
+document the places of licence words are kept; of these words the ones of
+highest IDF (over all documents) in this document look up the templates'
+postings. A posting votes for the place where its template would start; a start
+that two of the document's rare words agree on is a candidate, and its label
+stands if the template's mandatory phrase is there word for word and most of
+the template's words are in place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, lower_ascii, small
@@ -41,10 +43,10 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
 
-#: Of a document's licence words, so many kinds of the highest IDF look up postings per template.
-RARE_WORDS = 4
-#: Share of a template's rare words that must agree on its start, and of its IDF weight that must be in place.
-AGREE, COVER = 0.5, 0.7
+#: Of a document's licence words so many kinds of the highest IDF look up postings, and all that fewer documents have than this share.
+RARE_WORDS, RARE_SHARE = 24, 0.01
+#: Rare words that must agree on a start, and share of a template's IDF weight that must be in place.
+AGREE, COVER = 2, 0.7
 
 
 def words(text: Column) -> Column:
@@ -53,14 +55,11 @@ def words(text: Column) -> Column:
 
 
 #: A hit is a word's place times this, plus the word's number in the vocabulary.
-WORDS = 256
+WORDS = 1 << 20
 
 
 def _vocabulary(templates) -> list[str]:
-    known = sorted({w for _, notice, phrase in templates for w in (notice + " " + phrase).split()} | {w for p in BASE for w in p.split()})
-    if len(known) > WORDS:
-        raise ValueError(f"more than {WORDS} licence words")
-    return known
+    return sorted({w for _, notice, phrase in templates for w in (notice + " " + phrase).split()} | {w for p in BASE for w in p.split()})
 
 
 def _word(hit: Column) -> Column:
@@ -90,56 +89,52 @@ def found_words(docs: DataFrame, templates=None) -> DataFrame:
     return split.select("doc_id", F.size("words").cast("long").alias("n_words"), F.array_compact(at).alias("hits"))
 
 
-def _table(spark: SparkSession, templates) -> DataFrame:
-    known = _vocabulary(templates)
-    rows = [(t, label, q, known.index(w)) for t, (label, notice, _) in enumerate(templates) for q, w in enumerate(notice.split())]
-    return spark.createDataFrame(rows, "template int, label string, q int, w int")
-
-
-def aligned(each: DataFrame, hits: DataFrame, templates, agree: float, cover: float, rare_words: int) -> DataFrame:
-    """(row, label, start, cover) of verified template places, from (row, p, w) and (row, hits)."""
-    spark = each.sparkSession
-    # document frequencies of the licence words: as many rows as there are such words
-    n = each.select("row").distinct().count()
-    df = cut(each.groupBy("w", "row").agg(F.lit(1).alias("one")).groupBy("w").agg(F.count("*").alias("df")))
-    idf = df.select("w", (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    postings = _table(spark, templates).join(idf, "w", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
-    rank = F.dense_rank().over(Window.partitionBy("template").orderBy(F.desc("idf"), "w"))
-    whole = F.sum("idf").over(Window.partitionBy("template"))
-    postings = cut(postings.withColumn("rank", rank).withColumn("whole", whole))
-    rare = postings.where(F.col("rank") <= rare_words)
-    asked = rare.groupBy("template").agg(F.count("*").alias("asked"))
-
-    votes = each.join(F.broadcast(rare), "w").select("row", "template", (F.col("p") - F.col("q")).alias("start"))
-    votes = votes.groupBy("row", "template", "start").agg(F.count("*").alias("votes")).join(F.broadcast(asked), "template")
-    starts = votes.where(F.col("votes") >= F.col("asked") * agree).select("row", "template", "start")
-    # all words in place, by IDF weight
-    expected = starts.join(F.broadcast(postings), "template").select("row", "template", "label", "start", "whole", "idf", (F.col("start") + F.col("q")).alias("p"), "w")
-    there = expected.join(each, ["row", "p", "w"]).groupBy("row", "template", "label", "start", "whole").agg(F.sum("idf").alias("met"))
-    there = there.withColumn("cover", F.least(F.lit(1.0), F.col("met") / F.col("whole"))).where(F.col("cover") >= cover)
-    # the mandatory phrase, within the template's stretch
-    checked = there.join(hits, "row")
-    ok, known = F.lit(False), _vocabulary(templates)
-    for t, (_, notice, phrase) in enumerate(templates):
-        stretch = F.sequence(F.col("start"), F.col("start") + F.lit(len(notice.split()) - 1).cast("long"))
-        inside = F.size(F.array_intersect(_places(F.col("hits"), phrase, known), stretch)) > 0
-        ok = F.when(F.col("template") == t, inside).otherwise(ok)
-    return checked.where(ok).select("row", "label", "start", "cover")
-
-
-def scan_documents(docs: DataFrame, templates=None, agree: float = AGREE, cover: float = COVER, rare_words: int = RARE_WORDS) -> DataFrame:
+def idf(rows: DataFrame, n_words: int) -> list[float]:
+    """Of each licence word log(documents / documents with it), by the word's number: as many numbers as there are words come to the driver."""
+    n = rows.count()
+    kinds = rows.select(F.explode(F.array_distinct(F.transform("hits", _word))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    df = dict(kinds.collect())
+    return [math.log((n + 1) / (df.get(w, 0) + 1)) for w in range(n_words)]
+
+
+def aligned(hits: DataFrame, templates, weights: list[float], agree: int = AGREE, cover: float = COVER, rare_words: int = RARE_WORDS) -> DataFrame:
+    """(row, label, start, cover) of verified template places, from (row, hits)."""
+    spark, known = hits.sparkSession, {w: i for i, w in enumerate(_vocabulary(templates))}
+    texts = [(t, label, [known[w] for w in notice.split()], [known[w] for w in phrase.split()]) for t, (label, notice, phrase) in enumerate(templates)]
+    index = spark.createDataFrame([(t, label, w, p, [max(weights[i], 1e-9) for i in w]) for t, label, w, p in texts], "template int, label string, notice array<int>, phrase array<int>, weight array<double>")
+    postings = index.select("template", F.posexplode("notice").alias("q", "w"))
+    by_rank = F.array(*[F.lit(float(x)) for x in weights])
+    # the document's own rarest licence words
+    kinds = F.array_sort(F.transform(F.array_distinct(F.transform("hits", _word)), lambda w: F.struct((-F.get(by_rank, w)).alias("x"), w.alias("w"))))
+    rare = F.transform(F.filter(kinds, lambda k, i: (i < rare_words) | (k["x"] <= math.log(RARE_SHARE))), lambda k: k["w"])
+    asked = hits.withColumn("rare", rare).select("row", F.explode(F.filter("hits", lambda h: F.array_contains(F.col("rare"), _word(h)))).alias("h"))
+    votes = asked.select("row", _place(F.col("h")).alias("p"), _word(F.col("h")).alias("w")).join(F.broadcast(postings), "w").select("row", "template", (F.col("p") - F.col("q")).alias("start"))
+    starts = cut(votes.where("start >= 0").groupBy("row", "template", "start").agg(F.count("*").alias("votes")).where(F.col("votes") >= agree).select("row", "template", "start"))
+    # all words in place, by IDF weight, and the mandatory phrase within the template's stretch
+    each = hits.join(small(starts), "row").join(F.broadcast(index), "template")
+    size = F.size("notice")
+    here = F.filter("hits", lambda h: (_place(h) >= F.col("start")) & (_place(h) < F.col("start") + size))
+    each = each.select("row", "label", "start", "notice", "phrase", "weight", here.alias("here"))
+    key = lambda at, w: at * WORDS + w
+    met = F.transform("notice", lambda w, q: F.when(F.array_contains("here", key(F.col("start") + q, w)), F.get("weight", q)).otherwise(0.0))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    stands = lambda o: F.size(F.array_except(F.transform("phrase", lambda w, k: key(F.col("start") + o + k, w)), F.col("here"))) == 0
+    offsets = F.sequence(F.lit(0), F.greatest(F.size("notice") - F.size("phrase"), F.lit(0)))
+    each = each.withColumn("cover", F.least(F.lit(1.0), total(met) / total(F.col("weight")))).where((F.col("cover") >= cover) & F.exists(offsets, stands))
+    return each.select("row", "label", "start", "cover")
+
+
+def scan_documents(docs: DataFrame, templates=None, agree: int = AGREE, cover: float = COVER, rare_words: int = RARE_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score: the largest share of a verified template's IDF weight that is in
     place, 1 where a base phrase stands, 0 where nothing is found. A null text
     counts as empty: no words, no label. Repeated rows each have a row. Texts
-    are read once and never shuffled; only the places of licence words are.
+    are read once and never shuffled; only the votes of rare words are.
     """
     templates = TEMPLATES if templates is None else templates
     rows = cut(found_words(docs, templates)).withColumn("row", F.monotonically_increasing_id())  # stable: of a checkpoint's partitions
-    hits = rows.where(F.size("hits") > 1).select("row", "hits")
-    each = hits.select("row", F.explode("hits").alias("h")).select("row", _place(F.col("h")).alias("p"), _word(F.col("h")).alias("w"))
-    method = aligned(each, hits, templates, agree, cover, rare_words)
+    method = aligned(rows.where(F.size("hits") > 1).select("row", "hits"), templates, idf(rows, len(_vocabulary(templates))), agree, cover, rare_words)
     method = method.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("cover").alias("cover"))
     known = _vocabulary(templates)
     base = {label: _places(F.col("hits"), phrase, known) for phrase, label in BASE.items()}

@@ -50,3 +50,40 @@ def test_each_template_is_found_and_random_words_are_not(spark):
     for i, (label, _, _) in enumerate(L.TEMPLATES):
         assert label in out[i].labels.split(","), L.TEMPLATES[i]
     assert all(r.labels == "" for i, r in out.items() if i >= 100)
+
+
+def test_labels_against_every_start_with_a_long_licence_text(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 7)))
+    long = " ".join(word() for _ in range(400))
+    templates = [*L.TEMPLATES, ("long-1", long, " ".join(long.split()[50:55]))]
+    notices = [n for _, n, _ in templates] + [long] * 4
+    rows = []
+    for i in range(160):
+        w = [rng.choice(["the", "license", "of", "software", word()]) for _ in range(rng.randint(0, 60))]
+        for _ in range(i % 3):
+            x = rng.choice(notices).split()
+            for _ in range(rng.randint(0, 1 + len(x) // 4)):  # words changed, so that some fall below the cover
+                x[rng.randrange(len(x))] = word()
+            at = rng.randint(0, len(w))
+            w[at:at] = x
+        rows.append((i, " ".join(w)))
+    docs = {i: toks(t) for i, t in rows}
+    n = {}
+    for w in docs.values():
+        for x in set(w):
+            n[x] = n.get(x, 0) + 1
+    weight = lambda x: max(1e-9, L.math.log((len(rows) + 1) / (n.get(x, 0) + 1)))
+    want = {}
+    for i, w in docs.items():
+        want[i] = set()
+        for label, notice, phrase in templates:
+            x, p = notice.split(), phrase.split()
+            for s in range(len(w)):
+                part = w[s : s + len(x)]
+                cover = sum(weight(a) for a, b in zip(x, part) if a == b) / sum(map(weight, x))
+                if cover >= L.COVER and any(part[o : o + len(p)] == p for o in range(len(part) - len(p) + 1)):
+                    want[i].add(label)
+        want[i] |= set(filter(None, brute(dict(rows)[i])[4].split(",")))
+    out = {r.doc_id: set(filter(None, r.labels.split(","))) for r in L.scan_documents(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
+    assert out == want and sum("long-1" in v for v in want.values()) > 5
