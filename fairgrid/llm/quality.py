@@ -130,8 +130,11 @@ def _solve(ratio: Callable[[], np.ndarray], total: dict[int, int]):
             return
         taken = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), ("y", "ascending")])
         y = taken["y"].to_numpy() * 2 - 1
-        found = [np.asarray(x.values) for x in taken["found"].combine_chunks()]
-        values = [ratio()[f] / np.sqrt(len(f)) for f in found]
+        column = taken["found"].combine_chunks()
+        ends = column.offsets.to_numpy()[1:-1]
+        flat = column.values.to_numpy()
+        found = np.split(flat, ends)
+        values = np.split((ratio()[flat] / np.sqrt(np.repeat(size := [len(f) for f in found], size))).astype(np.float32), ends)
         kept = np.array([crc32(str(i).encode()) % 5 == 0 for i in taken["doc_id"].to_pylist()])
         if len({*y[kept]}) < 2 or len({*y[~kept]}) < 2:
             kept[:] = False
@@ -189,9 +192,9 @@ def fit(rows: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> Model:
     return Model(weight, *map(float, value[-3:]))
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _indicators(text: pa.Array) -> pa.Array:
-    return pa.array([indicators(t) for t in text.to_pylist()], pa.list_(pa.int64()))
+    return pa.array([indicators(t).astype(np.int32) for t in text.to_pylist()], pa.list_(pa.int32()))
 
 
 def score_udf(docs: DataFrame, model: Model):

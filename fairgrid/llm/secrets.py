@@ -96,6 +96,9 @@ def _scan(text: pa.Array) -> pa.Array:
     return pa.array([dict(zip(_ROW.names, r, strict=True)) for r in rows], to_arrow_type(_ROW))
 
 
+_scan = _scan.asNondeterministic()  # so that a filter on its result doesn't scan again
+
+
 def ownership(candidates: DataFrame) -> DataFrame:
     """(digest, owner, repository) rows to (digest, n_owners, n_repositories), both distinct, null counting as one.
 
