@@ -17,12 +17,13 @@ def with_hash(raws: DataFrame) -> DataFrame:
 
 
 def collapse(raws: DataFrame) -> DataFrame:
-    """One row per hash: the first by seq, with the categories of all in their order, each once."""
+    """One row per hash: the first by seq (and place in its document, if told), with the categories of all in their order, each once."""
     raws = raws if "canonical_hash" in raws.columns else with_hash(raws)
-    others = [c for c in raws.columns if c not in ("canonical_hash", "categories")]
-    listed = F.array_sort(F.collect_list(F.struct("seq", "categories")))
+    others = [c for c in raws.columns if c not in ("canonical_hash", "categories", "place")]
+    order = F.struct("seq", *(["place"] if "place" in raws.columns else []))
+    listed = F.array_sort(F.collect_list(F.struct(order, "categories")))
     united = F.array_distinct(F.flatten(F.transform(listed, lambda x: F.coalesce(x["categories"], F.array().cast("array<string>")))))
-    got = raws.groupBy("canonical_hash").agg(F.min_by(F.struct(*others), "seq").alias("first"), united.alias("categories"))
+    got = raws.groupBy("canonical_hash").agg(F.min_by(F.struct(*others), order).alias("first"), united.alias("categories"))
     return got.select("canonical_hash", "first.*", "categories")
 
 

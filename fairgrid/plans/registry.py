@@ -447,10 +447,10 @@ def a7_f8_pins(spark, sf):
     return calendar.pins(d).select(day("day").alias("day"), "pin", "n", F.col("event_id").alias("first_id"))
 
 
-@query(listings.SQL + "SELECT CAST(day AS VARCHAR) AS day, pin, place, event_id FROM (SELECT *, printf('%.5f,%.5f', latitude, longitude) AS pin, row_number() OVER (PARTITION BY day, printf('%.5f,%.5f', latitude, longitude) ORDER BY start_at, event_id) AS place FROM days WHERE latitude IS NOT NULL AND longitude IS NOT NULL) WHERE place <= 100")
+@query(listings.SQL + "SELECT CAST(day AS VARCHAR) AS day, pin, place, event_id FROM (SELECT *, printf('%.5f,%.5f', latitude, longitude) AS pin, row_number() OVER (PARTITION BY day, printf('%.5f,%.5f', latitude, longitude) ORDER BY start_at, event_id) AS place FROM days WHERE latitude IS NOT NULL AND longitude IS NOT NULL)")
 def a7_pin_events(spark, sf):
     d = calendar.event_days(listings.events(spark, sf))
-    return calendar.pin_events(d, 100).withColumn("day", day("day"))
+    return calendar.pin_events(d).withColumn("day", day("day"))
 
 
 @query(listings.SQL + "SELECT CAST(day AS VARCHAR) AS day, pin, place, event_id FROM (SELECT *, printf('%.5f,%.5f', latitude, longitude) AS pin, row_number() OVER (PARTITION BY day, printf('%.5f,%.5f', latitude, longitude) ORDER BY start_at, event_id) AS place FROM days WHERE latitude IS NOT NULL AND longitude IS NOT NULL)")
@@ -713,15 +713,17 @@ def s1_p13_p14_f3_json_docs(spark, sf):
 
 
 @query(
-    rf"""SELECT k, {U.format(TO_UTC.format("CAST(d AS TIMESTAMP) + INTERVAL 19 HOUR"))} AS start_at FROM (SELECT o_orderkey AS k, o_orderkey % 3 AS w, CAST(o_orderdate AS DATE) AS d0, CAST(unnest(generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 60, INTERVAL 1 DAY)) AS DATE) AS d FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-03-01')
- WHERE d < DATE '1995-03-15' AND d >= DATE '1995-02-01' AND ((w = 0 AND (d - d0) % 3 = 0) OR (w = 1 AND isodow(d) IN (2, 4) AND ((d - CAST(isodow(d) AS INTEGER)) - (d0 - CAST(isodow(d0) AS INTEGER))) % 14 = 0) OR (w = 2 AND isodow(d) = 1 AND ceil(day(d) / 7.0) = 2))"""
+    rf"""SELECT k, {U.format(TO_UTC.format("CAST(d AS TIMESTAMP) + INTERVAL 19 HOUR"))} AS start_at FROM (SELECT o_orderkey AS k, o_orderkey % 7 AS w, CAST(o_orderdate AS DATE) AS d0, CAST(unnest(generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 60, INTERVAL 1 DAY)) AS DATE) AS d FROM orders)
+ WHERE d < DATE '1995-03-15' AND d >= DATE '1995-02-01' AND ((w = 0 AND (d - d0) % 3 = 0) OR (w = 1 AND isodow(d) IN (2, 4) AND ((d - CAST(isodow(d) AS INTEGER)) - (d0 - CAST(isodow(d0) AS INTEGER))) % 14 = 0) OR (w = 2 AND isodow(d) = 1 AND ceil(day(d) / 7.0) = 2)
+  OR (w = 3 AND isodow(d) = 1 AND ceil(day(d) / 7.0) IN (1, 3)) OR (w = 4 AND isodow(d) = 1) OR (w = 5 AND (day(d) = 15 OR d = last_day(d))) OR (w = 6 AND isodow(d) IN (1, 6)))"""
 )
 def s4_recurrence(spark, sf):
-    """Orders of two months as series of 60 days: every third day, Tuesdays and Thursdays of every second week, or second Mondays."""
-    o = listings.table(spark, sf, "orders").withColumn("d0", F.to_date("o_orderdate")).where(F.col("d0").between(F.lit("1995-01-01").cast("date"), F.lit("1995-02-28").cast("date")))
+    """Every order as a series of 60 days by one of seven rules; what falls into six weeks."""
+    o = listings.table(spark, sf, "orders").withColumn("d0", F.to_date("o_orderdate"))
     k = F.col("o_orderkey")
     until = F.concat(F.lit(";UNTIL="), F.date_format(F.date_add("d0", 60), "yyyyMMdd"))
-    rule = F.concat(F.when(k % 3 == 0, "FREQ=DAILY;INTERVAL=3").when(k % 3 == 1, "FREQ=WEEKLY;INTERVAL=2;BYDAY=TU,TH").otherwise("FREQ=MONTHLY;BYDAY=2MO"), until)
+    rules = ["FREQ=DAILY;INTERVAL=3", "FREQ=WEEKLY;INTERVAL=2;BYDAY=TU,TH", "FREQ=MONTHLY;BYDAY=2MO", "FREQ=MONTHLY;BYDAY=1MO,3MO", "FREQ=MONTHLY;BYDAY=MO", "FREQ=MONTHLY;BYMONTHDAY=15,-1", "FREQ=DAILY;BYDAY=MO,SA"]
+    rule = F.concat(F.element_at(F.array(*map(F.lit, rules)), (k % 7 + 1).cast("int")), until)
     rows = o.select(k.alias("seq"), F.lit("x").alias("summary"), times.at_clock(F.col("d0"), F.lit(19 * 3600)).alias("dtstart"), F.lit(None).cast("timestamp").alias("dtend"), F.lit(None).cast("string").alias("location"), F.lit(None).cast("string").alias("description"), rule.alias("rrule"), F.array().cast("array<string>").alias("exdate"))
     return feeds.expand_recurring(rows, "1995-02-01", "1995-03-15").select(F.col("seq").alias("k"), utc("start_at").alias("start_at"))
 
@@ -765,6 +767,6 @@ def r1_s6_incremental_ingest(spark, sf):
     r.select("delivery", *[c.split()[0] for c in RAW.split(", ")]).write.json(landing)
     q = incremental.stream_deliveries(spark, landing, root, remembered, lambda batch: RUN_1, threshold=None, files=None)
     q.awaitTermination()
-    newest = "".join(c if c.isalnum() else "-" for c in f"{RUN_1}-Source B")
+    newest = incremental.newest(spark, root)
     sources = store.read(spark, root, newest, "event_sources").groupBy("event_id").agg(F.count("*").alias("n_sources"))
     return store.read(spark, root, newest, "events").join(sources, "event_id").select(F.col("event_id").alias("hash"), "status", "n_sources")

@@ -48,14 +48,14 @@ def occurrences(tz: str) -> Column:
 
 
 def raw_events(docs: DataFrame, source_name: str, default_url: str, tz: str = times.HOME, window: tuple[str, str] | None = None) -> DataFrame:
-    """One row per occurrence. Documents without a title or a date go; ``window`` keeps local event dates between two dates, both included."""
+    """One row per occurrence, place its number in the document. Documents without a title or a date go; ``window`` keeps local event dates between two dates, both included."""
     docs = docs.withColumn("title", text.strip("title")).where(F.coalesce(F.col("title"), F.lit("")) != "")
     docs = docs.withColumn("d", event_date(F.col("dates.eventDate"), F.col("nextDate"), F.col("startDate"), tz)).where("d is not null")
     if window:
         docs = docs.where(F.col("d").between(*(F.lit(w).cast("date") for w in window)))
     docs = docs.withColumn("times_text", text.strip(F.coalesce("times", F.lit(""))))
     body = text.blank_as_null(text.clean_html(F.coalesce(text.first_filled(F.col("description"), F.col("teaser")), F.lit(""))))
-    docs = docs.withColumn("body", body).withColumn("o", F.explode(occurrences(tz)))
+    docs = docs.withColumn("body", body).select("*", F.posexplode(occurrences(tz)).alias("place", "o"))
     start = F.col("o.start_at")
     return docs.select(
         "seq",
@@ -71,4 +71,5 @@ def raw_events(docs: DataFrame, source_name: str, default_url: str, tz: str = ti
         text.blank_as_null(F.try_element_at("media_raw", F.lit(1))["mediaurl"]).alias("image_url"),
         taxonomy.map_categories(F.col("categories.catName")).alias("categories"),
         F.col("o.all_day").alias("all_day"),
+        "place",
     )

@@ -21,10 +21,10 @@ def read(spark: SparkSession, root: str, version: str | None, name: str) -> Data
     return spark.read.schema(struct(TABLES[name])).parquet(f"{root}/{version}/{name}")
 
 
-def write(df: DataFrame, root: str, version: str, name: str) -> None:
+def write(df: DataFrame, root: str, version: str, name: str, mode: str = "errorifexists") -> None:
     """A new version; earlier ones stay, so a failed run leaves them whole."""
     columns = [f.name for f in struct(TABLES[name]).fields]
-    df.select(*columns).write.mode("errorifexists").parquet(f"{root}/{version}/{name}")
+    df.select(*columns).write.mode(mode).parquet(f"{root}/{version}/{name}")
 
 
 def read_jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.schemas import RAW
@@ -12,38 +16,62 @@ from ..sources import store
 DELIVERY = f"delivery string, {RAW}"
 
 
-def ingest_once(spark: SparkSession, root: str, version: str | None, raws: DataFrame, source_name: str, run_start: str, threshold: float | None = dedupe.THRESHOLD) -> str:
-    """Merges one delivery into the newest version and writes the next one; its name is the run's time and source."""
+#: One row per published version, appended once both of its tables are there.
+PUBLISHED = "version string, batch long, place int"
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """(version, batch, place) of the versions that are whole."""
+    try:
+        return spark.read.schema(PUBLISHED).parquet(f"{root}/_published")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], PUBLISHED)
+
+
+def newest(spark: SparkSession, root: str) -> str | None:
+    """The version that was published last; None for none."""
+    return published(spark, root).agg(F.max_by("version", F.struct("batch", "place"))).first()[0]
+
+
+def ingest_once(spark: SparkSession, root: str, version: str | None, raws: DataFrame, source_name: str, run_start: str, name: str, threshold: float | None = dedupe.THRESHOLD, batch: int = 0, place: int = 0) -> str:
+    """Merges one delivery into a version and writes the version ``name``, which counts only once both of its tables are there.
+
+    Tables that an earlier try left behind without publishing them are written anew.
+    """
     events, sources = (store.read(spark, root, version, t) for t in ("events", "event_sources"))
     done = merge.ingest(raws, events, sources, source_name, run_start, threshold)
-    name = "".join(c if c.isalnum() else "-" for c in f"{run_start}-{source_name}")
-    store.write(done.events, root, name, "events")
-    store.write(done.sources, root, name, "event_sources")
+    store.write(done.events, root, name, "events", mode="overwrite")
+    store.write(done.sources, root, name, "event_sources", mode="overwrite")
+    spark.createDataFrame([(name, batch, place)], PUBLISHED).coalesce(1).write.mode("append").parquet(f"{root}/_published")
     return name
 
 
-def stream_deliveries(spark: SparkSession, landing: str, root: str, checkpoint: str, run_start_of, version: str | None = None, threshold: float | None = dedupe.THRESHOLD, files: int | None = 1) -> StreamingQuery:
-    """Ingests every file of ``landing`` once (availableNow), ``files`` at a time (None: all), source by source in order of name.
+def stream_deliveries(spark: SparkSession, landing: str, root: str, checkpoint: str, run_start_of, threshold: float | None = dedupe.THRESHOLD, files: int | None = 1) -> StreamingQuery:
+    """Ingests every file of ``landing`` once (availableNow), ``files`` at a time (None: all), delivery by delivery.
 
     What comes at once holds whole deliveries: raw events with a ``delivery``
-    column. ``run_start_of`` maps a
-    batch number to the run's time. Versions are the state; the stream's own
-    checkpoint only remembers files. A batch that is run again after a failure
-    finds its version there and goes on from it.
+    column, taken in order of delivery and source, each with a version of its
+    own. ``run_start_of`` maps a batch number to the run's time; deliveries may
+    share one. Versions are the state, the newest one is where a start goes on;
+    the stream's own checkpoint only remembers files. Of a batch that is run
+    again after a failure, deliveries that were published are passed over. One
+    stream at a time writes to a store.
     """
-    state = {"version": version}
+    stream_id = f"{crc32(checkpoint.rstrip('/').encode()):08x}"
+    since = published(spark, root).where(~F.startswith("version", F.lit(f"{stream_id}-"))).agg(F.max("batch")).first()[0]
+    offset = 0 if since is None else since + 1  # another stream's versions are older
 
     def one(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
-        for row in held.select("source_name").distinct().orderBy("source_name").collect():
-            now = run_start_of(batch_id)
-            name = "".join(c if c.isalnum() else "-" for c in f"{now}-{row.source_name}")
-            try:
-                state["version"] = ingest_once(spark, root, state["version"], held.where(held.source_name == row.source_name).drop("delivery"), row.source_name, now, threshold)
-            except Exception as e:  # a repeated batch: its version is there already
-                if "PATH_ALREADY_EXISTS" not in str(e):
-                    raise
-                state["version"] = name
+        there = {r.version for r in published(spark, root).where(F.col("batch") == offset + batch_id).collect()}
+        keys = held.select("delivery", "source_name").distinct().orderBy("delivery", "source_name").collect()
+        for place, row in enumerate(keys):
+            name = f"{stream_id}-{batch_id:08d}-{place:06d}"
+            if name not in there:
+                mine = held.where(held.delivery.eqNullSafe(row.delivery) & held.source_name.eqNullSafe(row.source_name)).drop("delivery")
+                ingest_once(spark, root, newest(spark, root), mine, row.source_name, run_start_of(batch_id), name, threshold, offset + batch_id, place)
         held.unpersist()
 
     reader = spark.readStream.schema(DELIVERY)

@@ -68,6 +68,15 @@ def test_recurrence(spark):
     assert series(spark, "FREQ=WEEKLY;INTERVAL=2") == ["03-16 18:00"]
     assert series(spark, "FREQ=MONTHLY;BYDAY=2MO") == ["03-09 18:00"]
     assert series(spark, "FREQ=MONTHLY;BYDAY=-3TH") == ["03-12 18:00"]
+    assert series(spark, "FREQ=MONTHLY;BYDAY=2MO,3TH,-3WE") == ["03-09 18:00", "03-11 18:00", "03-19 18:00"]
+    assert series(spark, "FREQ=MONTHLY;BYDAY=MO") == ["03-09 18:00", "03-16 18:00"]
+    assert series(spark, "FREQ=MONTHLY;BYMONTHDAY=15,-20") == ["03-12 18:00", "03-15 18:00"]
+    assert series(spark, "FREQ=DAILY;BYDAY=MO,SA") == ["03-07 19:00", "03-09 18:00", "03-14 18:00", "03-16 18:00"]
+    assert series(spark, "FREQ=YEARLY", "2024-03-10 18:00") == ["03-10 18:00"] and series(spark, "FREQ=YEARLY;INTERVAL=3", "2024-03-10 18:00") == []
+    assert series(spark, "FREQ=YEARLY;BYMONTH=3;BYMONTHDAY=9") == ["03-09 18:00"]
+    assert series(spark, "FREQ=MONTHLY;BYDAY=MO;BYSETPOS=1") == []
+    rules = spark.createDataFrame([("FREQ=MONTHLY;BYDAY=MO;BYSETPOS=1",), ("FREQ=YEARLY;BYDAY=MO",), ("FREQ=HOURLY",), ("FREQ=MONTHLY;BYDAY=1MO",), ("FREQ=DAILY;COUNT=3",), (None,)], "rrule string")
+    assert {r.rrule for r in feeds.unknown_rules(rules).collect()} == {"FREQ=MONTHLY;BYDAY=MO;BYSETPOS=1", "FREQ=YEARLY;BYDAY=MO", "FREQ=HOURLY"}
     assert series(spark, "FREQ=WEEKLY;UNTIL=20260310T000000Z", exdate=["20260309T130000"]) == []
     assert series(spark, None) == [] and series(spark, None, "2026-03-07 10:00") == ["03-07 10:00"]
     assert series(spark, None, "2026-03-05 10:00", 48) == ["03-05 10:00"]
