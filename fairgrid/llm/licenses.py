@@ -104,16 +104,27 @@ def aligned(hits: DataFrame, templates, weights: list[float], agree: int = AGREE
     index = spark.createDataFrame([(t, label, w, p, [max(weights[i], 1e-9) for i in w]) for t, label, w, p in texts], "template int, label string, notice array<int>, phrase array<int>, weight array<double>")
     postings = index.select("template", F.posexplode("notice").alias("q", "w"))
     by_rank = F.array(*[F.lit(float(x)) for x in weights])
+    # the templates whose mandatory phrase can stand here: all its words do somewhere
+    kinds = F.array_distinct(F.transform("hits", _word))
+    phrases = F.array(*[F.struct(F.lit(t).alias("template"), F.array(*map(F.lit, dict.fromkeys(phrase))).alias("words")) for t, _, _, phrase in texts])
+    possible = F.transform(F.filter(phrases, lambda t: F.forall(t["words"], lambda w: F.array_contains("kinds", w))), lambda t: t["template"])
+    some = hits.withColumn("kinds", kinds).withColumn("possible", possible).where(F.size("possible") > 0)
     # the document's own rarest licence words
-    kinds = F.array_sort(F.transform(F.array_distinct(F.transform("hits", _word)), lambda w: F.struct((-F.get(by_rank, w)).alias("x"), w.alias("w"))))
-    rare = F.transform(F.filter(kinds, lambda k, i: (i < rare_words) | (k["x"] <= math.log(RARE_SHARE))), lambda k: k["w"])
-    asked = hits.withColumn("rare", rare).select("row", F.explode(F.filter("hits", lambda h: F.array_contains(F.col("rare"), _word(h)))).alias("h"))
-    votes = asked.select("row", _place(F.col("h")).alias("p"), _word(F.col("h")).alias("w")).join(F.broadcast(postings), "w").select("row", "template", (F.col("p") - F.col("q")).alias("start"))
-    starts = cut(votes.where("start >= 0").groupBy("row", "template", "start").agg(F.count("*").alias("votes")).where(F.col("votes") >= agree).select("row", "template", "start"))
+    ranked = F.array_sort(F.transform("kinds", lambda w: F.struct((-F.get(by_rank, w)).alias("x"), w.alias("w"))))
+    rare = F.transform(F.filter(ranked, lambda k, i: (i < rare_words) | (k["x"] <= math.log(RARE_SHARE))), lambda k: k["w"])
+    asked = some.withColumn("rare", rare).select("row", "possible", "rare", F.posexplode("hits").alias("i", "h")).where(F.array_contains("rare", _word(F.col("h"))))
+    asked = asked.select("row", "possible", "i", _place(F.col("h")).alias("p"), _word(F.col("h")).alias("w"))
+    votes = asked.join(F.broadcast(postings), "w").where(F.array_contains("possible", F.col("template")))
+    # of a start's template, hits[first] and those after it are the only ones in place, as many as it has words
+    votes = votes.select("row", "template", (F.col("p") - F.col("q")).alias("start"), (F.col("i") - F.col("q")).alias("first"))
+    starts = votes.where("start >= 0").groupBy("row", "template", "start").agg(F.count("*").alias("votes"), F.max("first").alias("first"))
+    starts = cut(starts.where(F.col("votes") >= agree).select("row", "template", "start", F.greatest("first", F.lit(0)).alias("first")))
+    sizes = index.select("template", F.size("notice").alias("size"))
+    near = F.slice("hits", F.col("first") + 1, F.col("size"))
+    each = cut(hits.join(small(starts.join(F.broadcast(sizes), "template")), "row").select("row", "template", "start", near.alias("near")))
     # all words in place, by IDF weight, and the mandatory phrase within the template's stretch
-    each = hits.join(small(starts), "row").join(F.broadcast(index), "template")
-    size = F.size("notice")
-    here = F.filter("hits", lambda h: (_place(h) >= F.col("start")) & (_place(h) < F.col("start") + size))
+    each = each.join(F.broadcast(index), "template")
+    here = F.filter("near", lambda h: (_place(h) >= F.col("start")) & (_place(h) < F.col("start") + F.size("notice")))
     each = each.select("row", "label", "start", "notice", "phrase", "weight", here.alias("here"))
     key = lambda at, w: at * WORDS + w
     met = F.transform("notice", lambda w, q: F.when(F.array_contains("here", key(F.col("start") + q, w)), F.get("weight", q)).otherwise(0.0))
