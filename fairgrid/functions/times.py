@@ -10,6 +10,7 @@ HOME = "America/Chicago"
 #: Weekday names as listings write them, Monday 0.
 WEEKDAYS = {"monday": 0, "mon": 0, "tuesday": 1, "tue": 1, "wednesday": 2, "wed": 2, "thursday": 3, "thu": 3, "friday": 4, "fri": 4, "saturday": 5, "sat": 5, "sunday": 6, "sun": 6}
 
+#: The times that listings' texts give.
 _CLOCK = r"(\d{1,2}(?::\d{2})?(?:am|pm))"
 _DAY_TIMES = rf"(?i)({'|'.join(WEEKDAYS)})\s+{_CLOCK}\s*[-–]\s*{_CLOCK}"
 _FROM_TO = r"(?i)From:\s*(\d{1,2}:\d{2}\s*[AP]M)\s*to\s*(\d{1,2}:\d{2}\s*[AP]M)"

@@ -21,9 +21,12 @@ def collapse(raws: DataFrame) -> DataFrame:
     raws = raws if "canonical_hash" in raws.columns else with_hash(raws)
     others = [c for c in raws.columns if c not in ("canonical_hash", "categories", "place")]
     order = F.struct("seq", *(["place"] if "place" in raws.columns else []))
-    listed = F.array_sort(F.collect_list(F.struct(order, "categories")))
-    united = F.array_distinct(F.flatten(F.transform(listed, lambda x: F.coalesce(x["categories"], F.array().cast("array<string>")))))
-    got = raws.groupBy("canonical_hash").agg(F.min_by(F.struct(*others), order).alias("first"), united.alias("categories"))
+    # a category comes once per hash before any list is made, however many rows have the hash
+    each = raws.select("canonical_hash", order.alias("at"), F.struct(*others).alias("row"), F.posexplode_outer("categories").alias("pos", "category"))
+    each = each.groupBy("canonical_hash", "category").agg(F.min(F.when(F.col("pos").isNotNull(), F.struct("at", "pos"))).alias("place"), F.min("at").alias("at"), F.min_by("row", "at").alias("row"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "category"))))
+    united = F.transform(listed, lambda x: x["category"])
+    got = each.groupBy("canonical_hash").agg(F.min_by("row", "at").alias("first"), united.alias("categories"))
     return got.select("canonical_hash", "first.*", "categories")
 
 
@@ -103,7 +106,7 @@ def _linker(threshold: float):
                         if (not all_day and other_start != start) or founded >= seq:
                             continue
                         m = SequenceMatcher(None, title, other)
-                        if m.real_quick_ratio() < top or m.quick_ratio() < top:
+                        if min(m.real_quick_ratio(), m.quick_ratio()) < max(top, threshold):
                             continue
                         r = m.ratio()
                         if r > top or (r == top and best is not None and other_key < best):

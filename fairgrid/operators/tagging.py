@@ -24,8 +24,8 @@ def payload(title: Column, description: Column, venue: Column) -> Column:
 
 
 def numbered(rows: DataFrame, key: str = "event_id", size: int = BATCH, shards: int = SHARDS) -> DataFrame:
-    """Adds batch_id and idx (0 to size - 1), numbered by key inside hash shards, so that no task sees all rows."""
-    shard = F.pmod(F.xxhash64(key), F.lit(shards))
+    """Adds batch_id and idx (0 to size - 1), numbered by key inside shards by the key's MD5, so that no task sees all rows."""
+    shard = F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(shards))
     n = F.row_number().over(Window.partitionBy("shard").orderBy(key)) - 1
     out = rows.withColumn("shard", shard).withColumn("n", n)
     return out.withColumn("batch_id", F.floor(F.col("n") / size) * shards + F.col("shard")).withColumn("idx", (F.col("n") % size).cast("int")).drop("n", "shard")
@@ -100,13 +100,27 @@ def set_metrics(predicted: Column, truth: Column) -> tuple[Column, Column, Colum
 
 
 def evaluate(truth: DataFrame, predictions: DataFrame, run_keys: list[str]) -> DataFrame:
-    """Macro averages per run over all of ``truth`` (item, tags); a missing prediction counts as empty."""
-    runs = predictions.select(*run_keys).distinct()
-    every = runs.join(truth.select("item", F.col("tags").alias("truth")), F.lit(True))  # one row per run and item, the grid that is asked for
-    got = every.join(predictions.select(*run_keys, "item", F.col("tags").alias("predicted")), [*run_keys, "item"], "left")
+    """Macro averages per run over all of ``truth`` (item, tags; one row an item); a missing prediction counts as empty.
+
+    Items that a run doesn't answer are counted, not listed: an empty
+    prediction is precise, and recalls no truth but an empty one. Predictions
+    of items that aren't in ``truth`` don't count.
+    """
+    empty = F.array().cast("array<string>")
+    known = truth.select("item", F.coalesce("tags", empty).alias("truth"))
+    got = predictions.select(*run_keys, "item", F.coalesce("tags", empty).alias("predicted")).join(known, "item", "left")
     p, r, f = set_metrics(F.col("predicted"), F.col("truth"))
-    n = F.size(F.coalesce("predicted", F.array().cast("array<string>")))
-    return got.groupBy(*run_keys).agg(F.count("*").alias("n_items"), F.avg(n).alias("avg_cats"), F.avg(p).alias("precision"), F.avg(r).alias("recall"), F.avg(f).alias("f1"))
+    there, none = F.col("truth").isNotNull(), F.size("truth") == 0
+    if_there = lambda x: F.coalesce(F.sum(F.when(there, x)), F.lit(0))
+    sums = [F.count_if(there).alias("n"), if_there(F.size("predicted")).alias("cats"), if_there(p).alias("p"), if_there(r).alias("r"), if_there(f).alias("f")]
+    by_item = got.groupBy(*run_keys, "item").agg(*sums, F.max(there & none).alias("none"))
+    runs = by_item.groupBy(*run_keys).agg(*[F.sum(c).alias(c) for c in ("n", "cats", "p", "r", "f")], F.count_if(F.col("n") > 0).alias("found"), F.count_if("none").alias("found_empty"))
+    whole = known.agg(F.count("*").alias("items"), F.count_if(none).alias("empty"))
+    runs = runs.crossJoin(F.broadcast(whole)).where("items > 0")  # one row
+    missing, missing_empty = F.col("items") - F.col("found"), F.col("empty") - F.col("found_empty")
+    n = F.col("n") + missing
+    averages = [(F.col("cats") / n).alias("avg_cats"), ((F.col("p") + missing) / n).alias("precision"), ((F.col("r") + missing_empty) / n).alias("recall"), ((F.col("f") + missing_empty) / n).alias("f1")]
+    return runs.select(*run_keys, n.alias("n_items"), *averages)
 
 
 def usage_cost(usage: DataFrame, prices: DataFrame, run_keys: list[str]) -> DataFrame:

@@ -63,15 +63,6 @@ def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- text and keys ------------------------------------------------------------
 
-ENTITIES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&amp;": "&"}
-
-
-def known_entities(c: Column) -> Column:
-    for entity, to in ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(to))
-    return c
-
-
 @query(
     r"""SELECT page_id, sha256(body) AS body_sha256, CAST(length(body) AS BIGINT) AS n FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
  replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'),
@@ -102,16 +93,16 @@ def p5_p24_p25_p27_local_time(spark, sf):
 
 
 @query(
-    r"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'ok' END AS iso_state, CASE WHEN doc_id % 24 < 24 AND doc_id % 70 < 60 THEN (doc_id % 24) * 3600 + (doc_id % 70) * 60 + 5 END AS hms,
+    r"""SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN strftime(TIMESTAMP '2026-05-01' + (doc_id % 28) * INTERVAL 1 DAY + CASE doc_id % 4 WHEN 1 THEN INTERVAL 3723 SECOND WHEN 2 THEN INTERVAL 14706 SECOND ELSE INTERVAL 102600 SECOND END, '%Y-%m-%d %H:%M:%S') END AS iso, CASE WHEN doc_id % 24 < 24 AND doc_id % 70 < 60 THEN (doc_id % 24) * 3600 + (doc_id % 70) * 60 + 5 END AS hms,
  (CASE WHEN doc_id % 12 = 0 THEN 0 ELSE doc_id % 12 END + 12) * 3600 + (doc_id % 60) * 60 AS clock FROM documents"""
 )
 def p7_p8_p10_parsers(spark, sf):
     i = F.col("doc_id")
-    iso = F.when(i % 4 == 0, F.lit("12:00")).otherwise(F.concat(F.lit("2026-05-"), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.lit("T01:02:03Z")))
+    iso = F.when(i % 4 == 0, F.lit("12:00")).otherwise(F.concat(F.lit("2026-05-"), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.when(i % 4 == 1, "T01:02:03Z").when(i % 4 == 2, " 04:05:06").otherwise("T23:30:00-05:00")))
     hms = F.concat_ws(":", (i % 24).cast("string"), (i % 70).cast("string"), F.lit("5"))
     clock = F.concat(F.when(i % 12 == 0, 12).otherwise(i % 12).cast("string"), F.lit(":"), F.lpad((i % 60).cast("string"), 2, "0"), F.lit("pm"))
     d = listings.table(spark, sf, "documents")
-    return d.select("doc_id", F.when(times.parse_iso(iso).isNotNull(), "ok").alias("iso_state"), times.parse_hms(hms).cast("long").alias("hms"), times.parse_clock(clock).cast("long").alias("clock"))
+    return d.select("doc_id", utc(times.parse_iso(iso)).alias("iso"), times.parse_hms(hms).cast("long").alias("hms"), times.parse_clock(clock).cast("long").alias("clock"))
 
 
 @query(
@@ -243,12 +234,17 @@ ESC = r"replace(replace(replace({0}, '\', '\\'), ';', '\;'), ',', '\,')"
     ELSE 'DTSTART:' || strftime(start_at, '%Y%m%dT%H%M%SZ') || {CRLF} || 'DTEND:' || strftime(coalesce(end_at, start_at), '%Y%m%dT%H%M%SZ') END || {CRLF}
  || 'SUMMARY:' || {ESC.format("title")} || {CRLF} || coalesce('DESCRIPTION:' || {ESC.format("description")} || {CRLF}, '')
  || coalesce('LOCATION:' || {ESC.format("nullif(concat_ws(', ', venue_name, venue_address), '')")} || {CRLF}, '') || 'URL:https://example.com/' || CAST(CAST(event_id AS BIGINT) AS VARCHAR) || {CRLF} || 'END:VEVENT' || {CRLF} || 'END:VCALENDAR') AS ical,
- 'x' AS filename_state FROM ev"""
+ regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g') || '.ics' AS filename FROM ev"""
 )
 def s8_p30_p31_ical(spark, sf):
     content = export.ical_content(F.lit(RUN_1).cast("timestamp"))
-    ok = F.when(text.ical_filename(F.col("title")).rlike(r"^[a-z0-9-]+\.ics$"), "x")
-    return with_links(spark, sf).select("event_id", F.sha2(content, 256).alias("ical"), ok.alias("filename_state"))
+    return with_links(spark, sf).select("event_id", F.sha2(content, 256).alias("ical"), text.ical_filename(F.col("title")).alias("filename"))
+
+
+@query("SELECT doc_id, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 50) || '.ics' AS filename FROM documents")
+def p30_filename_of_documents(spark, sf):
+    """Texts as titles: names are cut to 50 characters."""
+    return listings.table(spark, sf, "documents").select("doc_id", text.ical_filename(F.col("text")).alias("filename"))
 
 
 @query(
@@ -436,9 +432,9 @@ def a6_bar_heights(spark, sf):
     return b.select(day("day").alias("day"), "hour", F.round("height", 6).alias("height"), F.col("place").cast("int").alias("place"))
 
 
-@query(listings.SQL + "SELECT CAST(day AS VARCHAR) AS day, bucket, hour, CASE WHEN hour % 12 = 0 THEN '12' ELSE CAST(hour % 12 AS VARCHAR) END || CASE WHEN hour < 12 THEN ' AM' ELSE ' PM' END AS label, string_agg(event_id, ',' ORDER BY start_at, event_id) AS ids FROM grouped WHERE hour IS NOT NULL GROUP BY ALL")
+@query(listings.SQL + "SELECT CAST(day AS VARCHAR) AS day, bucket, hour, CASE WHEN hour % 12 = 0 THEN '12' ELSE CAST(hour % 12 AS VARCHAR) END || CASE WHEN hour < 12 THEN ' AM' ELSE ' PM' END AS label, CASE WHEN hour % 12 = 0 THEN '12' ELSE CAST(hour % 12 AS VARCHAR) END || CASE WHEN hour < 12 THEN 'a' ELSE 'p' END AS short, string_agg(event_id, ',' ORDER BY start_at, event_id) AS ids FROM grouped WHERE hour IS NOT NULL GROUP BY ALL")
 def w5_p39_hour_groups(spark, sf):
-    return calendar.hour_groups(grouped(spark, sf)).select(day("day").alias("day"), "bucket", "hour", "label", F.array_join("event_ids", ",").alias("ids"))
+    return calendar.hour_groups(grouped(spark, sf)).select(day("day").alias("day"), "bucket", "hour", "label", times.hour_label(F.col("hour")).alias("short"), F.array_join("event_ids", ",").alias("ids"))
 
 
 @query(listings.SQL + "SELECT CAST(day AS VARCHAR) AS day, printf('%.5f,%.5f', latitude, longitude) AS pin, count(*) AS n, arg_min(event_id, event_key) AS first_id FROM (SELECT *, strftime(start_at, '%Y-%m-%d %H:%M:%S') || event_id AS event_key FROM days WHERE latitude IS NOT NULL AND longitude IS NOT NULL) GROUP BY ALL")
@@ -585,25 +581,39 @@ def f6_untagged(spark, sf):
     return tagging.untagged(listings.events(spark, sf)).select("event_id")
 
 
-@query()
+LONG = "length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 80"
+
+#: (id, shard, n): texts that are asked about, numbered by id inside their shard.
+PLACED = f"""WITH dealt AS (SELECT doc_id, n_chars, CAST('0x' || substr(md5(lpad(CAST(doc_id AS VARCHAR), 9, '0')), 1, 8) AS BIGINT) % {tagging.SHARDS} AS shard FROM documents WHERE {LONG}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY lpad(CAST(doc_id AS VARCHAR), 9, '0')) - 1 AS n FROM dealt)
+"""
+
+
+@query(PLACED + f"SELECT (n // {tagging.BATCH}) * {tagging.SHARDS} + shard AS batch_id, count(*) AS n, CAST(max(n % {tagging.BATCH}) AS INTEGER) AS last FROM placed GROUP BY ALL")
 def w4_batches(spark, sf):
     """Sizes of the classifier's batches: 25 each but for the last of a shard."""
     b = tagging.numbered(to_tag(spark, sf).where("payload is not null"))
     return b.groupBy("batch_id").agg(F.count("*").alias("n"), F.max("idx").alias("last"))
 
 
-LONG = "length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 80"
-
-
-@query(f"SELECT CAST(count(*) FILTER (WHERE {LONG} AND n_chars % 3 <> 0) AS BIGINT) AS tagged, count(*) FILTER (WHERE NOT {LONG}) AS skipped_no_description, count(*) AS candidates FROM documents")
-def a11_j15_tagging_stats(spark, sf):
+def answered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A rule instead of a classifier: texts whose length is a multiple of three get no tag."""
     all_ = to_tag(spark, sf)
     placed = tagging.numbered(all_.where("payload is not null"))
     line = F.concat(F.col("idx").cast("string"), F.when(F.length("description") % 3 != 0, ":Music,Nope").otherwise(":"))
     answers = placed.groupBy("batch_id").agg(F.array_join(F.collect_list(line), "\n").alias("response"))
-    got = tagging.parse_compact(answers, ["batch_id"])
-    return tagging.tagging_stats(all_, placed, got).drop("batches")
+    return all_, placed, tagging.parse_compact(answers, ["batch_id"])
+
+
+@query(PLACED + f"SELECT (SELECT count(*) FROM documents WHERE {LONG} AND n_chars % 3 <> 0) AS tagged, (SELECT count(*) FROM documents WHERE NOT {LONG}) AS skipped_no_description, (SELECT count(*) FROM documents) AS candidates, (SELECT count(*) FROM (SELECT DISTINCT n // {tagging.BATCH}, shard FROM placed)) AS batches")
+def a11_tagging_stats(spark, sf):
+    return tagging.tagging_stats(*answered(spark, sf))
+
+
+@query(f"SELECT doc_id, CASE WHEN {LONG} AND n_chars % 3 <> 0 THEN 'Music' ELSE '' END AS tags FROM documents")
+def j15_write_back(spark, sf):
+    events, placed, got = answered(spark, sf)
+    return tagging.write_back(events, placed, got).select(F.col("event_id").cast("long").alias("doc_id"), F.array_join("categories", ",").alias("tags"))
 
 
 RESPONSES = "SELECT doc_id, '0:Music,Nope' || chr(10) || '1:Food & Drink , Dance' || chr(10) || 'junk' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '0:Dance' ELSE '2:' END AS response FROM documents"
@@ -685,6 +695,19 @@ def j11_s5_a15_enrichment(spark, sf):
     return feeds.enrichment_stats(feeds.enrich(r, pages, "article", None))
 
 
+@query(
+    r"""SELECT page_id, sha256(body) AS body_sha256, CAST(length(body) AS BIGINT) AS n FROM (SELECT page_id, trim(regexp_replace(
+ replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'),
+ '[\s\x{A0}]+', ' ', 'g')) AS body FROM pages WHERE contains(html, '<article>'))"""
+)
+def s5_page_text(spark, sf):
+    """The text of every page's article, read as its listing's description."""
+    pages = listings.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("url"), "html")
+    rows = pages.select(F.col("url").alias("source_url"), F.lit("").alias("description"))
+    out = feeds.enrich(rows, pages, "article", None).where("enriched")
+    return out.select(F.col("source_url").cast("long").alias("page_id"), F.sha2("description", 256).alias("body_sha256"), F.length("description").cast("long").alias("n"))
+
+
 def json_listings(spark: SparkSession, sf: str) -> DataFrame:
     """Nested documents of the listings' columns: clock fields, From/To, weekdays or nothing by seq, as a reader would give them."""
     i = F.col("seq")
@@ -695,7 +718,7 @@ def json_listings(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("1 Main").alias("address1"), F.lit("Town").alias("city"), F.lit("IL").alias("state"), F.lit("").alias("zip"), date.alias("startDate"), date.alias("endDate"), F.lit(None).cast("string").alias("nextDate"),
         F.struct(F.when(i % 10 == 0, F.lit("junk")).otherwise(date).alias("eventDate")).alias("dates"), some(i % 4 == 0, F.lit("18:30:00")).alias("startTime"), some(i % 8 == 0, F.lit("01:00:00")).alias("endTime"),
         F.when(i % 4 == 1, "From: 6:00 PM to 8:30 PM").when(i % 4 == 2, "Friday 6pm-7pm, Sat 11am–12pm").when(i % 4 == 3, "Doors early").alias("times"),
-        F.array(F.struct(F.lit("Trivia").alias("catName"))).alias("categories"), F.array().cast("array<struct<mediaurl:string>>").alias("media_raw"), F.lit("").alias("absoluteUrl"), F.col("source_url").alias("url"),
+        F.array(F.struct(F.lit("Trivia").alias("catName"))).alias("categories"), F.when(i % 3 == 0, F.array(F.struct(F.concat(F.lit("https://example.com/i"), i.cast("string")).alias("mediaurl")), F.struct(F.lit("second").alias("mediaurl")))).when(i % 3 == 1, F.array(F.struct(F.lit("").alias("mediaurl")))).otherwise(F.array().cast("array<struct<mediaurl:string>>")).alias("media_raw"), F.lit("").alias("absoluteUrl"), F.col("source_url").alias("url"),
     )
 
 
@@ -705,11 +728,11 @@ def json_listings(spark: SparkSession, sf: str) -> DataFrame:
 SELECT seq, title, v, url, CASE WHEN w = 3 OR (w = 2 AND dow NOT IN (5, 6)) THEN CASE WHEN w = 3 THEN 'Doors early — ' ELSE 'Friday 6pm-7pm, Sat 11am–12pm — ' END ELSE '' END || coalesce(description, 'teaser') AS description,
  {U.format(TO_UTC.format("t + CASE WHEN w = 0 THEN INTERVAL 1110 MINUTE WHEN w = 1 THEN INTERVAL 1080 MINUTE WHEN w = 2 AND dow = 5 THEN INTERVAL 1080 MINUTE WHEN w = 2 AND dow = 6 THEN INTERVAL 660 MINUTE ELSE INTERVAL 0 MINUTE END"))} AS start_at,
  {U.format(TO_UTC.format("t + CASE WHEN w = 0 THEN CASE WHEN seq % 8 = 0 THEN INTERVAL 1500 MINUTE END WHEN w = 1 THEN INTERVAL 1230 MINUTE WHEN w = 2 AND dow = 5 THEN INTERVAL 1140 MINUTE WHEN w = 2 AND dow = 6 THEN INTERVAL 720 MINUTE END"))} AS end_at,
- w = 3 OR (w = 2 AND dow NOT IN (5, 6)) AS all_day, 'Trivia & Games' AS tags, '1 Main, Town, IL' AS address FROM d"""
+ w = 3 OR (w = 2 AND dow NOT IN (5, 6)) AS all_day, 'Trivia & Games' AS tags, '1 Main, Town, IL' AS address, CASE WHEN seq % 3 = 0 THEN 'https://example.com/i' || CAST(seq AS VARCHAR) END AS image FROM d"""
 )
 def s1_p13_p14_f3_json_docs(spark, sf):
     e = json_docs.raw_events(json_listings(spark, sf), "Listings", "https://example.com/")
-    return e.select("seq", "title", F.col("venue_name").alias("v"), F.col("source_url").alias("url"), "description", utc("start_at").alias("start_at"), utc("end_at").alias("end_at"), "all_day", F.array_join("categories", ",").alias("tags"), F.col("venue_address").alias("address"))
+    return e.select("seq", "title", F.col("venue_name").alias("v"), F.col("source_url").alias("url"), "description", utc("start_at").alias("start_at"), utc("end_at").alias("end_at"), "all_day", F.array_join("categories", ",").alias("tags"), F.col("venue_address").alias("address"), F.col("image_url").alias("image"))
 
 
 @query(

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fairgrid.functions.schemas import EVENTS, VENUE_GEOCODES
-from fairgrid.operators import calendar, export, geocode, tagging
+from fairgrid.operators import calendar, dedupe, export, geocode, tagging
 from fairgrid.sources import store
 
 D = dt.date(2026, 6, 15)
@@ -142,3 +142,20 @@ def test_geocoding(spark):
     assert {(r.lookup_key, r.status) for r in after.collect()} == {("hall | town, st", "success"), ("1 main, town, st", "not_found"), ("bad | town, st", "error"), ("old | town, st", "not_found")}
     got, _, stats = geocode.backfill(e, cache, gaz, "2026-01-01 00:00:00", "town", "town, st", force=True)
     assert stats.first().cleared == 1 and got.where("event_id = 'e5'").first().latitude == 3.0
+
+
+def test_evaluation_counts_what_a_run_leaves_out(spark):
+    truth = spark.createDataFrame([(1, ["a"]), (2, []), (3, ["a", "b"]), (4, None)], "item long, tags array<string>")
+    said = spark.createDataFrame([("x", 1, ["a"]), ("x", 3, ["a", "c"]), ("x", 9, ["a"]), ("y", 9, ["a"]), ("z", 2, ["a"]), ("z", 2, [])], "run string, item long, tags array<string>")
+    got = {r.run: r for r in tagging.evaluate(truth, said, ["run"]).collect()}
+    # x: 1 right, 3 half right, 2 and 4 rightly left out; y: nothing but the empty ones; z: 2 answered twice
+    assert (got["x"].n_items, got["x"].avg_cats, got["x"].precision, got["x"].recall, got["x"].f1) == (4, 0.75, 0.875, 0.875, 0.875)
+    assert (got["y"].n_items, got["y"].avg_cats, got["y"].precision, got["y"].recall, got["y"].f1) == (4, 0.0, 1.0, 0.5, 0.5)
+    assert (got["z"].n_items, got["z"].precision, got["z"].recall, got["z"].f1) == (5, 0.8, 0.6, 0.4)
+    assert tagging.evaluate(truth.where("false"), said, ["run"]).count() == 0
+
+
+def test_collapse_keeps_each_category_once_in_the_order_of_rows(spark):
+    rows = spark.createDataFrame([(2, "h", ["b", "a"]), (1, "h", ["c", "b", "c"]), (3, "h", None), (4, "g", []), (5, "g", None)], "seq long, canonical_hash string, categories array<string>")
+    got = {r.canonical_hash: (r.seq, r.categories) for r in dedupe.collapse(rows).collect()}
+    assert got == {"h": (1, ["c", "b", "a"]), "g": (4, [])}
