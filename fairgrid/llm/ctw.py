@@ -30,6 +30,7 @@ DEPTH = 3
 END = 0xFF
 #: Bytes of text whose strings are counted at once in a task.
 CHUNK = 8 << 20
+CHANGED = "a block's texts changed between two readings; leave out from_files"
 
 
 def byte_strings(data: bytes, depth: int = DEPTH) -> np.ndarray:
@@ -237,9 +238,11 @@ def _score(depth: int, shared):
             try:
                 found = np.fromiter(map(logs.__getitem__, words := data.split()), float, len(words))
             except KeyError:
-                raise RuntimeError("a block's texts changed between two passes; cut() the input") from None
+                raise RuntimeError(CHANGED) from None
             x = byte_strings(data, depth)
             at = np.searchsorted(keys, x)
+            if at.max() >= len(keys) or (keys[at] != x).any():
+                raise RuntimeError(CHANGED)
             rows.append((len(words) + 1, int((found > never).sum()) + (ends > 0), float(found.sum()) + end, float(p[at].sum())))
         cols = list(zip(*rows, strict=True))
         types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -250,7 +253,7 @@ def _score(depth: int, shared):
     return run
 
 
-def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, from_files: bool = False) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     held_out: a boolean column of ``docs``; where it is null the text isn't
@@ -258,17 +261,25 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> Da
     of the text's probability, its end included; base_score that of add-one
     word frequencies. A null text counts as empty: one token, its end. Repeated
     rows count and score as often as they stand there.
+
+    Texts are read twice, in the same blocks. ``from_files`` says that ``docs``
+    is a plain scan of files, which gives a partition the same rows each time;
+    anything else is kept in the shared folder first. A file that changes
+    between the two readings raises an error.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(~held_out, F.lit(False)).cast("int").alias("learn"))
-    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
-        rows = cut(rows)  # else a block might get other rows the next time
+    spark = docs.sparkSession
+    if not from_files:
+        rows = cut(rows)
+    elif spark.conf.get("spark.sql.files.minPartitionNum", None) is None:  # else lost executors could change how files are split
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     rows = rows.withColumn("block", F.spark_partition_id())
     each = cut(rows.select("block", "text", "learn").mapInArrow(_count(depth), "block int, word binary, string long, n long"))
     words = each.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
     strings = each.where("string is not null").groupBy("string").agg(F.sum("n").alias("n"))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     ends = rows.where("learn = 1").count()
-    shared = docs.sparkSession.sparkContext.broadcast((total[0] + ends, ends, total[1] + (ends > 0)))
+    shared = spark.sparkContext.broadcast((total[0] + ends, ends, total[1] + (ends > 0)))
     by_word = each.where("word is not null").select("block", "word").join(words, "word").select("block", "word", F.lit(None).cast("long").alias("string"), F.col("n").cast("double").alias("value"))
     by_string = each.where("string is not null").select("block", "string").join(fit(strings, depth), "string").select("block", F.lit(None).cast("binary").alias("word"), "string", F.col("log10_p").alias("value"))
     known = by_word.union(by_string)

@@ -47,7 +47,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score_documents(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
+    return ctw.score_documents(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2, from_files=True)
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
