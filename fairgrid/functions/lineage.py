@@ -8,15 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a local session may be without it, and gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
+    return named.rstrip("/")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from the checkpoint folder named in spark.checkpoint.dir (a temporary one only if it is unset); survives lost executors."""
+    """``df`` from the checkpoint folder named in spark.checkpoint.dir; survives lost executors."""
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(_root(df.sparkSession))
     return df.checkpoint()
