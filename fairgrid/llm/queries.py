@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, ctw, decontaminate, licenses, quality, secrets, sentencepiece_codec, simhash_dedup, token_shards, toxicity
+from . import alignment, balltree, ctw, decontaminate, licenses, quality, secrets, sentencepiece_codec, simhash_dedup, token_shards, toxicity
 from .common import fold, labelled, shared_folder, table
 
 
@@ -66,7 +66,11 @@ def op10_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_token_shards, op4_simhash_dedup, op5_secrets, op6_sentencepiece, op7_context_tree, op8_licenses, op9_toxicity, op10_balltree)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), alignment.load())
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_token_shards, op4_simhash_dedup, op5_secrets, op6_sentencepiece, op7_context_tree, op8_licenses, op9_toxicity, op10_balltree, op11_alignment)}
 
 #: Where SQL can express the operator; tests hold the others against plain versions, round trips or held-out labels.
 ORACLE = {
