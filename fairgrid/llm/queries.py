@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, balltree, ctw, decontaminate, licenses, quality, secrets, sentencepiece_codec, simhash_dedup, token_shards, toxicity
+from . import alignment, balltree, ctw, decontaminate, licenses, quality, secrets, sentencepiece_codec, simhash_dedup, suffix_dedup, token_shards, toxicity
 from .common import fold, labelled, shared_folder, table
 
 
@@ -70,12 +70,28 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"), alignment.load())
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_token_shards, op4_simhash_dedup, op5_secrets, op6_sentencepiece, op7_context_tree, op8_licenses, op9_toxicity, op10_balltree, op11_alignment)}
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_token_shards, op4_simhash_dedup, op5_secrets, op6_sentencepiece, op7_context_tree, op8_licenses, op9_toxicity, op10_balltree, op11_alignment, op12_suffix_dedup)}
 
 #: Where SQL can express the operator; tests hold the others against plain versions, round trips or held-out labels.
 ORACLE = {
     "op10_balltree": """WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    # two hexadecimal digits a byte; windows that aren't the first of their content, united to spans
+    "op12_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substring(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+spans AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (
+    SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM again)) GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, lo, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since, hi FROM spans),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS h, max(hi) AS hi, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept.h || substring(d.h, 2 * kept.hi + 1), d.h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
 }
