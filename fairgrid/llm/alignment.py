@@ -3,7 +3,7 @@
 Both tokenizers' tokens tile the bytes of space + text. Their end offsets are
 two rising arrays, and a byte where both have an end closes a group. The walk
 keeps the shift between the arrays' indexes: while ends are equal at that shift
-it probes ahead 1, 2, 4, ... entries at once and jumps the whole stretch of
+it probes ahead 8, 16, 32, ... entries at once and jumps the whole stretch of
 one-to-one groups; where they differ, the array that is behind catches up until
 both end, which closes an irregular group and gives the new shift.
 
@@ -35,7 +35,7 @@ from .common import Shared, stored
 BLOCK_ROWS, BLOCK_BYTES = 4096, 8 << 20
 #: Bytes of text that are aligned at once; longer texts are taken apart where both tokenizers must end.
 PIECE = 1 << 18
-#: Spans of text whose ids a task remembers, and the longest one.
+#: Spans of text whose ids a worker remembers (up to twice as many), and the longest one.
 KNOWN_SPANS, KNOWN_LENGTH = 200_000, 64
 #: Neither tokenizer has a token across such a place: the first has none with white space after other
 #: characters, and this is checked of the second.
@@ -72,7 +72,7 @@ class Tokenizers:
                 raise ValueError("the second tokenizer has pieces that go across words")
             if max(size, len(pieces)) > ID_SPACE:
                 raise ValueError(f"ids must be below {ID_SPACE}")
-            names = [f"{i}{mark}" for last in ((",", "|"), (",", ";")) for mark in last for i in range(ID_SPACE)]
+            names = np.array([f"{i}{mark}" for last in ((",", "|"), (",", ";")) for mark in last for i in range(ID_SPACE)], "S6")  # padded with zero bytes
             self.made = first, second, lengths, pieces, np.array([len(p) for p in pieces]), names
         return self.made
 
@@ -96,37 +96,41 @@ def load(folder: str | None = None, first: str = "byte_bpe_50k.json", second: st
     return Tokenizers(ranks, importlib.import_module("public_tokenizers").PATTERN, (at / second).read_bytes())
 
 
-def groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
-    """Stretches (i, j, p, q) of two rising arrays with the same last entry, in order.
+def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Stretches (i, j, p, q) of two rising int64 arrays with the same last entry, in order.
 
-    p = q: that many groups of one token each, or, where p = q = n > 1 stands
-    as (i, j, -n, -n), one irregular group of n and n tokens; else one group of
-    p and q tokens.
+    p = q > 0: that many groups of one token each; p = q < 0: one irregular
+    group of -p tokens each; else one group of p and q tokens.
     """
+    a, b = ends_a.tolist(), ends_b.tolist()
+    x, y = ends_a.tobytes(), ends_b.tobytes()  # eight bytes an entry: stretches are compared as memory
     out, i, j, n = [], 0, 0, len(a)
     while i < n:
         if a[i] == b[j]:
-            run = step = 1
-            while (ahead := a[i + run : i + run + step]) and ahead == b[j + run : j + run + step]:
-                run += len(ahead)
+            at, other, step = 8 * i + 8, 8 * j + 8, 64
+            while (ahead := x[at : at + step]) and ahead == y[other : other + step]:
+                at += len(ahead)
+                other += len(ahead)
                 step *= 2
-            while step > 1:
+            while step > 8:
                 step //= 2
-                if (ahead := a[i + run : i + run + step]) and ahead == b[j + run : j + run + step]:
-                    run += len(ahead)
+                if (ahead := x[at : at + step]) and ahead == y[other : other + step]:
+                    at += len(ahead)
+                    other += len(ahead)
+            run = at // 8 - i
             out.append((i, j, run, run))
             i += run
             j += run
         else:
             i0, j0 = i, j
-            x, y = a[i], b[j]
-            while x != y:
-                if x < y:
+            u, v = a[i], b[j]
+            while u != v:
+                if u < v:
                     i += 1
-                    x = a[i]
+                    u = a[i]
                 else:
                     j += 1
-                    y = b[j]
+                    v = b[j]
             i += 1
             j += 1
             p, q = i - i0, j - j0
@@ -154,68 +158,86 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray, first_b:
 
 
 class Aligner:
-    """Documents' alignments; remembers the ids of short spans of text."""
+    """Documents' alignments; remembers the ids of short spans of text, 16 bits each."""
 
     def __init__(self, t: Tokenizers):
         self.first, self.second, self.len_a, self.pieces, self.len_b, self.names = t.build()
-        self.known: dict[str, tuple[list[int], list[int]]] = {}
-
-    def _ids(self, span: str) -> tuple[list[int], list[int]]:
-        """Ids of a span that begins with a space, which the second tokenizer adds itself."""
-        if (got := self.known.get(span)) is None:
-            # the library gives an empty text no space
-            got = self.first.encode_ordinary(span), self.second.encode(span[1:]) or [self.second.piece_to_id("▁")]
-            if len(span) <= KNOWN_LENGTH:
-                if len(self.known) >= KNOWN_SPANS:
-                    self.known.clear()
-                self.known[span] = got
-        return got
-
-    def _pieces(self, text: str) -> Iterator[tuple[bytes, list[int], list[int]]]:
-        at, size, a, b = [], 0, [], []
-        for span in CUTS.split(f" {text}"):
-            x, y = self._ids(span)
-            at.append(span)
-            a += x
-            b += y
-            size += len(span)
-            if size >= PIECE:
-                yield "".join(at).encode(), a, b
-                at, size, a, b = [], 0, [], []
-        if at:
-            yield "".join(at).encode(), a, b
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+
+    def _second(self, text: str) -> np.ndarray:
+        """Ids of a text that begins with a space, which the tokenizer adds itself (but not to an empty text); none where they don't give the text back."""
+        ids = self.second.encode(text[1:]) or [self.second.piece_to_id("▁")]
+        whole = b"".join(map(self.pieces.__getitem__, ids)) == text.encode()
+        return np.array(ids if whole else [], np.uint16)
+
+    def _learn(self, spans: list[str]) -> None:
+        """Ids of the spans that aren't known, by one call for all of them together."""
+        text = "".join(spans)
+        size = np.cumsum([len(s.encode()) for s in spans])
+        for coded, lengths, known in ((np.array(self.first.encode_ordinary(text), np.uint16), self.len_a, self.known_a), (self._second(text), self.len_b, self.known_b)):
+            if len(spans) > 1 and not len(coded):  # spans that the second tokenizer changes
+                known.update((s, self._second(s).tobytes()) for s in spans)
+                continue
+            ends, data = lengths[coded].cumsum(), coded.tobytes()
+            at = np.searchsorted(ends, size, "right")
+            if len(coded) and (ends[at - 1] != size).any():
+                raise ValueError("a token goes across a place where texts are taken apart")
+            last = 0
+            for span, stop in zip(spans, (2 * at).tolist(), strict=True):
+                known[span] = data[last:stop]
+                last = stop
+
+    def _pieces(self, text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Bytes and ids of parts of space + text; none of the second where it doesn't give a part back."""
+        spans, lo = CUTS.split(f" {text}"), 0
+        while lo < len(spans):
+            hi, size = len(spans) if len(text) <= PIECE else lo, 0
+            while hi < len(spans) and size < PIECE:
+                size += len(spans[hi])
+                hi += 1
+            piece = spans[lo:hi]
+            if len(self.known_a) > KNOWN_SPANS:
+                self.older, self.known_a, self.known_b = (self.known_a, self.known_b), {}, {}
+            new, older = [s for s in dict.fromkeys(piece) if s not in self.known_a], self.older
+            for s in new:
+                if s in older[0]:
+                    self.known_a[s], self.known_b[s] = older[0].pop(s), older[1].pop(s)
+            if new := [s for s in new if s not in self.known_a]:
+                self._learn(new)
+            a, b = (np.frombuffer(b"".join(map(known.__getitem__, piece)), np.uint16).astype(np.int64) for known in (self.known_a, self.known_b))
+            for s in new:
+                if len(s) > KNOWN_LENGTH:
+                    del self.known_a[s], self.known_b[s]
+            yield len("".join(piece).encode()), a, b
+            lo = hi
 
     def document(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """n_a, n_b, n_groups, n_links, the groups' hash, pair codes and how often each is linked."""
         nothing = (0, 0, 0, 0, "", np.array([], np.uint32), np.array([], np.int64))
         if not text:
             return nothing
-        sums, said, codes = np.zeros(4, np.int64), hashlib.sha256(), []
-        size = len(self.names) // 4
-        for data, a, b in self._pieces(text):
-            if b"".join(map(self.pieces.__getitem__, b)) != data:
-                return nothing
-            a, b = np.array(a), np.array(b)
+        sums, said, codes = [0, 0, 0, 0], hashlib.sha256(), []
+        for size, a, b in self._pieces(text):
             ends_a, ends_b = self.len_a[a].cumsum(), self.len_b[b].cumsum()
-            if ends_a[-1] != len(data):
+            if not len(b) or ends_a[-1] != size or ends_b[-1] != size:
                 return nothing
-            first_a, first_b = _starts(groups(ends_a.tolist(), ends_b.tolist()))
+            first_a, first_b = _starts(groups(ends_a, ends_b))
             p, q = np.diff(first_a, append=len(a)), np.diff(first_b, append=len(b))
             # the groups' text: each group's first ids, then its second ones, each with the mark that follows it
-            order = np.empty(len(a) + len(b), np.int64)
-            mark = np.zeros(len(a), np.int64)
-            mark[first_a + p - 1] = size
-            order[np.arange(len(a)) + np.repeat(first_b, p)] = a + mark
-            mark = np.full(len(b), 2 * size)
-            mark[first_b + q - 1] = 3 * size
-            order[np.arange(len(b)) + np.repeat(first_a + p, q)] = b + mark
-            written = "".join(map(self.names.__getitem__, order.tolist()))
-            said.update((";" if sums[0] else "").encode() + written[:-1].encode())
+            order, marked_a, marked_b = np.empty(len(a) + len(b), np.int64), a.copy(), b + 2 * ID_SPACE
+            marked_a[first_a + p - 1] += ID_SPACE
+            marked_b[first_b + q - 1] += ID_SPACE
+            order[np.arange(len(a)) + np.repeat(first_b, p)] = marked_a
+            order[np.arange(len(b)) + np.repeat(first_a + p, q)] = marked_b
+            written = self.names[order].tobytes().translate(None, b"\0")[:-1]
+            said.update(b";" + written if codes else written)
             i, j = links(ends_a, ends_b, first_a, first_b)
             codes.append(a[i] * ID_SPACE + b[j])
-            sums += (len(a), len(b), len(first_a), len(i))
+            sums = [x + y for x, y in zip(sums, (len(a), len(b), len(first_a), len(i)), strict=True)]
         pairs, n = np.unique(np.concatenate(codes), return_counts=True)
-        return (*map(int, sums), said.hexdigest(), pairs.astype(np.uint32), n)
+        return (*sums, said.hexdigest(), pairs.astype(np.uint32), n)
 
 
 def _pack(codes: np.ndarray, n: np.ndarray) -> bytes:
@@ -231,11 +253,18 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 ALIGNED = "block long, doc_id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary"
 
 
+#: A worker's aligner, by the broadcast that it was made from; tasks after the first find it there.
+_made: dict[int, Aligner] = {}
+
+
 def _align(tokenizers: Shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        aligner, block, rows, size = Aligner(tokenizers()), TaskContext.get().partitionId() << 32, 0, 0
+        if tokenizers.name not in _made:
+            _made.clear()
+            _made[tokenizers.name] = Aligner(tokenizers())
+        aligner, block, rows, size = _made[tokenizers.name], TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
             for text in batch.column(1).to_pylist():

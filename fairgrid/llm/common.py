@@ -66,7 +66,7 @@ class Shared:
     """A broadcast of a value of bounded size, its class included: tasks call it for the value, and load it once each."""
 
     def __init__(self, df: DataFrame, value: Any):
-        self.sent, self.held = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value)), []
+        self.sent, self.held, self.name = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value)), [], uuid.uuid4().hex
 
     def __call__(self) -> Any:
         if not self.held:

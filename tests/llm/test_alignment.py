@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -91,6 +92,6 @@ def test_nothing_to_align(spark):
 @settings(max_examples=300, deadline=None)
 def test_groups_close_where_both_end(a, b):
     a, b = sorted(a | {61}), sorted(b | {61})
-    i, j = A._starts(A.groups(a, b))
+    i, j = A._starts(A.groups(np.array(a), np.array(b)))
     both = sorted(set(a) & set(b))
     assert [a[k - 1] for k in i[1:]] == both[:-1] == [b[k - 1] for k in j[1:]] and i[0] == j[0] == 0
