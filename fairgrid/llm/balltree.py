@@ -20,8 +20,8 @@ LEAF_ROWS = 64
 EXACT = 2.0**52
 
 
-def vectors(df: DataFrame) -> DataFrame:
-    """(vec_id, v, dim): components as floor(256 * x); no rows with a null id, a null vector, or a null or non-finite component.
+def vectors(df: DataFrame, *more: str) -> DataFrame:
+    """(vec_id, v, dim) and the columns named in ``more``: components as floor(256 * x); no rows with a null id, a null vector, or a null or non-finite component.
 
     Repeated rows stay. An empty vector stays: its inner products are zero.
     """
@@ -30,7 +30,7 @@ def vectors(df: DataFrame) -> DataFrame:
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == inf))
     some = df.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad)
     v = F.transform(x, lambda c: F.floor(c.cast("double") * SCALE))
-    return some.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size(x).alias("dim"))
+    return some.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size(x).alias("dim"), *more)
 
 
 @dataclass
@@ -40,6 +40,8 @@ class Tree:
     x: np.ndarray
     ids: list[np.ndarray]  # of each row its smallest ids, ascending, repeats included
     levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # start, stop, centre, radius, parent
+    single: np.ndarray  # whether all of a row's ids are one
+    first: np.ndarray  # its smallest id
 
 
 def build(x: np.ndarray, ids: np.ndarray, k: int) -> Tree:
@@ -72,7 +74,8 @@ def build(x: np.ndarray, ids: np.ndarray, k: int) -> Tree:
                 parents.append(i)
         if done:
             break
-    return Tree(x[rows], [owned[i] for i in rows], levels)
+    kept = [owned[i] for i in rows]
+    return Tree(x[rows], kept, levels, np.array([part[0] == part[-1] for part in kept], bool), np.array([part[0] for part in kept], np.int64))
 
 
 def search(tree: Tree, q: np.ndarray, own: np.ndarray, least: np.ndarray, k: int) -> list[tuple[int, int, float]]:
@@ -106,9 +109,9 @@ def search(tree: Tree, q: np.ndarray, own: np.ndarray, least: np.ndarray, k: int
             s, e = start[leaf[part[0]]], stop[leaf[part[0]]]
             scores = tree.x[s:e] @ q[part].T
             for j, i in enumerate(part):
-                good = np.flatnonzero(scores[:, j] >= kth[i])
-                if len(good) > k + 1:  # the query's own row may be one
-                    good = good[scores[good, j] >= np.partition(scores[good, j], -k - 1)[-k - 1]]
+                good = np.flatnonzero((scores[:, j] >= kth[i]) & ~(tree.single[s:e] & (tree.first[s:e] == own[i])))  # rows of other ids
+                if len(good) > k:
+                    good = good[scores[good, j] >= np.partition(scores[good, j], -k)[-k]]
                 if len(good):
                     found = best[i] + [(-scores[g, j], int(n)) for g in good for n in tree.ids[s + g] if n != own[i]]
                     best[i] = sorted(found)[:k]

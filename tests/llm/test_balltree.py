@@ -39,3 +39,20 @@ def test_large_components_and_empty(spark):
     assert {(r[0], r[2], r[3]) for r in got.collect()} == {(q, i, clip(s)) for q, _, i, s in brute(rows, 3)} & {(r[0], r[2], r[3]) for r in got.collect()}
     assert got.count() == 4
     assert B.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_a_query_id_with_several_vectors(spark):
+    """Own rows never take the places of others, however many stand with the query's id."""
+    import itertools
+
+    for own, others in itertools.product((2, 8, 70), (3, 39, 200)):
+        rows = [(50, [1.0 + i / 300, 1.0], 0) for i in range(own)] + [(i + 1 if i < 49 else i + 100, [0.5, i / 400], 0) for i in range(others)]
+        got = [tuple(r) for r in B.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") == 50).orderBy("rank").collect()]
+        want = {}
+        for q in (r[1] for r in rows if r[0] == 50):
+            for i, v, _ in rows:
+                if i != 50:
+                    s = sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(q, v, strict=True))
+                    want.setdefault(i, []).append(s)
+        flat = sorted(((-s, i) for i, all_ in want.items() for s in all_))[:5]
+        assert [(q, k, i, -s) for k, (s, i) in enumerate(flat, 1) for q in (50,)] == got
