@@ -20,6 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def write_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     half = 1 << (BITS - 1)
     cells = [F.least(F.greatest(F.floor((F.coalesce(F.get("v", r.pos).cast("double"), F.lit(0.0)) - r.mean) / (r.dev or 1.0) * (half / 4)) + half, F.lit(0)), F.lit(2 * half - 1)).cast("long") for r in spread]
     placed = rows.withColumn("cells", F.array(*(cells or [F.lit(0).cast("long")])))
-    schema = "vec_id long, label int, v array<long>, dim int, anchor boolean, curve long"
+    schema = "vec_id long, label long, v array<long>, dim int, anchor boolean, curve long"
     placed = placed.select("vec_id", "label", "v", "dim", "anchor", "cells").mapInArrow(_curve, schema)
     blocks = max(1, math.ceil(rows.count() / block_rows))
     order = ["dim", "label", "curve", "vec_id"]
@@ -81,7 +82,7 @@ def write_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return stored(dealt, "vector-blocks")
 
 
-ZONE = "dim int, block int, label_lo int, label_hi int, lo array<long>, hi array<long>"
+ZONE = "dim int, block int, label_lo long, label_hi long, lo array<long>, hi array<long>"
 
 
 def _matrix(t: pa.Table, column: str = "v") -> np.ndarray:
@@ -97,7 +98,7 @@ def _zones(batches):
             own = t.filter(pa.compute.and_(pa.compute.equal(t["dim"], dim), pa.compute.equal(t["block"], block)))
             x, labels = _matrix(own), own["label"].to_numpy()
             out.append((dim, block, int(labels.min()), int(labels.max()), x.min(0).tolist(), x.max(0).tolist()))
-        names, kinds = ["dim", "block", "label_lo", "label_hi", "lo", "hi"], [pa.int32()] * 4 + [pa.list_(pa.int64())] * 2
+        names, kinds = ["dim", "block", "label_lo", "label_hi", "lo", "hi"], [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.list_(pa.int64())] * 2
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
@@ -105,7 +106,7 @@ def zone_maps(blocks: DataFrame) -> DataFrame:
     """One row for each dimension and block: the least and largest label and components."""
     parts = blocks.select("dim", "block", "label", "v").mapInArrow(_zones, ZONE)
     over = lambda c, f: F.reduce(F.collect_list(c), F.first(c), lambda a, b: F.zip_with(a, b, f)).alias(c)  # noqa: E731 - a block has few batches
-    return parts.groupBy("dim", "block").agg(F.min("label_lo").alias("label_lo"), F.max("label_hi").alias("label_hi"), over("lo", F.least), over("hi", F.greatest))
+    return parts.groupBy("dim", "block").agg(F.min("label_lo").alias("label_lo"), F.max("label_hi").alias("label_hi"), over("lo", lambda a, b: F.least(a, b)), over("hi", lambda a, b: F.greatest(a, b)))
 
 
 def _interval(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,8 +117,9 @@ def _interval(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return pos @ lo.T + neg @ hi.T - slack, pos @ hi.T + neg @ lo.T + slack
 
 
-#: Anchors with their windows: hits of window w lie between lo and hi, and only those from ``least`` on matter.
-ASK = ["dim", "team", "anchor_id", "anchor_key", "label", "v", "lo", "hi", "least"]
+#: Anchors with their windows: hits of window w lie between lo and hi, and only those from ``least`` on matter;
+#: those of block ``home`` have been found already.
+ASK = ["dim", "team", "anchor_id", "anchor_key", "label", "v", "lo", "hi", "least", "home"]
 
 
 def _reach(ask: pa.Table, low: np.ndarray, high: np.ndarray, zones: tuple[np.ndarray, np.ndarray], same: bool) -> np.ndarray:
@@ -154,6 +156,7 @@ def _choose(same: bool, best: bool):
 def choose(ask: DataFrame, zones: DataFrame, chunks: int, same: bool, best: bool = False) -> DataFrame:
     """(dim, block, team) that a team must read; ``best``: for each anchor its block of the largest bound."""
     dealt = zones.withColumn("chunk", F.col("block") % chunks).join(ask.select("dim", "team").distinct(), "dim")
+    dealt = dealt.select(*[F.col(c).alias(c) for c in dealt.columns])
     asked = ask.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     key = ["dim", "team", "chunk"]
     found = asked.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(_choose(same, best), "dim int, block int, team long, anchor_id long, anchor_key long, bound double")
@@ -178,6 +181,8 @@ def _read(same: bool, k: int):
         out: list[tuple[int, int, int, int, int]] = []
         if block.num_rows and ask.num_rows:
             x, ids, labels = _matrix(block), block["vec_id"].to_numpy(), block["label"].to_numpy()
+            ask = ask.filter(pa.compute.not_equal(ask["home"], block["block"][0]))
+        if block.num_rows and ask.num_rows:
             low, high = _interval(_matrix(ask), x.min(0)[None], x.max(0)[None])
             ask = ask.filter(pa.array(_reach(ask, low, high, (labels.min(keepdims=True), labels.max(keepdims=True)), same)[:, 0]))
         if block.num_rows and ask.num_rows:
@@ -198,12 +203,13 @@ def _read(same: bool, k: int):
 
 
 def _find(blocks: DataFrame, wanted: DataFrame, ask: DataFrame, same: bool, k: int) -> DataFrame:
-    """The k best hits of each window in each block. wanted: (dim, block, team); ask has a ``block`` where an anchor reads that alone."""
-    wanted = wanted.select("dim", "block", "team").distinct()
-    rows = blocks.select("dim", "block", "vec_id", "label", "v").join(wanted, ["dim", "block"])
-    asked = ask if "block" in ask.columns else ask.join(wanted, ["dim", "team"])
+    """The k best hits of each window in each block. wanted: (dim, block, team), or also anchors that alone read the block."""
+    pairs = wanted.select("dim", "block", "team").distinct()
+    rows = blocks.select("dim", "block", "vec_id", "label", "v").join(pairs, ["dim", "block"])
+    asked = ask.join(wanted, [c for c in wanted.columns if c != "block"])
+    asked = asked.select(*[F.col(c).alias(c) for c in (*ASK, "block")])  # other attributes than those of the blocks' side
     key = ["dim", "block", "team"]
-    return rows.groupBy(*key).cogroup(asked.select(*ASK, "block").groupBy(*key)).applyInArrow(_read(same, k), HITS)
+    return rows.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_read(same, k), HITS)
 
 
 def _first(hits: DataFrame, k: int) -> DataFrame:
@@ -211,16 +217,53 @@ def _first(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _search(blocks: DataFrame, zones: DataFrame, chunks: int, ask: DataFrame, home: DataFrame, same: bool, k: int) -> DataFrame:
-    """The first k hits of each window: one block of each anchor first (home: anchor_id, anchor_key, block), then all that can still matter."""
+def _search(blocks: DataFrame, zones: DataFrame, chunks: int, ask: DataFrame, start: DataFrame, same: bool, k: int) -> DataFrame:
+    """The first k hits of each window: in one block of each anchor first (start: dim, team, anchor_id, anchor_key, block), then in all that still matter."""
     key = ["anchor_id", "anchor_key"]
-    begun = ask.join(home.select(*key, "block"), key)
-    first = stored(_find(blocks, begun, begun, same, k), "first-hits")
+    first = stored(_find(blocks, start, ask.withColumn("home", F.lit(-1)), same, k), "first-hits")
     kth = first.groupBy(*key, "w").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth")).where("kth is not null")
-    kth = kth.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("w", "kth"))).alias("kth"))
+    kth = kth.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("w", "kth"))).alias("kth"))  # an entry for each window
     raised = F.transform("least", lambda x, w: F.greatest(x, F.try_element_at("kth", w)))
-    rest = stored(ask.join(kth, key, "left").withColumn("least", F.when(F.col("kth").isNull(), F.col("least")).otherwise(raised)).select(*ASK), "anchors")
-    found = _find(blocks, choose(rest, zones, chunks, same), rest, same, k)
-    # an anchor's first block may be read again for its team; its hits count once
-    again = found.join(home.select(*key, F.col("block").alias("home")), key).join(blocks.select("block", "vec_id").distinct(), "vec_id").where("block = home").select(found.columns) if False else None
-    return _first(first.union(found) if again is None else first.union(found.exceptAll(again)), k)
+    home = start.select(*key, F.col("block").alias("home"))
+    rest = ask.join(home, key, "left").join(kth, key, "left").withColumns({"least": F.when(F.col("kth").isNull(), F.col("least")).otherwise(raised), "home": F.coalesce("home", F.lit(-1))})
+    rest = stored(rest.select(*ASK), "anchors")
+    return _first(first.union(_find(blocks, choose(rest, zones, chunks, same), rest, same, k)), k)
+
+
+def mine(embeddings: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 5, share: int = 80, block_rows: int = BLOCK_ROWS, team_rows: int = TEAM_ROWS) -> DataFrame:
+    """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for (vec_id, embedding, label).
+
+    An anchor's positives are its first rows of the same label by inner product
+    of components floor(256 * x), ties by smaller vec_id; a positive's negatives
+    the first rows of other labels whose score is at most the positive's and
+    at least ``share`` percent of it, so a negative positive score has none.
+    Rows with a null id, label, vector or component, or one that isn't finite,
+    take no part. Rows with an anchor's id are no partners of it; anchor rows
+    that repeat id, label and vector are one anchor, other repeated rows count
+    each. Vectors of another dimension are no partners. An empty table gives an
+    empty one; other columns aren't read.
+    """
+    rows = vectors(embeddings.select("vec_id", "embedding", F.col("label").cast("long").alias("label")), "label").where("label is not null")
+    blocks = write_blocks(rows.withColumn("anchor", F.coalesce(is_anchor, F.lit(False))), block_rows)
+    zones = stored(zone_maps(blocks), "zone-maps")
+    last, asked = blocks.agg(F.max("block"), F.count_if("anchor")).first()
+    chunks, step = max(1, math.ceil(((last or 0) + 1) / ZONES)), max(1, team_rows * ((last or 0) + 1) // max(1, asked))
+    one = blocks.where("anchor").groupBy("dim", F.col("vec_id").alias("anchor_id"), "label", "v").agg(F.min("block").alias("block"))
+    one = one.withColumns({"anchor_key": F.xxhash64("label", "v"), "team": F.floor(F.col("block") / step)})
+    longs = lambda *c: F.array(*c).cast("array<long>")
+    bounds = {"lo": longs(F.lit(LEAST)), "hi": longs(F.lit(MOST)), "least": longs(F.lit(LEAST))}
+    anchors = stored(one.withColumns(bounds), "anchors")
+    place = ["dim", "team", "anchor_id", "anchor_key"]
+    found = _search(blocks, zones, chunks, anchors.drop("block"), anchors.select(*place, "block"), True, positives)
+    liked = stored(found.where("score >= 0").select("anchor_id", "anchor_key", F.col("rank").alias("place"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
+    score = F.col("positive_score")
+    less = F.expr(f"(positive_score div 100) * {100 - share} + ((positive_score % 100) * {100 - share}) div 100")
+    windows = F.array_sort(F.collect_list(F.struct("place", (score - less).alias("lo"), score.alias("hi"))))  # one for each positive
+    windows = liked.groupBy("anchor_id", "anchor_key").agg(windows.alias("windows"))
+    sides = {"lo": F.col("windows.lo"), "hi": F.col("windows.hi"), "least": F.col("windows.lo")}
+    ask = stored(anchors.drop("block", "lo", "hi", "least").join(windows, ["anchor_id", "anchor_key"]).withColumns(sides).withColumn("home", F.lit(-1)).select(*ASK), "anchors")
+    start = stored(choose(ask, zones, chunks, False, best=True), "best-blocks").select(*place, "block")
+    hits = _search(blocks, zones, chunks, ask.drop("home"), start, False, negatives)
+    hits = hits.withColumn("place", F.col("w") + 1)  # windows stand in the order of their positives
+    out = hits.join(liked, ["anchor_id", "anchor_key", "place"])
+    return out.select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, balltree, ctw, decontaminate, licenses, quality, secrets, sentencepiece_codec, simhash_dedup, suffix_dedup, token_shards, toxicity
+from . import alignment, balltree, ctw, decontaminate, hard_negatives, licenses, quality, secrets, sentencepiece_codec, simhash_dedup, suffix_dedup, token_shards, toxicity
 from .common import fold, labelled, shared_folder, table
 
 
@@ -74,7 +74,12 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_token_shards, op4_simhash_dedup, op5_secrets, op6_sentencepiece, op7_context_tree, op8_licenses, op9_toxicity, op10_balltree, op11_alignment, op12_suffix_dedup)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_token_shards, op4_simhash_dedup, op5_secrets, op6_sentencepiece, op7_context_tree, op8_licenses, op9_toxicity, op10_balltree, op11_alignment, op12_suffix_dedup, op13_hard_negatives)}
 
 #: Where SQL can express the operator; tests hold the others against plain versions, round trips or held-out labels.
 ORACLE = {
@@ -82,6 +87,15 @@ ORACLE = {
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op13_hard_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+a AS (SELECT DISTINCT vec_id, label, v FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, a.v AS av, c.vec_id, c.label, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score FROM a JOIN v c ON c.vec_id <> a.vec_id AND len(c.v) = len(a.v)),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id, own, av ORDER BY score DESC, vec_id) AS place FROM s WHERE label = own QUALIFY place <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.own, p.av, p.place ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.own = p.own AND s.av = p.av AND s.label <> p.own AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
     # two hexadecimal digits a byte; windows that aren't the first of their content, united to spans
     "op12_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, i, substring(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d)),
