@@ -3,7 +3,7 @@
 Both tokenizers' tokens tile the bytes of space + text. Their end offsets are
 two rising arrays, and a byte where both have an end closes a group. The walk
 keeps the shift between the arrays' indexes: while ends are equal at that shift
-it probes ahead 8, 16, 32, ... entries at once and jumps the whole stretch of
+it probes ahead 16, 32, 64, ... entries at once and jumps the whole stretch of
 one-to-one groups; where they differ, the array that is behind catches up until
 both end, which closes an irregular group and gives the new shift.
 
@@ -14,12 +14,12 @@ broadcast and no task holds more than a block.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import importlib.util
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -39,7 +39,9 @@ PIECE = 1 << 18
 KNOWN_SPANS, KNOWN_LENGTH = 200_000, 64
 #: Neither tokenizer has a token across such a place: the first has none with white space after other
 #: characters, and this is checked of the second.
-CUTS = re.compile(r"(?<=\S)(?= )")
+CUTS = re.compile(r"(?<=\S) ")
+#: Where this isn't found, every space is such a place.
+SPACED = re.compile(r"\s ")
 #: Pair code: first id * ID_SPACE + second id.
 ID_SPACE = 1 << 16
 
@@ -96,29 +98,27 @@ def load(folder: str | None = None, first: str = "byte_bpe_50k.json", second: st
     return Tokenizers(ranks, importlib.import_module("public_tokenizers").PATTERN, (at / second).read_bytes())
 
 
-def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Stretches (i, j, p, q) of two rising int64 arrays with the same last entry, in order.
+def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
+    """Stretches (i, j, p, q) of two rising int64 arrays with the same last entry, in order, one row each.
 
     p = q > 0: that many groups of one token each; p = q < 0: one irregular
     group of -p tokens each; else one group of p and q tokens.
     """
     a, b = ends_a.tolist(), ends_b.tolist()
     x, y = ends_a.tobytes(), ends_b.tobytes()  # eight bytes an entry: stretches are compared as memory
-    out, i, j, n = [], 0, 0, len(a)
+    out, i, j, n = array("q"), 0, 0, len(a)
     while i < n:
         if a[i] == b[j]:
-            at, other, step = 8 * i + 8, 8 * j + 8, 64
-            while (ahead := x[at : at + step]) and ahead == y[other : other + step]:
+            at, other, step = 8 * i + 8, 8 * j + 8, 128
+            while (ahead := x[at : at + step]) and ahead == (beside := y[other : other + step]):
                 at += len(ahead)
                 other += len(ahead)
                 step *= 2
-            while step > 8:
-                step //= 2
-                if (ahead := x[at : at + step]) and ahead == y[other : other + step]:
-                    at += len(ahead)
-                    other += len(ahead)
             run = at // 8 - i
-            out.append((i, j, run, run))
+            if ahead:  # the first entry that differs holds the lowest bit that differs
+                differ = int.from_bytes(ahead, "little") ^ int.from_bytes(beside, "little")
+                run += ((differ & -differ).bit_length() - 1) // 64
+            out.extend((i, j, run, run))
             i += run
             j += run
         else:
@@ -134,26 +134,35 @@ def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> list[tuple[int, int, int,
             i += 1
             j += 1
             p, q = i - i0, j - j0
-            out.append((i0, j0, p, q) if p != q else (i0, j0, -p, -q))
-    return out
+            out.extend((i0, j0, p, q) if p != q else (i0, j0, -p, -q))
+    return np.frombuffer(out, np.int64).reshape(-1, 4)
 
 
-def _starts(found: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def _starts(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First tokens of every group, in both."""
-    i, j, p, q = np.array(found, np.int64).T
+    i, j, p, q = found.T
     one = (p == q) & (p > 0)
     times = np.where(one, p, 1)
     step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     return np.repeat(i, times) + step, np.repeat(j, times) + step
 
 
+def _sizes(first: np.ndarray, n: int) -> np.ndarray:
+    """Sizes of groups that begin at ``first`` and fill ``n`` places."""
+    size = np.empty_like(first)
+    np.subtract(first[1:], first[:-1], out=size[:-1])
+    size[-1:] = n - first[-1:]
+    return size
+
+
 def links(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) of all pairs of tokens that share a byte: of a one-to-one group its pair, of others each stretch between neighbouring ends."""
-    p, q = np.diff(first_a, append=len(ends_a)), np.diff(first_b, append=len(ends_b))
+    p, q = _sizes(first_a, len(ends_a)), _sizes(first_b, len(ends_b))
     single = (p == 1) & (q == 1)
     more_a, more_b = np.flatnonzero(np.repeat(~single, p)), np.flatnonzero(np.repeat(~single, q))
-    ends = np.union1d(ends_a[more_a], ends_b[more_b])
-    i, j = more_a[np.searchsorted(ends_a[more_a], ends)], more_b[np.searchsorted(ends_b[more_b], ends)]
+    ends_a, ends_b = ends_a[more_a], ends_b[more_b]
+    ends = np.union1d(ends_a, ends_b)
+    i, j = more_a[np.searchsorted(ends_a, ends)], more_b[np.searchsorted(ends_b, ends)]
     return np.concatenate((first_a[single], i)), np.concatenate((first_b[single], j))
 
 
@@ -167,16 +176,16 @@ class Aligner:
         self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
     def _second(self, text: str) -> np.ndarray:
-        """Ids of a text that begins with a space, which the tokenizer adds itself (but not to an empty text); none where they don't give the text back."""
-        ids = self.second.encode(text[1:]) or [self.second.piece_to_id("▁")]
-        whole = b"".join(map(self.pieces.__getitem__, ids)) == text.encode()
+        """Ids of space + text, where the tokenizer adds the space itself (but not to an empty text); none where they don't give that back."""
+        ids = self.second.encode(text) or [self.second.piece_to_id("▁")]
+        whole = b"".join(map(self.pieces.__getitem__, ids)) == b" " + text.encode()
         return np.array(ids if whole else [], np.uint16)
 
     def _learn(self, spans: list[str]) -> None:
-        """Ids of the spans that aren't known, by one call for all of them together."""
-        text = "".join(spans)
-        size = np.cumsum([len(s.encode()) for s in spans])
-        for coded, lengths, known in ((np.array(self.first.encode_ordinary(text), np.uint16), self.len_a, self.known_a), (self._second(text), self.len_b, self.known_b)):
+        """Ids of space + span for spans that aren't known, by one call for all of them together."""
+        text = " ".join(spans)
+        size = np.cumsum([len(s.encode()) + 1 for s in spans])
+        for coded, lengths, known in ((np.array(self.first.encode_ordinary(f" {text}"), np.uint16), self.len_a, self.known_a), (self._second(text), self.len_b, self.known_b)):
             if len(spans) > 1 and not len(coded):  # spans that the second tokenizer changes
                 known.update((s, self._second(s).tobytes()) for s in spans)
                 continue
@@ -191,11 +200,11 @@ class Aligner:
 
     def _pieces(self, text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Bytes and ids of parts of space + text; none of the second where it doesn't give a part back."""
-        spans, lo = CUTS.split(f" {text}"), 0
+        spans, lo = CUTS.split(text) if SPACED.search(f" {text}") else text.split(" "), 0
         while lo < len(spans):
             hi, size = len(spans) if len(text) <= PIECE else lo, 0
             while hi < len(spans) and size < PIECE:
-                size += len(spans[hi])
+                size += len(spans[hi]) + 1
                 hi += 1
             piece = spans[lo:hi]
             if len(self.known_a) > KNOWN_SPANS:
@@ -210,7 +219,7 @@ class Aligner:
             for s in new:
                 if len(s) > KNOWN_LENGTH:
                     del self.known_a[s], self.known_b[s]
-            yield len("".join(piece).encode()), a, b
+            yield len(" ".join(piece).encode()) + 1, a, b
             lo = hi
 
     def document(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
@@ -224,7 +233,7 @@ class Aligner:
             if not len(b) or ends_a[-1] != size or ends_b[-1] != size:
                 return nothing
             first_a, first_b = _starts(groups(ends_a, ends_b))
-            p, q = np.diff(first_a, append=len(a)), np.diff(first_b, append=len(b))
+            p, q = _sizes(first_a, len(a)), _sizes(first_b, len(b))
             # the groups' text: each group's first ids, then its second ones, each with the mark that follows it
             order, marked_a, marked_b = np.empty(len(a) + len(b), np.int64), a.copy(), b + 2 * ID_SPACE
             marked_a[first_a + p - 1] += ID_SPACE
