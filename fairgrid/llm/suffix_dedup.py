@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of a removed string at least; of its first digit; of the texts of a block, on average; of texts looked at together; bits of a place there.
 LENGTH, K, BLOCK_BYTES, CHUNK, PLACE = 100, 32, 8 << 20, 1 << 17, 17
-#: Rows that share a first digit from which on their windows are dealt one by one.
-HOT = 8192
+#: Runs that share a first digit up to which one task compares them: about 9 MB of text and two million windows.
+#: Windows of more are dealt one by one.
+HOT = 1 << 16
 #: What a block is told of: a first digit that repeats, one that very many rows have, a run that isn't the first, windows in a run.
 REPEATED, FREQUENT, LATER, WINDOWS = range(4)
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
