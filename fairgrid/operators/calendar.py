@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy, times
+from .numbering import dense
 
 BUCKETS = ("allday", "morning", "afternoon", "evening", "night")
 #: The histogram's display order of hours.
@@ -138,3 +139,10 @@ def with_sources(events: DataFrame, sources: DataFrame, priority: list[str]) ->
 
 def by_start(days: DataFrame) -> DataFrame:
     return days.orderBy("day", "start_at", "event_id")
+
+
+def placed(days: DataFrame) -> DataFrame:
+    """Adds ``place``, from 1 in each day by start and id; numbered over the whole table, so that no task holds a day."""
+    n = dense(days, ["day", "start_at", "event_id"], "n")
+    first = n.groupBy("day").agg(F.min("n").alias("first"))
+    return n.join(first, "day").withColumn("place", F.col("n") - F.col("first") + 1).drop("n", "first")

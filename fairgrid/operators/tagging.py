@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import taxonomy, text
+from .numbering import dense
 
 MIN_DESCRIPTION, BATCH, SHARDS = 80, 25, 64
 
@@ -31,6 +32,12 @@ def numbered(rows: DataFrame, key: str = "event_id", size: int = BATCH, shards:
     return out.withColumn("batch_id", F.floor(F.col("n") / size) * shards + F.col("shard")).withColumn("idx", (F.col("n") % size).cast("int")).drop("n", "shard")
 
 
+def numbered_in_order(rows: DataFrame, key: str = "event_id", size: int = BATCH) -> DataFrame:
+    """Adds batch_id and idx by the order of ``key``, which tells rows apart, over the whole table: every batch is full but the last."""
+    out = dense(rows, [key], "n")
+    return out.withColumn("batch_id", F.floor(F.col("n") / size)).withColumn("idx", (F.col("n") % size).cast("int")).drop("n")
+
+
 def batches(rows: DataFrame) -> DataFrame:
     """(batch_id, request): a line of JSON with its id per row, in order; a batch has BATCH rows at most."""
     line = F.concat(F.lit('{"id":"'), F.col("idx").cast("string"), F.lit('",'), F.substr("payload", F.lit(2)))

@@ -15,7 +15,8 @@ from ..functions import taxonomy, text, times
 from ..functions.lineage import shared_folder
 from ..functions.schemas import RAW
 from ..operators import calendar, dedupe, export, geocode, merge, tagging
-from ..sources import feeds, json_docs, store
+from ..operators.numbering import dense
+from ..sources import calendar_text, feeds, json_docs, store
 from ..streaming import incremental
 from . import listings
 
@@ -504,6 +505,12 @@ def w6_w8_order(spark, sf):
     return calendar.by_start(d).withColumn("place", place).select(day("day").alias("day"), "event_id", "place")
 
 
+@query(listings.SQL + "SELECT CAST(day AS VARCHAR) AS day, event_id, row_number() OVER (PARTITION BY day ORDER BY start_at, event_id) AS place FROM days")
+def w6_w8_places(spark, sf):
+    """Places of every event in each of its days, over all days."""
+    return calendar.placed(calendar.event_days(listings.events(spark, sf))).select(day("day").alias("day"), "event_id", "place")
+
+
 # -- geocoding ----------------------------------------------------------------
 
 
@@ -596,6 +603,13 @@ def w4_batches(spark, sf):
     return b.groupBy("batch_id").agg(F.count("*").alias("n"), F.max("idx").alias("last"))
 
 
+@query(f"SELECT n // {tagging.BATCH} AS batch_id, count(*) AS n, CAST(max(n % {tagging.BATCH}) AS INTEGER) AS last, min(doc_id) AS first_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents WHERE {LONG}) GROUP BY ALL")
+def w4_batches_in_order(spark, sf):
+    """Batches over the whole table in the order of ids: full ones but for the last."""
+    b = tagging.numbered_in_order(to_tag(spark, sf).where("payload is not null"))
+    return b.groupBy("batch_id").agg(F.count("*").alias("n"), F.max("idx").alias("last"), F.min(F.col("event_id").cast("long")).alias("first_id"))
+
+
 def answered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A rule instead of a classifier: texts whose length is a multiple of three get no tag."""
     all_ = to_tag(spark, sf)
@@ -748,7 +762,7 @@ def s4_recurrence(spark, sf):
     rules = ["FREQ=DAILY;INTERVAL=3", "FREQ=WEEKLY;INTERVAL=2;BYDAY=TU,TH", "FREQ=MONTHLY;BYDAY=2MO", "FREQ=MONTHLY;BYDAY=1MO,3MO", "FREQ=MONTHLY;BYDAY=MO", "FREQ=MONTHLY;BYMONTHDAY=15,-1", "FREQ=DAILY;BYDAY=MO,SA"]
     rule = F.concat(F.element_at(F.array(*map(F.lit, rules)), (k % 7 + 1).cast("int")), until)
     rows = o.select(k.alias("seq"), F.lit("x").alias("summary"), times.at_clock(F.col("d0"), F.lit(19 * 3600)).alias("dtstart"), F.lit(None).cast("timestamp").alias("dtend"), F.lit(None).cast("string").alias("location"), F.lit(None).cast("string").alias("description"), rule.alias("rrule"), F.array().cast("array<string>").alias("exdate"))
-    return feeds.expand_recurring(rows, "1995-02-01", "1995-03-15").select(F.col("seq").alias("k"), utc("start_at").alias("start_at"))
+    return calendar_text.expand(rows, "1995-02-01", "1995-03-15").select(F.col("seq").alias("k"), utc("start_at").alias("start_at"))
 
 
 @query(f"SELECT name || ' - June 1 7 pm' || CASE WHEN venue <> '' THEN ' @ ' || venue ELSE '' END AS title, link FROM ({RSS})")
@@ -767,10 +781,95 @@ def s3_read_ical(spark, sf):
     parts = [F.lit("BEGIN:VEVENT\n"), line("SUMMARY", F.col("title")), line("DTSTART", times.utc_time_text(F.col("start_at"))), optional("DTEND", times.utc_time_text(F.col("end_at"))), optional("LOCATION", text.escape_ical(F.col("venue_name"))), optional("DESCRIPTION", text.escape_ical(F.col("description"))), F.lit("END:VEVENT")]
     path = shared_folder(spark, "ical")
     listings.raw_events(spark, sf).select(F.concat(*parts).alias("value")).write.text(path)
-    rows = feeds.ical_rows(feeds.read_ical(spark, path))
+    rows = calendar_text.rows(calendar_text.read(spark, path))
     return rows.select("summary", utc("dtstart").alias("dtstart"), utc("dtend").alias("dtend"), "location", "description", F.col("description").isNotNull().alias("described"))
 
 
+def of_file(n: Column) -> Column:
+    """One of 20 files of unequal size: the n-th has about 2 n + 1 of 400 rows."""
+    return F.lpad(F.floor(F.sqrt((n * 7919 % 400).cast("double"))).cast("string"), 2, "0")
+
+
+OF_FILE = "lpad(CAST(CAST(floor(sqrt({0} * 7919 % 400)) AS BIGINT) AS VARCHAR), 2, '0')"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY {OF_FILE.format('seq')}, seq) - 1 AS place, name || ' - June 1 7 pm' || CASE WHEN venue <> '' THEN ' @ ' || venue ELSE '' END AS title, link FROM ({RSS})")
+def s2_feed_order(spark, sf):
+    """Items in 20 XML files of unequal size, read again in the order of files and items."""
+    path = shared_folder(spark, "rss")
+    items = rss_items(spark, sf).withColumn("file", of_file(F.col("seq")))
+    items.repartition("file").sortWithinPartitions("file", "seq").select("title", "link", "file").write.partitionBy("file").format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
+    return dense(feeds.read_rss(spark, path), ["seq"], "place").select("place", "title", "link")
+
+
+@query(
+    listings.SQL
+    + f""", d AS (SELECT row_number() OVER (ORDER BY {OF_FILE.format('seq')}, seq) - 1 AS place, trim(title) AS title, start_local_date AS d, seq % 4 AS w, isodow(start_local_date) AS dow, seq FROM raw)
+SELECT place, title, CAST(0 AS INTEGER) AS number, {U.format(TO_UTC.format("CAST(d AS TIMESTAMP) + CASE WHEN w = 0 THEN INTERVAL 1110 MINUTE WHEN w = 1 THEN INTERVAL 1080 MINUTE WHEN w = 2 AND dow = 5 THEN INTERVAL 1080 MINUTE WHEN w = 2 AND dow = 6 THEN INTERVAL 660 MINUTE ELSE INTERVAL 0 MINUTE END"))} AS start_at FROM d"""
+)
+def s1_json_order(spark, sf):
+    """Documents in 20 JSON files of unequal size, read again in the order of files and lines."""
+    path = shared_folder(spark, "listings")
+    docs = json_listings(spark, sf).withColumn("file", of_file(F.col("seq")))
+    docs.repartition("file").sortWithinPartitions("file", "seq").drop("seq").write.partitionBy("file").json(path)
+    read = dense(json_docs.read(spark, path), ["seq"], "line").withColumn("seq", F.col("line"))
+    e = json_docs.raw_events(read, "Listings", "https://example.com/")
+    return e.select(F.col("seq").alias("place"), "title", F.col("place").alias("number"), utc("start_at").alias("start_at"))
+
+
+IN_ZONE = "timezone('UTC', timezone('{1}', {0}))"
+AT_ZONE = "timezone('{1}', timezone('UTC', {0}))"
+
+
+@query(
+    listings.SQL
+    + f"""SELECT seq, title AS summary, {U.format('start_at')} AS dtstart, {U.format("CASE seq % 4 WHEN 0 THEN end_at WHEN 1 THEN start_at + INTERVAL 2 HOUR WHEN 2 THEN " + IN_ZONE.format(AT_ZONE.format('start_at', 'Europe/Berlin') + ' + INTERVAL 1 DAY', 'Europe/Berlin') + " ELSE start_at + INTERVAL 45 MINUTE END")} AS dtend,
+ description, trim(venue_name) AS location FROM raw"""
+)
+def s3_zones_and_components(spark, sf):
+    """Listings as calendars with times in UTC, two named zones and one defined in the file, alarms inside of events, durations and folded lines."""
+    put = lambda *c: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in c])
+    stamp = lambda c: F.date_format(c, "yyyyMMdd'T'HHmmss")
+    w, at = F.col("seq") % 4, F.col("start_at")
+    time = (
+        F.when(w == 0, put("DTSTART:", stamp(at), "Z\n", F.coalesce(put("DTEND:", stamp(F.col("end_at")), "Z\n"), F.lit(""))))
+        .when(w == 1, put("DTSTART;TZID=America/New_York:", stamp(F.from_utc_timestamp(at, "America/New_York")), "\nDURATION:PT2H\n"))
+        .when(w == 2, put('DTSTART;X-NOTE="a:b";TZID="Europe/Berlin":', stamp(F.from_utc_timestamp(at, "Europe/Berlin")), "\nDURATION:P1D\n"))
+        .otherwise(put("DTSTART;TZID=House:", stamp((F.unix_timestamp(at) - 12600).cast("timestamp")), "\nDURATION:PT45M\n"))
+    )
+    zone = "BEGIN:VTIMEZONE\nTZID:House\nBEGIN:STANDARD\nDTSTART:19700101T000000\nTZOFFSETFROM:-0330\nTZOFFSETTO:-0330\nEND:STANDARD\nEND:VTIMEZONE\n"
+    alarm = "BEGIN:VALARM\nDESCRIPTION:ring\nSUMMARY:alarm\nBEGIN:X-SOUND\nLOCATION:loud\nEND:X-SOUND\nEND:VALARM\n"
+    folded = F.regexp_replace(text.escape_ical(F.col("description")), r"(?s)(.{7})", "$1\n ")
+    body = put("BEGIN:VCALENDAR\n", zone, "BEGIN:VEVENT\nUID:", F.col("seq").cast("string"), "\n", alarm, "SUMMARY;LANGUAGE=en:", F.col("title"), "\n", time, F.coalesce(put("LOCATION:", text.escape_ical(F.col("venue_name")), "\n"), F.lit("")), F.coalesce(put("DESCRIPTION:", folded, "\n"), F.lit("")), "END:VEVENT\nEND:VCALENDAR")
+    path = shared_folder(spark, "calendars")
+    listings.raw_events(spark, sf).select(body.alias("value")).write.text(path)
+    rows = calendar_text.rows(calendar_text.read(spark, path))
+    return rows.select(F.col("uid").cast("long").alias("seq"), "summary", utc("dtstart").alias("dtstart"), utc("dtend").alias("dtend"), "description", "location")
+
+
+@query(
+    rf"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 6 AS w, CAST(o_orderdate AS DATE) AS d0 FROM orders),
+s AS (SELECT k, w, d0, CAST(unnest(generate_series(d0, d0 + 100, INTERVAL 1 DAY)) AS DATE) AS d FROM o),
+hit AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d) AS n FROM s WHERE
+  (w = 0 AND isodow(d) IN (7, 2) AND ((d - CAST(isodow(d) % 7 AS INTEGER)) - (d0 - CAST(isodow(d0) % 7 AS INTEGER))) % 14 = 0)
+  OR (w = 1 AND isodow(d) <= 5 AND d = last_day(d) - CAST(greatest(isodow(last_day(d)) - 5, 0) AS INTEGER))
+  OR (w = 2 AND (d - d0) % 2 = 0) OR (w = 3 AND isodow(d) = 2 AND ceil(day(d) / 7.0) = 2) OR (w = 4 AND d - d0 IN (0, 7)) OR (w = 5 AND d - d0 <= 8))
+SELECT k, {U.format(TO_UTC.format("CAST(d AS TIMESTAMP) + INTERVAL 19 HOUR"))} AS start_at FROM hit WHERE d >= DATE '1995-02-01' AND d < DATE '1995-03-15' AND (w <> 2 OR n <= 20) AND (w <> 3 OR n <= 2) AND (w <> 0 OR d <= d0 + 60)"""
+)
+def s4_recurrence_sets(spark, sf):
+    """Every order as a set by weeks from Sunday, a month's last working day, counts, dates more and less, or an end at an instant; what falls into six weeks."""
+    o = listings.table(spark, sf, "orders").withColumn("d0", F.to_date("o_orderdate"))
+    k = F.col("o_orderkey")
+    on = lambda n: F.date_format(F.date_add("d0", n), "yyyyMMdd")
+    rules = [F.concat(F.lit("FREQ=WEEKLY;INTERVAL=2;BYDAY=SU,TU;WKST=SU;UNTIL="), on(60)), F.lit("FREQ=MONTHLY;BYDAY=MO,TU,WE,TH,FR;BYSETPOS=-1"), F.lit("FREQ=DAILY;INTERVAL=2;COUNT=20"), F.lit("FREQ=MONTHLY;BYDAY=2TU;COUNT=2"), F.lit(None).cast("string"), F.concat(F.lit("FREQ=DAILY;UNTIL="), on(10), F.lit("T003000Z"))]
+    rule = F.element_at(F.array(*rules), (k % 6 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    dates = lambda *n: F.when(k % 6 == 4, F.array(*[F.concat(on(x), F.lit("T190000")) if x == 9 else on(x) for x in n])).otherwise(F.array().cast("array<string>"))
+    start = times.at_clock(F.col("d0"), F.lit(19 * 3600))
+    rows = o.select(k.alias("seq"), F.lit("x").alias("summary"), start.alias("dtstart"), F.lit(None).cast("timestamp").alias("dtend"), none.alias("location"), none.alias("description"), rule.alias("rrule"), dates(9).alias("exdate"), F.when(k % 6 == 4, F.array(on(7), on(9))).alias("rdate"))
+    return calendar_text.expand(rows, "1995-02-01", "1995-03-15").select(F.col("seq").alias("k"), utc("start_at").alias("start_at"))
+
+
 @query(listings.SQL + f"SELECT event_id, CAST(day AS VARCHAR) AS day, title, {U.format('start_at')} AS start_at, array_to_string(categories, ',') AS tags, CASE WHEN CAST(event_id AS BIGINT) % 3 = 0 THEN 'Source B,Zeta' ELSE 'Source A' END AS names FROM days WHERE day BETWEEN DATE '{FIRST}' AND DATE '{LAST}'")
 def s7_serve_days(spark, sf):
     """Nested records written per day to the shared folder and read again."""

@@ -1,13 +1,15 @@
-"""RSS items, iCalendar text and crawled pages to raw events."""
+"""RSS items and crawled pages, and with calendar rows the events of a feed."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text, times
 from ..functions.schemas import RSS_ITEMS
+from . import calendar_text
+from .ordered import in_order
 
 #: Descriptions below this length are looked up on the event's page.
 SHORT = 80
@@ -18,8 +20,8 @@ SHORT = 80
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
     """(seq, title, link) of the items, seq in the order of files and items."""
-    items = spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEMS).load(path)
-    return items.select(F.monotonically_increasing_id().alias("seq"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("link", F.lit("")).alias("link"))
+    items = in_order(spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEMS).load(path))
+    return items.select("seq", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("link", F.lit("")).alias("link"))
 
 
 def split_title(title: Column) -> tuple[Column, Column]:
@@ -54,141 +56,6 @@ def resolve_urls(events: DataFrame, exact: DataFrame, loose: DataFrame, tz: str
     return found.withColumn("source_url", url).where("source_url is not null").drop("t", "d", "v", "exact_url", "loose_url")
 
 
-def in_order(files: DataFrame) -> DataFrame:
-    """``files``, just read, with seq: ascending by file name, split and place in the split, whatever task reads which."""
-    rows = files.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
-    splits = rows.select("_file", "_block").distinct()
-    rank = splits.select("_file", "_block", F.row_number().over(Window.orderBy("_file", "_block")).cast("long").alias("_split"))
-    rows = rows.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    return rows.join(rank, ["_file", "_block"]).withColumn("seq", F.shiftleft("_split", 33) + F.col("_at")).drop("_file", "_block", "_split", "_at")
-
-
-# -- iCalendar ----------------------------------------------------------------
-
-_STAMP = r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d{2})(Z?))?$"
-
-
-def read_ical(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, component): the text between BEGIN:VEVENT and END:VEVENT, lines unfolded; files are split, components are rows.
-
-    seq follows the files' names and the places in them.
-    """
-    rows = in_order(spark.read.option("lineSep", "BEGIN:VEVENT").text(path))
-    flat = F.regexp_replace("value", r"\r?\n[ \t]", "")
-    return rows.where(F.contains(flat, F.lit("END:VEVENT"))).select("seq", F.substring_index(flat, "END:VEVENT", 1).alias("component"))
-
-
-def _property(name: str) -> Column:
-    return text.blank_as_null(F.regexp_extract("component", rf"(?m)^{name}(?:;[^:\n]*)?:([^\r\n]*)", 1))
-
-
-def _unescaped(c: Column) -> Column:
-    c = F.regexp_replace(c, r"\\[nN]", "\n")
-    return F.regexp_replace(c, r"\\([,;\\])", "$1")
-
-
-def _stamp(c: Column, tz: str) -> Column:
-    """A date, a zone-less or a UTC time to an instant; dates are the home zone's midnight."""
-    g = [F.regexp_extract(c, _STAMP, i) for i in range(1, 8)]
-    naive = F.try_to_timestamp(F.concat(g[0], g[1], g[2], F.when(g[3] == "", "000000").otherwise(F.concat(*g[3:6]))), F.lit("yyyyMMddHHmmss"))
-    return F.when(g[0] != "", F.when(g[6] == "Z", naive).otherwise(F.to_utc_timestamp(naive, tz)))
-
-
-def ical_rows(components: DataFrame, tz: str = times.HOME) -> DataFrame:
-    """(seq, summary, dtstart, dtend, location, description, rrule, exdate); texts stripped, empty ones null."""
-    clean = lambda n: text.blank_as_null(text.strip(_unescaped(_property(n))))
-    skipped = F.regexp_extract_all("component", F.lit(r"(?m)^EXDATE(?:;[^:\n]*)?:([^\r\n]*)"), F.lit(1))
-    return components.select(
-        "seq",
-        clean("SUMMARY").alias("summary"),
-        _stamp(_property("DTSTART"), tz).alias("dtstart"),
-        _stamp(_property("DTEND"), tz).alias("dtend"),
-        clean("LOCATION").alias("location"),
-        clean("DESCRIPTION").alias("description"),
-        _property("RRULE").alias("rrule"),
-        F.flatten(F.transform(skipped, lambda s: F.split(s, ","))).alias("exdate"),
-    )
-
-
-def _rule(name: str) -> Column:
-    return text.blank_as_null(F.regexp_extract(F.coalesce("rrule", F.lit("")), rf"(?:^|;){name}=([^;]*)", 1))
-
-
-def _known() -> Column:
-    """Whether expand_recurring() knows the rule."""
-    parts = F.transform(F.split(F.coalesce("rrule", F.lit("")), ";"), lambda p: F.substring_index(p, "=", 1))
-    names = F.array(*map(F.lit, ["FREQ", "INTERVAL", "COUNT", "UNTIL", "BYDAY", "BYMONTHDAY", "BYMONTH", "WKST", ""]))
-    freq, byday = _rule("FREQ"), F.coalesce(_rule("BYDAY"), F.lit(""))
-    yearly = (freq == "YEARLY") & (byday == "") & (_rule("BYMONTHDAY").isNull() | _rule("BYMONTH").isNotNull())
-    daily = freq.isin("DAILY", "WEEKLY") & ~byday.rlike(r"\d") & _rule("BYMONTHDAY").isNull()
-    week = (freq != "WEEKLY") | F.coalesce(_rule("WKST"), F.lit("MO")).isin("MO")
-    return (F.size(F.array_except(parts, names)) == 0) & (daily | (freq == "MONTHLY") | yearly) & week
-
-
-def unknown_rules(rows: DataFrame) -> DataFrame:
-    """The rows whose rule expand_recurring() doesn't know: it gives their first occurrence alone."""
-    return rows.where(F.col("rrule").isNotNull() & ~F.coalesce(_known(), F.lit(False)))
-
-
-def expand_recurring(rows: DataFrame, start: str, end: str, tz: str = times.HOME) -> DataFrame:
-    """Occurrences that overlap [start 00:00, end 00:00) in the home zone.
-
-    Rules: FREQ of DAILY, WEEKLY, MONTHLY or YEARLY with BYDAY (in MONTHLY also
-    nth weekdays), BYMONTHDAY (MONTHLY and YEARLY, from the month's end if
-    negative) and BYMONTH, INTERVAL, COUNT or UNTIL; EXDATE takes dates out. Wall
-    times stay as they are across clock changes. A COUNT is counted from the
-    first occurrence; dates are clipped to the window before anything is
-    joined. Other rules give the first occurrence alone; unknown_rules() lists
-    them.
-    """
-    lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
-    first = times.local_date(F.col("dtstart"), tz)
-    known = _known()
-    freq, step = _rule("FREQ"), F.coalesce(_rule("INTERVAL").try_cast("int"), F.lit(1))
-    count, until = _rule("COUNT").try_cast("int"), times.local_date(_stamp(_rule("UNTIL"), tz), tz)
-    codes = F.array(*[F.lit(c) for c in ("MO", "TU", "WE", "TH", "FR", "SA", "SU")])
-    byday = _rule("BYDAY")
-    length = F.coalesce(F.unix_timestamp("dtend") - F.unix_timestamp("dtstart"), F.lit(0))
-    rows = rows.withColumns({"d0": first, "freq": freq, "step": F.greatest(step, F.lit(1)), "n": count, "until": until, "byday": byday, "bymonthday": _rule("BYMONTHDAY"), "bymonth": _rule("BYMONTH"), "length": length}).withColumn("freq", F.when(F.coalesce(known, F.lit(False)), F.col("freq")))
-    # a counted rule needs its dates from the first one; others start at the window
-    reach = F.least(F.date_sub(hi, 1), F.coalesce("until", hi))
-    back = F.date_sub(lo, (F.ceil(F.col("length") / 86400) + 1).cast("int"))
-    begin = F.when(F.col("n").isNotNull(), F.col("d0")).otherwise(F.greatest(F.col("d0"), back))
-    days = F.when(begin <= reach, F.sequence(begin, reach)).otherwise(F.array().cast("array<date>"))
-    week0, week = (F.date_sub(d, F.weekday(d)) for d in (F.col("d0"), F.col("d")))
-    on = F.when(F.col("byday").isNull(), F.weekday("d") == F.weekday("d0")).otherwise(F.array_contains(F.split("byday", ","), F.element_at(codes, F.weekday("d") + 1)))
-    months = (F.year("d") - F.year("d0")) * 12 + F.month("d") - F.month("d0")
-    left = F.dayofmonth(F.last_day("d")) - F.dayofmonth("d") + 1
-    # MONTHLY;BYDAY: any of its weekdays, each of every week or of the nth from the month's start or end
-    nth = lambda e: F.regexp_extract(e, r"^([+-]?\d+)?([A-Z]{2})$", 1).try_cast("int")
-    same = lambda e: F.regexp_extract(e, r"^([+-]?\d+)?([A-Z]{2})$", 2) == F.element_at(codes, F.weekday("d") + 1)
-    week_of = lambda e: F.when(nth(e).isNull(), F.lit(True)).when(nth(e) > 0, F.ceil(F.dayofmonth("d") / 7.0) == nth(e)).otherwise(F.ceil(left / 7.0) == -nth(e))
-    by_weekday = F.exists(F.split("byday", ","), lambda e: same(e) & week_of(e))
-    by_date = F.exists(F.split("bymonthday", ","), lambda e: (e.try_cast("int") == F.dayofmonth("d")) | (e.try_cast("int") == -left))
-    in_month = F.col("bymonth").isNull() | F.exists(F.split("bymonth", ","), lambda e: e.try_cast("int") == F.month("d"))
-    monthly = F.when(F.col("byday").isNotNull() & F.col("bymonthday").isNotNull(), by_weekday & by_date).when(F.col("byday").isNotNull(), by_weekday).when(F.col("bymonthday").isNotNull(), by_date).otherwise(F.dayofmonth("d") == F.dayofmonth("d0"))
-    yearly = F.when(F.col("bymonthday").isNotNull(), by_date).otherwise(F.dayofmonth("d") == F.dayofmonth("d0")) & (F.col("bymonth").isNotNull() | (F.month("d") == F.month("d0")))
-    hit = (
-        F.when(F.col("freq") == "DAILY", (F.datediff("d", "d0") % F.col("step") == 0) & (F.col("byday").isNull() | on) & in_month)
-        .when(F.col("freq") == "WEEKLY", on & ((F.datediff(week, week0) / 7).cast("int") % F.col("step") == 0) & in_month)
-        .when(F.col("freq") == "MONTHLY", monthly & (months % F.col("step") == 0) & in_month)
-        .when(F.col("freq") == "YEARLY", yearly & ((F.year("d") - F.year("d0")) % F.col("step") == 0) & in_month)
-        .otherwise(F.col("d") == F.col("d0"))
-    )
-    all_days = F.when(F.col("freq").isNotNull(), days).otherwise(F.array("d0"))
-    out = rows.withColumn("d", F.explode(all_days)).where(hit)
-    rank = F.row_number().over(Window.partitionBy("seq").orderBy("d"))
-    out = out.withColumn("k", rank).where("n is null or k <= n")
-    skipped = F.transform("exdate", lambda s: times.local_date(_stamp(s, tz), tz))
-    out = out.where(~F.coalesce(F.array_contains(skipped, F.col("d")), F.lit(False)))
-    clock = F.unix_timestamp(times.local(F.col("dtstart"), tz)) - F.unix_timestamp(F.col("d0").cast("timestamp"))
-    begins = times.at_clock(F.col("d"), clock, tz)
-    ends = F.when(F.col("dtend").isNotNull(), (F.unix_timestamp(begins) + F.col("length")).cast("timestamp"))
-    out = out.withColumns({"start_at": begins, "end_at": ends})
-    overlap = (F.col("start_at") < times.local_midnight(hi, tz)) & (F.greatest(F.coalesce("end_at", "start_at"), F.col("start_at")) >= times.local_midnight(lo, tz))
-    return out.where(overlap).select("seq", "summary", "start_at", "end_at", "location", "description")
-
-
 # -- crawled pages ------------------------------------------------------------
 
 
@@ -255,7 +122,7 @@ def enrichment_stats(events: DataFrame) -> DataFrame:
 
 def feed_events(rows: DataFrame, items: DataFrame, source_name: str, start: str, end: str, tz: str = times.HOME) -> DataFrame:
     """Calendar rows with titles, expanded in [start, end], with their RSS addresses, as raw events."""
-    out = expand_recurring(rows.where("summary is not null"), start, end, tz)
+    out = calendar_text.expand(rows.where("summary is not null"), start, end, tz)
     out = out.withColumnsRenamed({"summary": "title", "location": "venue_name"})
     out = resolve_urls(out, *url_maps(items, start, end), tz)
     none = F.lit(None).cast("string")

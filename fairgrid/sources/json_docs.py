@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import taxonomy, text, times
 from ..functions.schemas import JSON_DOCS
+from .ordered import in_order
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines with the declared schema, and their order in the file set as ``seq``."""
-    return spark.read.schema(JSON_DOCS).json(path).withColumn("seq", F.monotonically_increasing_id())
+    """JSON lines with the declared schema, and ``seq`` in the order of files and lines."""
+    return in_order(spark.read.schema(JSON_DOCS).json(path))
 
 
 def event_date(dates: Column, following: Column, start: Column, tz: str) -> Column:

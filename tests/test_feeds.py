@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from fairgrid.sources import feeds
+from fairgrid.sources import calendar_text, feeds
 
 RSS = """<?xml version="1.0"?><rss><channel>
 <item><title>Jazz - June 1 7 pm @ The Bar</title><link>https://e.com/a?occ_dtstart=2026-06-01T19:00</link></item>
@@ -44,7 +44,7 @@ def test_feed(spark, tmp_path):
     (tmp_path / "i").mkdir()
     (tmp_path / "r/feed.xml").write_text(RSS)
     (tmp_path / "i/cal.ics").write_text(ICAL)
-    items, rows = feeds.read_rss(spark, str(tmp_path / "r")), feeds.ical_rows(feeds.read_ical(spark, str(tmp_path / "i")))
+    items, rows = feeds.read_rss(spark, str(tmp_path / "r")), calendar_text.rows(calendar_text.read(spark, str(tmp_path / "i")))
     got = rows.orderBy("seq").collect()
     assert [(r.summary, str(r.dtstart), str(r.dtend), r.description) for r in got[:2]] == [("Jazz", "2026-06-02 00:00:00", "2026-06-02 02:00:00", "One, two\nthree"), ("Jazz", "2026-06-02 00:00:00", "None", None)]
     assert got[2].summary is None and str(got[3].dtstart) == "2026-06-01 05:00:00"
@@ -57,7 +57,7 @@ def series(spark, rule, start="2026-03-02 19:00", hours=2, exdate=()):
     s = dt.datetime.fromisoformat(start)
     rows = [(1, "x", s, s + dt.timedelta(hours=hours), None, None, rule, list(exdate))]
     df = spark.createDataFrame(rows, "seq long, summary string, dtstart timestamp, dtend timestamp, location string, description string, rrule string, exdate array<string>")
-    return [str(r.start_at)[5:16] for r in feeds.expand_recurring(df, "2026-03-06", "2026-03-20").orderBy("start_at").collect()]
+    return [str(r.start_at)[5:16] for r in calendar_text.expand(df, "2026-03-06", "2026-03-20").orderBy("start_at").collect()]
 
 
 def test_recurrence(spark):
@@ -74,9 +74,9 @@ def test_recurrence(spark):
     assert series(spark, "FREQ=DAILY;BYDAY=MO,SA") == ["03-07 19:00", "03-09 18:00", "03-14 18:00", "03-16 18:00"]
     assert series(spark, "FREQ=YEARLY", "2024-03-10 18:00") == ["03-10 18:00"] and series(spark, "FREQ=YEARLY;INTERVAL=3", "2024-03-10 18:00") == []
     assert series(spark, "FREQ=YEARLY;BYMONTH=3;BYMONTHDAY=9") == ["03-09 18:00"]
-    assert series(spark, "FREQ=MONTHLY;BYDAY=MO;BYSETPOS=1") == []
+    assert series(spark, "FREQ=MONTHLY;BYDAY=MO;BYSETPOS=2") == ["03-09 18:00"]
     rules = spark.createDataFrame([("FREQ=MONTHLY;BYDAY=MO;BYSETPOS=1",), ("FREQ=YEARLY;BYDAY=MO",), ("FREQ=HOURLY",), ("FREQ=MONTHLY;BYDAY=1MO",), ("FREQ=DAILY;COUNT=3",), (None,)], "rrule string")
-    assert {r.rrule for r in feeds.unknown_rules(rules).collect()} == {"FREQ=MONTHLY;BYDAY=MO;BYSETPOS=1", "FREQ=YEARLY;BYDAY=MO", "FREQ=HOURLY"}
+    assert {r.rrule for r in calendar_text.unknown_rules(rules).collect()} == {"FREQ=HOURLY"}
     assert series(spark, "FREQ=WEEKLY;UNTIL=20260310T000000Z", exdate=["20260309T130000"]) == []
     assert series(spark, None) == [] and series(spark, None, "2026-03-07 10:00") == ["03-07 10:00"]
     assert series(spark, None, "2026-03-05 10:00", 48) == ["03-05 10:00"]
