@@ -65,6 +65,17 @@ def can_reach(a: Column, b: Column, threshold: float = THRESHOLD) -> Column:
     return F.least(F.length(a), F.length(b)) * 2.0 >= (F.length(a) + F.length(b)) * F.lit(threshold)
 
 
+def letters(title: Column) -> Column:
+    """A title's letters, each with its number among equal ones: as a set, what a multiset of letters is."""
+    sorted_ = F.array_sort(F.regexp_extract_all(title, F.lit("(?s)(.)"), F.lit(1)))
+    return F.transform(sorted_, lambda c, i: F.concat(c, (i - F.array_position(sorted_, c)).cast("string")))
+
+
+def can_match(a: Column, b: Column, threshold: float = THRESHOLD) -> Column:
+    """Whether the letters in common, in whatever order, suffice for the threshold; a and b are letters()."""
+    return F.size(F.array_intersect(a, b)) * 2.0 >= (F.size(a) + F.size(b)) * F.lit(threshold)
+
+
 @F.pandas_udf(T.DoubleType())
 def title_ratio(raw, event):
     """Ratcliff-Obershelp ratio; the order of the arguments matters."""
@@ -77,55 +88,70 @@ def title_ratio(raw, event):
 
 def best_matches(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(canonical_hash, event_id, ratio): the best candidate of each raw at the threshold or over, ties to the smallest event_id."""
+    pairs = pairs.where(can_match(letters(F.col("raw_title")), letters(F.col("event_title")), threshold))
     scored = pairs.withColumn("ratio", title_ratio("raw_title", "event_title")).where(F.col("ratio") >= threshold)
     rank = F.row_number().over(Window.partitionBy("canonical_hash").orderBy(F.desc("ratio"), "event_id"))
     return scored.withColumn("k", rank).where("k = 1").select("canonical_hash", "event_id", "ratio")
 
 
-_ROW = "block binary, key string, title string, start_us long, all_day boolean, seq long, raw boolean"
-_LINK = "canonical_hash string, event_id string, founds boolean"
-
+#: Candidates with no time of their founding are older than any raw.
+_BEFORE = -(2**62)
 
-def _linker(threshold: float):
-    """For sorted partitions of whole blocks: raws in feed order link to the best event before them, or found one."""
 
-    def link(batches):
-        from difflib import SequenceMatcher
+def _scored(classes: DataFrame, there: DataFrame, threshold: float) -> DataFrame:
+    """(id, first, known_key, known_seq, settled, ratio): the pairs of a class and a candidate of its block that reach the threshold."""
+    c = classes.select("block", F.col("key").alias("id"), F.col("title").alias("raw_title"), F.col("start_us").alias("raw_start"), "all_day", F.col("seq").alias("first"), "last")
+    there = there.select("block", F.col("key").alias("known_key"), F.col("title").alias("event_title"), "start_us", F.col("seq").alias("known_seq"), "settled")
+    c, there = c.withColumn("raw_letters", letters(F.col("raw_title"))), there.withColumn("event_letters", letters(F.col("event_title")))
+    pairs = c.join(there, "block").where((F.col("all_day") | (F.col("raw_start") == F.col("start_us"))) & (F.col("known_seq") < F.col("last")) & (F.col("id") != F.col("known_key")))
+    pairs = pairs.where(can_reach(F.col("raw_title"), F.col("event_title"), threshold)).where(can_match(F.col("raw_letters"), F.col("event_letters"), threshold))
+    return pairs.withColumn("ratio", title_ratio("raw_title", "event_title")).where(F.col("ratio") >= threshold).select("id", "first", "known_key", "known_seq", "settled", "ratio")
 
-        import pyarrow as pa
 
-        block, known = None, []  # (key, title, start, seq of its founder)
-        for b in batches:
-            out = []
-            for at, key, title, start, all_day, seq, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if at != block:
-                    block, known = at, []
-                best, top = None, 0.0
-                if raw:
-                    for other_key, other, other_start, founded in known:
-                        if (not all_day and other_start != start) or founded >= seq:
-                            continue
-                        m = SequenceMatcher(None, title, other)
-                        if min(m.real_quick_ratio(), m.quick_ratio()) < max(top, threshold):
-                            continue
-                        r = m.ratio()
-                        if r > top or (r == top and best is not None and other_key < best):
-                            best, top = other_key, r
-                    linked = top >= threshold
-                    out.append((key, best if linked else key, not linked))
-                    if linked:
-                        continue
-                known.append((key, title, start, seq))
-            cols = list(zip(*out, strict=True)) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_()), strict=True)], ["canonical_hash", "event_id", "founds"])
+def first_come(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id) of the nodes that one pass in order would keep: those without a kept node before them.
 
-    return link
-
-
-def _linked(rows: DataFrame, threshold: float) -> DataFrame:
-    """Rows of _ROW, dealt by block; in a block events come before raws, and raws in feed order."""
-    dealt = rows.repartition("block").sortWithinPartitions("block", "raw", "seq", "key")
-    return dealt.mapInArrow(_linker(threshold), _LINK)
+    nodes: (id). edges: (id, before) for each node and neighbour that comes
+    before it. A node without an open neighbour before it is kept, and all
+    after it that have an edge to it go; both are closed, with their edges.
+    Rounds go on until none is open; a round settles at least every first node.
+    """
+    kept, open_ = None, cut(nodes.select("id"))
+    edges = cut(edges.select("id", "before").distinct())
+    while not open_.isEmpty():
+        found = open_.join(edges.select("id").distinct(), "id", "left_anti")
+        gone = edges.join(found.select(F.col("id").alias("before")), "before", "left_semi").select("id").distinct()
+        kept = cut(found if kept is None else kept.union(found))
+        open_ = cut(open_.join(kept, "id", "left_anti").join(gone, "id", "left_anti"))
+        edges = cut(edges.join(open_, "id", "left_semi").join(open_.select(F.col("id").alias("before")), "before", "left_semi").select("id", "before"))
+    return open_ if kept is None else kept
+
+
+def _linked(raws: DataFrame, there: DataFrame, threshold: float) -> DataFrame:
+    """(canonical_hash, event_id, founds) of raws (block, key, title, start_us, all_day, seq) against candidates of their blocks and each other.
+
+    Raws of one block, title, start and kind are a class. Only its first raw can
+    found: what that one links to stays a candidate for all later ones. So
+    founders are the classes that one pass in feed order would keep, and each
+    raw then takes the best of the candidates and founders before it.
+    """
+    one = ["block", "title", "start_us", "all_day"]
+    classes = cut(raws.groupBy(*one).agg(F.min_by("key", F.struct("seq", "key")).alias("key"), F.min("seq").alias("seq"), F.max("seq").alias("last")))
+    known = there.groupBy("block", "title", "start_us", "seq").agg(F.min("key").alias("key")).withColumn("settled", F.lit(True))
+    both = known.unionByName(classes.select("block", "title", "start_us", "seq", "key", F.lit(False).alias("settled")))
+    edges = cut(_scored(classes, both, threshold))
+    early = edges.where("known_seq < first")
+    taken = early.where("settled").select("id").distinct()
+    open_ = classes.select(F.col("key").alias("id")).join(taken, "id", "left_anti")
+    founders = first_come(open_, early.where("not settled").select("id", F.col("known_key").alias("before")).join(open_, "id", "left_semi").join(open_.select(F.col("id").alias("before")), "before", "left_semi"))
+    founders = founders.select(F.col("id").alias("known_key"))
+    good = edges.where("settled").drop("settled").unionByName(edges.where("not settled").drop("settled").join(founders, "known_key", "left_semi"))
+    own = classes.join(founders, classes["key"] == founders["known_key"], "left_semi").select(F.col("key").alias("id"), F.col("seq").alias("first"), F.col("key").alias("known_key"), F.col("seq").alias("known_seq"), F.lit(1.0).alias("ratio"))
+    good = good.unionByName(own).select("id", "known_key", "known_seq", "ratio")
+    each = raws.join(classes.select(*one, F.col("key").alias("id")), one).select("id", "key", "seq")
+    best = each.join(good, "id").where("known_seq < seq").groupBy("key").agg(F.min_by("known_key", F.struct(-F.col("ratio"), F.col("known_key"))).alias("best"))
+    out = each.select("key").join(best, "key", "left")
+    return out.select(F.col("key").alias("canonical_hash"), F.coalesce("best", "key").alias("event_id"), F.col("best").isNull().alias("founds"))
 
 
 def link_misses(misses: DataFrame, events: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -133,24 +159,25 @@ def link_misses(misses: DataFrame, events: DataFrame, threshold: float = THRESHO
 
     Same as taking raws one after another in feed order, each looking at the
     events of before and at those founded earlier in the run: raws with a venue
-    only meet in blocks of a UTC date and a venue, one task each; then raws with
-    a time but no venue in blocks of one start, whose candidates are all events
-    there and founders with a smaller seq. All-day raws without a venue always
-    found. Candidates have their status, start and venue of before the run, and
-    equal ratios go to the smallest key.
+    only meet in blocks of a UTC date and a venue; then raws with a time but no
+    venue in blocks of one start, whose candidates are all events there and
+    founders with a smaller seq. All-day raws without a venue always found.
+    Candidates have their status, start and venue of before the run, and equal
+    ratios go to the smallest key. Distinct titles of a block meet by a join,
+    which adaptive execution can split; no task holds a block.
     """
     title, start = text.key_text(F.col("title")).alias("title"), F.unix_micros("start_at").alias("start_us")
     block = lambda *c: F.unhex(F.sha1(F.concat_ws("|", *c))).alias("block")
-    raws = misses.select(F.col("canonical_hash").alias("key"), title, start, "all_day", "seq", F.lit(True).alias("raw"), venue_key(F.col("venue_name")).alias("venue"), block_date(F.col("all_day"), F.col("start_local_date"), F.col("start_at")).alias("day"))
-    there = events.where("status != 'removed'").select(F.col("event_id").alias("key"), title, start, "all_day", F.lit(-(2**62)).alias("seq"), F.lit(False).alias("raw"), text.key_text(F.col("venue_name")).alias("venue"), F.to_date("start_at").alias("day"))
-    cols = ["key", "title", "start_us", "all_day", "seq", "raw"]
+    raws = misses.select(F.col("canonical_hash").alias("key"), title, start, "all_day", "seq", venue_key(F.col("venue_name")).alias("venue"), block_date(F.col("all_day"), F.col("start_local_date"), F.col("start_at")).alias("day"))
+    there = events.where("status != 'removed'").select(F.col("event_id").alias("key"), title, start, "all_day", F.lit(_BEFORE).alias("seq"), text.key_text(F.col("venue_name")).alias("venue"), F.to_date("start_at").alias("day"))
+    cols = ["key", "title", "start_us", "all_day", "seq"]
     at_venue = lambda df: df.where("venue != ''").select(block(F.col("day").cast("string"), "venue"), *cols)
-    first = cut(_linked(at_venue(raws).unionByName(at_venue(there)), threshold))
+    first = cut(_linked(at_venue(raws), at_venue(there), threshold))
     founders = raws.where("venue != ''").join(first.where("founds").select(F.col("canonical_hash").alias("key")), "key", "left_semi")
     bare = raws.where("venue = '' and not all_day")
     at_start = lambda df: df.select(block(F.col("start_us").cast("string")), *cols)
-    known = there.unionByName(founders.withColumn("raw", F.lit(False)))
+    known = there.unionByName(founders)
     known = known.join(bare.select("start_us").distinct(), "start_us", "left_semi")
-    second = _linked(at_start(bare).unionByName(at_start(known)), threshold)
+    second = _linked(at_start(bare), at_start(known), threshold)
     alone = raws.where("venue = '' and all_day").select(F.col("key").alias("canonical_hash"), F.col("key").alias("event_id"), F.lit(True).alias("founds"))
     return first.union(second).union(alone)

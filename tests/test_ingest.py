@@ -138,6 +138,62 @@ def test_linking_against_a_plain_loop(spark, seed):
     assert got == sequential(new, known)
 
 
+def test_very_many_listings_at_one_start(spark):
+    """100,000 listings without a venue at one instant: titles are compared once each, and the result is that of the loop."""
+    rng = random.Random(4)
+    words = ["jazz", "night", "open", "mic", "art", "walk", "fair", "yoga", "quiz", "film", "market", "brunch"]
+    titles = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(220)})
+    at = dt.datetime(2026, 6, 15, 19)
+    rows = [(f"{i:08d}", rng.choice(titles), at, dt.date(2026, 6, 15), False, i, None) for i in range(100_000)]
+    df = spark.createDataFrame(rows, "canonical_hash string, title string, start_at timestamp, start_local_date date, all_day boolean, seq long, venue_name string")
+    events = spark.createDataFrame([("e1", titles[5], at, "Hall", "active", False), ("e0", titles[5], at, None, "active", False), ("e2", titles[9], at, None, "removed", False)], "event_id string, title string, start_at timestamp, venue_name string, status string, all_day boolean")
+    ratio = {}
+
+    def similar(a, b):
+        if (a, b) not in ratio:
+            ratio[a, b] = SequenceMatcher(None, a, b).ratio()
+        return ratio[a, b]
+
+    known, want = [("e0", titles[5]), ("e1", titles[5])], {}
+    for h, t, *_ in rows:
+        top, best = min(((-similar(t, u), k) for k, u in known), default=(0, None))
+        want[h] = (best, False) if -top >= 0.65 else (h, True)
+        if want[h][1]:
+            known.append((h, t))
+    got = {r.canonical_hash: (r.event_id, r.founds) for r in dedupe.link_misses(df, events).collect()}
+    assert got == want and sum(f for _, f in want.values()) > 10
+
+
+def test_registered_linking_against_a_plain_loop(spark):
+    from fairgrid.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    m, events = registry.misses(spark, sf)
+    clean = lambda v: (v or "").strip().lower()
+    known = {}
+
+    def blocks(r):
+        """Where a candidate can be met: at its start, and by date and venue."""
+        return [r["start_at"], (r["start_at"].date(), clean(r["venue_name"]))]
+
+    for e in events.where("status != 'removed'").collect():
+        for b in blocks(e):
+            known.setdefault(b, []).append((e.event_id, clean(e.title), e.start_at, clean(e.venue_name)))
+    rows, want = sorted(m.collect(), key=lambda r: r.seq), {}
+    # listings with a venue first: those without one are never candidates for them
+    for r in [r for r in rows if clean(r.venue_name)] + [r for r in rows if not clean(r.venue_name)]:
+        venue, when = clean(r.venue_name), r.start_local_date if r.all_day else r.start_at.date()
+        near = known.get((when, venue), []) if venue else [] if r.all_day else known.get(r.start_at, [])
+        near = [k for k in near if (r.all_day or k[2] == r.start_at) and (len(k) < 5 or k[4] < r.seq)]
+        top, best = min(((-SequenceMatcher(None, clean(r.title), k[1]).ratio(), k[0]) for k in near), default=(0, None))
+        want[r.canonical_hash] = (best, False) if -top >= 0.65 else (r.canonical_hash, True)
+        if want[r.canonical_hash][1]:
+            for b in dict.fromkeys([r.start_at, (when, venue)] if venue else [r.start_at]):
+                known.setdefault(b, []).append((r.canonical_hash, clean(r.title), r.start_at, venue, r.seq))
+    got = {r.canonical_hash: (r.event_id, r.founds) for r in registry.QUERIES["j4_greedy_linking"](spark, sf).collect()}
+    assert got == want
+
+
 def test_stream_of_deliveries(spark, tmp_path):
     import json
 
