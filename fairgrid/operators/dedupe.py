@@ -19,12 +19,12 @@ def with_hash(raws: DataFrame) -> DataFrame:
 def collapse(raws: DataFrame) -> DataFrame:
     """One row per hash: the first by seq (and place in its document, if told), with the categories of all in their order, each once."""
     raws = raws if "canonical_hash" in raws.columns else with_hash(raws)
-    others = [c for c in raws.columns if c not in ("canonical_hash", "categories", "place")]
+    others = [c for c in raws.columns if c not in ("canonical_hash", "categories")]
     order = F.struct("seq", *(["place"] if "place" in raws.columns else []))
     # a category comes once per hash before any list is made, however many rows have the hash
     each = raws.select("canonical_hash", order.alias("at"), F.struct(*others).alias("row"), F.posexplode_outer("categories").alias("pos", "category"))
-    each = each.groupBy("canonical_hash", "category").agg(F.min(F.when(F.col("pos").isNotNull(), F.struct("at", "pos"))).alias("place"), F.min("at").alias("at"), F.min_by("row", "at").alias("row"))
-    listed = F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "category"))))
+    each = each.groupBy("canonical_hash", "category").agg(F.min(F.when(F.col("pos").isNotNull(), F.struct("at", "pos"))).alias("named"), F.min("at").alias("at"), F.min_by("row", "at").alias("row"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("named").isNotNull(), F.struct("named", "category"))))
     united = F.transform(listed, lambda x: x["category"])
     got = each.groupBy("canonical_hash").agg(F.min_by("row", "at").alias("first"), united.alias("categories"))
     return got.select("canonical_hash", "first.*", "categories")

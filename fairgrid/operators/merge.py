@@ -31,12 +31,26 @@ def attach(raws: DataFrame, events: DataFrame, threshold: float | None = dedupe.
     return hits.unionByName(misses.join(dedupe.link_misses(misses, events, threshold), "canonical_hash"))
 
 
+def _order(raws: DataFrame) -> Column:
+    """What raws are ordered by: seq, and the place in its document if that is told."""
+    return F.struct("seq", "place") if "place" in raws.columns else F.struct("seq")
+
+
 def _per_event(attached: DataFrame) -> DataFrame:
-    """What an event's raws bring, in feed order: fills, categories, the first timed one."""
-    later = attached.where("not founds")
-    fills = [F.expr(f"min_by({f}, seq) filter (where {f} is not null)").alias(f"raw_{f}") for f in FILLED if f != "end_at"]
-    rows = F.array_sort(F.collect_list(F.struct("seq", "start_at", "end_at", "all_day", "categories"))).alias("raws")
-    return later.groupBy("event_id").agg(*fills, rows)
+    """What an event's raws bring, in feed order: fills, the first timed one, ends before and after it, categories.
+
+    All of it are aggregates that are merged from parts; only the distinct
+    categories of an event are listed.
+    """
+    later = attached.where("not founds").withColumn("at", _order(attached))
+    fills = [F.expr(f"min_by({f}, at) filter (where {f} is not null)").alias(f"raw_{f}") for f in FILLED]
+    timed = F.expr("min_by(struct(at, start_at, end_at), at) filter (where not all_day)").alias("timed")
+    per = later.groupBy("event_id").agg(*fills, timed, F.count("*").alias("n_raws"))
+    since = per.where("timed is not null and timed.end_at is null").select("event_id", F.col("timed.at").alias("since"))
+    after = later.where("end_at is not null").join(since, "event_id").where("at > since").groupBy("event_id").agg(F.min_by("end_at", "at").alias("end_after"))
+    each = later.select("event_id", "at", F.posexplode("categories").alias("pos", "category")).groupBy("event_id", "category").agg(F.min(F.struct("at", "pos")).alias("first"))
+    brought = F.transform(F.array_sort(F.collect_list(F.struct("first", "category"))), lambda x: x["category"])
+    return per.join(after, "event_id", "left").join(each.groupBy("event_id").agg(brought.alias("brought")), "event_id", "left")
 
 
 def merge_fields(events: DataFrame, attached: DataFrame) -> DataFrame:
@@ -47,20 +61,14 @@ def merge_fields(events: DataFrame, attached: DataFrame) -> DataFrame:
     its first timed raw, even no end; raws after that may still fill the end.
     """
     e = events.join(_per_event(attached), "event_id", "left")
-    raws = F.coalesce("raws", F.array().cast("array<struct<seq:bigint,start_at:timestamp,end_at:timestamp,all_day:boolean,categories:array<string>>>"))
-    e = e.withColumn("raws", raws)
-    timed = F.try_element_at(F.filter("raws", lambda r: ~r["all_day"]), F.lit(1))
-    e = e.withColumn("timed", F.when(F.col("all_day"), timed))
-    first_end = lambda x: F.try_element_at(F.filter(x, lambda r: r["end_at"].isNotNull()), F.lit(1))["end_at"]
-    after = F.filter("raws", lambda r: r["seq"] > F.col("timed.seq"))
+    e = e.withColumn("timed", F.when(F.col("all_day"), F.col("timed")))
     upgraded = F.col("timed").isNotNull()
-    end = F.when(upgraded, F.coalesce(F.col("timed.end_at"), first_end(after))).otherwise(F.coalesce("end_at", first_end(F.col("raws"))))
+    end = F.when(upgraded, F.coalesce("timed.end_at", "end_after")).otherwise(F.coalesce("end_at", "raw_end_at"))
     empty = F.array().cast("array<string>")
-    brought = F.flatten(F.transform("raws", lambda r: F.coalesce(r["categories"], empty)))
     has = F.coalesce("categories", empty)
-    new = F.array_distinct(F.filter(brought, lambda c: ~F.coalesce(F.array_contains(has, c), F.lit(False))))
-    revived = (F.col("status") == "removed") & (F.size("raws") > 0)
-    filled = [F.col(f).isNull() & (F.col(f"raw_{f}") if f != "end_at" else first_end(F.col("raws"))).isNotNull() for f in FILLED]
+    new = F.filter(F.coalesce("brought", empty), lambda c: ~F.coalesce(F.array_contains(has, c), F.lit(False)))
+    revived = (F.col("status") == "removed") & (F.coalesce("n_raws", F.lit(0)) > 0)
+    filled = [F.col(f).isNull() & F.col(f"raw_{f}").isNotNull() for f in FILLED]
     changed: Column = revived | upgraded | (F.size(new) > 0)
     for f in filled:
         changed = changed | f
@@ -92,7 +100,7 @@ def new_events(attached: DataFrame, run_start: Column) -> DataFrame:
 
 def upsert_sources(sources: DataFrame, attached: DataFrame, source_name: str, run_start: Column) -> DataFrame:
     """One row per (event, source): the first raw's address wins, and the run's time; others stay as they are."""
-    seen = attached.groupBy("event_id").agg(F.min_by("source_url", "seq").alias("new_url")).withColumn("source_name", F.lit(source_name))
+    seen = attached.groupBy("event_id").agg(F.min_by("source_url", _order(attached)).alias("new_url")).withColumn("source_name", F.lit(source_name))
     both = sources.join(seen, ["event_id", "source_name"], "full_outer")
     hit = F.col("new_url").isNotNull()
     return both.select(
