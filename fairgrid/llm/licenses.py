@@ -43,7 +43,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
 
-#: Of a document's licence words so many kinds of the highest IDF look up postings, and all that fewer documents have than this share.
+#: Of a document's licence words so many kinds of the highest IDF look up postings, all that fewer documents have than
+#: this share, and those that a possible template can't do without.
 RARE_WORDS, RARE_SHARE = 24, 0.01
 #: Rare words that must agree on a start, and share of a template's IDF weight that must be in place.
 AGREE, COVER = 2, 0.7
@@ -97,6 +98,17 @@ def idf(rows: DataFrame, n_words: int) -> list[float]:
     return [math.log((n + 1) / (df.get(w, 0) + 1)) for w in range(n_words)]
 
 
+def needed(notice: list[int], weights: list[float], agree: int, cover: float) -> list[int]:
+    """A template's words of highest IDF, as many that where ``cover`` of its weight is in place, so are ``agree`` of their places."""
+    total, chosen, found = sum(weights[w] for w in notice), [], []
+    for w in sorted(set(notice), key=lambda w: (-weights[w], w)):
+        chosen.append(w)
+        found += [weights[w]] * notice.count(w)
+        if sum(found) - (1 - cover) * total > sum(sorted(found)[-agree + 1 :]) + 1e-9 * total:
+            break
+    return chosen
+
+
 def aligned(hits: DataFrame, templates, weights: list[float], agree: int = AGREE, cover: float = COVER, rare_words: int = RARE_WORDS) -> DataFrame:
     """(row, label, start, cover) of verified template places, from (row, hits)."""
     spark, known = hits.sparkSession, {w: i for i, w in enumerate(_vocabulary(templates))}
@@ -106,12 +118,15 @@ def aligned(hits: DataFrame, templates, weights: list[float], agree: int = AGREE
     by_rank = F.array(*[F.lit(float(x)) for x in weights])
     # the templates whose mandatory phrase can stand here: all its words do somewhere
     kinds = F.array_distinct(F.transform("hits", _word))
-    phrases = F.array(*[F.struct(F.lit(t).alias("template"), F.array(*map(F.lit, dict.fromkeys(phrase))).alias("words")) for t, _, _, phrase in texts])
-    possible = F.transform(F.filter(phrases, lambda t: F.forall(t["words"], lambda w: F.array_contains("kinds", w))), lambda t: t["template"])
-    some = hits.withColumn("kinds", kinds).withColumn("possible", possible).where(F.size("possible") > 0)
+    held = [max(x, 1e-9) for x in weights]
+    listed = lambda ws: F.array(*map(F.lit, dict.fromkeys(ws)))
+    phrases = F.array(*[F.struct(F.lit(t).alias("template"), listed(phrase).alias("words"), listed(needed(notice, held, agree, cover)).alias("needed")) for t, _, notice, phrase in texts])
+    able = F.filter(phrases, lambda t: F.forall(t["words"], lambda w: F.array_contains("kinds", w)))
+    some = hits.withColumn("kinds", kinds).withColumn("able", able).where(F.size("able") > 0)
+    some = some.withColumn("possible", F.transform("able", lambda t: t["template"])).withColumn("needed", F.array_distinct(F.flatten(F.transform("able", lambda t: t["needed"])))).drop("able")
     # the document's own rarest licence words
     ranked = F.array_sort(F.transform("kinds", lambda w: F.struct((-F.get(by_rank, w)).alias("x"), w.alias("w"))))
-    rare = F.transform(F.filter(ranked, lambda k, i: (i < rare_words) | (k["x"] <= math.log(RARE_SHARE))), lambda k: k["w"])
+    rare = F.transform(F.filter(ranked, lambda k, i: (i < rare_words) | (k["x"] <= math.log(RARE_SHARE)) | F.array_contains("needed", k["w"])), lambda k: k["w"])
     asked = some.withColumn("rare", rare).select("row", "possible", "rare", F.posexplode("hits").alias("i", "h")).where(F.array_contains("rare", _word(F.col("h"))))
     asked = asked.select("row", "possible", "i", _place(F.col("h")).alias("p"), _word(F.col("h")).alias("w"))
     votes = asked.join(F.broadcast(postings), "w").where(F.array_contains("possible", F.col("template")))

@@ -87,3 +87,27 @@ def test_labels_against_every_start_with_a_long_licence_text(spark):
         want[i] |= set(filter(None, brute(dict(rows)[i])[4].split(",")))
     out = {r.doc_id: set(filter(None, r.labels.split(","))) for r in L.scan_documents(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
     assert out == want and sum("long-1" in v for v in want.values()) > 5
+
+
+def test_no_label_is_lost_among_many_licence_words(spark):
+    """A notice whose words are frequent, after all other licence words: more kinds than look up postings by their rank."""
+    notice = "licensed under cc by sa 4 0"
+    others = [w for w in L._vocabulary(L.TEMPLATES) if w not in notice.split()]
+    rows = [(i, f"text {i} {notice} end") for i in range(200)] + [(900, " ".join(others) + " . " + notice), (901, " ".join(reversed(others)) + " released under the mit license " + notice)]
+    got = {r.doc_id: r.labels for r in L.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == "cc-by-sa" and "cc-by-sa" in got[900].split(",") and {"cc-by-sa", "mit"} <= set(got[901].split(","))
+
+
+def test_needed_words_are_in_every_place():
+    """Whatever is left out of a template, if enough of its weight stands, two of the needed words do."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        notice = [rng.randrange(12) for _ in range(rng.randrange(4, 30))]
+        weights = [rng.choice([1e-9, 0.2, 1.0, 3.0, 7.0]) for _ in range(12)]
+        words = set(L.needed(notice, weights, 2, 0.7))
+        for _ in range(40):
+            here = [q for q in range(len(notice)) if rng.random() < 0.8]
+            if sum(weights[notice[q]] for q in here) >= 0.7 * sum(weights[w] for w in notice):
+                assert sum(notice[q] in words for q in here) >= min(2, len(here)) or words == set(notice)
