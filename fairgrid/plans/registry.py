@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import taxonomy, text, times
 from ..functions.lineage import shared_folder
 from ..functions.schemas import RAW
-from ..operators import calendar, dedupe, export, geocode, merge, tagging
+from ..operators import calendar, dedupe, deliveries, export, geocode, merge, tagging
 from ..operators.numbering import dense
 from ..sources import calendar_text, feeds, json_docs, store
 from ..streaming import incremental
@@ -892,3 +892,20 @@ def r1_s6_incremental_ingest(spark, sf):
     newest = incremental.newest(spark, root)
     sources = store.read(spark, root, newest, "event_sources").groupBy("event_id").agg(F.count("*").alias("n_sources"))
     return store.read(spark, root, newest, "events").join(sources, "event_id").select(F.col("event_id").alias("hash"), "status", "n_sources")
+
+
+@query(
+    HASHED
+    + """, g AS (SELECT hash, source_name, user_id % 20 AS d FROM h JOIN events ON event_id = seq),
+s AS (SELECT hash, source_name, max(d) AS last FROM g GROUP BY ALL),
+e AS (SELECT hash, count(*) AS n_sources, count(*) FILTER (WHERE last = 19) AS n_active FROM s GROUP BY hash)
+SELECT hash, CASE WHEN n_active > 0 THEN 'active' ELSE 'removed' END AS status, n_sources, n_active FROM e"""
+)
+def r1_s6_deliveries_at_once(spark, sf):
+    """The listings of both sources in 20 deliveries each, in turn, taken in one pass: what the last one of a source doesn't have is out."""
+    e = listings.table(spark, sf, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 20).cast("int").alias("n"))
+    given = [(f"Source {s}", f"2024-02-{n + 1:02d} 0{k}:00:00") for n in range(20) for k, s in enumerate("AB")]
+    r = listings.raw_events(spark, sf).join(e, "seq").withColumn("d", F.col("n") * 2 + F.when(F.col("source_name") == "Source B", 1).otherwise(0)).drop("n")
+    m = deliveries.ingest_many(r, store.empty(spark, "events"), store.empty(spark, "event_sources"), given)
+    sources = m.sources.groupBy("event_id").agg(F.count("*").alias("n_sources"), F.count_if("is_active").alias("n_active"))
+    return m.events.join(sources, "event_id").select(F.col("event_id").alias("hash"), "status", "n_sources", "n_active")

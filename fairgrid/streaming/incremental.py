@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.schemas import RAW
-from ..operators import dedupe, merge
+from ..operators import dedupe, deliveries, merge
 from ..sources import store
 
 DELIVERY = f"delivery string, {RAW}"
@@ -41,24 +41,36 @@ def ingest_once(spark: SparkSession, root: str, version: str | None, raws: DataF
     Tables that an earlier try left behind without publishing them are written anew.
     """
     events, sources = (store.read(spark, root, version, t) for t in ("events", "event_sources"))
-    done = merge.ingest(raws, events, sources, source_name, run_start, threshold)
+    return _publish(spark, root, merge.ingest(raws, events, sources, source_name, run_start, threshold), name, batch, place)
+
+
+def ingest_batch(spark: SparkSession, root: str, version: str | None, raws: DataFrame, given: list[tuple[str | None, str]], name: str, batch: int = 0) -> str:
+    """Merges many deliveries (raws with ``d``, the place in ``given``) by hash in one pass, as one version."""
+    events, sources = (store.read(spark, root, version, t) for t in ("events", "event_sources"))
+    return _publish(spark, root, deliveries.ingest_many(raws, events, sources, given), name, batch, 0)
+
+
+def _publish(spark: SparkSession, root: str, done: merge.Merged, name: str, batch: int, place: int) -> str:
     store.write(done.events, root, name, "events", mode="overwrite")
     store.write(done.sources, root, name, "event_sources", mode="overwrite")
     spark.createDataFrame([(name, batch, place)], PUBLISHED).coalesce(1).write.mode("append").parquet(f"{root}/_published")
     return name
 
 
-def stream_deliveries(spark: SparkSession, landing: str, root: str, checkpoint: str, run_start_of, threshold: float | None = dedupe.THRESHOLD, files: int | None = 1) -> StreamingQuery:
+def stream_deliveries(spark: SparkSession, landing: str, root: str, checkpoint: str, run_start_of, threshold: float | None = dedupe.THRESHOLD, files: int | None = 1, at_once: bool = False) -> StreamingQuery:
     """Ingests every file of ``landing`` once (availableNow), ``files`` at a time (None: all), delivery by delivery.
 
     What comes at once holds whole deliveries: raw events with a ``delivery``
     column, taken in order of delivery and source, each with a version of its
-    own. ``run_start_of`` maps a batch number to the run's time; deliveries may
+    own; ``at_once``, for threshold None, takes all of them in one pass and
+    makes one version. ``run_start_of`` maps a batch number to the run's time; deliveries may
     share one. Versions are the state, the newest one is where a start goes on;
     the stream's own checkpoint only remembers files. Of a batch that is run
     again after a failure, deliveries that were published are passed over. One
     stream at a time writes to a store.
     """
+    if at_once and threshold is not None:
+        raise ValueError("deliveries are taken at once by hash alone: threshold must be None")
     stream_id = f"{crc32(checkpoint.rstrip('/').encode()):08x}"
     since = published(spark, root).where(~F.startswith("version", F.lit(f"{stream_id}-"))).agg(F.max("batch")).first()[0]
     offset = 0 if since is None else since + 1  # another stream's versions are older
@@ -67,6 +79,13 @@ def stream_deliveries(spark: SparkSession, landing: str, root: str, checkpoint:
         held = batch.persist()
         there = {r.version for r in published(spark, root).where(F.col("batch") == offset + batch_id).collect()}
         keys = held.select("delivery", "source_name").distinct().orderBy("delivery", "source_name").collect()
+        if at_once:
+            name = f"{stream_id}-{batch_id:08d}-{0:06d}"
+            if name not in there and keys:
+                order = spark.createDataFrame([(d, r.delivery, r.source_name) for d, r in enumerate(keys)], "d int, of string, at string")
+                mine = held.join(F.broadcast(order), held.delivery.eqNullSafe(order["of"]) & held.source_name.eqNullSafe(order["at"])).drop("delivery", "of", "at")
+                ingest_batch(spark, root, newest(spark, root), mine, [(r.source_name, run_start_of(batch_id)) for r in keys], name, offset + batch_id)
+            keys = []
         for place, row in enumerate(keys):
             name = f"{stream_id}-{batch_id:08d}-{place:06d}"
             if name not in there:
