@@ -146,3 +146,21 @@ def placed(days: DataFrame) -> DataFrame:
     n = dense(days, ["day", "start_at", "event_id"], "n")
     first = n.groupBy("day").agg(F.min("n").alias("first"))
     return n.join(first, "day").withColumn("place", F.col("n") - F.col("first") + 1).drop("n", "first")
+
+
+def day_counts(events: DataFrame, flags: dict[str, Column] | None = None, tz: str = times.HOME) -> DataFrame:
+    """(day, n, and a count for each flag) of active events on each day that has any, without a row for each of an event's days.
+
+    An event adds one on its first day and takes it away after its last; the
+    changes are summed by day, and running sums over the days give the counts.
+    Only a row for each day meets in one task.
+    """
+    ones = {"n": F.lit(1)} | {name: F.coalesce(flag, F.lit(False)).cast("int") for name, flag in (flags or {}).items()}
+    start, end = times.local_date(F.col("start_at"), tz), times.local_date(F.coalesce("end_at", "start_at"), tz)
+    on = events.where("status = 'active'").select(start.alias("lo"), end.alias("hi"), *[c.alias(name) for name, c in ones.items()]).where("lo <= hi")
+    ends = on.select(F.explode(F.array(F.struct(F.col("lo").alias("day"), F.lit(1).alias("sign")), F.struct(F.date_add("hi", 1).alias("day"), F.lit(-1).alias("sign")))).alias("e"), *ones)
+    changes = ends.groupBy(F.col("e.day").alias("day")).agg(*[F.sum(F.col("e.sign") * F.col(name)).alias(name) for name in ones])
+    days = Window.orderBy("day")
+    sums = changes.select("day", F.lead("day").over(days).alias("next"), *[F.sum(name).over(days).alias(name) for name in ones])
+    spans = sums.where("n > 0 and next is not null")
+    return spans.select(F.explode(F.sequence("day", F.date_sub("next", 1))).alias("day"), *ones)

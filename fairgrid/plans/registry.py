@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import taxonomy, text, times
 from ..functions.lineage import shared_folder
 from ..functions.schemas import RAW
-from ..operators import calendar, dedupe, deliveries, export, geocode, merge, tagging
+from ..operators import calendar, dedupe, deliveries, export, geocode, merge, search, tagging
 from ..operators.numbering import dense
 from ..sources import calendar_text, feeds, json_docs, store
 from ..streaming import incremental
@@ -217,6 +217,17 @@ def p38_venue_search(spark, sf):
     return r.where(text.venue_matches(F.col("venue_name"), "VENUE 1")).select(F.col("venue_name").alias("v")).distinct()
 
 
+@query("""WITH names AS (SELECT DISTINCT p_brand || ' ' || p_type AS name FROM part),
+terms AS (SELECT DISTINCT upper(substr(p_name, CAST(1 + p_partkey % 5 AS INTEGER), CAST(1 + p_partkey % 7 AS INTEGER))) AS term FROM part UNION SELECT DISTINCT substr(p_brand || ' ' || p_type, CAST(1 + p_partkey % 11 AS INTEGER), CAST(1 + p_partkey % 12 AS INTEGER)) FROM part)
+SELECT term, name FROM terms JOIN names ON contains(lower(name), lower(term))""")
+def p38_search_index(spark, sf):
+    """Brands and types as venues; parts of product names, and of the venues themselves, as terms."""
+    p, k = listings.table(spark, sf, "part").withColumn("name", F.concat("p_brand", F.lit(" "), "p_type")), F.col("p_partkey")
+    part_of = lambda c, a, b: F.substring(c, (k % a + 1).cast("int"), (k % b + 1).cast("int"))
+    terms = p.select(F.upper(part_of(F.col("p_name"), 5, 7)).alias("term")).union(p.select(part_of(F.col("name"), 11, 12)))
+    return search.search(search.index(p, "name"), p, "name", terms)
+
+
 # -- exports ------------------------------------------------------------------
 
 
@@ -407,6 +418,14 @@ def j9_long_intervals(spark, sf):
     return calendar.event_days(o, tz="UTC").groupBy("day").agg(F.count("*").alias("n")).select(day("day").alias("day"), "n")
 
 
+@query(f"SELECT CAST(d AS VARCHAR) AS day, count(*) AS n, count(*) FILTER (WHERE k % 4 = 0) AS fourth FROM (SELECT k, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM ({SPANS}) WHERE b >= a) GROUP BY d")
+def j9_day_counts(spark, sf):
+    """The same counts by running sums over the ends of intervals, and those of every fourth order."""
+    last = listings.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").cast("timestamp").alias("end_at"))
+    o = listings.table(spark, sf, "orders").join(last, "o_orderkey").select("o_orderkey", F.lit("active").alias("status"), F.to_date("o_orderdate").cast("timestamp").alias("start_at"), "end_at")
+    return calendar.day_counts(o, {"fourth": F.col("o_orderkey") % 4 == 0}, tz="UTC").withColumn("day", day("day"))
+
+
 @query(listings.SQL + "SELECT event_id, CAST(day AS VARCHAR) AS day, bucket, hour FROM grouped")
 def u4_f10_p26_partition(spark, sf):
     return grouped(spark, sf).select("event_id", day("day").alias("day"), "bucket", "hour")
@@ -493,6 +512,13 @@ def a9_visible_counts(spark, sf):
     return calendar.visible_counts(d, calendar.category_filter(F.col("categories"), include_untagged=False)).withColumn("day", day("day"))
 
 
+@query(listings.SQL + f"SELECT CAST(day AS VARCHAR) AS day, count(*) AS n, count(*) FILTER (WHERE {VISIBLE}) AS visible FROM days GROUP BY day")
+def a9_day_counts(spark, sf):
+    """Totals and visible events of every day by running sums."""
+    visible = calendar.category_filter(F.col("categories"), include_untagged=False)
+    return calendar.day_counts(listings.events(spark, sf), {"visible": visible}).withColumn("day", day("day"))
+
+
 @query(listings.SQL + "SELECT event_id, string_agg(source_name, ',' ORDER BY CASE source_name WHEN 'Source B' THEN 1 WHEN 'Source A' THEN 2 ELSE 3 END, source_name) AS names, count(*) AS n FROM src GROUP BY event_id")
 def j10_a3_w3_sources(spark, sf):
     return with_links(spark, sf).select("event_id", F.array_join("sources.source_name", ",").alias("names"), F.size("sources").cast("long").alias("n"))
