@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -29,6 +29,28 @@ def in_box(lat: Column, lon: Column, box: tuple[float, float, float, float]) ->
     return lon.between(left, right) & lat.between(bottom, top)
 
 
+def place_key(lat: Column, lon: Column, bits: int = 16) -> Column:
+    """Place on a curve over the globe that keeps neighbours near: bits of longitude and latitude in turn, the highest first."""
+    cell = lambda x, span: F.least(F.greatest(F.floor((x / span + 0.5) * (1 << bits)), F.lit(0)), F.lit((1 << bits) - 1)).cast("long")
+    key = F.lit(0).cast("long")
+    for c, shift in ((cell(lon, 360.0), 1), (cell(lat, 180.0), 0)):
+        for b in range(bits):
+            key = key.bitwiseOR(F.shiftleft(F.shiftright(c, b).bitwiseAND(F.lit(1)), 2 * b + shift))
+    return key
+
+
+def write_by_place(events: DataFrame, path: str) -> None:
+    """Parquet files along the curve, so that their statistics tell which of them a box can meet; rows without a place come last."""
+    key = place_key(F.col("latitude"), F.col("longitude")).alias("place")
+    order = [F.asc_nulls_last("place"), "event_id"]
+    events.withColumn("place", key).repartitionByRange(*order).sortWithinPartitions(*order).drop("place").write.parquet(path)
+
+
+def read_box(spark: SparkSession, path: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """Events of write_by_place() in a box of left, top, right and bottom; the filter goes to the files' statistics."""
+    return spark.read.parquet(path).where(in_box(F.col("latitude"), F.col("longitude"), tuple(map(F.lit, box))))
+
+
 def missing(events: DataFrame) -> DataFrame:
     """Active, no latitude, something known of the venue."""
     return events.where("status = 'active' and latitude is null and (venue_address is not null or venue_name is not null)")

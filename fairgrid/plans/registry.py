@@ -600,6 +600,20 @@ def f11_bounding_box(spark, sf):
     return listings.table(spark, sf, "embeddings").select("vec_id", geocode.in_box(dec(42.9, 40), dec(-89.6, 100), tuple(F.lit(x).cast("decimal(10,4)") for x in box)).alias("inside"))
 
 
+PLACES = "SELECT lpad(CAST(vec_id * 100 + i AS VARCHAR), 12, '0') AS event_id, (vec_id * 7919 + i * 104729) % 170000 / 1000.0 - 85 AS latitude, (vec_id * 6151 + i * 49157) % 350000 / 1000.0 - 175 AS longitude FROM embeddings, range(0, 20) t(i)"
+
+
+@query(f"SELECT event_id FROM ({PLACES}) WHERE longitude BETWEEN -89.6 AND -40.2 AND latitude BETWEEN 20.5 AND 43.18")
+def f11_box_of_files(spark, sf):
+    """Twenty events for each vector, all over the globe, in files along a curve; those in a box."""
+    v, i = F.col("vec_id"), F.col("i")
+    p = listings.table(spark, sf, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i"))
+    p = p.select(F.lpad((v * 100 + i).cast("string"), 12, "0").alias("event_id"), ((v * 7919 + i * 104729) % 170000 / 1000.0 - 85).alias("latitude"), ((v * 6151 + i * 49157) % 350000 / 1000.0 - 175).alias("longitude"))
+    path = shared_folder(spark, "places")
+    geocode.write_by_place(p, path)
+    return geocode.read_box(spark, path, (-89.6, 43.18, -40.2, 20.5)).select("event_id")
+
+
 # -- tagging ------------------------------------------------------------------
 
 

@@ -164,34 +164,68 @@ def test_very_many_listings_at_one_start(spark):
     assert got == want and sum(f for _, f in want.values()) > 10
 
 
+def plain_links(rows, events):
+    """hash -> (event, founds) for misses and events (key, title, start, venue), one listing after another."""
+    clean = lambda v: (v or "").strip().lower()
+    known, want = {}, {}
+    for key, title, start, venue in events:
+        for b in (start, (start.date(), clean(venue))):
+            known.setdefault(b, []).append((key, clean(title), start, clean(venue), -1))
+    rows = sorted(rows, key=lambda r: r["seq"])
+    # listings with a venue first: those without one are never candidates for them
+    for r in [r for r in rows if clean(r["venue_name"])] + [r for r in rows if not clean(r["venue_name"])]:
+        venue, when = clean(r["venue_name"]), r["start_local_date"] if r["all_day"] else r["start_at"].date()
+        near = known.get((when, venue), []) if venue else [] if r["all_day"] else known.get(r["start_at"], [])
+        near = [k for k in near if (r["all_day"] or k[2] == r["start_at"]) and k[4] < r["seq"]]
+        top, best = min(((-SequenceMatcher(None, clean(r["title"]), k[1]).ratio(), k[0]) for k in near), default=(0, None))
+        h = r["canonical_hash"]
+        want[h] = (best, False) if -top >= 0.65 else (h, True)
+        if want[h][1]:
+            for b in dict.fromkeys([r["start_at"], (when, venue)] if venue else [r["start_at"]]):
+                known.setdefault(b, []).append((h, clean(r["title"]), r["start_at"], venue, r["seq"]))
+    return want
+
+
 def test_registered_linking_against_a_plain_loop(spark):
     from fairgrid.plans import registry
 
     sf = "/root/testdata/sf0.01"
     m, events = registry.misses(spark, sf)
-    clean = lambda v: (v or "").strip().lower()
-    known = {}
+    there = [(e.event_id, e.title, e.start_at, e.venue_name) for e in events.where("status != 'removed'").collect()]
+    got = {r.canonical_hash: (r.event_id, r.founds) for r in registry.QUERIES["j4_greedy_linking"](spark, sf).collect()}
+    assert got == plain_links([r.asDict() for r in m.collect()], there)
 
-    def blocks(r):
-        """Where a candidate can be met: at its start, and by date and venue."""
-        return [r["start_at"], (r["start_at"].date(), clean(r["venue_name"]))]
 
-    for e in events.where("status != 'removed'").collect():
-        for b in blocks(e):
-            known.setdefault(b, []).append((e.event_id, clean(e.title), e.start_at, clean(e.venue_name)))
-    rows, want = sorted(m.collect(), key=lambda r: r.seq), {}
-    # listings with a venue first: those without one are never candidates for them
-    for r in [r for r in rows if clean(r.venue_name)] + [r for r in rows if not clean(r.venue_name)]:
-        venue, when = clean(r.venue_name), r.start_local_date if r.all_day else r.start_at.date()
-        near = known.get((when, venue), []) if venue else [] if r.all_day else known.get(r.start_at, [])
-        near = [k for k in near if (r.all_day or k[2] == r.start_at) and (len(k) < 5 or k[4] < r.seq)]
-        top, best = min(((-SequenceMatcher(None, clean(r.title), k[1]).ratio(), k[0]) for k in near), default=(0, None))
-        want[r.canonical_hash] = (best, False) if -top >= 0.65 else (r.canonical_hash, True)
-        if want[r.canonical_hash][1]:
-            for b in dict.fromkeys([r.start_at, (when, venue)] if venue else [r.start_at]):
-                known.setdefault(b, []).append((r.canonical_hash, clean(r.title), r.start_at, venue, r.seq))
-    got = {r.canonical_hash: (r.event_id, r.founds) for r in registry.QUERIES["j4_greedy_linking"](spark, sf).collect()}
-    assert got == want
+def test_registered_fuzzy_ingest_against_a_plain_loop(spark):
+    """Both deliveries of the query: collapsed, matched by hash, linked, merged and retired, one listing after another."""
+    from fairgrid.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    events = {}
+    for run in registry.runs(spark, sf):
+        collapsed = {}
+        for r in sorted((dedupe.with_hash(run).collect()), key=lambda r: r.seq):
+            own = collapsed.setdefault(r.canonical_hash, r.asDict() | {"categories": []})
+            own["categories"] += [c for c in dict.fromkeys(r.categories or []) if c not in own["categories"]]
+        links = {h: (h, False) for h in collapsed if h in events}
+        links |= plain_links([r for h, r in collapsed.items() if h not in links], [(h, e["title"], e["start_at"], e["venue_name"]) for h, e in events.items() if e["status"] != "removed"])
+        events |= {h: r | {"status": "active", "founded": True} for h, r in collapsed.items() if links[h][1]}
+        for h, r in sorted(collapsed.items(), key=lambda x: x[1]["seq"]):
+            if links[h][1]:
+                continue
+            e = events[links[h][0]]
+            if e["all_day"] and not r["all_day"]:
+                e |= {"start_at": r["start_at"], "end_at": r["end_at"], "all_day": False}
+            for f in ("description", "end_at", "venue_name", "venue_address", "image_url"):
+                e[f] = r[f] if e[f] is None else e[f]
+            e["categories"] = e["categories"] + [c for c in r["categories"] if c not in e["categories"]]
+            e["status"] = "active"
+        seen = {e for e, _ in links.values()}
+        for h, e in events.items():
+            if h not in seen:
+                e["status"] = "removed"
+    want = sorted((h, e["title"], str(e["start_at"]), e["status"], ",".join(e["categories"])) for h, e in events.items())
+    assert sorted((r.event_id, r.title, r.start_at, r.status, r.categories) for r in registry.QUERIES["m_ingest_fuzzy"](spark, sf).collect()) == want
 
 
 def test_stream_of_deliveries(spark, tmp_path):

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fairgrid.operators import calendar, search
+from fairgrid.operators import calendar, geocode, search
 
 
 def test_search_finds_what_a_scan_finds(spark):
@@ -31,3 +31,24 @@ def test_counts_of_days_without_days_of_events(spark):
     got = calendar.day_counts(df, {"flagged": F.col("flag")})
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
     assert calendar.day_counts(df.limit(0)).collect() == []
+
+
+def test_a_box_reads_few_files(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(f"{i:05d}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(4000)] + [("x", None, 3.0), ("y", 90.0, 180.0), ("z", -90.0, -180.0)]
+    df = spark.createDataFrame(rows, "event_id string, latitude double, longitude double")
+    geocode.write_by_place(df.repartition(40), str(tmp_path / "p"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        geocode.write_by_place(df, str(tmp_path / "q"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    box = (-10.0, 52.0, 21.0, 40.0)
+    out = geocode.read_box(spark, str(tmp_path / "q"), box)
+    assert sorted(r.event_id for r in out.collect()) == sorted(i for i, lat, lon in rows if lat is not None and -10 <= lon <= 21 and 40 <= lat <= 52)
+    plan = out._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().head()
+    assert plan.metrics().apply("numOutputRows").value() < 1000  # rows of files whose statistics meet the box
