@@ -112,19 +112,17 @@ def first_come(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id) of the nodes that one pass in order would keep: those without a kept node before them.
 
     nodes: (id). edges: (id, before) for each node and neighbour that comes
-    before it. A node without an open neighbour before it is kept, and all
-    after it that have an edge to it go; both are closed, with their edges.
-    Rounds go on until none is open; a round settles at least every first node.
+    before it. In a round the nodes without an open neighbour before them stay,
+    and all that have an edge to one of these go, with their edges. Rounds end
+    with the edges; each settles at least the first node that has one.
     """
-    kept, open_ = None, cut(nodes.select("id"))
-    edges = cut(edges.select("id", "before").distinct())
-    while not open_.isEmpty():
-        found = open_.join(edges.select("id").distinct(), "id", "left_anti")
-        gone = edges.join(found.select(F.col("id").alias("before")), "before", "left_semi").select("id").distinct()
-        kept = cut(found if kept is None else kept.union(found))
-        open_ = cut(open_.join(kept, "id", "left_anti").join(gone, "id", "left_anti"))
-        edges = cut(edges.join(open_, "id", "left_semi").join(open_.select(F.col("id").alias("before")), "before", "left_semi").select("id", "before"))
-    return open_ if kept is None else kept
+    edges, gone = cut(edges.select("id", "before").distinct()), None
+    while not edges.isEmpty():
+        first = edges.select("before").distinct().join(edges.select(F.col("id").alias("before")), "before", "left_anti")
+        now = cut(edges.join(first, "before", "left_semi").select("id").distinct())
+        gone = now if gone is None else gone.union(now)
+        edges = cut(edges.join(now, "id", "left_anti").join(now.select(F.col("id").alias("before")), "before", "left_anti").select("id", "before"))
+    return nodes.select("id") if gone is None else nodes.select("id").join(gone, "id", "left_anti")
 
 
 def _linked(raws: DataFrame, there: DataFrame, threshold: float) -> DataFrame:
@@ -170,6 +168,7 @@ def link_misses(misses: DataFrame, events: DataFrame, threshold: float = THRESHO
     block = lambda *c: F.unhex(F.sha1(F.concat_ws("|", *c))).alias("block")
     raws = misses.select(F.col("canonical_hash").alias("key"), title, start, "all_day", "seq", venue_key(F.col("venue_name")).alias("venue"), block_date(F.col("all_day"), F.col("start_local_date"), F.col("start_at")).alias("day"))
     there = events.where("status != 'removed'").select(F.col("event_id").alias("key"), title, start, "all_day", F.lit(_BEFORE).alias("seq"), text.key_text(F.col("venue_name")).alias("venue"), F.to_date("start_at").alias("day"))
+    raws, there = cut(raws), cut(there)  # each step below reads them
     cols = ["key", "title", "start_us", "all_day", "seq"]
     at_venue = lambda df: df.where("venue != ''").select(block(F.col("day").cast("string"), "venue"), *cols)
     first = cut(_linked(at_venue(raws), at_venue(there), threshold))
