@@ -22,7 +22,7 @@ def sf_dir(spark, tmp_path_factory):
     labels = [(i, 1, 0) for i in range(120)] + [(200 + i, 0, 0) for i in range(40)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     spark.createDataFrame([(1, item), (2, text(20))], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
-    spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)], "vec_id long, embedding array<float>").write.parquet(f"{root}/embeddings.parquet")
+    spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)], i % 3) for i in range(60)], "vec_id long, embedding array<float>, label int").write.parquet(f"{root}/embeddings.parquet")
     return str(root)
 
 
@@ -57,6 +57,8 @@ def test_queries_return_a_row_each(spark, sf_dir, name):
     n = df.count()
     if name.startswith("op10"):
         assert n == 10
+    elif name.startswith("op13"):
+        assert df.where("rank not between 1 and 5 or 5 * negative_score < 4 * positive_score or negative_score > positive_score").count() == 0
     elif name.startswith("op3"):
         assert n == df.agg({"slot": "max"}).first()[0] + 1 and df.where("n_docs < 1").count() == 0
     else:
