@@ -4,11 +4,14 @@ Ordinary and toxic text each have a bigram model over token counts. Bigrams
 back off to continuation counts (how many words a word follows), these to what
 both classes say: an expression of one class alone has next to nothing there.
 Discounts are below one, from counts of counts; a count of one goes to the
-backoff whole. A text is read in two ways, both of them differences of
-log-likelihoods divided by the number of tokens: over all of it, by the bigram
-models, and over the WINDOW tokens where it is largest, by their lower order,
-as one expression makes a long text toxic. A logistic fit on documents kept
-back weighs the two.
+backoff whole. A third order reads words byte by byte, for expressions met
+once or never that begin as known ones: each class says how a word's beginning
+goes on, by the documents that have it, counts of one included, and backs off
+to the pooled counts of both. A text is read in three ways, all of them
+differences of log-likelihoods: over all of it, by the bigram models and by
+token; over the WINDOW tokens where it is largest, by their lower order and by
+token, as one expression makes a long text toxic; and for the LOUDEST of its
+words, byte by byte. A logistic fit on documents kept back weighs the three.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,10 @@ from .common import LOWER, Shared, cut
 SAMPLE = (16_000, 4000)
 #: Tokens over which log-likelihoods are compared and divided by their number.
 WINDOW = 3
+#: Bytes of a word that are read one by one, and the words of a text, by largest difference, whose mean is taken.
+STEM, LOUDEST = 12, 2
+#: Counts, and words' readings, that a task holds at a time.
+HELD = 200_000
 #: What the shared backoff gives to each word beside what both classes say.
 BETA = 0.5
 THRESHOLD = 0.3
@@ -64,6 +71,27 @@ def _bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([k[0] for k in some], [k[1] for k in some], [n[0][k] for k in some], [n[1][k] for k in some])], ["v", "w", "n0", "n1"])
 
 
+def stems(data: bytes) -> list[bytes]:
+    """A text's distinct words, each with an end byte and of STEM bytes at most."""
+    return sorted({(w + b"\0")[:STEM] for w in _WORD.findall(data.translate(LOWER))})
+
+
+def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        keys = list({*n[0], *n[1]})
+        columns = [pa.array(keys, pa.binary()), *(pa.array([n[y][k] for k in keys], pa.int64()) for y in (0, 1))]
+        return pa.RecordBatch.from_arrays(columns, ["w", "n0", "n1"])
+
+    n = (Counter(), Counter())
+    for b in batches:
+        for data, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            n[y].update(stems(data))
+            if len(n[0]) + len(n[1]) > HELD:
+                yield rows()
+                n = (Counter(), Counter())
+    yield rows()
+
+
 def discount(ones: int, twos: int) -> float:
     """The Kneser-Ney discount of counts of two or more, by how many counts are one and two; between 0 and 1."""
     return ones / (ones + 2 * twos) if ones and twos else 0.5
@@ -83,7 +111,12 @@ class Model:
     pairs: np.ndarray
     seen: np.ndarray  # (2, pairs): discounted count
     window: int
-    weights: tuple[float, float, float] = (1.0, 1.0, 0.0)
+    weights: tuple[float, ...] = (1.0, 1.0, 1.0, 0.0)
+    beginnings: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    gain: np.ndarray = field(default_factory=lambda: np.zeros(1))  # log-likelihood difference of a beginning's last byte, given those before
+    leave: np.ndarray = field(default_factory=lambda: np.zeros(1))  # that of a byte that no word has after it
+    start: float = 0.0  # that of a first byte that no word has
+    _read: dict[bytes, float] = field(default_factory=dict)
 
     def ratios(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log P(word | toxic) - log P(word | ordinary), token by token: given the word before, and by the lower order."""
@@ -99,19 +132,46 @@ class Model:
             p[c] = np.where(both & (t > 0), self.seen[c, k] / np.maximum(t, 1), 0.0) + g * q[c]
         return np.log(p[1]) - np.log(p[0]), np.log(q[1]) - np.log(q[0])
 
-    def compare(self, data: bytes) -> tuple[float, float]:
-        """The difference of the two log-likelihoods by token, of the whole text and of its largest window (all of it, if shorter); 0 for no words."""
+    def spell(self, words: list[bytes]) -> list[float]:
+        """log P(word | toxic) - log P(word | ordinary) of stems() by their bytes; a word is read once as long as it is held."""
+        new = [w for w in words if w not in self._read]
+        if new and len(self.beginnings):
+            import xxhash
+
+            hashes = np.array([xxhash.xxh64_intdigest(w[:k], 42) for w in new for k in range(1, len(w) + 1)], np.uint64).view(np.int64)
+            i, ok = _find(self.beginnings, hashes)
+            size = np.array([len(w) for w in new])
+            at = np.cumsum(size) - size
+            met = np.add.reduceat(ok.astype(int), at)
+            value = np.add.reduceat(np.where(ok, self.gain[i], 0.0), at)
+            last = np.where(met > 0, self.leave[i[at + np.maximum(met, 1) - 1]], self.start)
+            value = np.where(met < size, value + last, value).tolist()
+        else:
+            value = [0.0] * len(new)
+        if len(self._read) + len(new) > HELD:
+            self._read.clear()
+            if len(new) < len(words):
+                return self.spell(words)
+        got = dict(zip(new, value, strict=True))
+        out = [got[w] if w in got else self._read[w] for w in words]
+        if len(new) <= HELD:
+            self._read.update(got)
+        return out
+
+    def compare(self, data: bytes) -> tuple[float, float, float]:
+        """The difference of the two log-likelihoods: by token, of the whole text and of its largest window (all of it, if shorter), and of its loudest words by their bytes; 0 for no words."""
         h = token_hashes(data)
         if not len(h):
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         pairs, single = self.ratios(h)
         s = np.concatenate(([0.0], np.cumsum(single)))
         n = min(self.window, len(h))
-        return float(pairs.mean()), float((s[n:] - s[:-n]).max() / n)
+        loud = np.sort(self.spell(stems(data)))[-LOUDEST:]
+        return float(pairs.mean()), float((s[n:] - s[:-n]).max() / n), float(loud.mean())
 
     def score(self, data: bytes) -> float:
-        whole, part = self.compare(data)
-        return float(1 / (1 + np.exp(-np.clip(self.weights[0] * whole + self.weights[1] * part + self.weights[2], -30, 30))))
+        x = np.dot(self.weights[:-1], self.compare(data)) + self.weights[-1]
+        return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
 def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +206,32 @@ def kneser_ney(words: dict[str, np.ndarray], contexts: dict[str, np.ndarray], pa
     return Model(words["w"][by[0]], unigram[:, by[0]], unseen, BETA / whole, contexts["v"][by[1]], total[:, by[1]], gamma[:, by[1]], key[by[2]], seen[:, by[2]], window)
 
 
+def spelling(taken: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Of (text, y) rows: hashes of words' beginnings, sorted, with the gain and leave of each, and the start; see Model.
+
+    A class says (n - d) / N + d k / N * pool of a byte: n documents' words go
+    on with it of N that begin so, k different bytes do, d is the class's
+    discount, pool the share in both classes together. A beginning met once in
+    all is kept without those that follow from it, as nothing is said there.
+    """
+    words = taken.select("text", "y").mapInArrow(_stem_counts, "w binary, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    nodes = words.select(F.explode(F.expr("transform(sequence(1, length(w)), k -> substring(w, 1, k))")).alias("p"), "n0", "n1")
+    nodes = cut(nodes.groupBy("p").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    ones = nodes.agg(*(F.count_if(F.col(f"n{c}") == n) for c in (0, 1) for n in (1, 2))).first()
+    d = discount(*ones[:2]), discount(*ones[2:])
+    inner = nodes.groupBy(F.expr("substring(p, 1, length(p) - 1)").alias("before")).agg(*(f(c) for c in (0, 1) for f in (lambda c: F.sum(f"n{c}").alias(f"all{c}"), lambda c: F.count_if(F.col(f"n{c}") > 0).alias(f"k{c}"))))
+    gamma = lambda c: F.when(F.col(f"all{c}") > 0, d[c] * F.col(f"k{c}") / F.col(f"all{c}")).otherwise(1.0)
+    inner = cut(inner.where("all0 + all1 > 1").select("before", "all0", "all1", gamma(0).alias("g0"), gamma(1).alias("g1")))
+    away = (F.ln("g1") - F.ln("g0")).alias("leave")
+    pool = (F.col("n0") + F.col("n1")) / (F.col("all0") + F.col("all1"))
+    p = [F.when(F.col(f"n{c}") > 0, (F.col(f"n{c}") - d[c]) / F.col(f"all{c}")).otherwise(0.0) + F.col(f"g{c}") * pool for c in (0, 1)]
+    gains = nodes.withColumn("before", F.expr("substring(p, 1, length(p) - 1)")).join(inner, "before").select("p", (F.ln(p[1]) - F.ln(p[0])).alias("gain"))
+    leaves = inner.select(F.col("before").alias("p"), away)
+    t = gains.join(leaves, "p", "left").select(F.xxhash64("p").alias("key"), "gain", F.coalesce("leave", F.lit(0.0)).alias("leave")).toArrow().sort_by("key")
+    start = leaves.where("length(p) = 0").first()
+    return t["key"].to_numpy(), t["gain"].to_numpy(), t["leave"].to_numpy(), float(start["leave"]) if start else 0.0
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Coefficients of the columns of x, none of them below zero, and an offset, by Newton's method with a small penalty."""
     on = list(range(x.shape[1]))
@@ -168,7 +254,7 @@ def cut_at(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     m, y, weight = m[order], y[order], weight[order]
     wrong = np.concatenate(([0.0], np.cumsum(np.where(y > 0, weight, -weight)))) + weight[y == 0].sum()
     gap = np.diff(np.concatenate(([m[0] - 1], m, [m[-1] + 1])))
-    i = max(np.flatnonzero((wrong <= wrong.min() + 1e-9) & (gap > 0)), key=lambda k: gap[k], default=len(m))
+    i = max(np.flatnonzero((gap > 0) & (wrong <= wrong[gap > 0].min() + 1e-9)), key=lambda k: gap[k])  # never between equal values
     return float((m[i - 1] if i else m[0] - 1) / 2 + (m[i] if i < len(m) else m[-1] + 1) / 2)
 
 
@@ -176,10 +262,11 @@ def fit(rows: DataFrame, sample: tuple[int, int] = SAMPLE, window: int = WINDOW)
     """A model of (doc_id, text, y) rows, y 0 or 1; with a class missing the share of ones, which every text then scores (0 for no rows).
 
     Made of ``sample[y]`` documents of each class, those of the smallest
-    xxhash64(doc_id), equal texts once; a fifth of them weighs the two readings
+    xxhash64(doc_id), equal texts once; a fifth of them weighs the readings
     instead, with THRESHOLD where they part best. All counts are added up in
     Spark; words, contexts and pairs counted twice or more reach the driver, at
-    most half the sample's tokens.
+    most half the sample's tokens, and words' beginnings met twice or more with
+    the bytes after them.
     """
     rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "y")
     total = dict(rows.groupBy("y").count().collect())
@@ -204,28 +291,29 @@ def fit(rows: DataFrame, sample: tuple[int, int] = SAMPLE, window: int = WINDOW)
     several = words.where(F.greatest("met0", "met1") > 1), contexts, counts.where(F.greatest("n0", "n1") > 1)
     tables = [{c: t[c].to_numpy() for c in t.column_names} for t in (x.toArrow() for x in several)]
     model = kneser_ney(*tables, np.array([met0, met1], float), distinct, lower, upper, window)
+    model.beginnings, model.gain, model.leave, model.start = spelling(taken.where("not kept"))
     del tables
     shared = Shared(rows, model)
-    held = taken.where("kept").select("y", _compare_udf(shared)("text").alias("m")).select("y", "m.*").toArrow().sort_by([("whole", "ascending"), ("part", "ascending"), ("y", "ascending")])
+    held = taken.where("kept").select("y", _compare_udf(shared)("text").alias("m")).select("y", "m.*").toArrow().sort_by([(c, "ascending") for c in ("whole", "part", "loud", "y")])
     shared.destroy()
-    y, x = held["y"].to_numpy(), np.stack((held["whole"].to_numpy(), held["part"].to_numpy()), 1)
+    y, x = held["y"].to_numpy(), np.stack([held[c].to_numpy() for c in ("whole", "part", "loud")], 1)
     if len({*y}) == 2:
         *t, _ = logistic(x, y)
-        t = t if any(t) else [0.0, 1.0]
+        t = t if any(t) else [0.0, 1.0, 0.0]
         # each class with the weight that it has among all rows
         weight = np.where(y > 0, total[1] / max(1, (y > 0).sum()), total[0] / max(1, (y == 0).sum()))
         model.weights = (*map(float, t), math.log(THRESHOLD / (1 - THRESHOLD)) - cut_at(x @ np.array(t), y, weight))
     return model
 
 
-_READINGS = T.StructType([T.StructField("whole", T.DoubleType()), T.StructField("part", T.DoubleType())])
+_READINGS = T.StructType([T.StructField(c, T.DoubleType()) for c in ("whole", "part", "loud")])
 
 
 def _compare_udf(shared: Shared):
     @F.arrow_udf(_READINGS)
     def compare(text: pa.Array) -> pa.Array:
         rows = [shared().compare(t) for t in text.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.float64()) for k in (0, 1)], ["whole", "part"])
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.float64()) for k in range(3)], ["whole", "part", "loud"])
 
     return compare
 

@@ -132,6 +132,66 @@ def test_kneser_ney_against_a_plain_model(spark):
         single = [np.log(uni(1, w) / uni(0, w)) for w in ws[1:]]
         k = min(3, len(single))
         want = np.mean(both), max(np.mean(single[i : i + k]) for i in range(len(single) - k + 1))
-        assert model.compare(t.encode()) == pytest.approx(want, abs=1e-9)
+        assert model.compare(t.encode())[:2] == pytest.approx(want, abs=1e-9)
     assert model.score(b"w1 w2 vile foul w3") > 0.3 > model.score(b"w1 w2 w3 w4")
-    assert model.compare(b"") == (0.0, 0.0)
+    assert model.compare(b"") == (0.0, 0.0, 0.0) == model.compare(b" -- ")
+
+
+def test_spelling_against_a_plain_model(spark, monkeypatch):
+    """Words byte by byte against a model with dictionaries: known, new, long and cut words, and any order of what is held."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "é", "x"]) for _ in range(rng.randint(1, 9)))
+    rows = [(i, " ".join([word() for _ in range(rng.randint(0, 12))] + [f"grob{word()}" for _ in range(2 * (i % 2))]), i % 2) for i in range(300)]
+    docs = spark.createDataFrame([(t.encode(), y) for _, t, y in rows], "text binary, y int").repartition(3)
+    monkeypatch.setattr(toxicity, "HELD", 50)
+    keys, gain, leave, start = toxicity.spelling(docs)
+    n = [{}, {}]
+    for _, t, y in rows:
+        for w in {(w.encode() + b"\0")[:12] for w in t.split()}:
+            for k in range(1, len(w) + 1):
+                n[y][w[:k]] = n[y].get(w[:k], 0) + 1
+    d = [toxicity.discount(*(list(x.values()).count(k) for k in (1, 2))) for x in n]
+
+    def plain(w):
+        out = 0.0
+        for k in range(len(w)):
+            after = [{p: c for p, c in x.items() if len(p) == k + 1 and p[:k] == w[:k]} for x in n]
+            total = [sum(x.values()) for x in after]
+            if sum(total) < 2:
+                return out
+            rest = [d[y] * len(after[y]) / total[y] if total[y] else 1.0 for y in (0, 1)]
+            c = [after[y].get(w[: k + 1], 0) for y in (0, 1)]
+            if not sum(c):
+                return out + np.log(rest[1] / rest[0])
+            p = [(c[y] - d[y] if c[y] else 0) / (total[y] or 1) + rest[y] * sum(c) / sum(total) for y in (0, 1)]
+            out += np.log(p[1] / p[0])
+        return out
+
+    zero = np.zeros(1, np.int64)
+    model = toxicity.Model(zero, np.zeros((2, 1)), np.ones(2), 1.0, zero, np.zeros((2, 1)), np.zeros((2, 1)), zero, np.zeros((2, 1)), 3, beginnings=keys, gain=gain, leave=leave, start=start)
+    words = sorted({w for _, t, _ in rows[:60] for w in toxicity.stems(t.encode())} | set(toxicity.stems(b"grob grobkalomikalomi grobzz zz q kalomizz grobka grobe")))
+    want = {w: plain(w) for w in words}
+    assert max(want.values()) > 1 > 0 > min(want.values())
+    for some in (words, words[::3], words[20:50], words[:1]):
+        assert model.spell(some) == pytest.approx([want[w] for w in some], abs=1e-9)
+    text = rows[1][1].encode()
+    assert model.compare(text + b" " + text)[2] == pytest.approx(np.mean(sorted(plain(w) for w in toxicity.stems(text))[-2:]))
+    empty = toxicity.spelling(docs.where("false"))
+    assert [len(x) for x in empty[:3]] == [0, 0, 0] and empty[3] == 0.0
+
+
+def test_expressions_that_begin_as_known_ones(spark):
+    """No toxic word of the held-out texts was seen before; their beginning was, and clean texts have it as a word."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 7)))
+    text = lambda y: " ".join(rng.sample([word() for _ in range(30)] + ["grobol"] * (not y) + [f"grobol{word()}" for _ in range(3 * y)], 30 + (3 if y else 1)))
+    model = toxicity.fit(spark.createDataFrame([(i, text(i % 3 == 0), int(i % 3 == 0)) for i in range(300)], "doc_id long, text string, y int"))
+    new = [(text(y), y) for y in [0, 1] * 40]
+    assert np.mean([(model.score(t.encode()) >= toxicity.THRESHOLD) == y for t, y in new]) > 0.95
+
+
+def test_cut_is_never_between_equal_values():
+    m, y = np.array([0.0, 0.25, 0.25, 0.25, 4.0, 4.0, 9.0]), np.array([0, 0, 1, 0, 1, 1, 1])
+    for order in ([0, 1, 2, 3, 4, 5, 6], [6, 2, 4, 3, 1, 0, 5], [3, 1, 2, 5, 6, 0, 4]):
+        assert toxicity.cut_at(m[order], y[order], np.ones(7)) == pytest.approx(2.125)
+    assert toxicity.cut_at(np.zeros(3), np.array([0, 1, 1]), np.ones(3)) == pytest.approx(-0.5)
