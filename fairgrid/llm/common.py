@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows of a small fixed-width table up to which it may be broadcast (about 100 MB at most).
 BROADCAST_ROWS = 1_000_000
 
+#: Labelled rows of each class, about, that a classifier is fitted on; their ids and labels are broadcast.
+LABELLED_PER_CLASS = 400_000
+
 #: A-Z to a-z on UTF-8 bytes; no other byte changes.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -57,8 +60,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark an already cut table for broadcast if it has ``limit`` rows at most, else leave the join to shuffle."""
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Mark an already cut table for broadcast if it has ``limit`` rows at most (BROADCAST_ROWS, if none is given), else leave the join to shuffle."""
+    limit = BROADCAST_ROWS if limit is None else limit
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
@@ -95,11 +99,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, n: int, held: int) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, n: int, held: int, per_class: int = LABELLED_PER_CLASS) -> DataFrame:
     """(doc_id, text, y) of the labelled rows outside the held-out fold; repeated labels of an id count as their maximum.
 
-    Ids and labels go to the texts where BROADCAST_ROWS of them suffice; more
-    of them meet the texts by a shuffle.
+    All of them, if a class has ``per_class`` at most, else about that many of
+    it, by a hash of the id. They go to the texts, which never move.
     """
     y = cut(
         labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -108,4 +112,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, n: int, held: int)
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small(y), "doc_id")
+    total = dict(y.groupBy("y").count().collect())
+    part = [F.lit(int((1 << 32) * min(1.0, per_class / max(1, total.get(k, 0))))) for k in (0, 1)]
+    some = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.when(F.col("y") == 1, part[1]).otherwise(part[0]))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline as P
-from fairgrid.llm import queries
+from fairgrid.llm import common, queries
 from fairgrid.llm.common import table
 
 
@@ -63,3 +63,14 @@ def test_queries_return_a_row_each(spark, sf_dir, name):
         assert n == df.agg({"slot": "max"}).first()[0] + 1 and df.where("n_docs < 1").count() == 0
     else:
         assert n == table(spark, sf_dir, "documents").count()
+
+
+def test_rows_are_equal_on_both_sides_of_the_broadcast_bound(spark, sf_dir, monkeypatch):
+    """With tables of three rows broadcast at most, all else meets by shuffles; the same rows come out."""
+    docs = table(spark, sf_dir, "documents")
+    stages = [P.dedup_stage, P.decontamination_stage, P.secrets_stage]
+    rows = lambda: [sorted(map(str, stage(spark, docs, sf_dir).collect())) for stage in stages] + [sorted(map(str, queries.QUERIES[q](spark, sf_dir).collect())) for q in ("op4_simhash_dedup", "op5_secrets", "op8_licenses")]
+    broadcast = rows()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    assert rows() == broadcast
+    assert all(map(len, broadcast))

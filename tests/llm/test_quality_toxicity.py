@@ -195,3 +195,18 @@ def test_cut_is_never_between_equal_values():
     for order in ([0, 1, 2, 3, 4, 5, 6], [6, 2, 4, 3, 1, 0, 5], [3, 1, 2, 5, 6, 0, 4]):
         assert toxicity.cut_at(m[order], y[order], np.ones(7)) == pytest.approx(2.125)
     assert toxicity.cut_at(np.zeros(3), np.array([0, 1, 1]), np.ones(3)) == pytest.approx(-0.5)
+
+
+def test_labels_go_to_the_texts(spark):
+    """All labels up to the bound, about the bound of each class beyond it; one plan, in which no text is shuffled."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    y = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    all_ = {(r.doc_id, r.y) for r in labelled(docs, y, "toxic", 4, 2).collect()}
+    assert all_ == {(i, int(i % 3 == 0)) for i in range(6000) if not held(i, 4, 2)}
+    some = labelled(docs, y, "toxic", 4, 2, per_class=500)
+    got = [(r.doc_id, r.y) for r in some.collect()]
+    assert set(got) < all_ and len(set(got)) == len(got)
+    assert all(400 < sum(k == c for _, k in got) < 600 for c in (0, 1))
+    for df in (some, labelled(docs, y, "toxic", 4, 2)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
