@@ -36,7 +36,7 @@ SAMPLE = (16_000, 4000)
 WINDOW = 3
 #: Bytes of a word that are read one by one, and the words of a text, by largest difference, whose mean is taken.
 STEM, LOUDEST = 12, 2
-#: Counts, and words' readings, that a task holds at a time.
+#: Words' counts that a task holds at a time.
 HELD = 200_000
 #: What the shared backoff gives to each word beside what both classes say.
 BETA = 0.5
@@ -73,7 +73,18 @@ def _bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def stems(data: bytes) -> list[bytes]:
     """A text's distinct words, each with an end byte and of STEM bytes at most."""
-    return sorted({(w + b"\0")[:STEM] for w in _WORD.findall(data.translate(LOWER))})
+    return sorted({(w + b"\0")[:STEM] for w in {*_WORD.findall(data.translate(LOWER))}})
+
+
+def _beginnings(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of stems' first byte, first two bytes, ... by row, and how many bytes each has; the end byte is a zero, as what fills a row."""
+    fixed = np.array(words, f"S{STEM}")
+    size = np.minimum(np.char.str_len(fixed) + 1, STEM)
+    of = fixed.view(np.uint8).reshape(len(words), STEM)
+    out, h = np.empty((len(words), STEM), np.int64), np.zeros(len(words), np.int64)
+    for k in range(STEM):
+        h = out[:, k] = _pair(h, of[:, k].astype(np.int64) + 1)
+    return out, size
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,11 +123,10 @@ class Model:
     seen: np.ndarray  # (2, pairs): discounted count
     window: int
     weights: tuple[float, ...] = (1.0, 1.0, 1.0, 0.0)
-    beginnings: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    gain: np.ndarray = field(default_factory=lambda: np.zeros(1))  # log-likelihood difference of a beginning's last byte, given those before
+    beginnings: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    gain: np.ndarray = field(default_factory=lambda: np.zeros(1))  # log-likelihood difference of a beginning
     leave: np.ndarray = field(default_factory=lambda: np.zeros(1))  # that of a byte that no word has after it
     start: float = 0.0  # that of a first byte that no word has
-    _read: dict[bytes, float] = field(default_factory=dict)
 
     def ratios(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log P(word | toxic) - log P(word | ordinary), token by token: given the word before, and by the lower order."""
@@ -132,31 +142,16 @@ class Model:
             p[c] = np.where(both & (t > 0), self.seen[c, k] / np.maximum(t, 1), 0.0) + g * q[c]
         return np.log(p[1]) - np.log(p[0]), np.log(q[1]) - np.log(q[0])
 
-    def spell(self, words: list[bytes]) -> list[float]:
-        """log P(word | toxic) - log P(word | ordinary) of stems() by their bytes; a word is read once as long as it is held."""
-        new = [w for w in words if w not in self._read]
-        if new and len(self.beginnings):
-            import xxhash
-
-            hashes = np.array([xxhash.xxh64_intdigest(w[:k], 42) for w in new for k in range(1, len(w) + 1)], np.uint64).view(np.int64)
-            i, ok = _find(self.beginnings, hashes)
-            size = np.array([len(w) for w in new])
-            at = np.cumsum(size) - size
-            met = np.add.reduceat(ok.astype(int), at)
-            value = np.add.reduceat(np.where(ok, self.gain[i], 0.0), at)
-            last = np.where(met > 0, self.leave[i[at + np.maximum(met, 1) - 1]], self.start)
-            value = np.where(met < size, value + last, value).tolist()
-        else:
-            value = [0.0] * len(new)
-        if len(self._read) + len(new) > HELD:
-            self._read.clear()
-            if len(new) < len(words):
-                return self.spell(words)
-        got = dict(zip(new, value, strict=True))
-        out = [got[w] if w in got else self._read[w] for w in words]
-        if len(new) <= HELD:
-            self._read.update(got)
-        return out
+    def spell(self, words: list[bytes]) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary) of stems() by their bytes: that of the longest beginning met, and of what leaves it."""
+        hashes, size = _beginnings(words)
+        rows, low, high, at = np.arange(len(words)), np.zeros(len(words), int), size.copy(), np.zeros(len(words), int)
+        for _ in range(STEM.bit_length()):  # all beginnings of one that was met were met too
+            middle = (low + high + 1) // 2
+            i, ok = _find(self.beginnings, hashes[rows, np.maximum(middle, 1) - 1])
+            ok &= middle > 0
+            low, high, at = np.where(ok, middle, low), np.where(ok, high, np.maximum(middle - 1, low)), np.where(ok, i, at)
+        return np.where(low > 0, self.gain[at] + np.where(low < size, self.leave[at], 0.0), self.start)
 
     def compare(self, data: bytes) -> tuple[float, float, float]:
         """The difference of the two log-likelihoods: by token, of the whole text and of its largest window (all of it, if shorter), and of its loudest words by their bytes; 0 for no words."""
@@ -166,7 +161,7 @@ class Model:
         pairs, single = self.ratios(h)
         s = np.concatenate(([0.0], np.cumsum(single)))
         n = min(self.window, len(h))
-        loud = np.sort(self.spell(stems(data)))[-LOUDEST:]
+        loud = np.sort(self.spell(stems(data)))[-LOUDEST:]  # there are words, as there are hashes
         return float(pairs.mean()), float((s[n:] - s[:-n]).max() / n), float(loud.mean())
 
     def score(self, data: bytes) -> float:
@@ -227,9 +222,18 @@ def spelling(taken: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, floa
     p = [F.when(F.col(f"n{c}") > 0, (F.col(f"n{c}") - d[c]) / F.col(f"all{c}")).otherwise(0.0) + F.col(f"g{c}") * pool for c in (0, 1)]
     gains = nodes.withColumn("before", F.expr("substring(p, 1, length(p) - 1)")).join(inner, "before").select("p", (F.ln(p[1]) - F.ln(p[0])).alias("gain"))
     leaves = inner.select(F.col("before").alias("p"), away)
-    t = gains.join(leaves, "p", "left").select(F.xxhash64("p").alias("key"), "gain", F.coalesce("leave", F.lit(0.0)).alias("leave")).toArrow().sort_by("key")
+    t = gains.join(leaves, "p", "left").select("p", F.length("p").alias("size"), "gain", F.coalesce("leave", F.lit(0.0)).alias("leave")).toArrow()
     start = leaves.where("length(p) = 0").first()
-    return t["key"].to_numpy(), t["gain"].to_numpy(), t["leave"].to_numpy(), float(start["leave"]) if start else 0.0
+    if not len(t):
+        return np.zeros(1, np.int64), np.zeros(1), np.zeros(1), float(start["leave"]) if start else 0.0
+    hashes, _ = _beginnings(t["p"].to_pylist())
+    size, rows = t["size"].to_numpy(), np.arange(len(t))
+    by = np.argsort(key := hashes[rows, size - 1])
+    key, size, hashes, total, leave = key[by], size[by], hashes[by], t["gain"].to_numpy()[by], t["leave"].to_numpy()[by]
+    for k in range(2, STEM + 1):
+        here = np.flatnonzero(size == k)
+        total[here] += total[_find(key, hashes[here, k - 2])[0]]
+    return key, total, leave, float(start["leave"]) if start else 0.0
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
