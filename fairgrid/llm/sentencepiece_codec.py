@@ -2,7 +2,8 @@
 
 Pieces and scores come from a public model file, which is never trained here.
 A text gets a leading space and is cut into words with the spaces before them,
-which no piece goes past. Over a word's lattice of pieces:
+which no piece goes past, and between letters and other characters, if no piece
+has both side by side. Over a word's lattice of pieces:
 
 * In a unigram model the path of the largest sum of scores is taken, a
   character without a piece costing the lowest score less 10.
@@ -21,9 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,20 @@ ROWS = 256
 _MARKED = re.compile(r" *[^ ]+| +$")
 
 
+def cutter(pieces: Iterable[str]) -> re.Pattern:
+    """What cuts a marked text into words: also between the pieces' letters and whatever else, if no piece has both side by side."""
+    letters = sorted({c for p in pieces for c in p if c.isalpha()})
+    spans: list[list[str]] = []
+    for c in letters:
+        if spans and ord(c) == ord(spans[-1][1]) + 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    some = "".join(f"{a}-{b}" for a, b in spans)
+    finer = re.compile(rf" *[{some}]+| *[^ {some}]+| +$") if some else _MARKED
+    return finer if all(len(finer.findall(p)) == 1 for p in pieces) else _MARKED
+
+
 @dataclass
 class Vocabulary:
     """pieces: bytes by id, with spaces for marks; texts of the usable ones make the trie."""
@@ -77,6 +93,7 @@ class Vocabulary:
                     self.score.append(0.0)
                 at = nxt
             self.piece[at], self.score[at] = i, s
+        self.cut = cutter([t for t, *_ in self.usable])
         self.text = {i: t for t, i, _ in self.usable}
         self.rank = {t: s for t, _, s in self.usable}
         return self
@@ -130,39 +147,20 @@ def encode_words(words: list[str], v: Vocabulary) -> dict[str, list[int]]:
     """The best segmentation of each distinct marked word.
 
     Words are taken in sorted order, which is a depth-first walk of their trie.
-    For each depth of the current path there are the best score of that prefix,
-    its last piece, and the pieces that are still open; the next word starts at
-    the depth of the prefix that it shares with the last one. In a merge model
-    an open path is worth the number of its steps, below zero; there is one.
+    For each depth of the current path there are that prefix's last piece and
+    the pieces that are still open; the next word starts at the depth of the
+    prefix that it shares with the last one.
     """
-    child, piece, score, unknown, merges = v.child, v.piece, v.score, v.unknown, v.merges
-    best, back = [0.0], [(-1, 0)]  # by depth: score; last piece (-1: spelt in bytes) and where it began
-    opened: list[list[tuple[int, int]]] = [[]]  # by depth: (where it began, node) of pieces in progress
+    step = (_merging if v.merges else _summing)(v)
+    back = [(-1, 0)]  # by depth: the last piece (-1: spelt in bytes) and where it began
+    opened: list[list[tuple[int, int]]] = [[(0, 0)]]  # by depth: (where it began, node) of pieces in progress
     out, last = {}, ""
     for word in sorted(words):
         depth, most = 0, min(len(word), len(last))
         while depth < most and word[depth] == last[depth]:
             depth += 1
-        del best[depth + 1 :], back[depth + 1 :], opened[depth + 1 :]
-        for j in range(depth, len(word)):
-            c = word[j]
-            now, top, how, single = [], -1e300, (-1, j), False
-            for start, node in (*opened[j], (j, 0)):
-                nxt = child[node].get(c)
-                if nxt is not None:
-                    now.append((start, nxt))
-                    if (p := piece[nxt]) >= 0:
-                        single |= start == j
-                        if merges:
-                            if top == -1e300 and (start == 0 or (q := back[start][0]) < 0 or v.open(q, p)):
-                                top, how = best[start] - 1, (p, start)
-                        elif (s := best[start] + score[nxt]) > top:
-                            top, how = s, (p, start)
-            if (top == -1e300 if merges else not single) and best[j] + unknown > top:  # in a merge model also what no open path reaches
-                top, how = best[j] + unknown, (-1, j)
-            best.append(top)
-            back.append(how)
-            opened.append(now)
+        del back[depth + 1 :], opened[depth + 1 :]
+        step(word, depth, back, opened)
         ids: list[int] = []
         at = len(word)
         while at:
@@ -178,6 +176,52 @@ def encode_words(words: list[str], v: Vocabulary) -> dict[str, list[int]]:
     return out
 
 
+def _merging(v: Vocabulary):
+    """Goes on from a depth to a word's end, in a merge model: of the paths that reach a prefix one is open, so nothing is weighed."""
+    child, piece, pairs, may = v.child, v.piece, v.pairs, v.open
+
+    def step(word: str, depth: int, back: list, opened: list) -> None:
+        for j in range(depth, len(word)):
+            c, now, how = word[j], [], None
+            for start, node in opened[j]:
+                if (nxt := child[node].get(c)) is not None:
+                    if child[nxt]:
+                        now.append((start, nxt))
+                    if how is None and (p := piece[nxt]) >= 0:
+                        if start == 0 or (q := back[start][0]) < 0 or (may(q, p) if (known := pairs.get(q << 32 | p)) is None else known):
+                            how = (p, start)
+            now.append((j + 1, 0))
+            back.append(how or (-1, j))  # in bytes also what no open path reaches
+            opened.append(now)
+
+    return step
+
+
+def _summing(v: Vocabulary):
+    """The same in a unigram model, where the best sum of scores counts."""
+    child, piece, score, unknown, best = v.child, v.piece, v.score, v.unknown, [0.0]
+
+    def step(word: str, depth: int, back: list, opened: list) -> None:
+        del best[depth + 1 :]
+        for j in range(depth, len(word)):
+            c, now, top, how, single = word[j], [], -1e300, (-1, j), False
+            for start, node in opened[j]:
+                if (nxt := child[node].get(c)) is not None:
+                    now.append((start, nxt))
+                    if (p := piece[nxt]) >= 0:
+                        single |= start == j
+                        if (s := best[start] + score[nxt]) > top:
+                            top, how = s, (p, start)
+            if not single and best[j] + unknown > top:
+                top, how = best[j] + unknown, (-1, j)
+            now.append((j + 1, 0))
+            best.append(top)
+            back.append(how)
+            opened.append(now)
+
+    return step
+
+
 def decode(ids, pieces: list[bytes]) -> str:
     return b"".join([pieces[i] for i in ids])[1:].decode()
 
@@ -189,6 +233,10 @@ class Encoder:
         self.v, self.known = v.grow(), {}
 
     def __call__(self, texts) -> list[list[int]]:
+        return [np.frombuffer(ids, np.int32).tolist() for ids in self.packed(texts)]
+
+    def packed(self, texts) -> list[bytes]:
+        """The ids of each text as 32-bit integers, end to end."""
         out, block, size = [], [], 0
         for t in texts:
             block.append(t or "")
@@ -198,28 +246,29 @@ class Encoder:
                 block, size = [], 0
         return out + self._block(block)
 
-    def _block(self, texts: list[str]) -> list[list[int]]:
-        split = [_MARKED.findall(f" {t}") if t else [] for t in texts]
-        known = self.known
-        got = {}
-        new = {w for s in split for w in s if w not in known}
-        got = encode_words(list(new), self.v)
-        if len(known) + len(got) > CACHED_WORDS:
-            got |= {w: known[w] for s in split for w in s if w in known}
-            known.clear()
-        spelt = known | got if len(known) < len(got) else got
-        look = spelt.get if spelt is not got else lambda w: got[w] if w in got else known[w]
-        out = []
-        for s in split:
-            ids: list[int] = []
-            for w in s:
-                ids += look(w)
-            out.append(ids)
-        if len(known) + len(got) <= CACHED_WORDS:
-            known.update((w, i) for w, i in got.items() if len(w) <= CACHED_LENGTH)
+    def _block(self, texts: list[str]) -> list[bytes]:
+        find, known = self.v.cut.findall, self.known
+        split = [find(f" {t}") if t else [] for t in texts]
+        words = set().union(*split)
+        new = encode_words(list(words - known.keys()), self.v)
+        known.update((w, array("i", ids).tobytes()) for w, ids in new.items())
+        out = [b"".join(map(known.__getitem__, s)) for s in split]
+        for w in new:
+            if len(w) > CACHED_LENGTH:
+                del known[w]
+        if len(known) > CACHED_WORDS:  # words of before that came again are kept first
+            kept = (w for w in chain(words - new.keys(), new) if len(w) <= CACHED_LENGTH)
+            self.known = {w: known[w] for w in islice(kept, CACHED_WORDS)}
         return out
 
 
+def _listed(packed: list[bytes]) -> tuple[np.ndarray, pa.ListArray]:
+    """How many ids each text has, and the ids as an array of arrays."""
+    sizes = np.array([len(i) // 4 for i in packed], np.int32)
+    ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)))
+    return sizes, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
 def _encoder(df: DataFrame, v: Vocabulary):
     """What gives a task its encoder, made once."""
     shared, held = Shared(df, v), []
@@ -238,7 +287,7 @@ def encode_udf(df: DataFrame, v: Vocabulary):
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(text: pa.Array) -> pa.Array:
-        return pa.array(encoder()(text.to_pylist()), pa.list_(pa.int32()))
+        return _listed(encoder().packed(text.to_pylist()))[1]
 
     return encode
 
@@ -255,12 +304,8 @@ def encode_documents(docs: DataFrame, v: Vocabulary, keep: list[str]) -> DataFra
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
-                ids = encoder()(part.column(len(keep)).to_pylist())
-                sizes = np.array([len(i) for i in ids], np.int32)
-                ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)))
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
-                columns = [*part.columns[: len(keep)], pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids"])
+                sizes, ids = _listed(encoder().packed(part.column(len(keep)).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(sizes), ids], [*keep, "n_tokens", "ids"])
 
     return docs.select(*[docs[c] for c in keep], docs["text"].alias("encoded text")).mapInArrow(run, schema)
 
@@ -287,10 +332,12 @@ def digest_udf(df: DataFrame, v: Vocabulary):
     def digest(text: pa.Array) -> pa.Array:
         text = text.to_pylist()
         mine = encoder().v
-        spelt = {*mine.byte_ids}
+        spelt = np.zeros(len(mine.pieces), bool)
+        spelt[mine.byte_ids] = True
         rows = []
-        for t, ids in zip(text, encoder()(text), strict=True):
-            rows.append((len(ids), sum(i in spelt for i in ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), decode(ids, mine.pieces) == (t or "")))
+        for t, packed in zip(text, encoder().packed(text), strict=True):
+            ids = np.frombuffer(packed, np.int32)
+            rows.append((len(ids), int(np.count_nonzero(spelt[ids])), hashlib.sha256(ids.astype("<u4", copy=False)).hexdigest(), decode(ids.tolist(), mine.pieces) == (t or "")))
         types = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _DIGEST.names)
 

@@ -67,3 +67,19 @@ def test_round_trip_and_blocks(spark, vocabulary, monkeypatch):
     assert len(d) == len(rows) and all(r.round_trip for r in d)
     assert {r.n_tokens for r in d if r.doc_id is None} == {0}
     assert docs.where("false").select(S.digest_udf(docs, vocabulary)("text").alias("d")).count() == 0
+
+
+def test_words_are_cut_where_no_piece_goes_past(vocabulary, monkeypatch):
+    """Letters and other characters are encoded apart, so that a word is known with any sign after it; not if a piece has both."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=S.MODEL)
+    met = []
+    plain = S.encode_words
+    monkeypatch.setattr(S, "encode_words", lambda words, v: met.extend(words) or plain(words, v))
+    some = ["house, house. house; (house)\nhouse\n\nhouse $$$house### house1234 x²y² naïveté's 日本house。 áb́", "  house!?  ", "…house\thouse ² \n", "house\n "]
+    encoder = S.Encoder(vocabulary)
+    for t in some:
+        assert encoder([t]) == [sp.encode(t)]
+    assert sorted(w for w in met if "house" in w) == ["   house", " house", " 日本house", "house"]  # each once, whatever follows
+    assert S.cutter(["ab", " a", "--", "a-"]).findall(" ab--a") == [" ab--a"]
+    assert S.cutter(["ab", " a", "--", " -"]).findall(" ab--a -a  ") == [" ab", "--", "a", " -", "a", "  "]
+    assert S.cutter(["--"]).findall(" a--") == [" a--"]
