@@ -19,8 +19,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ WINDOW = 3
 STEM, LOUDEST = 12, 2
 #: Words' counts that a task holds at a time.
 HELD = 200_000
+#: Bytes of texts that are read together, so that a word of several is looked up once.
+BLOCK = 2 << 20
 #: What the shared backoff gives to each word beside what both classes say.
 BETA = 0.5
 THRESHOLD = 0.3
@@ -45,14 +48,22 @@ THRESHOLD = 0.3
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
-def token_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of a text's words: digits, letters of either case and whatever isn't ASCII."""
+def _words(data: bytes) -> list[bytes]:
+    """A text's words: digits, letters of either case and whatever isn't ASCII."""
+    return _WORD.findall(data.translate(LOWER))
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    words = _WORD.findall(data.translate(LOWER))
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
+def token_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words."""
+    return _hashes(_words(data))
+
+
 def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     v, w = v.view(np.uint64), w.view(np.uint64)
     x = (v ^ (v >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + w
@@ -73,7 +84,7 @@ def _bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def stems(data: bytes) -> list[bytes]:
     """A text's distinct words, each with an end byte and of STEM bytes at most."""
-    return sorted({(w + b"\0")[:STEM] for w in {*_WORD.findall(data.translate(LOWER))}})
+    return sorted({(w + b"\0")[:STEM] for w in {*_words(data)}})
 
 
 def _beginnings(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,19 +139,29 @@ class Model:
     leave: np.ndarray = field(default_factory=lambda: np.zeros(1))  # that of a byte that no word has after it
     start: float = 0.0  # that of a first byte that no word has
 
-    def ratios(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log P(word | toxic) - log P(word | ordinary), token by token: given the word before, and by the lower order."""
-        v = np.concatenate((np.zeros(1, np.int64), h[:-1]))
-        p, q = np.empty((2, len(h))), np.empty((2, len(h)))
+    def ratios(self, h: np.ndarray, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(word | toxic) - log P(word | ordinary), token by token: given the word before, and by the lower order.
+
+        h: hashes of distinct words; w: the tokens, as places in h; first: which tokens have none before.
+        """
         i, ok = _find(self.words, h)
-        j, met = _find(self.contexts, v)
-        k, both = _find(self.pairs, _pair(v, h))
+        q = np.where(ok, self.unigram[:, i], (self.unseen * self.base)[:, None])
+        single = (np.log(q[1]) - np.log(q[0]))[w]
+        before = np.concatenate((h, np.zeros(1, np.int64)))
+        v = np.concatenate((np.full(1, len(h)), w[:-1]))
+        v[first] = len(h)
+        j, met = _find(self.contexts, before)
+        at = np.flatnonzero(met[v])  # after other words the lower order is all there is
+        v, w = v[at], w[at]
+        k, both = _find(self.pairs, _pair(before[v], h[w]))
+        p = []
         for c in (0, 1):
-            q[c] = np.where(ok, self.unigram[c, i], self.unseen[c] * self.base)
-            t = np.where(met, self.total[c, j], 0.0)
-            g = np.where(t > 0, self.gamma[c, j], 1.0)
-            p[c] = np.where(both & (t > 0), self.seen[c, k] / np.maximum(t, 1), 0.0) + g * q[c]
-        return np.log(p[1]) - np.log(p[0]), np.log(q[1]) - np.log(q[0])
+            t = self.total[c, j][v]
+            g = np.where(t > 0, self.gamma[c, j][v], 1.0)
+            p.append(np.where(both & (t > 0), self.seen[c, k] / np.maximum(t, 1), 0.0) + g * q[c][w])
+        pairs = single.copy()
+        pairs[at] = np.log(p[1]) - np.log(p[0])
+        return pairs, single
 
     def spell(self, words: list[bytes]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of stems() by their bytes: that of the longest beginning met, and of what leaves it."""
@@ -153,20 +174,57 @@ class Model:
             low, high, at = np.where(ok, middle, low), np.where(ok, high, np.maximum(middle - 1, low)), np.where(ok, i, at)
         return np.where(low > 0, self.gain[at] + np.where(low < size, self.leave[at], 0.0), self.start)
 
+    def readings(self, texts: list[bytes]) -> np.ndarray:
+        """By row, the differences of a text's two log-likelihoods: by token, of the whole text and of its largest window (all of it, if shorter), and of its loudest words by their bytes; 0 for no words."""
+        out, at, size = [], 0, 0
+        for end, t in enumerate(texts, 1):
+            size += len(t)
+            if size >= BLOCK:
+                out.append(self._block(texts[at:end]))
+                at, size = end, 0
+        return np.concatenate([*out, self._block(texts[at:])])
+
+    def _block(self, texts: list[bytes]) -> np.ndarray:
+        split = [*map(_words, texts)]
+        words = list(set().union(*split))
+        out = np.zeros((len(texts), 3))
+        if not words:
+            return out
+        place = dict(zip(words, range(len(words)), strict=True))
+        ends = np.cumsum([len(s) for s in split])
+        w = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(ends[-1]))
+        starts = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
+        pairs, single = self.ratios(_hashes(words), w, starts[starts < ends])
+        stem: dict[bytes, int] = {}
+        of = np.array([stem.setdefault((x + b"\0")[:STEM], len(stem)) for x in words])[w]
+        loud = self.spell(list(stem))[of]
+        sums = sum(single[k : len(single) - self.window + 1 + k] for k in range(self.window)) if len(single) >= self.window else single
+        for r, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+            if a < b:
+                part = single[a:b].mean() if b - a < self.window else sums[a : b - self.window + 1].max() / self.window
+                top, left, kinds = [], loud[a:b], of[a:b]
+                while len(top) < LOUDEST and len(left):
+                    i = left.argmax()
+                    top.append(left[i])
+                    left, kinds = left[others := kinds != kinds[i]], kinds[others]
+                out[r] = pairs[a:b].mean(), part, sum(top) / len(top)
+        return out
+
     def compare(self, data: bytes) -> tuple[float, float, float]:
-        """The difference of the two log-likelihoods: by token, of the whole text and of its largest window (all of it, if shorter), and of its loudest words by their bytes; 0 for no words."""
-        h = token_hashes(data)
-        if not len(h):
-            return 0.0, 0.0, 0.0
-        pairs, single = self.ratios(h)
-        s = np.concatenate(([0.0], np.cumsum(single)))
-        n = min(self.window, len(h))
-        loud = np.sort(self.spell(stems(data)))[-LOUDEST:]  # there are words, as there are hashes
-        return float(pairs.mean()), float((s[n:] - s[:-n]).max() / n), float(loud.mean())
+        """The readings of one text."""
+        return tuple(self.readings([data])[0].tolist())
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        x = weighed(self.readings(texts), self.weights[:-1]) + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
     def score(self, data: bytes) -> float:
-        x = np.dot(self.weights[:-1], self.compare(data)) + self.weights[-1]
-        return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
+        return float(self.scores([data])[0])
+
+
+def weighed(x: np.ndarray, t: Iterable[float]) -> np.ndarray:
+    """A weighted sum of columns that gives a row the same value whatever rows are beside it."""
+    return sum(x[:, k] * c for k, c in enumerate(t))
 
 
 def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +364,7 @@ def fit(rows: DataFrame, sample: tuple[int, int] = SAMPLE, window: int = WINDOW)
         t = t if any(t) else [0.0, 1.0, 0.0]
         # each class with the weight that it has among all rows
         weight = np.where(y > 0, total[1] / max(1, (y > 0).sum()), total[0] / max(1, (y == 0).sum()))
-        model.weights = (*map(float, t), math.log(THRESHOLD / (1 - THRESHOLD)) - cut_at(x @ np.array(t), y, weight))
+        model.weights = (*map(float, t), math.log(THRESHOLD / (1 - THRESHOLD)) - cut_at(weighed(x, t), y, weight))
     return model
 
 
@@ -316,8 +374,8 @@ _READINGS = T.StructType([T.StructField(c, T.DoubleType()) for c in ("whole", "p
 def _compare_udf(shared: Shared):
     @F.arrow_udf(_READINGS)
     def compare(text: pa.Array) -> pa.Array:
-        rows = [shared().compare(t) for t in text.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.float64()) for k in range(3)], ["whole", "part", "loud"])
+        rows = shared().readings(text.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(3)], ["whole", "part", "loud"])
 
     return compare
 
@@ -330,8 +388,7 @@ def score_udf(docs: DataFrame, model: Model | float):
 
     @F.arrow_udf(T.DoubleType())
     def score(text: pa.Array) -> pa.Array:
-        m = shared()
-        return pa.array([m.score(t) for t in text.to_pylist()], pa.float64())
+        return pa.array(shared().scores(text.to_pylist()))
 
     return lambda text: score(F.coalesce(text, F.lit("")).cast("binary"))
 

@@ -210,3 +210,23 @@ def test_labels_go_to_the_texts(spark):
     for df in (some, labelled(docs, y, "toxic", 4, 2)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_texts_are_read_together(spark, monkeypatch):
+    """Each word of several texts is looked up once, and a text's score doesn't depend on what is beside it."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(40)] + ["vile", "foul", "abcdefghijklmn", "abcdefghijklxy"] * (i % 2), k=rng.randint(1, 30))), i % 2) for i in range(200)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    texts = [t.encode() for _, t, _ in rows] + [b"", b" -- ", b"vile", b"new w3", b"abcdefghijklxy Abcdefghijklmn"]
+    spelt = []
+    plain = toxicity.Model.spell
+    monkeypatch.setattr(toxicity.Model, "spell", lambda self, words: spelt.extend(words) or plain(self, words))
+    together = model.scores(texts)
+    assert len(spelt) == len({*spelt}) == len({s for t in texts for s in toxicity.stems(t)})
+    assert together.tolist() == [model.score(t) for t in texts]
+    assert model.scores(texts[::-1]).tolist() == together[::-1].tolist() and not len(model.scores([]))
+    monkeypatch.setattr(toxicity, "BLOCK", 100)
+    assert model.scores(texts).tolist() == together.tolist()
+    for t, r in zip(texts, model.readings(texts), strict=True):
+        loudest = sorted(plain(model, [s])[0] for s in toxicity.stems(t))[-toxicity.LOUDEST :]
+        assert r[2] == pytest.approx(np.mean(loudest) if loudest else 0.0, abs=1e-12)
