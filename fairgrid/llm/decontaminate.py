@@ -96,7 +96,8 @@ def _rare(table: DataFrame, threshold: float) -> DataFrame:
     before = F.coalesce(F.sum("c").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = F.sum("c").over(Window.partitionBy("item"))
     ranked = shingles.join(spread, "h").withColumn("before", before).withColumn("whole", whole)
-    return ranked.where(F.col("before") <= F.col("whole") - F.ceil(F.col("whole") * threshold)).select("item", "n", "h")
+    need = F.ceil(F.col("whole") * threshold - 1e-9)  # 100 * 0.55 is a bit more than 55
+    return ranked.where(F.col("before") <= F.col("whole") - need).select("item", "n", "h")
 
 
 def _starts(threshold: float) -> Column:

@@ -91,3 +91,35 @@ def test_parts_in_another_order(spark):
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
     assert {(r.doc_id, r.item) for r in D.contaminated(a, b).collect()} == want and len(want) > 15
+
+
+def test_what_just_meets_a_threshold_shares_a_rare_shingle(spark):
+    """Texts shorter than their item that hold as many of its shingles as the threshold asks for, all of them the item's most frequent ones."""
+    word = lambda k, i: f"{'abcdefgh'[k]}{'ijklmnopqr'[i // 10]}{'ijklmnopqr'[i % 10]}"
+    for threshold, n in ((0.55, 55), (0.7, 70), (0.8, 80)):
+        head = [word(0, i) for i in range(n + 4)]
+        items = [(k, " ".join(head + [word(k + 1, i) for i in range(100 - n)])) for k in range(3)]
+        docs = [(1, " ".join(head)), (2, " ".join(head[1:]))]
+        want = {(1, k) for k in range(3)}
+        assert brute(docs, items, threshold) == want
+        a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        assert {(r.doc_id, r.item) for r in D.contaminated(a, b, threshold).collect()} == want
+
+
+def test_rare_shingles_find_what_all_of_them_find(spark, monkeypatch):
+    """Items that share most of their shingles, repeats in items and texts, texts cut short: every match by a join on all shingles, without a radius, is there."""
+    rng = random.Random(17)
+    parts = [" ".join(rng.choices("abcdefghijklmnopq", k=rng.randint(8, 14))) for _ in range(8)]
+    items = [(i, " ".join(rng.choices(parts, k=rng.randint(2, 5)))) for i in range(30)]
+    docs = []
+    for d in range(150):
+        x = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 2)):
+            x[rng.randrange(len(x))] = rng.choice("xyz")
+        at = rng.randint(0, 6)
+        docs.append((d, " ".join(x[at:] if d % 2 else ["x"] * at + x + rng.choice(parts).split())))
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda radius: {tuple(r) for r in D.contaminated(a, b, 0.8, radius).collect()}
+    got = rows(D.RADIUS)
+    monkeypatch.setattr(D, "_rare", lambda table, threshold: table.select("item", "n", D.F.explode("shingles").alias("h")).distinct())
+    assert rows(63) == got and len(got) > 40
