@@ -35,11 +35,51 @@ def _unescape(text):
     return text.map(html.unescape, na_action="ignore")
 
 
+def ended_only():
+    """Two functions around any reading of markup, after which it has decoded only references that end in a semicolon.
+
+    The first writes other ampersands as something that isn't a reference, the
+    second writes them back. Without them ``&amp`` is read as ``&amp;``, as
+    browsers do, so a text that was cut inside of a reference may change.
+    """
+    import re
+    from html.entities import html5
+
+    mark, kept, loose = "\ufdd0", "\ufdd0\ufdd1", "\ufdd0\ufdd2"  # not characters, so no reference gives them
+    names = frozenset(n for n in html5 if n.endswith(";"))
+    found = re.compile("&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)?")
+
+    def one(m):
+        return m[0] if m[1] and (m[1][0] == "#" or m[1] in names) else loose + (m[1] or "")
+
+    def guard(markup):
+        return found.sub(one, markup.replace(mark, kept))
+
+    def restore(text):
+        return text.replace(loose, "&").replace(kept, mark)
+
+    return guard, restore
+
+
+def unescape_ended(c: Column) -> Column:
+    """Decodes references that end in a semicolon, leaves all others as they are written."""
+    guard, restore = ended_only()
+
+    @F.pandas_udf(T.StringType())
+    def unescape(text):
+        import html
+
+        return text.map(lambda x: restore(html.unescape(guard(x))), na_action="ignore")
+
+    return unescape(c)
+
+
 def clean_html(c: Column, unescape=None) -> Column:
     """Markup to text: entities first, line breaks and closing blocks to newlines, tags away, whitespace collapsed.
 
     Only texts with an ampersand leave the JVM. ``unescape`` may name another
-    expression, e.g. a chain of replace() for a known set of entities.
+    expression, e.g. unescape_ended or a chain of replace() for a known set of
+    entities.
     """
     text = F.when(F.contains(c, F.lit("&")), (unescape or _unescape)(c)).otherwise(c)
     for pattern, to in (

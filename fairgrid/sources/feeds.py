@@ -59,8 +59,12 @@ def resolve_urls(events: DataFrame, exact: DataFrame, loose: DataFrame, tz: str
 # -- crawled pages ------------------------------------------------------------
 
 
-def page_text_udf(container: str, attribute: str | None = "id"):
-    """html -> text of the first element whose ``attribute`` is ``container`` (or whose tag it is, without an attribute); null if none."""
+def page_text_udf(container: str, attribute: str | None = "id", ended: bool = False):
+    """html -> text of the first element whose ``attribute`` is ``container`` (or whose tag it is, without an attribute); null if none.
+
+    ended: only references that end in a semicolon are decoded.
+    """
+    guard, restore = text.ended_only() if ended else (str, str)
 
     @F.pandas_udf(T.StringType())
     def page_text(html):
@@ -76,7 +80,7 @@ def page_text_udf(container: str, attribute: str | None = "id"):
                     return
                 if self.depth:
                     self.depth += tag == self.tag
-                elif (tag == container) if attribute is None else dict(attrs).get(attribute) == container:
+                elif (tag == container) if attribute is None else restore(dict(attrs).get(attribute) or "") == container:
                     self.depth, self.tag = 1, tag
 
             def handle_endtag(self, tag):
@@ -92,24 +96,24 @@ def page_text_udf(container: str, attribute: str | None = "id"):
             if page is None:
                 return None
             r = Reader()
-            r.feed(page)
+            r.feed(guard(page))
             r.close()
-            return " ".join(" ".join(r.parts).split()) or None
+            return restore(" ".join(" ".join(r.parts).split())) or None
 
         return html.map(read)
 
     return page_text
 
 
-def enrich(events: DataFrame, pages: DataFrame, container: str = "content", attribute: str | None = "id") -> DataFrame:
+def enrich(events: DataFrame, pages: DataFrame, container: str = "content", attribute: str | None = "id", ended: bool = False) -> DataFrame:
     """Short descriptions are replaced by their page's text, where there is one; adds ``enriched`` (null: it wasn't short).
 
-    Only short rows' addresses meet the pages, and only these pages are parsed.
+    Only short rows' addresses meet the pages, and only these pages are parsed (``ended`` as in page_text_udf).
     """
     short = F.length(F.coalesce("description", F.lit(""))) < SHORT
     wanted = events.where(short).select(F.col("source_url").alias("url")).distinct()
     found = pages.select("url", "html").join(wanted, "url", "left_semi").groupBy("url").agg(F.min("html").alias("html"))
-    found = found.select(F.col("url").alias("page_url"), page_text_udf(container, attribute)("html").alias("page_text"))
+    found = found.select(F.col("url").alias("page_url"), page_text_udf(container, attribute, ended)("html").alias("page_text"))
     looked = F.when(short, F.col("source_url"))
     out = events.withColumn("looked", looked).join(found, F.col("looked") == F.col("page_url"), "left")
     out = out.withColumn("enriched", F.when(F.col("looked").isNotNull(), F.col("page_text").isNotNull()))

@@ -88,3 +88,36 @@ def test_enrichment(spark):
     out = feeds.enrich(e, pages)
     assert tuple(feeds.enrichment_stats(out).first()) == (3, 1, 2)
     assert out.where("enriched").select(F.col("description")).first()[0] == "Full text & in"
+
+
+CUT = [
+    "<article><h1>A &amp;&amp;&amp; b&amp</h1><p>&amp;amp c &copy d &quot &am &a &; & &amp; &copy; &middot; &quot;x&quot;</p></article>",
+    "<p>before &amp</p><article>e &ampf; &copy\n</article>",
+    "<article>\ufdd0&amp\ufdd0\ufdd1\ufdd2&amp;\ufdd0\ufdd2</article>",
+    "<article>whole</article>",
+]
+
+
+def same_as_sql(spark, tmp_path, name):
+    """Rows of a registered query over pages with references cut off, those of its SQL."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(i, f"u{i}", h) for i, h in enumerate(CUT)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"select page_id, body_sha256, n from ({entry.oracle_sql()[name]}) order by 1").fetchall()
+    got = entry.queries()[name](spark, str(tmp_path)).orderBy("page_id")
+    assert len(want) == len(CUT) and [tuple(r) for r in got.select("page_id", "body_sha256", "n").collect()] == want
+
+
+def test_page_text_with_cut_references(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "s5_page_text")
+
+
+def test_ended_references_of_a_page(spark):
+    pages = spark.createDataFrame([("<div id='a&b'>x&amp <i>y&lt;z&#38;amp;&nbsp;&notit;</i><script>p&amp;&amp q</script></div>",)], "html string")
+    read = lambda **ended: pages.select(feeds.page_text_udf("a&b", **ended)("html")).first()[0]
+    assert read(ended=True) == "x&amp y<z&amp; &notit; p&amp;&amp q"
+    assert read() == "x& y<z&amp; ¬it; p&amp;&amp q"
