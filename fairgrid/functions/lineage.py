@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of a table, about, up to which it is sent to all executors.
+BROADCAST_BYTES = 32 << 20
 
 
 def _root(spark: SparkSession) -> str:
@@ -29,3 +33,9 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(_root(df.sparkSession))
     return df.checkpoint()
+
+
+def small(df: DataFrame, size: Column) -> DataFrame:
+    """Mark an already cut table for broadcast if its rows' ``size``, in bytes, adds up to BROADCAST_BYTES at most; else leave the join to shuffle."""
+    total = df.agg(F.sum(size)).first()[0]
+    return F.broadcast(df) if (total or 0) <= BROADCAST_BYTES else df

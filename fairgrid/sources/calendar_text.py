@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, times
+from ..functions.lineage import cut, small
 from .ordered import in_order
 
 #: Weekdays in rules, Monday first.
@@ -29,7 +30,9 @@ DAYS = ("MO", "TU", "WE", "TH", "FR", "SA", "SU")
 PARTS = ("FREQ", "INTERVAL", "COUNT", "UNTIL", "BYDAY", "BYMONTHDAY", "BYYEARDAY", "BYWEEKNO", "BYMONTH", "BYSETPOS", "BYHOUR", "BYMINUTE", "BYSECOND", "WKST")
 FREQUENCIES = ("DAILY", "WEEKLY", "MONTHLY", "YEARLY")
 _STAMP = r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d{2})(Z?))?$"
-_PARAMETERS = r'((?:;[^=;:"]+=(?:"[^"]*"|[^";:]*))*)'
+_PARAMETERS = r'((?:;[^=;:"\n]+=(?:"[^"\n]*"|[^";:\n]*))*)'
+#: A component without others in it, as lines of a text.
+_INNERMOST = r"(?i)\nBEGIN:[^\n]*(?:\n(?!BEGIN:|END:)[^\n]*)*+\nEND:[^\n]*"
 #: An observance of a zone: wall times from ``start`` on have the offset ``after``, until the next one begins.
 RULES = "array<struct<start:timestamp,before:int,after:int,month:int,nth:int,weekday:int,until:timestamp,dates:array<timestamp>>>"
 
@@ -38,56 +41,69 @@ RULES = "array<struct<start:timestamp,before:int,after:int,month:int,nth:int,wee
 
 
 def _lines(c: Column) -> Column:
-    return F.split(F.regexp_replace(c, r"\r?\n[ \t]", ""), r"\r?\n")
+    """Unfolded lines that aren't empty, each behind a line break, as a text.
 
+    Patterns are for the texts that need them; the others are cut as bytes.
+    """
+    rare = F.contains(c, F.lit("\r")) | F.contains(c, F.lit("\n\t"))
+    unfolded = F.when(rare, F.regexp_replace(c, r"\r?\n[ \t]", "")).otherwise(F.replace(c, F.lit("\n "), F.lit("")))
+    every = F.concat(F.lit("\n"), F.ltrim(unfolded, F.lit("\n")))
+    return F.when(F.contains(every, F.lit("\r")) | F.contains(every, F.lit("\n\n")), F.regexp_replace(every, r"(?:\r?\n)++", "\n")).otherwise(every)
 
-def _own_lines(lines: Column) -> Column:
-    """Lines that aren't inside of a component further down."""
-    begins, ends = (lambda x, w=w: F.startswith(F.upper(x), F.lit(f"{w}:")) for w in ("BEGIN", "END"))
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
 
-    def step(at: Column, line: Column) -> Column:
-        depth = F.greatest(at["depth"] + F.when(begins(line), 1).when(ends(line), -1).otherwise(0), F.lit(0))
-        outside = (at["depth"] == 0) & ~begins(line) & ~ends(line)
-        return F.struct(depth.alias("depth"), F.when(outside, F.concat(at["kept"], F.array(line))).otherwise(at["kept"]).alias("kept"))
+def _own(lines: Column) -> Column:
+    """Of _lines() those that aren't inside of a component further down.
 
-    return F.aggregate(lines, start, step, lambda at: at["kept"])
+    Innermost components go until none is left, at most as many times as there
+    are begins; lines behind a begin without its end are inside of it.
+    """
+    nested = F.size(F.regexp_extract_all(lines, F.lit(r"(?i)(\nBEGIN:)"), F.lit(1)))
+    left = F.aggregate(F.sequence(F.lit(1), nested), lines, lambda at, _: F.regexp_replace(at, _INNERMOST, ""))
+    left = F.when(nested > 0, F.regexp_replace(left, r"(?is)\nBEGIN:.*", "")).otherwise(lines)
+    return F.regexp_replace(left, r"(?i)\nEND:[^\n]*", "")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, file, component, other) of calendar files, seq in the order of files and places.
+    """(seq, file, whole, component, other) of calendar files, seq in the order of files and places.
 
-    component: the lines of an event, null in what comes before a file's first
-    one; other: the text between this event's end and the next one's begin,
-    with zones and other components in it.
+    component: an event's lines as of _lines(), null in what comes before a
+    file's first one, and in an event without its end: these aren't whole;
+    other: the text between this event's end and the next one's begin, with
+    zones and other components in it.
     """
     rows = in_order(spark.read.option("lineSep", "\nBEGIN:VEVENT").text(path).select("*", F.col("_metadata.file_path").alias("file")))
     value = F.concat(F.lit("\n"), F.col("value"))
     first = F.startswith("value", F.lit("BEGIN:VEVENT"))  # a file that begins with an event
     value = F.when(first, F.substring(value, 14, 1 << 30)).otherwise(value)
-    parts = F.split(value, r"\n(?=END:VEVENT)", 2)
-    whole = F.size(parts) == 2
-    lines = F.when(whole, F.filter(_lines(parts[0]), lambda x: x != ""))
-    return rows.select("seq", "file", lines.alias("component"), F.when(whole, parts[1]).otherwise(value).alias("other"))
+    whole, end = F.contains(value, F.lit("\nEND:VEVENT")), F.substring_index(value, "\nEND:VEVENT", 1)
+    other = F.when(whole, F.substr(value, F.length(end) + 2)).otherwise(value)
+    return rows.select("seq", "file", whole.alias("whole"), F.when(whole, _lines(end)).alias("component"), other.alias("other"))
+
+
+def _found(own: Column, name: str) -> Column:
+    """array of (parameters, value) of a property, from the own lines of a component."""
+    of = rf"(?i)^{name}{_PARAMETERS}:(.*)$"
+    lines = F.filter(F.split(own, "\n"), lambda x: x.rlike(f"(?s){of}"))
+    every = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, f"(?s){of}", 1).alias("parameters"), text.strip(F.regexp_extract(x, f"(?s){of}", 2)).alias("value")))
+    return F.when(own.rlike(rf"(?i)\n{name}[;:]"), every).otherwise(F.array().cast("array<struct<parameters:string,value:string>>"))
 
 
-def _found(lines: Column, name: str) -> Column:
-    """array of (parameters, value) of a property."""
-    of = rf"(?is)^{name}{_PARAMETERS}:(.*)$"
-    own = F.filter(lines, lambda x: x.rlike(of))
-    return F.transform(own, lambda x: F.struct(F.regexp_extract(x, of, 1).alias("parameters"), text.strip(F.regexp_extract(x, of, 2)).alias("value")))
+def _parameters(own: Column, name: str) -> Column:
+    """The parameters of the first of a property; empty without one."""
+    return F.regexp_extract(own, rf"(?i)\n{name}{_PARAMETERS}:", 1)
 
 
-def _one(lines: Column, name: str) -> Column:
-    return F.try_element_at(_found(lines, name), F.lit(1))
+def _value(own: Column, name: str) -> Column:
+    """The value of the first of a property; empty without one."""
+    return text.strip(F.regexp_extract(own, rf"(?i)\n{name}{_PARAMETERS}:([^\n]*)", 2))
 
 
 def _unescaped(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\\[nN]", "\n"), r"\\([,;\\])", "$1")
 
 
-def _text(lines: Column, name: str) -> Column:
-    return text.blank_as_null(text.strip(_unescaped(_one(lines, name)["value"])))
+def _text(value: Column) -> Column:
+    return text.blank_as_null(F.when(F.contains(value, F.lit("\\")), text.strip(_unescaped(value))).otherwise(value))
 
 
 def _tzid(parameters: Column) -> Column:
@@ -96,16 +112,16 @@ def _tzid(parameters: Column) -> Column:
 
 def _known_zone(tzid: Column) -> Column:
     """The named zone that an id is or ends in (after the maker's prefix); null for others."""
-    tails = F.array(*[F.substring_index(tzid, "/", -n) for n in (3, 2, 1)])
-    named = F.filter(tails, lambda t: t.rlike(r"^[A-Za-z]") & F.try_to_timestamp(F.concat(F.lit("2000-01-01 "), t), F.lit("yyyy-MM-dd VV")).isNotNull())
-    return F.try_element_at(named, F.lit(1))
+    tails = [F.substring_index(tzid, "/", -n) for n in (3, 2, 1)]
+    named = [F.when(t.rlike(r"^[A-Za-z]") & F.try_to_timestamp(F.concat(F.lit("2000-01-01 "), t), F.lit("yyyy-MM-dd VV")).isNotNull(), t) for t in tails]
+    # a failed try is dear, so none is made twice
+    return F.coalesce(named[0], *[F.when(tails[n] != tails[n - 1], named[n]) for n in (1, 2)])
 
 
 def _naive(value: Column) -> Column:
     """A date or time as it is written, as if in UTC; null for anything else."""
-    g = [F.regexp_extract(value, _STAMP, i) for i in range(1, 7)]
-    clock = F.when(g[3] == "", "000000").otherwise(F.concat(*g[3:6]))
-    return F.when(g[0] != "", F.try_to_timestamp(F.concat(g[0], g[1], g[2], clock), F.lit("yyyyMMddHHmmss")))
+    clock = F.when(F.length(value) == 8, "000000").otherwise(F.substring(value, 10, 6))
+    return F.when(value.rlike(_STAMP), F.try_to_timestamp(F.concat(F.substring(value, 1, 8), clock), F.lit("yyyyMMddHHmmss")))
 
 
 def _is_utc(value: Column) -> Column:
@@ -119,7 +135,7 @@ def _is_date(value: Column) -> Column:
 def _seconds(duration: Column) -> tuple[Column, Column]:
     """Days and seconds of a duration such as P1W, -P1DT2H or PT30M; null for anything else."""
     of = r"^([+-]?)P(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?$"
-    n = [F.coalesce(F.regexp_extract(duration, of, i).try_cast("int"), F.lit(0)) for i in range(2, 7)]
+    n = [F.coalesce(F.concat(F.lit("0"), F.regexp_extract(duration, of, i)).try_cast("int"), F.lit(0)) for i in range(2, 7)]
     sign = F.when(F.startswith(duration, F.lit("-")), -1).otherwise(1)
     good = duration.rlike(of) & duration.rlike(r"\d")
     return F.when(good, sign * (7 * n[0] + n[1])), F.when(good, sign * (3600 * n[2] + 60 * n[3] + n[4]))
@@ -140,19 +156,23 @@ def _nth_weekday(year: Column, month: Column, nth: Column, weekday: Column) -> C
 
 
 def zones(chunks: DataFrame) -> DataFrame:
-    """(file, tzid, rules) of the zones that files define, a row for each file and id."""
+    """(file, tzid, rules) of the zones that files define, a row for each file and id: of several the file's first.
+
+    A file may define a zone again with each of its events, so equal texts meet before they are read.
+    """
     blocks = F.regexp_extract_all("other", F.lit(r"(?s)BEGIN:VTIMEZONE\r?\n(.*?)END:VTIMEZONE"), F.lit(1))
-    one = chunks.where(F.contains("other", F.lit("BEGIN:VTIMEZONE"))).select("seq", "file", F.explode(blocks).alias("block"))
+    every = chunks.where(F.contains("other", F.lit("BEGIN:VTIMEZONE"))).select("seq", "file", F.posexplode(blocks).alias("place", "block"))
+    one = every.groupBy("file", "block").agg(F.min(F.struct("seq", "place")).alias("first"))
     parts = F.regexp_extract_all("block", F.lit(r"(?s)BEGIN:(?:STANDARD|DAYLIGHT)\r?\n(.*?)END:(?:STANDARD|DAYLIGHT)"), F.lit(1))
 
     def offset(lines: Column, name: str) -> Column:
-        of, value = r"^([+-])(\d{2})(\d{2})(\d{2})?$", _one(lines, name)["value"]
+        of, value = r"^([+-])(\d{2})(\d{2})(\d{2})?$", _value(lines, name)
         n = [F.coalesce(F.regexp_extract(value, of, i).try_cast("int"), F.lit(0)) for i in (2, 3, 4)]
         return F.when(value.rlike(of), F.when(F.startswith(value, F.lit("-")), -1).otherwise(1) * (3600 * n[0] + 60 * n[1] + n[2])).cast("int")
 
     def observance(block: Column) -> Column:
         lines = _lines(block)
-        rule, start = _one(lines, "RRULE")["value"], _naive(_one(lines, "DTSTART")["value"])
+        rule, start = _value(lines, "RRULE"), _naive(_value(lines, "DTSTART"))
         day = _part(rule, "BYDAY")
         before, after = offset(lines, "TZOFFSETFROM"), offset(lines, "TZOFFSETTO")
         until = _part(rule, "UNTIL")
@@ -163,8 +183,8 @@ def zones(chunks: DataFrame) -> DataFrame:
             (F.array_position(F.array(*map(F.lit, DAYS)), F.right(day, F.lit(2))) - 1).cast("int").alias("weekday"), until.alias("until"), dates.alias("dates"),
         )
 
-    own = one.select("seq", "file", _one(_own_lines(_lines(F.col("block"))), "TZID")["value"].alias("tzid"), F.filter(F.transform(parts, observance), lambda o: o["start"].isNotNull() & o["after"].isNotNull()).cast(RULES).alias("rules"))
-    return own.groupBy("file", "tzid").agg(F.min_by("rules", "seq").alias("rules"))
+    own = one.select("first", "file", text.blank_as_null(_value(_own(_lines(F.col("block"))), "TZID")).alias("tzid"), F.filter(F.transform(parts, observance), lambda o: o["start"].isNotNull() & o["after"].isNotNull()).cast(RULES).alias("rules"))
+    return own.groupBy("file", "tzid").agg(F.min_by("rules", "first").alias("rules"))
 
 
 def _offset(naive: Column, rules: Column) -> Column:
@@ -202,44 +222,51 @@ def rows(chunks: DataFrame, tz: str = times.HOME) -> DataFrame:
     DTEND, else dtstart with DURATION added, days of it by the clock. exdate and
     rdate are lists of UTC times, or dates where they were dates.
     """
-    one = chunks.where("component is not null").select("seq", "file", _own_lines(F.col("component")).alias("own"))
-    fields = {n: _one(F.col("own"), n.upper().replace("_", "-")) for n in ("dtstart", "dtend", "recurrence_id")}
-    one = one.withColumns({f"p_{n}": c for n, c in fields.items()})
-    one = one.withColumn("tzid", _tzid(F.col("p_dtstart.parameters"))).withColumn("zone", _known_zone(F.col("tzid")))
-    defined = zones(chunks).select(F.col("file").alias("of"), F.col("tzid").alias("named"), "rules")
-    one = one.join(defined, (F.when(F.col("zone").isNull(), F.col("tzid")) == F.col("named")) & (F.col("file") == F.col("of")), "left")
-    utc = _is_utc(F.col("p_dtstart.value"))
-    one = one.withColumn("zone", F.when(utc, "UTC").otherwise(F.coalesce("zone", F.lit(tz))))
-
-    def at(p: Column) -> Column:
+    one = chunks.where("whole").select("seq", "file", _own(F.col("component")).alias("own"))
+    own, timed = F.col("own"), ("dtstart", "dtend", "recurrence_id")
+    named = lambda n: n.upper().replace("_", "-")
+    one = one.withColumns({f"v_{n}": _value(own, named(n)) for n in (*timed, "duration", "uid", "summary", "location", "description", "rrule", "sequence")})
+    one = one.withColumns({f"n_{n}": _naive(F.col(f"v_{n}")) for n in timed} | {f"t_{n}": _tzid(_parameters(own, named(n))) for n in timed})
+    one = one.withColumns({f"z_{n}": _known_zone(F.col(f"t_{n}")) for n in timed})
+    defined = cut(zones(chunks))
+    size = 200 + F.length("file") + F.length("tzid") + F.aggregate("rules", F.lit(0), lambda n, o: n + 150 + 8 * F.size(F.coalesce(o["dates"], F.array().cast("array<timestamp>"))))
+    defined = small(defined, size).select(F.col("file").alias("of"), F.col("tzid").alias("named"), "rules")
+    one = one.join(defined, (F.when(F.col("z_dtstart").isNull(), F.col("t_dtstart")) == F.col("named")) & (F.col("file") == F.col("of")), "left")
+    utc = _is_utc(F.col("v_dtstart"))
+    one = one.withColumn("zone", F.when(utc, "UTC").otherwise(F.coalesce("z_dtstart", F.lit(tz))))
+
+    def written(naive: Column, value: Column, zone: Column) -> Column:
+        return F.struct(naive.alias("naive"), _is_utc(value).alias("utc"), _is_date(value).alias("date"), zone.alias("zone"))
+
+    def at(x: Column) -> Column:
         """A property's instant, in its own zone or, without one, the event's."""
-        value = p["value"]
-        own = _known_zone(_tzid(p["parameters"]))
-        here = F.when(own.isNotNull(), F.to_utc_timestamp(_naive(value), own)).otherwise(instant(_naive(value), F.col("zone"), F.col("rules")))
-        return F.when(_is_utc(value), _naive(value)).when(_is_date(value), F.to_utc_timestamp(_naive(value), tz)).otherwise(here)
+        here = F.when(x["zone"].isNotNull(), F.to_utc_timestamp(x["naive"], x["zone"])).otherwise(instant(x["naive"], F.col("zone"), F.col("rules")))
+        return F.when(x["utc"], x["naive"]).when(x["date"], F.to_utc_timestamp(x["naive"], tz)).otherwise(here)
 
     def listed(name: str) -> Column:
         """Comma-separated values, each with its parameters; of a period its start."""
-        each = lambda p: F.transform(F.split(p["value"], ","), lambda v: F.struct(p["parameters"].alias("parameters"), F.substring_index(text.strip(v), "/", 1).alias("value")))
-        return F.flatten(F.transform(_found(F.col("own"), name), each))
-
-    days, seconds = _seconds(_one(F.col("own"), "DURATION")["value"])
-    wall = _naive(F.col("p_dtstart.value"))
-    after = F.struct(F.col("p_dtstart.parameters"), F.date_format(_later(wall, days * 86400), "yyyyMMdd'T'HHmmss").alias("value"))
-    after = F.when(utc, F.struct(F.col("p_dtstart.parameters"), F.concat(after["value"], F.lit("Z")).alias("value"))).otherwise(after)
-    one = one.withColumns({"rdates": listed("RDATE"), "exdates": listed("EXDATE"), "wall": wall, "seconds": seconds, "after": after})
-    every = one.withColumn("at", F.transform(F.concat(F.array("p_dtstart", "p_dtend", "p_recurrence_id", "after"), "rdates", "exdates"), at))
-
-    def written(column: str, since: Column) -> Column:
+        each = lambda p: F.transform(F.split(p["value"], ","), lambda v: F.struct(_known_zone(_tzid(p["parameters"])).alias("zone"), F.substring_index(text.strip(v), "/", 1).alias("value")))
+        return F.flatten(F.transform(_found(own, name), each))
+
+    days, seconds = _seconds(F.col("v_duration"))
+    given = F.col("v_duration") != ""
+    one = one.withColumns({"rdates": listed("RDATE"), "exdates": listed("EXDATE"), "seconds": F.when(given, seconds), "n_after": F.when(given, _later(F.col("n_dtstart"), days * 86400))})
+    after = F.struct(F.col("n_after").alias("naive"), utc.alias("utc"), F.lit(False).alias("date"), F.col("z_dtstart").alias("zone"))
+    single = [written(*[F.col(f"{k}_{n}") for k in "nvz"]) for n in timed]
+    many = F.transform(F.concat("rdates", "exdates"), lambda x: written(_naive(x["value"]), x["value"], x["zone"]))
+    listing = F.size("rdates") + F.size("exdates") > 0
+    every = one.withColumn("times", F.when(listing, F.concat(F.array(*single, after), many)).otherwise(F.array(*single, after))).withColumn("at", F.transform("times", at))
+
+    def stamps(column: str, since: Column) -> Column:
         """Values as UTC times, dates as they are."""
         return F.transform(column, lambda p, n: F.when(_is_date(p["value"]), p["value"]).otherwise(F.date_format(F.get("at", since + n), "yyyyMMdd'T'HHmmss'Z'")))
 
     return every.select(
-        "seq", _text(F.col("own"), "UID").alias("uid"), _text(F.col("own"), "SUMMARY").alias("summary"), F.get("at", F.lit(0)).alias("dtstart"),
-        F.coalesce(F.get("at", F.lit(1)), _later(F.get("at", F.lit(3)), F.col("seconds"))).alias("dtend"), _text(F.col("own"), "LOCATION").alias("location"), _text(F.col("own"), "DESCRIPTION").alias("description"),
-        text.blank_as_null(_one(F.col("own"), "RRULE")["value"]).alias("rrule"), written("rdates", F.lit(4)).alias("rdate"), written("exdates", F.size("rdates") + 4).alias("exdate"),
-        F.get("at", F.lit(2)).alias("recurrence_id"), F.coalesce(_one(F.col("own"), "SEQUENCE")["value"].try_cast("int"), F.lit(0)).alias("sequence"),
-        "wall", "zone", "rules",
+        "seq", _text(F.col("v_uid")).alias("uid"), _text(F.col("v_summary")).alias("summary"), F.get("at", F.lit(0)).alias("dtstart"),
+        F.coalesce(F.get("at", F.lit(1)), _later(F.get("at", F.lit(3)), F.col("seconds"))).alias("dtend"), _text(F.col("v_location")).alias("location"), _text(F.col("v_description")).alias("description"),
+        text.blank_as_null(F.col("v_rrule")).alias("rrule"), stamps("rdates", F.lit(4)).alias("rdate"), stamps("exdates", F.size("rdates") + 4).alias("exdate"),
+        F.get("at", F.lit(2)).alias("recurrence_id"), F.coalesce(F.when(F.col("v_sequence") != "", F.col("v_sequence").try_cast("int")), F.lit(0)).alias("sequence"),
+        F.col("n_dtstart").alias("wall"), "zone", "rules",
     )
 
 

@@ -174,3 +174,45 @@ def test_dense_numbers(spark, n):
 
     out = dense(spark.range(n).selectExpr("(id * 7919) % 10007 as x"), ["x"], "n").orderBy("x").collect()
     assert [r.n for r in out] == list(range(n))
+
+
+def test_own_lines_against_a_plain_loop(spark):
+    """Random begins and ends, also without the other, against a count of depth from line to line."""
+    rng = random.Random(3)
+    texts = [[rng.choice(["BEGIN:A", "begin:B", "END:A", "End:C", "X:1", "SUMMARY:BEGIN:A", " folded", "", "BEGINS:x"]) for _ in range(rng.randrange(0, 25))] for _ in range(400)]
+    df = spark.createDataFrame([(n, "\n".join(t)) for n, t in enumerate(texts)], "n int, t string")
+    got = {r.n: r.own for r in df.select("n", C._own(C._lines(C.F.col("t"))).alias("own")).collect()}
+    for n, t in enumerate(texts):
+        depth, own = 0, []
+        for x in "\n".join(t).replace("\n ", "").split("\n"):
+            begin, end = x.upper().startswith("BEGIN:"), x.upper().startswith("END:")
+            if depth == 0 and not begin and not end and x:
+                own.append(x)
+            depth = max(depth + begin - end, 0)
+        assert [x for x in got[n].split("\n") if x] == own, t
+
+
+def zone(name, offset):
+    return f"BEGIN:VTIMEZONE\nTZID:{name}\nBEGIN:STANDARD\nDTSTART:19700101T000000\nTZOFFSETFROM:{offset}\nTZOFFSETTO:{offset}\nEND:STANDARD\nEND:VTIMEZONE\n"
+
+
+def test_events_stay_where_they_are_read(spark, tmp_path, monkeypatch):
+    """A file's events are taken by as many tasks as it has splits, whatever zones it defines and how often; the same rows where zones and splits are too many to be sent along."""
+    from fairgrid.functions import lineage
+
+    one = lambda n: zone("A", "-0330") + zone("A", "+0900") + event(f"UID:{n}", f"DTSTART;TZID={['A', 'Nowhere', 'Europe/Berlin'][n % 3]}:20240101T120000", "DURATION:PT1H")
+    (tmp_path / "c.ics").write_text("BEGIN:VCALENDAR\n" + "\n".join(map(one, range(300))) + "\nEND:VCALENDAR\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        chunks = C.read(spark, str(tmp_path))
+        assert C.zones(chunks).count() == 1
+        tasks = C.rows(chunks).select("uid", C.F.spark_partition_id().alias("task")).collect()
+        assert len({r.task for r in tasks}) >= 5 and max(sum(r.task == t for r in tasks) for t in {r.task for r in tasks}) < 150
+        sent = C.rows(chunks).orderBy("seq").collect()
+        monkeypatch.setattr(lineage, "BROADCAST_BYTES", -1)
+        assert C.rows(C.read(spark, str(tmp_path))).orderBy("seq").collect() == sent
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert [r.uid for r in sent] == [str(n) for n in range(300)]
+    assert {r.uid[-1:]: str(r.dtend) for r in sent[:3]} == {"0": "2024-01-01 16:30:00", "1": "2024-01-01 19:00:00", "2": "2024-01-01 12:00:00"}
