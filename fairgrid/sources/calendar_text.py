@@ -162,7 +162,7 @@ def zones(chunks: DataFrame) -> DataFrame:
     """
     blocks = F.regexp_extract_all("other", F.lit(r"(?s)BEGIN:VTIMEZONE\r?\n(.*?)END:VTIMEZONE"), F.lit(1))
     every = chunks.where(F.contains("other", F.lit("BEGIN:VTIMEZONE"))).select("seq", "file", F.posexplode(blocks).alias("place", "block"))
-    one = every.groupBy("file", "block").agg(F.min(F.struct("seq", "place")).alias("first"))
+    one = every.groupBy("file", "block", "place").agg(F.min("seq").alias("seq")).withColumn("first", F.struct("seq", "place"))
     parts = F.regexp_extract_all("block", F.lit(r"(?s)BEGIN:(?:STANDARD|DAYLIGHT)\r?\n(.*?)END:(?:STANDARD|DAYLIGHT)"), F.lit(1))
 
     def offset(lines: Column, name: str) -> Column:
